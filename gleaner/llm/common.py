@@ -109,3 +109,28 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("connected components did not settle; raise max_rounds")
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
+
+
+def usable(vector) -> "F.Column":
+    """True for vectors with a direction: not null, not empty, every component
+    finite, not all zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def matrix(column) -> "np.ndarray":
+    """An Arrow list column of equally long vectors as a float64 matrix."""
+    import numpy as np
+
+    if not len(column):
+        return np.zeros((0, 0))
+    flat = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def unit(x: "np.ndarray") -> "np.ndarray":
+    """Rows at length one; scaled first, so no component over- or underflows."""
+    import numpy as np
+
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))

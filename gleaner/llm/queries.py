@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, pii, toxicity
+from . import htmltext, langid, minhash, mixing, packing, pigeonhole, pii, secrets, toxicity, vptree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,24 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", *(F.col(f"mix_{c}").alias(c) for c in ("topic", "tokens", "weight", "probability", "kept")))
 
 
+def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every 50th vector, searched exactly."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return vptree.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5, factor=1.0)
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
 
 
+def op5_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pigeonhole.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -30,12 +44,20 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(packing.pack(_table(spark, sf_dir, "documents")))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op4_pii, op6_toxicity, op7_minhash, op9_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_vptree, op3_html, op4_pii, op5_pigeonhole, op6_toxicity, op7_minhash, op8_secrets, op9_packing, op10_langid)}
 
 
 def oracle_sql() -> dict:
