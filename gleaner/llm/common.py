@@ -34,17 +34,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     app = spark.sparkContext.applicationId
     path = f"{checkpoint_dir(spark).rstrip('/')}/gleaner-{app}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.gleaner_path = path
+    return out
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Remove every intermediate table of this application."""
-    app = spark.sparkContext.applicationId
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/gleaner-{app}")
+    path = jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing lazy reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.gleaner_path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application."""
+    _delete(spark, f"{checkpoint_dir(spark).rstrip('/')}/gleaner-{spark.sparkContext.applicationId}")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
@@ -100,7 +111,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e = materialize(star(star(e, True), False), "edges")
+        e, old = materialize(star(star(e, True), False), "edges"), e
+        release(old)
         now = mark(e)
         if now == before:
             break
@@ -111,6 +123,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
+def spanning_labels(n: int, a: "np.ndarray", b: "np.ndarray") -> "np.ndarray":
+    """The least row number connected to each of ``n`` rows by links a - b."""
+    import numpy as np
+
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def usable(vector) -> "F.Column":
     """True for vectors with a direction: not null, not empty, every component
     finite, not all zero."""

@@ -6,15 +6,16 @@ a first and a second half forms the key of one table: ``HALVES**2`` tables from
 ``2 * HALVES * WIDTH`` minhashes, about the square root of what separate tables
 would need.  Two documents are candidates if any table holds both, that is if
 they share at least one half of either collection; at Jaccard 0.75 that fails
-for about one pair in ten thousand, and less above.  A first half that only one
+for about two pairs in ten thousand, and less above.  A first half that only one
 document has can meet nobody, so its row of tables is never written.
 
 Documents with equal sets are first merged, so copies cost one row each.
-Candidates are confirmed on full shingle sets in rounds, without listing all
-pairs of a bucket: first each document against the smallest document it met,
-then against every other bucket leader that is not yet in its component, and
-last, for buckets that still hold several components, the documents outside the
-leader's component against the others.  No bucket or partner is capped.
+Candidates are confirmed on full shingle sets in two steps, without listing the
+pairs of a bucket: first each document against the smallest document it met.
+Buckets that then still hold several components are joined to clusters, and a
+cluster's sets are compared exactly in blocks of ``BLOCK`` documents, a task per
+pair of blocks; it returns a spanning star of the links it found, not the
+pairs.  No bucket or partner is capped.
 
 Edge cases: null, empty or blank texts have no set (0 shingles) and link with
 nothing; a text of fewer than five words has one shingle, its word sequence; a
@@ -31,15 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, slices, small_batches
+from .common import connected_components, materialize, release, slices, small_batches, spanning_labels
 
 WORDS = 5
-HALVES = 12
-WIDTH = 2
+HALVES = 17
+WIDTH = 3
+BLOCK = 1024
 _N = 2 * HALVES * WIDTH
 _SEEDS = np.random.default_rng(20240607)
 _XOR = _SEEDS.integers(0, 2**63, _N, dtype=np.uint64)
 _MUL = _SEEDS.integers(0, 2**63, _N, dtype=np.uint64) | np.uint64(1)
+_JOIN = _SEEDS.integers(0, 2**63, WIDTH, dtype=np.uint64) | np.uint64(1)
 _PLACE = _SEEDS.integers(0, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -76,7 +79,7 @@ def minhashes(found: np.ndarray) -> np.ndarray:
 def half_keys(found: np.ndarray) -> np.ndarray:
     """(2, HALVES) keys of the two collections."""
     low = _mix(minhashes(found)).reshape(2, HALVES, WIDTH)
-    return _mix(low[:, :, 0] * np.uint64(3) + low[:, :, 1] + np.arange(HALVES, dtype=np.uint64))
+    return _mix((low * _JOIN).sum(axis=2, dtype=np.uint64) + np.arange(HALVES, dtype=np.uint64))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -136,17 +139,22 @@ def buckets(sets: DataFrame) -> DataFrame:
     return rows.join(leaders, "key").select("key", "doc", "leader", "n")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _held_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, held): the shingle sets of the wanted (doc) as bytes."""
 
     def sets(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "held"])
 
-    held = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc long, held binary")
-    held = materialize(held, "near-sets")
+    ids = wanted.select(F.col("doc").alias("doc_id"))
+    return docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc long, held binary")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose full sets have 100 * intersection >= percent * union."""
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    held = materialize(_held_sets(docs, wanted), "near-sets")
     both = pairs.join(held.select(F.col("doc").alias("a"), F.col("held").alias("held_a")), "a").join(held.select(F.col("doc").alias("b"), F.col("held").alias("held_b")), "b")
 
     def check(batches):
@@ -158,24 +166,75 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long")
+    out = materialize(both.select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long"), "near-links")
+    release(held)
+    return out
+
+
+def _common_counts(left: list, right: list) -> np.ndarray:
+    """(left, right) sizes of the sets' intersections.  Only shingles that occur on
+    both sides matter; they are counted by matrix products, so many at a time."""
+    known = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    total = np.zeros((len(left), len(right)), np.float32)
+    if not len(known):
+        return total
+
+    def spots(sets: list) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(known, flat)
+        ok = known[np.minimum(at, len(known) - 1)] == flat
+        return row[ok], at[ok]
+
+    (lr, lc), (rr, rc) = spots(left), spots(right)
+    lo, ro = np.argsort(lc, kind="stable"), np.argsort(rc, kind="stable")
+    lr, lc, rr, rc = lr[lo], lc[lo], rr[ro], rc[ro]
+    for start in range(0, len(known), 4096):
+        width = min(4096, len(known) - start)
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
+        for m, r, c in ((x, lr, lc), (y, rr, rc)):
+            a, b = np.searchsorted(c, [start, start + width])
+            m[r[a:b], c[a:b] - start] = 1
+        total += x @ y.T
+    return total
+
+
+def compare_clusters(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) spanning stars of the links inside each cluster; ``members``:
+    cluster, doc, held."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    # A document meets its own block and every other: one task a pair of blocks.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "held")
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc")
+        own, ids = table.column("own").to_numpy(), table.column("doc").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("held").to_pylist()]
+        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
+        if not len(left) or not len(right):
+            return arrow.empty_table()
+        sizes = np.array([len(x) for x in sets], np.int64)
+        common = _common_counts([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
+        linked = 100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+        a, b = np.nonzero(linked)
+        label = spanning_labels(len(ids), left[a], right[b])
+        tied = np.flatnonzero(label != np.arange(len(label)))
+        return pa.table([ids[tied], ids[label[tied]]], schema=arrow)
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
-    rows = materialize(sketch(docs), "near-sketch")
-    classes = materialize(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("first").alias("first"), F.first("second").alias("second")), "near-classes")
+    sketched = materialize(sketch(docs), "near-sketch")
+    classes = materialize(sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("first").alias("first"), F.first("second").alias("second")), "near-classes")
     met = materialize(buckets(classes), "near-buckets")
-    sizes = classes.groupBy("doc").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    leads = met.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Pairs whose set sizes allow the similarity at all."""
-        a, b = (sizes.select(F.col("doc").alias(x), F.col("least").alias(f"least_{x}"), F.col("most").alias(f"most_{x}")) for x in "ab")
-        return pairs.join(a, "a").join(b, "b").where(f"100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a").select("a", "b")
-
-    leads = materialize(fitting(leads), "near-leads")
-    links = materialize(confirm(leads.groupBy("a").agg(F.min("b").alias("b")), docs, percent), "near-links")
+    pairs = materialize(met.where("doc <> leader").groupBy(F.col("doc").alias("a")).agg(F.min("leader").alias("b")), "near-pairs")
+    links = confirm(pairs, docs, percent)
     found = materialize(connected_components(links), "near-components")
 
     def of(ids: DataFrame, by: str, name: str) -> DataFrame:
@@ -183,23 +242,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         known = found.select(F.col("id").alias(by), F.col("component").alias("_c"))
         return ids.join(known, by, "left").withColumn(name, F.coalesce("_c", by)).drop("_c")
 
-    apart = of(of(leads.join(leads.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    apart = materialize(apart, "near-apart")
-    if not apart.isEmpty():
-        links = materialize(links.union(confirm(apart, docs, percent)), "near-links")
-        found = materialize(connected_components(links), "near-components")
-
-    # Buckets of two are settled; in larger ones, those outside the leader's
-    # component still have to meet the members of other components.
-    wide = of(of(met.where("n > 2"), "doc", "c"), "leader", "lead_c").select("key", "doc", "c", (F.col("c") != F.col("lead_c")).alias("outside"))
-    outside = wide.where("outside").select("key", F.col("doc").alias("x"), F.col("c").alias("cx"))
-    rest = outside.join(wide, "key").where("c <> cx and (not outside or x < doc)").select(F.greatest("x", "doc").alias("a"), F.least("x", "doc").alias("b")).distinct()
-    rest = materialize(fitting(rest.join(leads, ["a", "b"], "left_anti")), "near-rest")
-    if not rest.isEmpty():
-        links = materialize(links.union(confirm(rest, docs, percent)), "near-links")
-        found = materialize(connected_components(links), "near-components")
-
+    # A bucket whose members are not all in the leader's component is open,
+    # unless it is a pair that was compared just now.
+    stars = of(of(met.where("doc <> leader"), "doc", "c"), "leader", "lc").where("c <> lc")
+    tried = pairs.select(F.col("a").alias("doc"), F.col("b").alias("leader"), F.lit(2).cast("long").alias("n"))
+    open_ = stars.join(tried, ["doc", "leader", "n"], "left_anti").select("key").distinct()
+    chains = materialize(met.where("doc <> leader").join(open_, "key", "left_semi").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "near-open")
+    release(met, pairs)
+    if not chains.isEmpty():
+        clusters = connected_components(chains).select(F.col("component").alias("cluster"), F.col("id").alias("doc"))
+        clusters = materialize(clusters, "near-clusters")
+        members = materialize(clusters.join(_held_sets(docs, clusters), "doc"), "near-members")
+        more = materialize(compare_clusters(members, percent), "near-links")
+        old = found
+        found = materialize(connected_components(links.union(more)), "near-components")
+        release(clusters, members, more, old)
+    release(chains, links)
     placed = of(classes.select("digest", "doc"), "doc", "component_id").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
+    out = sketched.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
     out = out.withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    done = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-result")
+    release(sketched, classes, found)
+    return done

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, matrix, unit, usable
+from .common import connected_components, materialize, matrix, spanning_labels, unit, usable
 
 _SLACK = 1 + 1e-9
 
@@ -62,20 +62,6 @@ def _cells(x: np.ndarray, block_dims: int, threshold: float) -> np.ndarray:
     return np.floor((x @ rotation(dim))[:, block_starts(dim, block_dims)] / (np.sqrt(budgets(dim, block_dims, threshold)) * _SLACK)).astype(np.int64)
 
 
-def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least row number connected to each row."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def links(classes: DataFrame, threshold: float = 0.95, block_dims: int = 16, chunk_rows: int = 8192) -> DataFrame:
     """(a, b, n) from (id, copies, embedding): rows with b null say that a gained
     links to n vectors of other classes, rows with b that a and b are
@@ -165,7 +151,7 @@ def links(classes: DataFrame, threshold: float = 0.95, block_dims: int = 16, chu
         order = np.argsort(ids, kind="stable")  # so the least row is the least id
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        label = _labels(len(ids), place[p], place[q])
+        label = spanning_labels(len(ids), place[p], place[q])
         tied = np.flatnonzero(label != np.arange(len(label)))
         some = np.flatnonzero(gained)
         return pa.table([np.r_[ids[some], ids[order[tied]]], pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[order[label[tied]]])]), np.r_[gained[some], np.zeros(len(tied), np.int64)]], schema=arrow)
