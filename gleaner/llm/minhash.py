@@ -147,7 +147,8 @@ def _held_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "held"])
 
-    ids = wanted.select(F.col("doc").alias("doc_id"))
+    # Texts and ids meet by a shuffle at every size: ids grow with the corpus.
+    ids = wanted.select(F.col("doc").alias("doc_id")).hint("merge")
     return docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc long, held binary")
 
 
