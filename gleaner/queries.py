@@ -7,6 +7,7 @@ table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import catalog as C
@@ -256,9 +257,6 @@ def _cards(spark, sf_dir, wrap: int = 0, ld: bool = False, constant: bool = Fals
     html = F.concat(F.lit("<html><body><nav><ul><li>Home</li><li>All</li><li>More</li></ul></nav><main><section>"), F.col("cards"), F.lit("</section></main>"), script, F.lit("<footer>Fee £1</footer></body></html>"))
     return p.select(F.col("s_nationkey").cast("long").alias("page_id"), F.concat(F.lit("https://list.example.com/n/"), F.col("s_nationkey")).alias("url"), html.alias("html"))
 
-
-from pyspark.sql import Window as W  # noqa: E402
-
 _SUPP = """(SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS page_id, 'Dr Ann ' || regexp_replace(s_name, '[^A-Za-z]', '', 'g') || ' ' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS name,
   '£' || CAST(CAST(round(abs(s_acctbal), 0) AS BIGINT) AS VARCHAR) AS fee, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS rec_idx, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"""
 _FIELDS = [plan.Field("Name"), plan.Field("Fee")]
@@ -270,9 +268,10 @@ def record_detect(spark, sf_dir):
     return out.wide().join(out.records.where("not is_document").select("page_id", "rec_idx"), ["page_id", "rec_idx"])
 
 
-@query(f"""SELECT page_id, rec_idx, name AS "Name", fee AS "Fee" FROM {_SUPP} s WHERE n >= 9""")
+@query(f"""SELECT page_id, rec_idx, name AS "Name", fee AS "Fee" FROM {_SUPP} s WHERE n >= 9 AND rec_idx < n - n % 3""")
 def wrapper_elimination(spark, sf_dir):
-    """Cards in rows of three: the cards are found, not the rows."""
+    """Cards in rows of three: the cards are found, not the rows.  A row that holds
+    fewer than three is no group of siblings."""
     out = plan.scrape(_cards(spark, sf_dir, wrap=3), _FIELDS)
     many = out.records.where("not is_document and n_recs >= 9").select("page_id", "rec_idx")
     return out.wide().join(many, ["page_id", "rec_idx"])
