@@ -17,6 +17,8 @@ def norm(v):
 
 @pytest.mark.parametrize("name", sorted(set(core.oracle_sql()) - LONG))
 def test_oracle(spark, sf, name):
+    if name == "profile_link":  # the smallest tables have no nation with three suppliers
+        sf = sf.replace("sf0.001", "sf0.01")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
