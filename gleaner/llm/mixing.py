@@ -3,9 +3,12 @@
 Token counts are summed to cells (source, language, topic).  Raking scales the
 cells' weights to one dimension's target shares after the other until all
 marginals fit; documents are then drawn by Poisson sampling with probability
-``rate * weight`` of their cell, the largest being 1 (or what ``budget`` allows),
-so expected token shares equal the targets.  Draws hash the row, so a run can
-be repeated and a lost task recomputed.
+``min(1, rate * weight)`` of their cell.  The rate is solved so that the expected
+tokens kept are ``budget``, or ``share`` of all tokens: a small cell of large
+weight is kept whole instead of scaling all others down.  Expected token shares
+equal the targets but for what such whole cells lack.  Draws hash the row, so a
+run can be repeated and a lost task recomputed.  Raking that ends before the
+marginals fit gives a warning.
 
 The cell table is an aggregate.  Up to ``max_local_cells`` rows of it (checked by
 a count) are raked in numpy on the driver and broadcast back; a larger one is
@@ -19,6 +22,8 @@ result; repeated rows are drawn together; extra columns pass through.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,9 +74,15 @@ def _local(cells, targets, total: float, rounds: int, tolerance: float) -> np.nd
             worst = max(worst, float(np.max(np.abs(factor - 1), initial=0)))
         if worst < tolerance:
             break
+    else:
+        _unfit(rounds, worst)
     return weight
 
 
+def _unfit(rounds: int, worst: float) -> None:
+    warnings.warn(f"raking: after {rounds} rounds a marginal is still off by a factor of 1 +- {worst:.3g}", stacklevel=3)
+
+
 def _spread(cells: DataFrame, targets: dict[str, DataFrame], total: float, rounds: int, tolerance: float) -> DataFrame:
     out = cells.withColumn("weight", F.lit(1.0))
     for _ in range(rounds):
@@ -85,6 +96,8 @@ def _spread(cells: DataFrame, targets: dict[str, DataFrame], total: float, round
             out = materialize(out.join(factors, d).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"), "mix-cells")
         if worst < tolerance:
             break
+    else:
+        _unfit(rounds, worst)
     return out
 
 
@@ -102,20 +115,38 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 100, tol
     return spark.createDataFrame([tuple(r) for r in local[[*DIMENSIONS, "tokens", "weight"]].values.tolist()], schema)
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.7, budget: int | None = None, seed: int = 17, topic: Column | None = None, max_local_cells: int = 100_000) -> DataFrame:
+def draw_rate(raked: DataFrame, budget: float | None, share: float) -> float:
+    """The rate at which sum(tokens * min(1, rate * weight)) is ``budget``, or
+    ``share`` of the tokens; with less than that in the table, all is kept."""
+    held = raked.where("tokens > 0")
+    sums = held.agg(F.sum("tokens").alias("all"), F.min("weight").alias("least")).first()
+    if not sums["all"]:
+        return 1.0
+    wanted = share * sums["all"] if budget is None else budget
+    if wanted >= sums["all"]:
+        return 1 / sums["least"]
+    # Cells once whole stay whole as the rate grows, so this ends.
+    rate, whole = 0.0, -1
+    while True:
+        full = F.col("weight") * rate >= 1
+        now = held.agg(F.count_if(full).alias("whole"), F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("kept"), F.sum(F.when(~full, F.col("tokens") * F.col("weight")).otherwise(0.0)).alias("rest")).first()
+        if now["whole"] == whole or not now["rest"]:
+            return rate
+        whole, rate = now["whole"], max(rate, (wanted - now["kept"]) / now["rest"])
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = 0.7, budget: int | None = None, share: float = 0.5, seed: int = 17, topic: Column | None = None, max_local_cells: int = 100_000) -> DataFrame:
     """``docs`` with mix_topic, mix_tokens, mix_weight, mix_probability and
     mix_kept.  ``targets``: per dimension a table (value, share); by default the
-    present shares raised to ``power``.  ``budget``: expected tokens to keep."""
+    present shares raised to ``power``.  ``budget``: expected tokens to keep, by
+    default ``share`` of all."""
     topic = form_topic(F.col("text")) if topic is None else topic
     key = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": topic}
     keyed = docs.select(*docs.columns, *(F.coalesce(c, F.lit(_NULL)).alias(f"mix_{d}") for d, c in key.items()), token_count(F.col("text")).alias("mix_tokens"))
     cells = materialize(keyed.groupBy(*(F.col(f"mix_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("mix_tokens").alias("tokens")), "mix-counts")
     targets = tempered(cells, power) if targets is None else {d: t.withColumn(d, F.coalesce(F.col(d).cast("string"), F.lit(_NULL))) for d, t in targets.items()}
     raked = rake(cells, targets, max_local_cells=max_local_cells)
-    bounds = raked.where("tokens > 0").agg(F.max("weight").alias("top"), F.sum(F.col("tokens") * F.col("weight")).alias("all")).first()
-    rate = 1 / bounds["top"] if bounds["top"] else 1.0
-    if budget is not None and bounds["all"]:
-        rate = min(rate, budget / bounds["all"])
+    rate = draw_rate(raked, budget, share)
     weights = raked.select(*(F.col(d).alias(f"mix_{d}") for d in DIMENSIONS), F.col("weight").alias("mix_weight"))
     if raked.count() <= max_local_cells:
         weights = F.broadcast(weights)
