@@ -9,11 +9,16 @@ Spark sums the votes per host, and every page is read again under the host's
 else the page's own best container.
 
 Menus, page headers and footers, sidebars, notices, adverts, forms, comments and
-code are known by tag, role or class words and left out of both passes.
+code are known by tag, role or class words and left out of both passes.  A class
+word counts as a whole class name, as its last part, or beside parts that only
+say place or shape.  It is not trusted where it would take the article: elements
+of one path that hold over half of the page's unlinked text are kept (but for
+adverts, consent and comments), and if nothing is left, class words are left aside for that page.
 
 Edge cases: null or empty pages give an empty text; a null or odd url counts as
 one host of its own; broken markup never fails (an unclosed tag ends with its
-parent, an unclosed comment or script with the page); repeated rows give repeated
+parent, an unclosed comment, script, style, textarea or title with the page, the
+tag of an unclosed frame, drawing or list of choices is passed over); repeated rows give repeated
 results; extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,7 +36,7 @@ from .common import materialize, slices, small_batches
 PATHS = 5
 _TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*)"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*+>|.*)"
+    r"|<(script|style|textarea|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*+>|.*)"
     r"|<[!?][^>]*+>"
     r"|</([a-z][^\s/>]*+)[^>]*+>"
     r"|<([a-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -39,6 +44,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|aria-label|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Elements left out with all they hold.
+_SEALED = {t: re.compile(rf"</{t}\s*+>", re.I) for t in "noscript template iframe svg math object select".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr data input".split())
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th caption figcaption summary address tr ul ol dl table tbody thead tfoot figure details hr".split())
@@ -48,6 +55,12 @@ _NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login nav navbar navigation "
     "menu menus breadcrumb breadcrumbs sidebar side aside rail footer foot masthead topbar toolbar comment comments respond disqus replies share sharing social related recommended recommendations widget widgets pagination pager search skip copyright legal".split()
 )
+#: Noise words that are no noise at the end of a longer name.
+_WEAK = frozenset("widget widgets".split())
+#: Words of adverts, consent and readers' own text: never the article, though often longer.
+_SURE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments respond disqus replies".split())
+_NOT = frozenset("no not has have with without hide hides".split())
+_NEUTRAL = frozenset("area bar block bottom box btn button buttons container content form group holder icon icons inner item items left line links list message outer panel post posts right row section text title top us wrap wrapper".split())
 _CLOSES = {  # an opening tag ends these open ones
     **dict.fromkeys("p div ul ol dl table h1 h2 h3 h4 h5 h6 pre blockquote form section article main header footer nav aside figure address hr fieldset".split(), frozenset(["p"])),
     "li": frozenset(["p", "li"]), "dt": frozenset(["p", "dt", "dd"]), "dd": frozenset(["p", "dt", "dd"]),
@@ -58,14 +71,28 @@ _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _DIGITS = re.compile(r"[0-9]+")
 
 
+def _named(name: str) -> int:
+    """1 if a class name, id or label tells noise, 2 if one of ``_SURE``, else 0."""
+    parts = [w.lower() for w in _SPLIT.split(name) if w]
+    noisy = [w for w in parts if w in _NOISE_WORDS]
+    if not noisy or not _NOT.isdisjoint(parts[:-1]):
+        return 0
+    last = parts[-1] in _NOISE_WORDS and parts[-1] not in _WEAK
+    if not last and not all(w in _NOISE_WORDS or w in _NEUTRAL for w in parts):
+        return 0
+    return 2 if not _SURE.isdisjoint(noisy) else 1
+
+
 class Page:
     """Elements (parallel lists, parents before children) and the blocks of
     text in them: (element, text, characters in links)."""
 
     def __init__(self, source: str):
-        self.tag, self.path, self.parent, self.noise = ["#"], [""], [-1], [False]
+        self.tag, self.path, self.parent, self.noise, self.named = ["#"], [""], [-1], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
+        if any(self.named):
+            self._drop_named()
 
     def _parse(self, source: str) -> None:
         stack, buffer, at, inside, links = [0], [], 0, [0], [0]
@@ -99,11 +126,20 @@ class Page:
                 if tag in _INLINE and self.tag[stack[i]] not in _INLINE:
                     return  # a stray end of an inline element
 
-        for m in _TOKEN.finditer(source):
+        unclosed = set()
+        while m := _TOKEN.search(source, at):
             take(source[at : m.start()])
             at = m.end()
             end, tag, attrs = m[2], m[3] or m[5], m[4] or m[6]
-            if end:
+            if tag and (sealed := _SEALED.get(tag.lower())):
+                if not (tag.lower() in ("svg", "math") and (attrs or "").endswith("/")) and tag.lower() not in unclosed:
+                    if shut := sealed.search(source, at):
+                        at = shut.end()
+                    else:
+                        unclosed.add(tag.lower())
+                if buffer and not self.noise[stack[-1]]:
+                    buffer.append(" ")
+            elif end:
                 close(end.lower())
             elif tag:
                 tag = tag.lower()
@@ -124,7 +160,7 @@ class Page:
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> None:
         up = stack[-1]
-        name, noise = tag, self.noise[up]
+        name, noise, named = tag, self.noise[up], 0
         if tag in _NOISE_TAGS or (tag == "header" and not any(self.tag[x] in ("article", "main") for x in stack)):
             noise = True
         if attrs.strip():
@@ -137,13 +173,32 @@ class Page:
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                     noise = True
                 elif key in ("class", "id", "aria-label") and tag not in ("html", "body", "article", "main") and tag not in _INLINE:
-                    noise |= any(w.lower() in _NOISE_WORDS for w in _SPLIT.split(value))
+                    named = max(named, *(_named(x) for x in ([value] if key == "aria-label" else value.split())), 0)
         self.tag.append(tag)
         self.path.append(self.path[up] if tag in _INLINE else f"{self.path[up]}/{name}")
         self.parent.append(up)
         self.noise.append(noise)
+        self.named.append(named)
         stack.append(len(self.tag) - 1)
 
+    def _drop_named(self) -> None:
+        """Blocks in elements that are noise by name go, unless the article would."""
+        n = len(self.tag)
+        sure, text, held = [False] * n, [0] * n, {}
+        for i in range(n):
+            sure[i] = self.named[i] == 2 or (i > 0 and sure[self.parent[i]])
+        for node, t, linked in self.blocks:
+            if not sure[node]:
+                text[node] += max(len(t) - linked, 0)
+        for i in range(n - 1, 0, -1):
+            text[self.parent[i]] += text[i]
+            if self.named[i] == 1:
+                held[self.path[i]] = held.get(self.path[i], 0) + text[i]
+        gone = [False] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]] or self.named[i] == 2 or (self.named[i] == 1 and 2 * held[self.path[i]] <= text[0])
+        self.blocks = [b for b in self.blocks if not gone[b[0]]] or self.blocks
+
     def container(self, node: int) -> int:
         while self.tag[node] in _TEXT or self.tag[node] in _INLINE:
             node = self.parent[node]

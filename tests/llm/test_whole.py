@@ -5,7 +5,7 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import mixing
+from gleaner.llm import htmltext, mixing
 
 
 def test_mixing_keeps_its_share_beside_a_rare_cell(spark, sf):
@@ -19,3 +19,29 @@ def test_mixing_keeps_its_share_beside_a_rare_cell(spark, sf):
                 assert kept == pytest.approx(all_ / 2, rel=1e-6)
         assert mixing.mix(df, budget=5000).agg(expected).first()[0] == pytest.approx(5000, rel=1e-6)
     assert mixing.mix(docs, share=1.0).where("mix_kept").count() == docs.count()
+
+
+LONG = "A sentence of the article that is long enough to count. "
+
+
+@pytest.mark.parametrize(
+    ("source", "want", "unwanted"),
+    [
+        ('<div class="elementor-widget elementor-widget-text-editor"><p>ONE</p></div><div class="x"><p>TWO</p></div>', ("ONE", "TWO"), ()),
+        ('<div class="site-content no-sidebar"><p>ONE</p><div class="widget-area"><p>Ours</p></div></div>', ("ONE",), ("Ours",)),
+        ('<div class="has-sidebar"><div class="legal notice"><p>ONE</p><p>TWO</p></div><div class="share-buttons">Send</div></div>', ("ONE", "TWO"), ("Send",)),
+        ('<div class="widget"><p>ONE</p></div><div class="widget"><p>TWO</p></div><div class="rest">By us</div>', ("ONE", "TWO"), ()),
+        ('<div class="comments"><p>ONE</p></div>', ("ONE",), ()),
+        ('<div class="post"><p>ONE</p></div><div class="comments"><p>REPLY</p><p>REPLY</p><p>REPLY</p></div>', ("ONE",), ("REPLY",)),
+        ('<div class="ad">REPLY</div><article><p>Few words.</p></article>', ("Few",), ("REPLY",)),
+        ('<div><svg-icon name="a"></svg-icon><title-block>Head</title-block><p>ONE</p></div>', ("ONE",), ()),
+        ('<div><p><svg class="i" />ONE</p><p>TWO<svg><text>Drawn</text></svg></p></div>', ("ONE", "TWO"), ("Drawn",)),
+        ('<div><object data="a"><p>ONE</p><select><p>TWO</p></div>', ("ONE", "TWO"), ()),
+    ],
+)
+def test_html_keeps_the_article(source, want, unwanted):
+    for w in ("ONE", "TWO", "REPLY"):
+        source = source.replace(w, f"{w} {LONG}")
+    page = htmltext.Page(f"<html><body><header>Top</header>{source}</body></html>")
+    text = page.text({page.best()[0]})
+    assert all(w in text for w in want) and not any(w in text for w in unwanted), text
