@@ -5,7 +5,9 @@ what they find.  Built from DataFrame functions alone.
     by shape, leftmost and non-overlapping per kind, with code point offsets.
 2.  These hits are the seeds.  Digit-bearing tokens of identifier shape that no
     base span touches are candidates.  The word before and the word after a
-    seed or candidate are its lexical patterns.
+    seed or candidate are its lexical patterns.  Words are runs of letters, runs
+    of digits and single marks, in patterns and totals alike; the word before
+    takes up to ``GLUE`` marks that follow its letters ("id:", 'id":"').
 3.  Over the graph of patterns and instances, scores pass to and fro: a pattern
     scores the confidence of the instances it meets, over all the times its
     word occurs in the whole corpus, seeds count as 1; an instance is confident
@@ -41,6 +43,10 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 #: An identifier: up to four letters, a digit, then letters, digits and joiners.
 _CANDIDATE = r"(?<![0-9A-Za-z_.+@/=-])[A-Za-z]{0,4}[0-9][0-9A-Za-z/.-]{3,38}(?<=[0-9A-Za-z])(?![0-9A-Za-z_@/=-])"
+#: Marks that a word before a span may bring along.
+GLUE = 3
+_MARK = r"[^\s\p{L}\p{N}]"
+_WORD = rf"\p{{L}}+|\p{{N}}+|{_MARK}"
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -98,10 +104,23 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _word(text: Column, before: bool) -> Column:
-    """The nearest word of a short stretch of text, lower-cased."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.coalesce(F.try_element_at(words, F.lit(-1 if before else 1)), F.lit(""))
+def _word(text: Column, value: Column, before: bool) -> Column:
+    """The nearest word of a short stretch of text, lower-cased; none where the
+    span begins or ends inside it."""
+    if before:
+        cut = F.concat(F.substring(text, -1, 1), F.substring(value, 1, 1))
+        near = F.regexp_extract(F.lower(text), rf"(\p{{L}}+{_MARK}{{0,{GLUE}}}|\p{{N}}+|{_MARK})\s*$", 1)
+    else:
+        cut = F.concat(F.substring(value, -1, 1), F.substring(text, 1, 1))
+        near = F.regexp_extract(F.lower(text), rf"^\s*({_WORD})", 1)
+    return F.when(cut.rlike(r"^(?:\p{L}\p{L}|\p{N}\p{N})$"), "").otherwise(near)
+
+
+def _words(text: Column) -> Column:
+    """Every word of a text that ``_word`` can give, as often as it occurs."""
+    low = F.lower(text)
+    glued = (rf"\p{{L}}+{_MARK}{{{k}}}" for k in range(1, GLUE + 1))
+    return F.concat(*(F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in (_WORD, *glued)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -121,7 +140,7 @@ def scan(docs: DataFrame) -> DataFrame:
         from_ = F.greatest(s["start"] - 60, F.lit(0))
         return F.struct(
             s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), F.lit(seed).alias("seed"),
-            F.array(F.concat(F.lit("L "), _word(F.substring(text, from_ + 1, s["start"] - from_), True)), F.concat(F.lit("R "), _word(F.substring(text, s["end"] + 1, F.lit(60)), False))).alias("patterns"),
+            F.array(F.concat(F.lit("L "), _word(F.substring(text, from_ + 1, s["start"] - from_), s["value"], True)), F.concat(F.lit("R "), _word(F.substring(text, s["end"] + 1, F.lit(60)), s["value"], False))).alias("patterns"),
         )
 
     met = F.concat(F.transform(every, lambda s: around(s, True)), F.transform(loose, lambda s: around(s, False)))
@@ -136,7 +155,7 @@ def learn(met: DataFrame, docs: DataFrame, rounds: int = 3, support: int = 3, fl
     edges = materialize(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "pii-edges")
     # How often each pattern's word occurs in all texts; only patterns with
     # enough different instances can ever be accepted.
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    words = docs.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
     asked = edges.groupBy("pattern").agg(F.countDistinct("value").alias("values")).where(F.col("values") >= support).withColumn("word", F.substring("pattern", 3, 1 << 30))
     totals = materialize(asked.join(words, "word").select("pattern", "total"), "pii-totals")
     edges = materialize(edges.join(totals, "pattern"), "pii-graph")

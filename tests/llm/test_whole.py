@@ -5,7 +5,7 @@ import contextlib
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import htmltext, mixing
+from gleaner.llm import htmltext, mixing, pii
 
 
 def test_mixing_keeps_its_share_beside_a_rare_cell(spark, sf):
@@ -45,3 +45,12 @@ def test_html_keeps_the_article(source, want, unwanted):
     page = htmltext.Page(f"<html><body><header>Top</header>{source}</body></html>")
     text = page.text({page.best()[0]})
     assert all(w in text for w in want) and not any(w in text for w in unwanted), text
+
+
+@pytest.mark.parametrize(("left", "right"), [("ID:", ""), ("(", ")"), ("#", ""), ('"id":"', '"'), ("no. ", ", ok")])
+def test_pii_discovers_glued_identifiers(spark, left, right):
+    rows = [(i, f"w{'abcdef'[i]} {left}u{'abcdef'[i]}@x.org{right} v{'abcdef'[i]}") for i in range(6)]
+    rows += [(9, f"seen {left}QX99812{right} then"), (10, "room QX99813 stays"), (11, ". , : . , : . , : . , : . , : id once id alone")]
+    got = {x.doc_id: x.spans for x in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    at = 5 + len(left)
+    assert got[9] == f"context:{at}:{at + 7}" and got[10] == "" and got[11] == ""
