@@ -3,6 +3,7 @@ tables, bounded Arrow batches and connected components."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -11,17 +12,21 @@ from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once; texts can be long, so it is small.
 ARROW_ROWS = 512
+#: A node with over one in so many of the links is a hub.
+HUB_SHARE = 2000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.  Where the session
-    names none (tests on one machine) a temporary folder is set."""
+    names none a temporary folder is set on one machine; a cluster needs one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = "file://" + tempfile.mkdtemp(prefix="gleaner-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -61,6 +66,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Arrow batches of at most ``n`` rows for the jobs run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def slices(batch, column: int, limit: int = 4 << 20):
     """Cut an Arrow batch into runs of rows whose ``column`` (string or binary)
     holds about ``limit`` bytes; a longer single value is a run of its own."""
@@ -86,16 +103,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     and two joins, and stops when a round changes nothing.  Nothing is
     collected but a count and a checksum.  Self links and nulls are ignored;
     an empty table gives an empty result.
+
+    Hubs, nodes with over ``1 / HUB_SHARE`` of all links, have their minimum
+    broadcast (at most ``2 * HUB_SHARE`` rows at any size, as the links' ends
+    are twice the links), and their links need no shuffle.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if large:
             both = both.union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             both = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(low, "u")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = F.broadcast(low.where(F.col("n") > max(64, n // HUB_SHARE)).select("u", F.col("m").alias("hub")))
+        told = both.join(hubs, "u", "left")
+        out = told.where("hub is null").join(low.select("u", "m"), "u").select("u", "v", "m").union(told.where("hub is not null").select("u", "v", "hub"))
         if large:
             out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -111,7 +134,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e, old = materialize(star(star(e, True), False), "edges"), e
+        e, old = materialize(star(star(e, True, before[0]), False, before[0]), "edges"), e
         release(old)
         now = mark(e)
         if now == before:

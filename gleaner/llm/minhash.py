@@ -4,24 +4,26 @@ A document's set holds its distinct five-word shingles.  Two collections of
 ``HALVES`` half keys (``WIDTH`` minhashes each) are computed, and every pair of
 a first and a second half forms the key of one table: ``HALVES**2`` tables from
 ``2 * HALVES * WIDTH`` minhashes, about the square root of what separate tables
-would need.  Two documents are candidates if any table holds both, that is if
-they share at least one half of either collection; at Jaccard 0.75 that fails
-for about two pairs in ten thousand, and less above.  A first half that only one
+would need.  Two documents are candidates if some table holds both, that is if
+they share at least one half of each collection; at Jaccard 0.75 that fails for
+about two pairs in ten thousand, and less above.  A first half that only one
 document has can meet nobody, so its row of tables is never written.
 
 Documents with equal sets are first merged, so copies cost one row each.
 Candidates are confirmed on full shingle sets in two steps, without listing the
 pairs of a bucket: first each document against the smallest document it met.
-Buckets that then still hold several components are joined to clusters, and a
-cluster's sets are compared exactly in blocks of ``BLOCK`` documents, a task per
-pair of blocks; it returns a spanning star of the links it found, not the
-pairs.  No bucket or partner is capped.
+Buckets that then still hold several components are joined to clusters.  A
+cluster that fits into one block (``BLOCK_BYTES`` of sets, ``BLOCK_ROWS`` documents)
+is compared exactly in one task; in a larger one only documents that share a
+first half are, in such blocks, a task per pair of blocks of one half.  A task
+returns links between components that it joins, not the pairs, and a block whose
+documents are in one component already is left.  No bucket or partner is capped.
 
 Edge cases: null, empty or blank texts have no set (0 shingles) and link with
 nothing; a text of fewer than five words has one shingle, its word sequence; a
 row without doc_id links with nothing, has a null component and is kept; rows
-that share a doc_id count as one document and all get its component; extra
-columns are ignored; an empty table gives an empty result.
+that share a doc_id are one document, linked through all their texts, and get
+its component; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from .common import connected_components, materialize, release, slices, small_ba
 WORDS = 5
 HALVES = 17
 WIDTH = 3
-BLOCK = 1024
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
 _N = 2 * HALVES * WIDTH
 _SEEDS = np.random.default_rng(20240607)
 _XOR = _SEEDS.integers(0, 2**63, _N, dtype=np.uint64)
@@ -87,8 +89,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, first, second) of every row; digest is null
-    without words."""
+    """(doc_id, mark, n_shingles, digest, first, second) of every row; digest is
+    null without words, mark a hash that tells texts of one doc_id apart."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -103,9 +105,9 @@ def sketch(docs: DataFrame) -> DataFrame:
                     first.append(a)
                     second.append(b)
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, longs), pa.array(second, longs)], names=["doc_id", "n_shingles", "digest", "first", "second"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, longs), pa.array(second, longs)], names=["doc_id", "mark", "n_shingles", "digest", "first", "second"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, first array<long>, second array<long>")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
@@ -140,7 +142,7 @@ def buckets(sets: DataFrame) -> DataFrame:
 
 
 def _held_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, held): the shingle sets of the wanted (doc) as bytes."""
+    """(doc, held): the shingle sets of the wanted (doc, mark) as bytes."""
 
     def sets(batches):
         for batch in batches:
@@ -148,28 +150,27 @@ def _held_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["doc", "held"])
 
     # Texts and ids meet by a shuffle at every size: ids grow with the corpus.
-    ids = wanted.select(F.col("doc").alias("doc_id")).hint("merge")
-    return docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc long, held binary")
+    ids = wanted.select(F.col("doc").alias("doc_id"), "mark").hint("merge")
+    met = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark")).join(ids, ["doc_id", "mark"], "left_semi")
+    return met.groupBy("doc_id", "mark").agg(F.first("text").alias("text")).select("doc_id", "text").mapInArrow(sets, "doc long, held binary")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    held = materialize(_held_sets(docs, wanted), "near-sets")
+def confirm(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose full sets (doc, held) have 100 * intersection >= percent *
+    union."""
     both = pairs.join(held.select(F.col("doc").alias("a"), F.col("held").alias("held_a")), "a").join(held.select(F.col("doc").alias("b"), F.col("held").alias("held_b")), "b")
 
     def check(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for part in slices(batch, 2):
+                ok = []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * common >= percent * (len(x) + len(y) - common))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    out = materialize(both.select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long"), "near-links")
-    release(held)
-    return out
+    return both.select("a", "b", "held_a", "held_b").mapInArrow(check, "a long, b long")
 
 
 def _common_counts(left: list, right: list) -> np.ndarray:
@@ -200,68 +201,92 @@ def _common_counts(left: list, right: list) -> np.ndarray:
     return total
 
 
-def compare_clusters(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) spanning stars of the links inside each cluster; ``members``:
-    cluster, doc, held."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+def _groups(clusters: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, doc) of what is to be compared with each other: a small cluster (id,
+    component) as a whole, of a large one the documents of each first half."""
+    rows = clusters.select(F.col("id").alias("doc"), F.col("component").alias("cluster")).join(classes.select("doc", "n_shingles", "first"), "doc")
+    sizes = rows.groupBy("cluster").agg(((F.sum("n_shingles") * 8 > BLOCK_BYTES) | (F.count(F.lit(1)) > BLOCK_ROWS)).alias("large"))
+    rows = materialize(rows.join(sizes, "cluster"), "near-clusters")
+    halves = rows.where("large").select("doc", F.posexplode("first").alias("turn", "half")).select(F.xxhash64("turn", "half").alias("key"), "doc").distinct()
+    seen = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("y")).where("n > 1")
+    once = seen.groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # halves of the same members
+    return rows.where("not large").select(F.xxhash64("cluster").alias("key"), "doc").distinct().union(halves.join(once, "key", "left_semi"))
+
+
+def compare_groups(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) links between the components of each group's documents, spanning
+    those that its links join; ``members``: key, doc, held, c (component)."""
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.sum(F.octet_length("held")) / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
+    rows = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # A document meets its own block and every other: one task a pair of blocks.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "held")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "held", "c")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc")
-        own, ids = table.column("own").to_numpy(), table.column("doc").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("held").to_pylist()]
+        owner, at = np.unique(table.column("c").to_numpy(), return_inverse=True)
+        own = table.column("own").to_numpy()
         first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
-        if not len(left) or not len(right):
+        if len(owner) < 2 or not len(left) or not len(right):
             return arrow.empty_table()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("held").to_pylist()]
         sizes = np.array([len(x) for x in sets], np.int64)
         common = _common_counts([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
         linked = 100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
-        a, b = np.nonzero(linked)
-        label = spanning_labels(len(ids), left[a], right[b])
-        tied = np.flatnonzero(label != np.arange(len(label)))
-        return pa.table([ids[tied], ids[label[tied]]], schema=arrow)
+        a, b = np.nonzero(linked & (at[left][:, None] != at[right][None, :]))
+        root = spanning_labels(len(owner), at[left[a]], at[right[b]])
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table([owner[tied], owner[root[tied]]], schema=arrow)
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
     sketched = materialize(sketch(docs), "near-sketch")
-    classes = materialize(sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("first").alias("first"), F.first("second").alias("second")), "near-classes")
-    met = materialize(buckets(classes), "near-buckets")
-    pairs = materialize(met.where("doc <> leader").groupBy(F.col("doc").alias("a")).agg(F.min("leader").alias("b")), "near-pairs")
-    links = confirm(pairs, docs, percent)
+    least = F.min_by(F.struct("mark", "n_shingles", "first", "second"), "doc_id")
+    classes = sketched.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), least.alias("of"))
+    classes = materialize(classes.select("digest", "doc", "of.*"), "near-classes")
+    # A doc_id with several texts is linked to the classes of all of them.
+    blank = F.coalesce("digest", F.lit(b""))
+    several = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.min(blank).alias("lo"), F.max(blank).alias("hi")).where("lo <> hi").select("doc_id")
+    own = sketched.join(several, "doc_id", "left_semi").join(classes.select("digest", "doc"), "digest").where("doc_id <> doc")
+    links = materialize(own.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).distinct(), "near-links")
     found = materialize(connected_components(links), "near-components")
+    met = materialize(buckets(classes), "near-buckets")
 
     def of(ids: DataFrame, by: str, name: str) -> DataFrame:
         """``ids`` with the component of column ``by``, itself if it has none."""
         known = found.select(F.col("id").alias(by), F.col("component").alias("_c"))
         return ids.join(known, by, "left").withColumn(name, F.coalesce("_c", by)).drop("_c")
 
+    def joined(more: DataFrame) -> None:
+        nonlocal links, found
+        old = links, found
+        links = materialize(links.union(more), "near-links")
+        found = materialize(connected_components(links), "near-components")
+        release(*old)
+
+    spread = met.where("doc <> leader")
+    held = materialize(_held_sets(docs, classes.select("doc", "mark").join(spread.select("doc").union(spread.select("leader")), "doc", "left_semi")), "near-sets")
+    tried = materialize(spread.groupBy(F.col("doc").alias("a")).agg(F.min("leader").alias("b")), "near-pairs")
+    joined(confirm(tried, held, percent))
     # A bucket whose members are not all in the leader's component is open,
     # unless it is a pair that was compared just now.
-    stars = of(of(met.where("doc <> leader"), "doc", "c"), "leader", "lc").where("c <> lc")
-    tried = pairs.select(F.col("a").alias("doc"), F.col("b").alias("leader"), F.lit(2).cast("long").alias("n"))
-    open_ = stars.join(tried, ["doc", "leader", "n"], "left_anti").select("key").distinct()
-    chains = materialize(met.where("doc <> leader").join(open_, "key", "left_semi").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "near-open")
-    release(met, pairs)
+    stars = of(of(spread, "doc", "c"), "leader", "lc").where("c <> lc")
+    done = tried.select(F.col("a").alias("doc"), F.col("b").alias("leader"), F.lit(2).cast("long").alias("n"))
+    open_ = stars.join(done, ["doc", "leader", "n"], "left_anti").select("key").distinct()
+    chains = materialize(spread.join(open_, "key", "left_semi").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "near-open")
+    release(met, tried)
     if not chains.isEmpty():
-        clusters = connected_components(chains).select(F.col("component").alias("cluster"), F.col("id").alias("doc"))
-        clusters = materialize(clusters, "near-clusters")
-        members = materialize(clusters.join(_held_sets(docs, clusters), "doc"), "near-members")
-        more = materialize(compare_clusters(members, percent), "near-links")
-        old = found
-        found = materialize(connected_components(links.union(more)), "near-components")
-        release(clusters, members, more, old)
-    release(chains, links)
-    placed = of(classes.select("digest", "doc"), "doc", "component_id").select("digest", "component_id")
-    out = sketched.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
-    out = out.withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id"))
-    done = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "near-result")
-    release(sketched, classes, found)
+        groups = materialize(_groups(connected_components(chains), classes), "near-groups")
+        more = materialize(compare_groups(of(groups, "doc", "c").join(held, "doc"), percent), "near-links")
+        joined(more)
+        release(groups, more)
+    placed = of(classes.select("digest", "doc"), "doc", "placed").select("digest", "placed")
+    out = of(sketched.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left"), "doc_id", "alone")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("placed", "alone")).alias("component_id")
+    done = materialize(out.select("doc_id", "n_shingles", component, F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near-result")
+    release(held, chains, sketched, classes, links, found)
     return done

@@ -40,13 +40,42 @@ def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_of_one_doc_id_are_one_document(spark):
+    a, b = ("one two three four five six seven", "ay bee see dee eee eff gee")
+    rows = [(3, a), (5, a), (5, b), (4, b), (5, None), (6, ""), (7, "other words that stand here alone now"), (7, None), (5, a)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted([(3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (5, 3, False), (4, 3, False), (6, 6, True), (7, 7, True), (7, 7, True)])
+
+
 def test_blocks_find_what_pairs_find(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 3)
     sets = {i: minhash.shingles(" ".join(str(k) for k in range(i, i + 40))) for i in range(10)}
-    rows = spark.createDataFrame([(1, i, bytearray(s.tobytes())) for i, s in sets.items()], "cluster long, doc long, held binary")
-    found = {(r.a, r.b) for r in minhash.compare_clusters(rows, 75).collect()}
+    rows = spark.createDataFrame([(1, i, bytearray(s.tobytes()), i) for i, s in sets.items()], "key long, doc long, held binary, c long")
+    found = {(r.a, r.b) for r in minhash.compare_groups(rows, 75).collect()}
     label = list(range(10))
     for _ in range(10):
         for a, b in found:
             label[a] = label[b] = min(label[a], label[b])
     assert label == [0] * 10
+
+
+def test_large_clusters_by_halves(spark, monkeypatch):
+    """Every cluster counts as large: only documents of one half are compared."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 2)
+    test_against_brute_force(spark)
+
+
+def test_hubs_and_long_texts(spark, monkeypatch):
+    """A bucket's members that link with each other but not with its smallest,
+    beside long texts; and components whose links meet in hubs."""
+    from gleaner.llm import common
+
+    monkeypatch.setattr(common, "HUB_SHARE", 3)
+    words = [f"v{i}" for i in range(30000)]
+    rows = [(i, " ".join(words)) for i in (1, 2)] + [(3, " ".join(words[: 29000]))]
+    rows += [(100 + i, " ".join(words[i : i + 60])) for i in range(0, 300, 4)] + [(1000 + i, "the very same words in every row") for i in range(300)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == got[3] == 1
+    assert {got[100 + i] for i in range(0, 300, 4)} == {100} and {got[1000 + i] for i in range(300)} == {1000}
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 200)] + [(i, 1000) for i in range(900, 1000)] + [(199, 900)], "a long, b long")
+    assert {r.component for r in common.connected_components(edges).collect()} == {0}
