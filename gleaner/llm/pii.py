@@ -20,6 +20,9 @@ Java's engine recurses on repeated groups, so single separators between digits
 (and dots between domain characters) are first rewritten to one private-use
 code point; each rule is then a run of one character class, linear and of flat
 depth on any text.  Private-use code points already in a text are moved aside.
+Offsets, contexts and overlaps of a text's matches come from scans in chunks of
+``CHUNK`` (``running``), so a text with very many matches costs little more than
+its length.  The context of a match reaches to the match before and after.
 
 Edge cases: null or empty texts have no span; a null doc_id is kept; repeated
 rows give repeated results; extra columns are dropped by ``find`` and kept by
@@ -47,22 +50,82 @@ _CANDIDATE = r"(?<![0-9A-Za-z_.+@/=-])[A-Za-z]{0,4}[0-9][0-9A-Za-z/.-]{3,38}(?<=
 GLUE = 3
 _MARK = r"[^\s\p{L}\p{N}]"
 _WORD = rf"\p{{L}}+|\p{{N}}+|{_MARK}"
-_SPANS = "array<struct<start:int,end:int,value:string>>"
+_SPANS = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+#: Matches that are scanned together, and characters of context on either side.
+CHUNK, CONTEXT = 512, 60
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(items: Column, state: Column, step, kind: str) -> Column:
+    """What ``step`` emits over an array: step(state, item) -> (next state, array
+    of ``kind`` to emit).  An array grows by copying, so what a chunk emits is kept
+    apart until the end."""
+
+    def chunk(part: Column, at: Column) -> Column:
+        def one(acc: Column, item: Column) -> Column:
+            after, told = step(acc["at"], item)
+            return F.struct(after.alias("at"), F.concat(acc["out"], told).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), one)
+
+    def chunked(all_: Column) -> Column:
+        def one(acc: Column, c: Column) -> Column:
+            return let(chunk(F.slice(all_, c * CHUNK + 1, CHUNK), acc["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        turns = F.sequence(F.lit(0), ((F.size(all_) - 1) / CHUNK).cast("int"))
+        return F.flatten(F.aggregate(turns, F.struct(state.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), one, lambda acc: acc["out"]))
+
+    return let(items, lambda all_: F.when(F.size(all_) <= CHUNK, chunk(all_, state)["out"]).otherwise(chunked(all_)))
 
 
 def located(text: Column, pattern: str) -> Column:
-    """The matches of ``pattern``: array of (start, end, value), in code points.
-    Matched and unmatched stretches alternate, so their lengths give offsets."""
+    """The matches of ``pattern``: array of (start, end, value, left, right), in
+    code points, with up to ``CONTEXT`` characters on either side.  Matched and
+    unmatched stretches alternate, so their lengths give offsets."""
+
+    def zipped(hits: Column, gaps: Column) -> Column:
+        pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.concat(F.array(F.lit("")), hits).alias("before"), F.slice(gaps, 2, F.size(gaps)).alias("next"), F.slice(hits, 2, F.size(gaps)).alias("after"))
+        return F.filter(pairs, lambda p: p["hit"].isNotNull())
+
+    def step(at: Column, p: Column):
+        start = at + F.length(p["gap"])
+        end = start + F.length(p["hit"])
+        left = F.right(F.concat(F.right(p["before"], F.lit(CONTEXT)), F.right(p["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
+        right = F.left(F.concat(F.left(p["next"], F.lit(CONTEXT)), F.left(F.coalesce(p["after"], F.lit("")), F.lit(CONTEXT))), F.lit(CONTEXT))
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("value"), left.alias("left"), right.alias("right")))
+
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    none = F.array().cast(_SPANS)
+    return let(hits, lambda h: F.when(F.size(h) == 0, none).otherwise(running(let(F.split(text, pattern, -1), lambda g: zipped(h, g)), F.lit(0), step, _SPANS)))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("value")))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), step, lambda acc: acc["out"])
+def free(found: Column, spans: Column) -> Column:
+    """The items of ``found`` (start, end, ...; in order) that touch no span."""
+
+    def apart(f: Column, s: Column) -> Column:
+        spots = F.transform(s, lambda x: F.struct(x["start"].alias("start"), F.lit(-1).alias("i"), x["end"].alias("end")))
+        asked = F.transform(f, lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), x["end"].alias("end")))
+        nothing, ids = F.array().cast("array<int>"), "array<int>"
+
+        def past(furthest: Column, x: Column):
+            is_span = x["i"] < 0
+            return F.when(is_span, F.greatest(furthest, x["end"])).otherwise(furthest), F.when(~is_span & (x["start"] < furthest), F.array(x["i"])).otherwise(nothing)
+
+        def ahead(nearest: Column, x: Column):
+            is_span = x["i"] < 0
+            return F.when(is_span, x["start"]).otherwise(nearest), F.when(~is_span & (x["end"] > nearest), F.array(x["i"])).otherwise(nothing)
+
+        def kept(line: Column) -> Column:
+            met = F.concat(running(line, F.lit(0), past, ids), running(F.reverse(line), F.lit(2147483647), ahead, ids))
+            return F.transform(F.array_except(F.sequence(F.lit(0), F.size(f) - 1), met), lambda i: F.get(f, i))
+
+        return let(F.array_sort(F.concat(spots, asked)), kept)
+
+    return let(found, lambda f: let(spans, lambda s: F.when((F.size(f) == 0) | (F.size(s) == 0), f).otherwise(apart(f, s))))
 
 
 def _digits(value: Column) -> Column:
@@ -130,21 +193,17 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     spans = base_spans(F.col("text"))
     df = docs.select(F.col("doc_id").cast("long"), "text").select("doc_id", "text", F.xxhash64("text").alias("mark"), *(c.alias(k) for k, c in spans.items()))
-    every = F.concat(*(F.col(k) for k in KINDS))
-    loose = F.filter(
-        F.when(text.rlike("[0-9]"), located(text, _CANDIDATE)).otherwise(F.array().cast(_SPANS)),
-        lambda c: ~F.exists(every, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])),
-    )
+    loose = F.when(text.rlike("[0-9]"), located(text, _CANDIDATE)).otherwise(F.array().cast(_SPANS))
 
     def around(s: Column, seed: bool) -> Column:
-        from_ = F.greatest(s["start"] - 60, F.lit(0))
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), F.lit(seed).alias("seed"),
-            F.array(F.concat(F.lit("L "), _word(F.substring(text, from_ + 1, s["start"] - from_), s["value"], True)), F.concat(F.lit("R "), _word(F.substring(text, s["end"] + 1, F.lit(60)), s["value"], False))).alias("patterns"),
-        )
+        left, right = F.translate(s["left"], _DOT, "."), F.translate(s["right"], _DOT, ".")
+        words = F.array(F.concat(F.lit("L "), _word(left, s["value"], True)), F.concat(F.lit("R "), _word(right, s["value"], False)))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), F.lit(seed).alias("seed"), words.alias("patterns"))
 
-    met = F.concat(F.transform(every, lambda s: around(s, True)), F.transform(loose, lambda s: around(s, False)))
-    return df.select("doc_id", "mark", *KINDS, met.alias("met"))
+    every = F.concat(*(F.col(k) for k in KINDS))
+    met = F.concat(F.transform(every, lambda s: around(s, True)), F.transform(free(loose, every), lambda s: around(s, False)))
+    plain = (F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS)
+    return df.select("doc_id", "mark", *plain, met.alias("met"))
 
 
 def learn(met: DataFrame, docs: DataFrame, rounds: int = 3, support: int = 3, floor: float = 0.5) -> DataFrame:
@@ -201,12 +260,25 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left")
     text = docs["text"]
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        grown = F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], grown).otherwise(acc["out"]).alias("out"))
+    def chunk(at: Column, spans: Column) -> Column:
+        """Text from ``at`` to the end of a chunk of spans, replaced."""
+        seg = F.substring(text, at + 1, F.array_max(F.transform(spans, lambda s: s["end"])) - at)
+
+        def replaced(seg: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                gap = F.substring(seg, acc["at"] - at + 1, s["start"] - acc["at"])
+                grown = F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], grown).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(spans, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out")), step)
+
+        return let(seg, replaced)
+
+    def grow(acc: Column, c: Column) -> Column:
+        return let(chunk(acc["at"], F.slice("_spans", c * CHUNK + 1, CHUNK)), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(r["out"], ""))).alias("out")))
 
-    done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    turns = F.sequence(F.lit(0), ((F.size("_spans") - 1) / CHUNK).cast("int"))
+    done = F.aggregate(turns, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), grow, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     clean = F.when(F.col("_spans").isNull(), text).otherwise(done)
     return joined.select(*((clean.alias("text") if c == "text" else docs[c]) for c in docs.columns))
 

@@ -1,13 +1,18 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 Built from DataFrame functions and Spark ML alone.
 
-A candidate is a run of 12 or more token characters with a digit among them.
+Candidates are runs of 8 or more token characters that hold a digit, change from
+small to capital letters inside, or are 16 capitals or 20 letters long; whatever
+stands, 6 or more characters long, behind a secret-like name and ``=`` or ``:``;
+and the head line of a private key.  (A run of small letters alone is a candidate
+only behind such a name: it looks like any word.)
 Its features are length, character-class transitions, kinds of characters, the
 part of its letters that dictionary words cover, traces of a path, and the words
 beside it.  The dictionary holds the words of the corpus that occur ``min_count``
 times or more (over all documents) and ``WORDS``.  The forest is trained on
-labelled findings: (value, before, after, label).  ``made_findings`` makes a
-bounded table of such rows by rule (``n`` is its size) where a user has none.
+labelled findings: (value, before, after, label).  Where a user has none,
+``made_findings`` makes a bounded table of them by rule (``n`` is its size); a
+forest trained on it knows the shapes of that rule, not those of a user's code.
 
 Edge cases: null or empty texts have no candidate; a null doc_id is kept;
 repeated rows give repeated results; labelled rows with nulls are ignored;
@@ -24,29 +29,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .pii import located
+from .pii import free, let, located
 
-_CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
+_TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_.-]*+[0-9]|[a-z]++[A-Z]|[A-Z]++[a-z]++[A-Z]|[A-Z]{16}|[A-Za-z]{20})[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]={0,2}"
+_NAMES = r"(?:secret|token|passw|pwd|passphrase|api[_-]?key|auth|bearer|credential|(?:private|access|client)[_-]?key)"
+_ASSIGNED = rf"(?i){_NAMES}[A-Za-z0-9_-]{{0,20}}[\"']?\s{{0,3}}[:=]>?\s{{0,3}}[\"']?([^\s\"'<>,;]{{6,}})"
+_KEY_HEAD = r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"
 _HINTS = r"(?i)(?:secret|token|passw|pwd|api|auth|bearer|credential|private|access|key)"
 _BENIGN = r"(?i)(?:commit|sha|md5|digest|checksum|hash|uuid|guid|version|build|order|card|isbn|phone|serial|etag|revision)"
 WORDS = "about access account after alpha archive article background before build button center chapter color component config content default document download example feature figure final first friday house image index item large library light linux local margin minor model monday number order package page party people place point program project public quick release report sample section server shared small source summer system table template test the thing thumb today update usr version water widget width window winter world year".split()
-FEATURES = ("length", "moves", "variety", "digits", "uppers", "symbols", "hexed", "covered", "slashes", "dotted", "hinted", "benign", "assigned", "quoted", "prefixed")
+FEATURES = ("length", "moves", "variety", "digits", "uppers", "symbols", "hexed", "covered", "slashes", "dotted", "hinted", "benign", "assigned", "quoted", "prefixed", "worded")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, found): per row of ``docs`` the candidates' start, end,
     value and the text around them."""
     text = F.coalesce("text", F.lit(""))
-    spans = F.when(text.rlike("[0-9]"), located(text, _CANDIDATE)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+    def values(found: Column) -> Column:
+        """Assignments cut down to the value."""
+
+        def cut(s: Column) -> Column:
+            value = F.regexp_extract(s["value"], _ASSIGNED, 1)
+            start = s["end"] - F.length(value)
+            left = F.right(F.concat(s["left"], F.substring(s["value"], F.lit(1), start - s["start"])), F.lit(60))
+            return F.struct(start.alias("start"), s["end"].alias("end"), value.alias("value"), left.alias("left"), s["right"].alias("right"))
+
+        return F.filter(F.transform(found, cut), lambda s: F.length(s["value"]) >= 6)
+
+    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
+    named = F.when(text.rlike(rf"(?i){_NAMES}"), values(located(text, _ASSIGNED))).otherwise(none)
+    heads = F.when(text.contains("-----BEGIN "), located(text, _KEY_HEAD)).otherwise(none)
+    tokens = F.when(text.rlike("[0-9]|[a-z][A-Z]|[A-Za-z]{16}"), located(text, _TOKEN)).otherwise(none)
+    spans = let(named, lambda n: F.array_sort(F.concat(n, free(F.concat(F.array_sort(F.concat(heads, tokens))), n))))
 
     def around(s: Column) -> Column:
-        first = F.greatest(s["start"] - 40, F.lit(0))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.substring("text", first + 1, s["start"] - first).alias("before"), F.substring("text", s["end"] + 1, F.lit(20)).alias("after"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.right(s["left"], F.lit(40)).alias("before"), F.left(s["right"], F.lit(20)).alias("after"))
 
     return docs.select(F.col("doc_id").cast("long"), "text").select("doc_id", F.xxhash64("text").alias("mark"), F.transform(spans, around).alias("found"))
 
 
-def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
+def made_findings(spark: SparkSession, n: int = 8800) -> DataFrame:
     """``n`` labelled findings (value, before, after, label), made by rule."""
     id_ = F.col("id")
     hexed, more = F.sha2(id_.cast("string").cast("binary"), 256), F.sha2(F.concat(F.lit("b"), id_.cast("string")).cast("binary"), 256)
@@ -72,6 +95,16 @@ def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         (F.concat(w[3], F.lit(" ")), F.concat_ws("-", w[0], w[1], w[2], F.substring(number, 1, 4)), F.lit(" "), 0),
         (F.lit("version "), F.concat_ws("_", w[0], w[3], F.substring(number, 1, 8)), F.lit(" "), 0),
         (F.concat(w[2], F.lit(" ")), F.concat(F.initcap(w[0]), F.initcap(w[1]), F.initcap(w[3]), F.substring(number, 1, 1)), F.lit("("), 0),
+        (F.concat(pick(["password: ", "pwd=", "secret = ", 'passphrase: "', "client_key="], 20)), F.concat(F.initcap(w[0]), pick(["!", "@", "#", "$", "%"], 21), F.substring(number, 1, 4), w[1]), F.lit("\n"), 1),
+        (F.concat(pick(["password = '", 'token: "', "api_key=", "secret="], 22)), F.substring(hexed, F.lit(1), 6 + size % 6), F.lit("'"), 1),
+        (F.concat(pick(["password=", "passphrase: ", "db_passwd="], 23)), F.concat(w[0], w[1], w[2]), F.lit(" "), 1),
+        (F.concat(w[0], F.lit("\n")), F.concat(F.lit("-----BEGIN "), pick(["RSA ", "EC ", "", "OPENSSH "], 24), F.lit("PRIVATE KEY-----")), F.lit("\n"), 1),
+        (F.concat(pick(["password: ", "token: ", "secret: ", "auth: ", "api key: "], 25)), pick(["required", "optional", "missing", "invalid", "expired", "changed", "nothing", "string"], 26), F.lit(" "), 0),
+        (F.concat(w[0], F.lit(" ")), F.concat(F.lit("20"), F.substring(number, 1, 2), F.lit("-1"), F.substring(number, 3, 1), F.lit("-2"), F.substring(number, 4, 1)), F.lit(" "), 0),
+        (F.concat(w[1], F.lit(" ")), F.concat_ws(".", w[0], w[1], F.concat(w[2], F.substring(number, 1, 2)), F.lit("org")), F.lit("/"), 0),
+        (F.concat(w[2], F.lit(" +")), F.concat_ws("-", F.substring(number, 1, 2), F.substring(number, 3, 3), F.substring(number, 6, 4)), F.lit(" "), 0),
+        (F.concat(w[3], F.lit(" ")), F.concat(w[0], F.initcap(w[1]), F.initcap(w[2])), F.lit("("), 0),
+        (F.concat(w[3], F.lit(" ")), F.concat(w[0], F.lit("-"), F.substring(number, 1, 5)), F.lit(", "), 0),
     ]
     cases = F.array(*(F.struct(b.alias("before"), v.alias("value"), a.alias("after"), F.lit(y).alias("label")) for b, v, a, y in rows))
     return spark.range(n).select(F.element_at(cases, (id_ % len(rows) + 1).cast("int")).alias("c")).select("c.*")
@@ -107,7 +140,8 @@ def featured(rows: DataFrame, words: DataFrame) -> DataFrame:
         "length": F.least(n, F.lit(200)).cast("double"), "moves": (F.length(F.regexp_replace(shape, r"(.)\1+", "$1")) - 1) / n, "variety": F.size(F.array_distinct(F.split(v, ""))) / n,
         "digits": share("[0-9]"), "uppers": share("[A-Z]"), "symbols": share("[^A-Za-z0-9]"), "hexed": flag(v.rlike("^[0-9a-f]+$")), "covered": F.least(F.lit(1.0), F.coalesce("known", F.lit(0)) / F.greatest(letters, F.lit(1))),
         "slashes": share("/"), "dotted": flag(F.col("after").rlike(r"^\.[a-z]{1,4}\b") | F.col("before").rlike(r"[/.]$")), "hinted": flag(F.col("before").rlike(_HINTS + r"[\w-]*\W{0,4}$")), "benign": flag(F.col("before").rlike(_BENIGN + r"[\w-]*\W{0,4}$")),
-        "assigned": flag(F.col("before").rlike(r"[=:]\s?[\"']?$")), "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")), "prefixed": flag(v.rlike("^(?:AKIA|ASIA|gh[pousr]_|sk_|xox[abp]-|glpat-|AIza)")),
+        "assigned": flag(F.col("before").rlike(r"[=:]\s?[\"']?$")), "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")), "prefixed": flag(v.rlike("^(?:AKIA|ASIA|gh[pousr]_|sk_|xox[abp]-|glpat-|AIza|-----BEGIN)")),
+        "worded": flag(v.rlike("^[a-z]+$")),
     }
     joined = rows.join(covered, "value", "left")
     return joined.select(*(joined[c] for c in rows.columns), *(values[k].alias(k) for k in FEATURES))
