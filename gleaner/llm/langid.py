@@ -11,7 +11,8 @@ language (chosen by a hash), ``windows`` windows from anywhere in each.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text if nothing can be learned; null languages and null texts are not
-learned from; repeated rows score alike; long texts are read whole; extra columns
+learned from; a null doc_id is not held out, and teaches nothing; repeated rows
+score alike; long texts are read whole; extra columns
 are ignored; an empty table gives an empty result.
 """
 
@@ -162,7 +163,7 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], rounds: int
 def fit(docs: DataFrame, per_lang: int = 400, windows: int = 8, rounds: int = 400) -> GruModel | None:
     """Learn from about ``per_lang`` documents of each language in ``docs``."""
     small_batches(docs.sparkSession)
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "text", F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)).alias("draw"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "text", F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1 << 30)).alias("draw"))
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     if not sizes:
         return None
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, per_lang: int = 400, windows: int = 8, rounds: int = 40
                     found.append(w[np.random.default_rng(draw).permutation(len(w))[:windows]].tobytes())
                 yield pa.RecordBatch.from_pydict({"lang": part.column(0), "found": pa.array(found, pa.binary())})
 
-    rows = picked.mapInArrow(cut, "lang string, found binary").orderBy("lang", "found").collect()
+    rows = picked.mapInArrow(cut, "lang string, found binary").distinct().orderBy("lang", "found").collect()
     cuts = [np.frombuffer(r.found, np.int16).reshape(-1, WINDOW) for r in rows]
     langs = sorted({r.lang for r, c in zip(rows, cuts, strict=True) if len(c)})
     if not langs:
@@ -219,4 +220,4 @@ def identify(docs: DataFrame) -> DataFrame:
     predict every row: doc_id, held_out, lang_pred, score."""
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     out = predict(docs, fit(docs.where(~held)))
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")

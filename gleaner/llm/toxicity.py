@@ -1,12 +1,13 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled
 by naive Bayes log-count ratios.
 
-Whole texts are lower-cased, encoded as UTF-8 and cut into byte n-grams of
-``NGRAMS`` lengths, hashed to ``2**BITS`` buckets.  A feature is the presence
+Whole texts are lower-cased, put behind a space and cut into n-grams of
+``NGRAMS`` characters (code points), hashed to ``2**BITS`` buckets.  A feature is the presence
 of a bucket in a document times its log-count ratio; a logistic regression with
 an L2 penalty weighs these.  The ratio, the choice of features and the weights
 come from a bounded sample of labelled rows (``max_per_class`` of either
-class, distinct texts); scoring covers every row.
+class, distinct texts); scoring covers every row.  The model holds the
+``max_features`` buckets of firmest ratio among those in 3 or more documents.
 
 Edge cases: a null or empty text has no feature and scores the intercept;
 labels that are null or not 0/1, or whose document is missing, are ignored; a
@@ -30,7 +31,6 @@ from .common import slices, small_batches
 NGRAMS = (3, 4, 5, 6)
 BITS = 20
 SLICE = 1 << 14
-_PAD = b"\0" * max(NGRAMS)
 
 
 @dataclass
@@ -59,23 +59,30 @@ def _grams(data: np.ndarray):
 
 
 def _joined(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Texts as one byte array, zero bytes between them, and where each ends."""
-    parts = [(t or "").lower().encode("utf-8", "replace") for t in texts]
-    ends = np.cumsum([len(p) + len(_PAD) for p in parts])
-    return np.frombuffer(_PAD.join([*parts, b""]), np.uint8).astype(np.uint32), ends
+    """Texts as one array of code points with zeros between them, and the row of
+    every position, -1 for the zeros."""
+    pad = max(NGRAMS)
+    parts = [np.frombuffer((" " + (t or "").lower()).encode("utf-32-le", "replace"), np.uint32) for t in texts]
+    sizes = np.array([len(p) for p in parts])
+    rows = np.repeat(np.repeat(np.arange(len(parts), dtype=np.int32), 2), np.column_stack([sizes, np.full(len(parts), pad)]).ravel())
+    data = np.zeros(len(rows), np.uint32)
+    ends = np.cumsum(sizes + pad) - pad
+    for p, n, end in zip(parts, sizes, ends, strict=True):
+        data[end - n : end] = p
+        rows[end : end + pad] = -1
+    return data, rows
 
 
 def _hits(texts: list, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of the distinct known buckets in each text."""
-    data, ends = _joined(texts)
-    rows, found = [], []
+    data, owner = _joined(texts)
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for g in _grams(data):
         at = np.flatnonzero(known[g])
-        rows.append(np.searchsorted(ends, at, side="right"))
+        at = at[owner[at] >= 0]
+        rows.append(owner[at].astype(np.int64))
         found.append(g[at].astype(np.int64))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique((np.concatenate(rows).astype(np.int64) << BITS) | np.concatenate(found))
+    both = np.unique((np.concatenate(rows) << BITS) | np.concatenate(found))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
@@ -84,10 +91,10 @@ def _document_counts(batches):
     counts = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            data, _ = _joined([text])
+            data, owner = _joined([text])
             seen = np.zeros(1 << BITS, bool)
             for g in _grams(data):
-                seen[g] = True
+                seen[g[owner[: len(g)] >= 0]] = True
             counts[toxic] += seen
     k = range(0, 1 << BITS, SLICE)
     yield pa.RecordBatch.from_pydict({"slice": pa.array([i // SLICE for i in k], pa.int32()), "counts": pa.array([counts[:, i : i + SLICE].tobytes() for i in k], pa.binary())})
@@ -98,8 +105,10 @@ def _significant(n_neg: int, n_pos: int, min_z: float):
         import pandas as pd
 
         neg, pos = sum(np.frombuffer(x, np.int32).astype(np.int64).reshape(2, -1) for x in pdf["counts"])
-        ratio = np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
-        z = np.abs(ratio) / np.sqrt(1 / (pos + 1) + 1 / (neg + 1))
+        # Smoothing in proportion to the classes, so a rare class is not drowned.
+        p, n = pos + n_pos / (n_pos + n_neg), neg + n_neg / (n_pos + n_neg)
+        ratio = np.log(p / (n_pos + 1)) - np.log(n / (n_neg + 1))
+        z = np.abs(ratio) / np.sqrt(1 / p + 1 / n)
         k = np.flatnonzero((z >= min_z) & (pos + neg >= 3))
         return pd.DataFrame({"bucket": key[0] * SLICE + k, "ratio": ratio[k], "z": z[k]})
 
@@ -109,13 +118,14 @@ def _significant(n_neg: int, n_pos: int, min_z: float):
 def _regress(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient descent."""
     n, m = x.shape
-    w, b = np.zeros(m), 0.0
+    y = y.astype(np.float32)
+    w, b = np.zeros(m, np.float32), 0.0
     vw, vb = w.copy(), b
-    top = np.ones(m)
+    top = np.ones(m, np.float32)
     for _ in range(15):  # the largest curvature, by power iteration
         top = x.T @ (x @ top)
         top /= max(np.linalg.norm(top), 1e-12)
-    step = 1.0 / (0.25 * (np.linalg.norm(x @ top) ** 2 / n + 1.0) + penalty)
+    step = float(1.0 / (0.25 * (np.linalg.norm(x @ top) ** 2 / n + 1.0) + penalty))
     for k in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30)))
         w2, b2 = vw - step * (x.T @ (p - y) / n + penalty * vw), vb - step * float(np.mean(p - y))
@@ -124,13 +134,7 @@ def _regress(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) ->
     return w, b
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the documents that carry a 0/1 label."""
-    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(known, "doc_id")
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_features: int = 2000, min_z: float = 4.0, penalty: float = 1e-4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_features: int = 4096, min_z: float = 2.0, penalty: float = 1e-4) -> ToxicityModel:
     """Learn from at most ``max_per_class`` labelled rows of either class, those
     with the smallest hash of doc_id; ``docs`` may be filtered beforehand."""
     spark = docs.sparkSession
@@ -201,7 +205,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Fit on the rows that are not held out (crc32 of doc_id modulo 4 is not 2)
     and score every row: doc_id, held_out, score, predicted."""
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = fit(docs.where(~held), labels, max_per_class=3000)
     out = score(docs.select("doc_id", "text").withColumn("held_out", held).select("doc_id", "held_out", "text"), model)
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= threshold).cast("int").alias("predicted"))
