@@ -24,9 +24,7 @@ def without_repeats(c: Column) -> Column:
     return F.when(F.size(F.array_distinct(parts)) < F.size(parts), F.array_join(F.array_distinct(parts), ", ")).otherwise(c)
 
 
-def search(leaves: Column, keys: list[str]) -> Column:
-    """The first text under any of the keys at any depth, least depth first."""
-    wanted = "|".join(keys)
-    entries = F.filter(F.map_entries(leaves), lambda e: e["key"].rlike(rf"(^|\.)({wanted})(\[0\])?$") & ~is_blank(e["value"]))
-    ranked = F.array_sort(F.transform(entries, lambda e: F.struct(F.regexp_count(e["key"], F.lit(r"\.")).alias("depth"), e["key"].alias("key"), e["value"].alias("value"))))
-    return F.try_element_at(ranked, F.lit(1))["value"]
+def search(texts: Column, keys: list[str]) -> Column:
+    """The first text under any of the keys; ``texts``: (key, value) in visiting
+    order."""
+    return F.try_element_at(F.filter(texts, lambda e: e["key"].isin(*keys)), F.lit(1))["value"]

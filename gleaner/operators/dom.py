@@ -4,20 +4,21 @@ selectors.  A scope is a row (page_id, pre); results are keyed by it."""
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
-from ..functions.text import clean_text, signature_words
+from ..functions.text import clean_text, signature_words, trim
 
 
 def elements(nodes: DataFrame) -> DataFrame:
     """Element rows with ``words`` (their attribute words) and ``next_pre`` (the
     element that follows under the same parent)."""
     follow = Window.partitionBy("page_id", "parent").orderBy("pre")
-    return nodes.where("kind = 'element'").select("page_id", "pre", "size", "parent", "depth", "tag", "attrs", "ancestors", signature_words(F.col("attrs")).alias("words"), F.lead("pre").over(follow).alias("next_pre"))
+    return nodes.where("kind = 'element'").select("page_id", "pre", "size", "parent", "depth", "tag", "attrs", "ancestors", "inner_from", "inner_to", signature_words(F.col("attrs")).alias("words"), F.lead("pre").over(follow).alias("next_pre"))
 
 
 def _texts(nodes: DataFrame) -> DataFrame:
@@ -35,6 +36,20 @@ def visible_text(nodes: DataFrame, scopes: DataFrame | None = None) -> DataFrame
     return inside.groupBy("page_id", "pre").agg(clean_text(joined).alias("vtext"))
 
 
+def inner_text(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(page_id, pre, itext): all text nodes below a scope, scripts' too, as they
+    follow each other, cleaned."""
+    inside = nodes.where("kind = 'text'").select("page_id", F.col("pre").alias("at"), "text", F.explode("ancestors").alias("pre")).join(scopes.select("page_id", "pre").distinct(), ["page_id", "pre"], "left_semi")
+    joined = F.array_join(F.array_sort(F.collect_list(F.struct("at", "text")))["text"], "")
+    return inside.groupBy("page_id", "pre").agg(clean_text(joined).alias("itext"))
+
+
+def inner_html(elems: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, pre, value): the markup inside elements, as it stands in the page."""
+    source = pages.select(F.col("page_id").cast("long"), "html")
+    return elems.join(source, "page_id").select("page_id", "pre", trim(F.substring("html", F.col("inner_from") + 1, F.col("inner_to") - F.col("inner_from"))).alias("value"))
+
+
 def main_text(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
     """``visible_text`` without what lies in a footer or nav element (the scope
     too) or, below the scope, in one that has "footer" among its words."""
@@ -65,141 +80,255 @@ def paragraph_text(elems: DataFrame, texts: DataFrame, scopes: DataFrame) -> Dat
 
 @dataclass
 class Step:
-    """One compound selector, and how it hangs on the one before."""
+    """One compound selector, and how it hangs on the one before: "" below it, ">"
+    its child, "+" next to it, "~" after it."""
 
-    tag: str | None = None
     tests: list = field(default_factory=list)
-    nth: int | None = None
-    child: bool = False
+    link: str = ""
 
 
 class SelectorError(ValueError):
     """The text is not a selector of the supported subset."""
 
 
-_CSS = re.compile(r"\s*(?:(?P<child>>)|(?P<tag>\*|[A-Za-z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:\"(?P<q>[^\"]*)\"|'(?P<a>[^']*)'|(?P<v>[^\]\s]+)))?\s*\]|:(?P<pseudo>first-child|nth-child\((?P<n>\d+)\)))")
-_XSTEP = re.compile(r"(?P<axis>//?)(?P<tag>\*|[A-Za-z][\w-]*)(?P<preds>(?:\[[^\]]*\])*)")
-_XPRED = re.compile(r"\[\s*(?:@(?P<attr>[\w-]+)(?:\s*=\s*(?:\"(?P<q>[^\"]*)\"|'(?P<a>[^']*)'))?|contains\(\s*@(?P<cattr>[\w-]+)\s*,\s*(?:\"(?P<cq>[^\"]*)\"|'(?P<ca>[^']*)')\s*\)|(?P<n>\d+))\s*\]")
+_NTH = re.compile(r"(?:(?P<odd>odd)|(?P<even>even)|(?P<a>[+-]?\d*)n\s*(?:(?P<sign>[+-])\s*(?P<b>\d+))?|(?P<n>\d+))$")
+_CSS = re.compile(
+    r"\s*(?:(?P<link>[>+~])|(?P<tag>\*|[A-Za-z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:\"(?P<q>[^\"]*)\"|'(?P<a>[^']*)'|(?P<v>[^\]\s]+)))?\s*\]"
+    r"|:(?P<end>first|last|only)-(?P<what>child|of-type)|:nth-(?P<last>last-)?(?P<kind>child|of-type)\(\s*(?P<nth>[^)]*?)\s*\)|:(?P<empty>empty)|:not\(\s*(?P<no>[^()]+(?:\([^()]*\))?[^()]*)\))"
+)
+_XSTEP = re.compile(r"(?P<axis>//?)(?:(?P<side>following-sibling)::)?(?P<tag>\*|[A-Za-z][\w-]*)(?P<preds>(?:\[(?:[^\[\]\"']|\"[^\"]*\"|'[^']*')*\])*)")
+_XATOM = re.compile(
+    r"\s*(?:@(?P<attr>[\w-]+)(?:\s*=\s*(?P<eq>\"[^\"]*\"|'[^']*'))?|(?P<fn>contains|starts-with)\(\s*(?:@(?P<fattr>[\w-]+)|text\(\)|\.|normalize-space\([.]?\))\s*,\s*(?P<fv>\"[^\"]*\"|'[^']*')\s*\)"
+    r"|(?:text\(\)|\.|normalize-space\((?:text\(\)|\.)?\))\s*=\s*(?P<text>\"[^\"]*\"|'[^']*')|(?:position\(\)\s*=\s*)?(?P<n>\d+)|(?P<end>last\(\)))"
+)
+
+
+def _nth(text: str) -> tuple[int, int]:
+    m = _NTH.match(text)
+    if not m:
+        raise SelectorError(text)
+    if m["odd"] or m["even"]:
+        return 2, int(bool(m["odd"]))
+    if m["n"]:
+        return 0, int(m["n"])
+    a = m["a"]
+    return int(a + "1" if a in ("", "+", "-") else a), int((m["sign"] or "+") + (m["b"] or "0"))
 
 
 def parse_css(text: str) -> list[list[Step]]:
-    """Comma lists of compounds with descendant and child combinators, classes,
-    ids, attribute tests, :first-child and :nth-child(n)."""
+    """Comma lists of compounds with the four combinators: tags, classes, ids,
+    attribute tests, places among siblings (first-, last-, only-, nth-, nth-last-,
+    by child or of-type), :empty and :not(compound)."""
     out = []
-    for one in re.split(r",(?![^\[]*\])", text):
-        steps, at, child, fresh = [], 0, False, True
+    for one in re.split(r",(?![^\[(]*[\])])", text):
+        steps, at, link, fresh = [], 0, "", True
         one = one.strip()
-        if not one:
-            raise SelectorError(text)
         while at < len(one):
             m = _CSS.match(one, at)
             if not m:
                 raise SelectorError(text)
             spaced = one[at : m.end()][:1].isspace()
             at = m.end()
-            if m["child"]:
-                child, fresh = True, True
+            if m["link"]:
+                if not steps and not out and link:
+                    raise SelectorError(text)
+                link, fresh = m["link"], True
                 continue
             if fresh or spaced:
-                steps.append(Step(child=child))
-                child, fresh = False, False
-            s = steps[-1]
+                steps.append(Step(link=link))
+                link, fresh = "", False
+            tests = steps[-1].tests
             if m["tag"]:
-                s.tag = None if m["tag"] == "*" else m["tag"].lower()
+                tests += [("tag", m["tag"].lower())] if m["tag"] != "*" else []
             elif m["id"]:
-                s.tests.append(("=", "id", m["id"]))
+                tests.append(("=", "id", m["id"]))
             elif m["cls"]:
-                s.tests.append(("~=", "class", m["cls"]))
+                tests.append(("~=", "class", m["cls"]))
             elif m["attr"]:
-                s.tests.append((m["op"] or "has", m["attr"].lower(), m["q"] or m["a"] or m["v"] or ""))
+                tests.append((m["op"] or "has", m["attr"].lower(), m["q"] or m["a"] or m["v"] or ""))
+            elif m["end"]:
+                of_type = m["what"] == "of-type"
+                tests += [("nth", 0, 1, last, of_type) for last in {"first": (False,), "last": (True,), "only": (False, True)}[m["end"]]]
+            elif m["kind"]:
+                tests.append(("nth", *_nth(m["nth"]), bool(m["last"]), m["kind"] == "of-type"))
+            elif m["empty"]:
+                tests.append(("empty",))
             else:
-                s.nth = int(m["n"] or 1)
-        if child or not steps:
+                inner = parse_css(m["no"])
+                if any(len(steps_) > 1 for steps_ in inner):
+                    raise SelectorError(text)
+                tests.append(("not", ("or", *(("and", *steps_[0].tests) for steps_ in inner))))
+        if link or not steps:
             raise SelectorError(text)
         out.append(steps)
     return out
 
 
-def parse_xpath(text: str) -> list[list[Step]]:
-    """Paths of named child and descendant steps with attribute and position
-    predicates."""
-    text = text.strip().removeprefix(".")
-    steps, at = [], 0
-    while at < len(text):
-        m = _XSTEP.match(text, at)
+def _predicate(text: str) -> tuple:
+    """and, or, not( ) and brackets over tests of attributes, text and place."""
+    at = 0
+
+    def word(w: str) -> bool:
+        nonlocal at
+        m = re.compile(rf"\s*{w}").match(text, at)
+        at = m.end() if m else at
+        return bool(m)
+
+    def joined(name: str, part) -> tuple:
+        parts = [part()]
+        while word(rf"{name}\b"):
+            parts.append(part())
+        return parts[0] if len(parts) == 1 else (name, *parts)
+
+    def either() -> tuple:
+        return joined("or", lambda: joined("and", atom))
+
+    def atom() -> tuple:
+        nonlocal at
+        negated = word(r"not\s*\(")
+        if negated or word(r"\("):
+            inner = either()
+            if not word(r"\)"):
+                raise SelectorError(text)
+            return ("not", inner) if negated else inner
+        m = _XATOM.match(text, at)
         if not m:
             raise SelectorError(text)
         at = m.end()
-        s = Step(None if m["tag"] == "*" else m["tag"].lower(), child=m["axis"] == "/")
-        for p in re.findall(r"\[[^\]]*\]", m["preds"]):
-            q = _XPRED.fullmatch(p)
-            if not q:
-                raise SelectorError(text)
-            if q["n"]:
-                s.nth = int(q["n"])
-            elif q["cattr"]:
-                s.tests.append(("*=", q["cattr"], q["cq"] or q["ca"] or ""))
-            else:
-                s.tests.append(("has" if q["q"] is None and q["a"] is None else "=", q["attr"], q["q"] or q["a"] or ""))
-        steps.append(s)
-    if not steps:
+        if m["attr"]:
+            return ("=", m["attr"].lower(), m["eq"][1:-1]) if m["eq"] else ("has", m["attr"].lower(), "")
+        if m["fn"]:
+            return ({"contains": "*=", "starts-with": "^="}[m["fn"]], m["fattr"].lower() if m["fattr"] else None, m["fv"][1:-1])
+        if m["text"]:
+            return ("=", None, m["text"][1:-1])
+        return ("nth", 0, 1, True, True) if m["end"] else ("nth", 0, int(m["n"]), False, True)
+
+    out = either()
+    if text[at:].strip():
         raise SelectorError(text)
-    return [steps]
+    return out
 
 
-def _test(op: str, name: str, value: str) -> Column:
-    a = F.col("attrs")[name]
-    return {
-        "has": a.isNotNull(), "=": a == value, "~=": F.array_contains(F.split(a, r"\s+"), value), "^=": a.startswith(value), "$=": a.endswith(value),
-        "*=": a.contains(value), "|=": (a == value) | a.startswith(value + "-"),
+def parse_xpath(text: str) -> list[list[Step]]:
+    """Paths of named child, descendant and following-sibling steps with
+    predicates; unions with ``|``."""
+    out = []
+    for one in re.split(r"\|(?![^\[]*\])", text):
+        one = one.strip().removeprefix(".")
+        steps, at = [], 0
+        while at < len(one):
+            m = _XSTEP.match(one, at)
+            if not m:
+                raise SelectorError(text)
+            at = m.end()
+            s = Step([("tag", m["tag"].lower())] if m["tag"] != "*" else [], "~" if m["side"] else ">" if m["axis"] == "/" else "")
+            for p in re.findall(r"\[((?:[^\[\]\"']|\"[^\"]*\"|'[^']*')*)\]", m["preds"]):
+                s.tests.append(_predicate(p))
+            steps.append(s)
+        if not steps:
+            raise SelectorError(text)
+        out.append(steps)
+    return out
+
+
+def _test(t: tuple) -> Column:
+    if t[0] == "tag":
+        return F.col("tag") == t[1]
+    if t[0] == "empty":
+        return F.col("size") == 0
+    if t[0] == "not":
+        return ~_test(t[1])
+    if t[0] in ("and", "or"):
+        out = F.lit(t[0] == "and")
+        for x in t[1:]:
+            out = out & _test(x) if t[0] == "and" else out | _test(x)
+        return out
+    if t[0] == "nth":
+        _, a, b, last, of_type = t
+        place = F.col(_place(last, of_type))
+        return place == b if a == 0 else (place - b) % a == 0 if b <= 1 and a > 0 else ((place - b) % a == 0) & ((place - b) * (1 if a > 0 else -1) >= 0)
+    op, name, value = t
+    c = F.col("attrs")[name] if name else F.col("vtext")
+    test = {
+        "has": c.isNotNull(), "=": c == value, "~=": F.array_contains(F.split(c, r"\s+"), value), "^=": c.startswith(value), "$=": c.endswith(value),
+        "*=": c.contains(value), "|=": (c == value) | c.startswith(value + "-"),
     }[op]
+    return F.coalesce(test, F.lit(False))
+
 
+def _place(last: bool, of_type: bool) -> str:
+    return f"place_{'last' if last else 'first'}_{'type' if of_type else 'child'}"
 
-def select(elems: DataFrame, selector: str, kind: str = "Css", scopes: DataFrame | None = None) -> DataFrame:
+
+def _flat(tests: list) -> list[tuple]:
+    """Tests with those inside not, and, or."""
+    return [x for t in tests for x in ([t, *_flat(list(t[1:]))] if t[0] in ("not", "and", "or") else [t])]
+
+
+def select(elems: DataFrame, selector: str, kind: str = "Css", scopes: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(page_id, scope, pre) of the elements a selector finds inside each scope;
-    without scopes the document (0) is the scope.  A blank or unsupported
-    selector finds nothing."""
+    without scopes the document (0) is the scope, and an XPath always begins at it
+    unless it begins with a dot.  Tests of text look at the visible text in
+    ``texts``.  A selector that is blank, invalid or outside the subset finds
+    nothing and warns."""
     everything = elems.select("page_id", F.lit(0).alias("scope")).distinct() if scopes is None else scopes.select("page_id", F.col("pre").alias("scope")).distinct()
     try:
         paths = parse_xpath(selector) if kind == "XPath" else parse_css(selector)
-    except SelectorError:
+        tests = _flat([t for path in paths for s in path for t in s.tests])
+        if texts is None and any(len(t) == 3 and t[1] is None for t in tests):
+            raise SelectorError(f"{selector}: no texts to test")
+    except SelectorError as e:
+        warnings.warn(f"selector finds nothing: {e}", stacklevel=2)
         return everything.join(elems.select("page_id", "pre").where("false"), "page_id")
-    nth = F.row_number().over(Window.partitionBy("page_id", "parent").orderBy("pre"))
-    if kind == "XPath":
-        nth = F.row_number().over(Window.partitionBy("page_id", "parent", "tag").orderBy("pre"))
-    pool = elems.select("page_id", "pre", "parent", "tag", "attrs", "ancestors")
-    if any(s.nth for path in paths for s in path):
-        pool = pool.withColumn("place", nth)
+    pool = elems.select("page_id", "pre", "size", "parent", "tag", "attrs", "ancestors")
+    for last, of_type in {t[3:] for t in tests if t[0] == "nth"}:
+        beside = Window.partitionBy("page_id", "parent", *(["tag"] if of_type else [])).orderBy(F.desc("pre") if last else "pre")
+        pool = pool.withColumn(_place(last, of_type), F.row_number().over(beside))
+    if any(len(t) == 3 and t[1] is None for t in tests):
+        pool = pool.join(texts.select("page_id", "pre", "vtext"), ["page_id", "pre"], "left")
     out = None
     for path in paths:
         found = everything.withColumn("pre", F.col("scope"))
+        if kind == "XPath" and not selector.strip().startswith("."):
+            found = found.withColumn("pre", F.lit(0))
         for i, s in enumerate(path):
             rows = pool
-            if s.tag:
-                rows = rows.where(F.col("tag") == s.tag)
             for t in s.tests:
-                rows = rows.where(_test(*t))
-            if s.nth:
-                rows = rows.where(F.col("place") == s.nth)
-            child = s.child and (i > 0 or kind == "XPath")
+                rows = rows.where(_test(t))
+            if s.link in ("+", "~"):
+                here = pool.select("page_id", "pre", "parent")
+                turn = found.join(here, ["page_id", "pre"]).withColumnRenamed("pre", "left")
+                met = turn.join(rows.select("page_id", "parent", "pre"), ["page_id", "parent"]).where(F.col("pre") > F.col("left"))
+                if s.link == "+":
+                    follow = pool.select("page_id", F.col("pre").alias("left"), F.lead("pre").over(Window.partitionBy("page_id", "parent").orderBy("pre")).alias("pre"))
+                    met = turn.join(follow, ["page_id", "left"]).join(rows.select("page_id", "pre"), ["page_id", "pre"], "left_semi")
+                found = met.select("page_id", "scope", "pre").distinct()
+                continue
+            child = s.link == ">" and (i > 0 or kind == "XPath")
             rows = rows.select("page_id", F.col("parent").alias("above"), F.col("pre").alias("next")) if child else rows.select("page_id", F.explode("ancestors").alias("above"), F.col("pre").alias("next"))
             found = found.join(rows.withColumnRenamed("above", "pre"), ["page_id", "pre"]).select("page_id", "scope", F.col("next").alias("pre")).distinct()
         out = found if out is None else out.union(found)
     return out.distinct()
 
 
-def extracted(elems: DataFrame, texts: DataFrame, how: str, attribute: str | None = None) -> DataFrame:
-    """(page_id, pre, value): Text, Link (href, else src) or Attribute of every
-    element."""
+def extracted(elems: DataFrame, texts: DataFrame, how: str, attribute: str | None = None, nodes: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """(page_id, pre, value): Text, Html (needs ``pages``), Link (href, else src) or
+    Attribute of every element.  With ``nodes`` Text is the inner text, scripts'
+    too; otherwise the visible text."""
+    if how == "Html":
+        return inner_html(elems, pages)
     e = elems.select("page_id", "pre", "attrs")
     if how == "Text":
-        return e.join(texts, ["page_id", "pre"], "left").select("page_id", "pre", F.coalesce("vtext", F.lit("")).alias("value"))
+        told, name = (texts, "vtext") if nodes is None else (inner_text(nodes, e), "itext")
+        return e.join(told, ["page_id", "pre"], "left").select("page_id", "pre", F.coalesce(name, F.lit("")).alias("value"))
     value = F.coalesce(F.col("attrs")["href"], F.col("attrs")["src"]) if how == "Link" else F.col("attrs")[attribute or ""]
     return e.select("page_id", "pre", value.alias("value"))
 
 
-def selector_test(elems: DataFrame, texts: DataFrame, selector: str, kind: str = "Css", how: str = "Text", attribute: str | None = None) -> DataFrame:
+def selector_test(elems: DataFrame, texts: DataFrame, selector: str, kind: str = "Css", how: str = "Text", attribute: str | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Per page: the number of matches (to ``MAX_MATCHES``) and the first previews."""
-    hits = select(elems, selector, kind).join(extracted(elems, texts, how, attribute), ["page_id", "pre"])
+    hits = select(elems, selector, kind, texts=texts)
+    found = elems.join(hits.select("page_id", "pre"), ["page_id", "pre"], "left_semi")
+    hits = hits.join(extracted(found, texts, how, attribute, pages=pages), ["page_id", "pre"])
     first = F.slice(F.array_sort(F.collect_list(F.struct("pre", "value")))["value"], 1, C.MAX_PREVIEWS)
     return hits.groupBy("page_id").agg(F.least(F.count(F.lit(1)), F.lit(C.MAX_MATCHES)).alias("matches"), first.alias("previews"))

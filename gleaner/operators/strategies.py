@@ -156,9 +156,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def by_state(scene: Scene, state: DataFrame) -> DataFrame:
     """Email and Phone of a single record from the page's application state (85).
-    ``state``: (page_id, leaves)."""
+    ``state``: (page_id, told)."""
     rows = scene.asked("Email", "Phone").where("n_recs = 1").join(state, "page_id")
-    value = F.when(F.col("kind") == "Email", L.search(F.col("leaves"), C.STATE_KEYS["Email"])).otherwise(L.search(F.col("leaves"), C.STATE_KEYS["Phone"]))
+    value = F.when(F.col("kind") == "Email", L.search(F.col("told"), C.STATE_KEYS["Email"])).otherwise(L.search(F.col("told"), C.STATE_KEYS["Phone"]))
     return _candidates(rows, "NextData", 0, value, 85)
 
 

@@ -117,28 +117,21 @@ def _extract(scene: strategies.Scene, fields: list[Field], provider) -> DataFram
 
 
 def shred_state(nodes: DataFrame) -> DataFrame:
-    """(page_id, leaves): the application state of each page's first
-    script#__NEXT_DATA__."""
+    """(page_id, told): the texts of the application state in each page's first
+    script#__NEXT_DATA__, in visiting order."""
     held = nodes.where("kind = 'element' and tag = 'script'").where(F.col("attrs")["id"] == "__NEXT_DATA__").groupBy("page_id").agg(F.min("pre").alias("parent"))
     texts = nodes.where("kind = 'text'").join(held, ["page_id", "parent"]).select("page_id", "text")
 
     def run(batches):
-        import json
-
         import pyarrow as pa
 
+        kind = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
         for batch in batches:
-            ids, rows = [], []
             for page_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    leaves = shred.leaves_of(json.loads(text, parse_int=str, parse_float=str))
-                except ValueError:
-                    continue
-                ids.append(page_id)
-                rows.append(list(leaves.items()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.map_(pa.string(), pa.string()))], names=["page_id", "leaves"])
-
-    return texts.mapInArrow(run, "page_id long, leaves map<string,string>")
+                told = [{"key": k, "value": v} for k, v in shred.state_texts(text)]
+                yield pa.RecordBatch.from_arrays([pa.array([page_id], pa.int64()), pa.array([told], kind)], names=["page_id", "told"])
+
+    return texts.mapInArrow(run, "page_id long, told array<struct<key:string,value:string>>")
 
 
 def deep(listing: Result, pages: DataFrame, fields: list[Field], max_profiles: int = 50, provider=None) -> DataFrame:

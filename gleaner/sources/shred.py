@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import re
 from html import unescape
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.catalog import ADDRESS_PARTS
 
-NODES = "page_id long, pre int, size int, parent int, depth int, kind string, tag string, parent_tag string, attrs map<string,string>, text string, ancestors array<int>"
+NODES = "page_id long, pre int, size int, parent int, depth int, kind string, tag string, parent_tag string, attrs map<string,string>, text string, ancestors array<int>, inner_from int, inner_to int"
 ENTITIES = "page_id long, ent int, type string, n_keys int, leaves map<string,string>"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
@@ -34,12 +33,29 @@ def decoded(text: str) -> str:
     return _REFERENCE.sub(lambda m: unescape(m[0]), text) if "&" in text else text
 
 
-class _Builder(HTMLParser):
+_TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*([\"']|[^\s\"'>][^\s>]*)?)?")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title")}
+_TARGETS = frozenset(t for ends in _ENDS.values() for t in ends)
+#: Deeper elements hang on the ancestor at this depth, as in browsers.
+MAX_DEPTH = 256
+#: Node rows and list items of one Arrow batch, about.
+_ROWS, _ITEMS = 20_000, 1 << 20
+
+
+class _Builder:
+    """Any text as nodes, in one pass of linear time: an unclosed comment reaches to
+    the end of the page, an unclosed quote to the end of its tag, an unclosed tag
+    is dropped with what follows, and a stray end tag is ignored."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=False)
-        # kind, tag, attrs, text, parent, depth
-        self.nodes = [["document", "#document", {}, "", -1, 0]]
+        # kind, tag, attrs, text, parent, depth, and where its inner markup begins and ends
+        self.nodes = [["document", "#document", {}, "", -1, 0, 0, 0]]
+        self.at = self.after = 0
         self.open = [0]
+        self.marks: list[int] = []  # places in ``open`` that implied end tags look at
+        self.count: dict[str, int] = {}
+        self.flat: dict[str, int] = {}
         self.held: list[str] = []
 
     def _flush(self):
@@ -50,115 +66,182 @@ class _Builder(HTMLParser):
             self._add("text", "#text", {}, text if raw else decoded(text))
 
     def _add(self, kind, tag, attrs, text):
-        self.nodes.append([kind, tag, attrs, text, self.open[-1], len(self.open)])
+        self.nodes.append([kind, tag, attrs, text, self.open[-1], len(self.open), self.after, self.after])
         return len(self.nodes) - 1
 
-    def handle_starttag(self, tag, attrs):
-        self._flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            here = self.nodes[self.open[i]][1]
-            if here in _ENDS.get(tag, ()):
-                del self.open[i:]
-                break
-            if here in _FENCE:
-                break
-        seen: dict = {}
-        for k, v in attrs:
-            seen.setdefault(k, v or "")
-        at = self._add("element", tag, seen, "")
-        if tag not in _VOID:
-            self.open.append(at)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.open.pop()
-
-    def handle_endtag(self, tag):
-        self._flush()
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[i]][1] == tag:
-                del self.open[i:]
-                return
-
-    def handle_data(self, data):
-        self.held.append(data)
-
-    def handle_entityref(self, name):
-        self.held.append(f"&{name};" if self.rawdata[self.offset_end(name)] == ";" else f"&{name}")
-
-    def handle_charref(self, name):
-        self.held.append(f"&#{name};")
+    def _cut(self, place: int):
+        for at in self.open[place:]:
+            self.count[self.nodes[at][1]] -= 1
+            self.nodes[at][7] = self.at
+        del self.open[place:]
+        while self.marks and self.marks[-1] >= place:
+            self.marks.pop()
 
-    def offset_end(self, name):
-        # The reference is at the parser's position; what follows its name.
-        line, col = self.getpos()
-        at = self._line_starts[line - 1] + col + 1 + len(name)
-        return at if at < len(self.rawdata) else at - 1
-
-    def handle_comment(self, data):
+    def start(self, tag: str, attrs: dict, closed: bool) -> None:
+        self._flush()
+        ends = _ENDS.get(tag, ())
+        if any(self.count.get(t) for t in ends):
+            for place in reversed(self.marks):
+                here = self.nodes[self.open[place]][1]
+                if here in ends:
+                    self._cut(place)
+                    break
+                if here in _FENCE:
+                    break
+        at = self._add("element", tag, attrs, "")
+        if tag in _VOID or closed:
+            return
+        if len(self.open) >= MAX_DEPTH:
+            self.flat[tag] = self.flat.get(tag, 0) + 1
+            return
+        if tag in _FENCE or tag in _TARGETS:
+            self.marks.append(len(self.open))
+        self.open.append(at)
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def end(self, tag: str) -> None:
         self._flush()
-        self._add("comment", "#comment", {}, data)
+        if self.flat.get(tag):
+            self.flat[tag] -= 1
+        elif self.count.get(tag):
+            place = len(self.open) - 1
+            while self.nodes[self.open[place]][1] != tag:
+                place -= 1
+            self._cut(place)
 
     def parse(self, html: str) -> list[list]:
-        self._line_starts = [0, *(m.end() for m in re.finditer("\n", html))]
-        self.feed(html)
-        self.close()
+        at, n = 0, len(html)
+        unclosed: set[str] = set()
+        while at < n:
+            lt = html.find("<", at)
+            if lt < 0:
+                self.held.append(html[at:])
+                break
+            if lt > at:
+                self.held.append(html[at:lt])
+            self.at = lt
+            if html.startswith("<!--", lt):
+                stop = html.find("-->", lt + 4)
+                self._flush()
+                self._add("comment", "#comment", {}, html[lt + 4 : n if stop < 0 else stop])
+                at = n if stop < 0 else stop + 3
+            elif html[lt + 1 : lt + 2] in ("!", "?") or (html.startswith("</", lt) and html[lt + 2 : lt + 3].isalpha()):
+                stop = html.find(">", lt)
+                if stop >= 0 and html[lt + 1] == "/" and (m := _TAG_NAME.match(html, lt + 2)):
+                    self.end(m[0].lower())
+                at = n if stop < 0 else stop + 1
+            elif m := _TAG_NAME.match(html, lt + 1):
+                at = self._opened(html, m, unclosed)
+            else:
+                self.held.append("<")
+                at = lt + 1
         self._flush()
+        for at in self.open:
+            self.nodes[at][7] = n
         return self.nodes
 
+    def _opened(self, html: str, name: re.Match, unclosed: set) -> int:
+        """Take an opening tag; where it, or the raw text it holds, ends."""
+        tag, at, attrs = name[0].lower(), name.end(), {}
+        while m := _ATTRIBUTE.match(html, at):
+            at, value = m.end(), m[2] or ""
+            if value in ("'", '"'):
+                stop = -1 if value in unclosed else html.find(value, at)
+                if stop < 0:
+                    unclosed.add(value)
+                    stop = html.find(">", at)
+                    stop = len(html) if stop < 0 else stop
+                    value, at = html[at:stop], stop
+                else:
+                    value, at = html[at:stop], stop + 1
+            attrs.setdefault(m[1].lower(), decoded(value))
+        stop = html.find(">", at)
+        if stop < 0:
+            return len(html)
+        closed, self.after = html[stop - 1] == "/", stop + 1
+        self.start(tag, attrs, closed)
+        if tag in _RAW_END and not closed:
+            end = _RAW_END[tag].search(html, stop + 1)
+            self.held.append(html[stop + 1 : end.start() if end else len(html)])
+            return end.start() if end else len(html)
+        return stop + 1
+
 
 def page_nodes(html: str | None) -> list[list]:
     return _Builder().parse(html or "")
 
 
+def _node_batch(page_id, nodes: list, size: list, begin: int, above: list) -> pa.RecordBatch:
+    rows = range(begin, begin + len(above))
+    kind, tag, attrs, text, parent, depth, first, last = zip(*(nodes[i] for i in rows), strict=True)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([page_id] * len(above), pa.int64()), pa.array(rows, pa.int32()), pa.array([size[i] for i in rows], pa.int32()), pa.array(parent, pa.int32()), pa.array(depth, pa.int32()), pa.array(kind), pa.array(tag),
+            pa.array([nodes[p][1] if p >= 0 else "" for p in parent]), pa.array([list(a.items()) for a in attrs], pa.map_(pa.string(), pa.string())), pa.array(text, pa.string()), pa.array(above, pa.list_(pa.int32())), pa.array(first, pa.int32()), pa.array(last, pa.int32()),
+        ],
+        names=["page_id", "pre", "size", "parent", "depth", "kind", "tag", "parent_tag", "attrs", "text", "ancestors", "inner_from", "inner_to"],
+    )
+
+
+def page_batches(page_id, html: str | None):
+    """Arrow batches of a page's nodes."""
+    html = (html or "").encode("utf-8", "replace").decode("utf-8")
+    nodes = page_nodes(html)
+    size = [0] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        size[nodes[i][4]] += size[i] + 1
+    path: list[int] = []  # the ancestors of the node at hand
+    begin, items, above = 0, 0, []
+    for i, node in enumerate(nodes):
+        while path and path[-1] != node[4]:
+            path.pop()
+        above.append(tuple(path))
+        items += len(path)
+        path.append(i)
+        if len(above) >= _ROWS or items >= _ITEMS:
+            yield _node_batch(page_id, nodes, size, begin, above)
+            begin, items, above = i + 1, 0, []
+    if above:
+        yield _node_batch(page_id, nodes, size, begin, above)
+
+
 def shred(pages: DataFrame) -> DataFrame:
     """pages (page_id, html) -> the node table.  Null or empty pages have their
-    document node alone."""
+    document node alone; no text fails."""
 
     def run(batches):
         for batch in batches:
             for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nodes = page_nodes(html)
-                n = len(nodes)
-                size = [0] * n
-                for i in range(n - 1, 0, -1):
-                    size[nodes[i][4]] += size[i] + 1
-                above: list[list[int]] = [[]]
-                for i in range(1, n):
-                    p = nodes[i][4]
-                    above.append([*above[p], p])
-                kind, tag, attrs, text, parent, depth = zip(*nodes, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([page_id] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(size, pa.int32()), pa.array(parent, pa.int32()), pa.array(depth, pa.int32()), pa.array(kind), pa.array(tag),
-                        pa.array([tag[p] if p >= 0 else "" for p in parent]), pa.array([list(a.items()) for a in attrs], pa.map_(pa.string(), pa.string())), pa.array(text), pa.array(above, pa.list_(pa.int32())),
-                    ],
-                    names=["page_id", "pre", "size", "parent", "depth", "kind", "tag", "parent_tag", "attrs", "text", "ancestors"],
-                )
+                yield from page_batches(page_id, html)
 
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, NODES)
 
 
+#: Structured data is read to this depth.
+MAX_JSON_DEPTH = 40
+
+
+def parsed_json(text: str):
+    """A JSON text with numbers as text; None if malformed or nested too deep."""
+    try:
+        return json.loads(text, parse_int=str, parse_float=str)
+    except (ValueError, RecursionError):
+        return None
+
+
 def entities_of(block: str) -> list[dict]:
     """The entities of one JSON-LD block: array items, members of @graph, and the
     items of an ItemList; a malformed block has none."""
-    try:
-        data = json.loads(decoded(block).strip(), parse_int=str, parse_float=str)
-    except ValueError:
-        return []
     out: list[dict] = []
-
-    def visit(x):
+    todo = [parsed_json(decoded(block).strip())]
+    while todo:
+        x = todo.pop()
         if isinstance(x, list):
-            for y in x:
-                visit(y)
+            todo += reversed(x)
         elif isinstance(x, dict):
             low = {k.lower(): v for k, v in x.items()}
             if isinstance(low.get("@graph"), list):
-                for y in low["@graph"]:
-                    if isinstance(y, dict):
-                        visit(y)
+                todo += reversed([y for y in low["@graph"] if isinstance(y, dict)])
             elif low.get("@type") == "ItemList" and isinstance(low.get("itemlistelement"), list):
                 for y in low["itemlistelement"]:
                     if isinstance(y, dict):
@@ -166,8 +249,6 @@ def entities_of(block: str) -> list[dict]:
                         out.append(item if isinstance(item, dict) else y)
             else:
                 out.append(x)
-
-    visit(data)
     return out
 
 
@@ -188,33 +269,72 @@ def _object_text(x: dict) -> str | None:
 
 def _told(x) -> str | None:
     """A value as text: a list by its first item, an object by its parts."""
-    if isinstance(x, list):
-        return _told(x[0]) if x else None
+    while isinstance(x, list):
+        x = x[0] if x else None
     if isinstance(x, dict):
         return _object_text(x)
     return x if x is None or isinstance(x, str) else str(x)
 
 
-def leaves_of(x, path: str = "", out: dict | None = None) -> dict:
-    """Dotted lower-case paths to scalars, with list items as ``a[0]``.  ``a!`` is the
-    value at ``a`` as text; ``a*`` the distinct texts of a list's first items,
-    joined; ``a{}`` marks an object."""
-    out = {} if out is None else out
-    if path and (text := _told(x)) is not None:
-        out[path + "!"] = text
-    if isinstance(x, dict):
-        if path:
-            out[path + "{}"] = ""
-        for k, v in x.items():
-            leaves_of(v, f"{path}.{k.lower()}" if path else k.lower(), out)
-    elif isinstance(x, list):
-        texts = dict.fromkeys(t for t in map(_told, x) if t and t.strip())
-        if texts:
-            out[path + "*"] = "; ".join(list(texts)[:10])
-        for i, v in enumerate(x):
-            leaves_of(v, f"{path}[{i}]", out)
-    elif x is not None:
-        out[path] = x if isinstance(x, str) else str(x)
+def leaves_of(x) -> dict:
+    """Dotted lower-case paths to scalars, with list items as ``a[0]``, down to
+    ``MAX_JSON_DEPTH``.  ``a!`` is the value at ``a`` as text; ``a*`` the distinct
+    texts of a list's first items, joined; ``a{}`` marks an object."""
+    out: dict = {}
+    todo = [("", x, 0)]
+    while todo:
+        path, x, depth = todo.pop()
+        if path and (text := _told(x)) is not None:
+            out[path + "!"] = text
+        if isinstance(x, dict):
+            if path:
+                out[path + "{}"] = ""
+            if depth < MAX_JSON_DEPTH:
+                todo += reversed([(f"{path}.{k.lower()}" if path else k.lower(), v, depth + 1) for k, v in x.items()])
+        elif isinstance(x, list):
+            texts = dict.fromkeys(t for t in map(_told, x) if t and t.strip())
+            if texts:
+                out[path + "*"] = "; ".join(list(texts)[:10])
+            if depth < MAX_JSON_DEPTH:
+                todo += reversed([(f"{path}[{i}]", v, depth + 1) for i, v in enumerate(x)])
+        elif x is not None:
+            out[path] = x if isinstance(x, str) else str(x)
+    return out
+
+
+def _first_text(x, depth: int = 0) -> str | None:
+    """A string, or the first one in a list, that is not blank."""
+    if isinstance(x, _Number):
+        return None
+    if isinstance(x, str):
+        return x if x.strip() else None
+    if isinstance(x, list) and depth < MAX_JSON_DEPTH:
+        return next((t for t in (_first_text(y, depth + 1) for y in x) if t), None)
+    return None
+
+
+class _Number(str):
+    """A JSON number, kept as its text."""
+
+
+def state_texts(text: str) -> list[tuple[str, str]]:
+    """(lower-case property name, text) of an application state, in the order in
+    which a search meets them: an object's own texts, then its values, each with
+    all it holds, to ``MAX_JSON_DEPTH``."""
+    try:
+        todo = [(json.loads(text, parse_int=_Number, parse_float=_Number), 0)]
+    except (ValueError, RecursionError):
+        return []
+    out = []
+    while todo:
+        x, depth = todo.pop()
+        if depth > MAX_JSON_DEPTH:
+            continue
+        if isinstance(x, dict):
+            out += [(k.lower(), t) for k, v in x.items() if (t := _first_text(v))]
+            todo += reversed([(v, depth + 1) for v in x.values()])
+        elif isinstance(x, list):
+            todo += reversed([(v, depth + 1) for v in x])
     return out
 
 

@@ -89,7 +89,7 @@ def test_selectors(spark):
     e, t = dom.elements(nodes), dom.visible_text(nodes)
 
     def texts(sel, kind="Css"):
-        return sorted(r.value for r in dom.select(e, sel, kind).join(dom.extracted(e, t, "Text"), ["page_id", "pre"]).collect())
+        return sorted(r.value for r in dom.select(e, sel, kind, texts=t).join(dom.extracted(e, t, "Text"), ["page_id", "pre"]).collect())
 
     assert texts("div.a > p") == ["1", "2"]
     assert texts("div p") == ["1", "2", "3"]
@@ -97,3 +97,40 @@ def test_selectors(spark):
     assert texts("div.b > p") == [] and texts("") == [] and texts("p:::") == []
     assert texts("p:nth-child(2)") == ["2"]
     assert texts("//div[@class='b']//p", "XPath") == ["3"]
+    assert texts("p + p") == ["2"] and texts("#k ~ p") == ["2"] and texts("p:not(#k)") == ["2", "3"] and texts("p:last-child") == ["2", "3"]
+    assert texts("p:nth-child(odd)") == ["1", "3"] and texts("p:nth-child(2n)") == ["2"] and texts("p:nth-child(-n+1)") == ["1", "3"] and texts("div > p:only-of-type") == []
+    assert texts("div:not(.a, .c) p") == ["3"] and texts("p:first-of-type") == ["1", "3"]
+    assert texts("//p[last()]", "XPath") == ["2", "3"] and texts("//p[. = '2' or @data-q]", "XPath") == ["2", "3"] and texts("//p[not(@id) and contains(text(), '2')]", "XPath") == ["2"]
+    assert texts("//p[@id='k']/following-sibling::p | //section/p[1]", "XPath") == ["2", "3"] and texts("//p[position()=2]", "XPath") == ["2"]
+    assert texts("//p[", "XPath") == [] and texts("p + ") == []
+
+
+def test_inner_markup(spark):
+    html = "<div> <b>x</b> &amp; y<br> </div><p>open<p>next<script>var a;</script></p>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    nodes = shred.shred(pages)
+    e = dom.elements(nodes)
+    got = [r.value for r in dom.extracted(e.where("tag in ('div', 'p')"), None, "Html", pages=pages).orderBy("pre").collect()]
+    assert got == ["<b>x</b> &amp; y<br>", "open", "next<script>var a;</script>"]
+    assert [r.value for r in dom.extracted(e.where("tag = 'p'"), None, "Text", nodes=nodes).orderBy("pre").collect()] == ["open", "nextvar a;"]
+
+
+def test_shredding_never_fails():
+    import random
+
+    r = random.Random(1)
+    parts = [*"<>/!&#;=\"' abpx-[", "<p", "<div ", "</", "<!--", "-->", "<![", "<script>", "</script>", "&#", "&amp", "<?", "\x00", "\ud800", "é", "<li>", "</div>"]
+    for _ in range(10_000):
+        html = "".join(r.choice(parts) for _ in range(r.randint(0, 40)))
+        nodes = [b for x in shred.page_batches(1, html) for b in x.to_pylist()]
+        assert nodes[0]["size"] == len(nodes) - 1 and all(n["inner_from"] <= n["inner_to"] or n["kind"] != "element" for n in nodes)
+        assert all(n["pre"] <= n["pre"] + n["size"] < len(nodes) and (not n["ancestors"] or n["ancestors"][-1] == n["parent"]) for n in nodes)
+    for html in ("<div>" * 100_000, "</p>" * 100_000, "<a href='" * 20_000, "<b>" * 500 + "<li>x" * 5000, "<p><b>" * 20_000):
+        assert max(len(a) for x in shred.page_batches(1, html) for a in x.column("ancestors").to_pylist()) <= shred.MAX_DEPTH
+    assert shred.entities_of("[" * 100_000) == [] and shred.entities_of("[" * 50_000 + "]" * 50_000) == []
+    assert shred.page_nodes("x AT&T")[1][3] == "x AT&T"
+
+
+def test_state_search_order():
+    told = shred.state_texts('{"z": {"email": "first@x"}, "a": {"email": "second@x"}, "phone": 5, "tel": [" ", ["12"]], "b": [{"Email": "third@x"}]}')
+    assert told == [("tel", "12"), ("email", "first@x"), ("email", "second@x"), ("email", "third@x")]
