@@ -94,3 +94,4 @@ MAX_BODY = 10 * 1024 * 1024
 MAX_RECORDS, MAX_FIELDS, MAX_PAGES, MAX_PROFILES, MAX_JOB_PAGES = 1000, 50, 100, 1000, 500
 MAX_PREVIEWS, MAX_MATCHES = 5, 500
 MIN_SIBLINGS, MAX_GROUP, SAMPLE, MAX_PARENTS = 3, 300, 5, 20_000
+MAX_REDIRECTS, MAX_URL, MAX_DELAY_S = 5, 2048, 300

@@ -109,5 +109,13 @@ def with_whole_pages(records: DataFrame, pages: DataFrame) -> DataFrame:
     """Records, and the document as the one record of every page without any:
     adds is_document and n_recs."""
     whole = pages.select(F.col("page_id").cast("long")).join(records.select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.lit(0).alias("rec_idx"), F.lit(0).alias("pre"), F.lit(True).alias("is_document"))
-    every = records.withColumn("is_document", F.lit(False)).union(whole)
-    return every.withColumn("n_recs", F.count(F.lit(1)).over(Window.partitionBy("page_id")))
+    return _counted(records.withColumn("is_document", F.lit(False)).union(whole))
+
+
+def numbered(records: DataFrame) -> DataFrame:
+    """Records alone: adds is_document and n_recs."""
+    return _counted(records.withColumn("is_document", F.lit(False)))
+
+
+def _counted(records: DataFrame) -> DataFrame:
+    return records.withColumn("n_recs", F.count(F.lit(1)).over(Window.partitionBy("page_id")))

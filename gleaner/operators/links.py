@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions import urls as U
+from ..sources.stage import staged
 
 
 def anchors(elems: DataFrame, texts: DataFrame, pages: DataFrame) -> DataFrame:
@@ -35,30 +36,49 @@ def profile_links(records: DataFrame, elems: DataFrame, links: DataFrame) -> Dat
 
 
 def next_links(links: DataFrame) -> DataFrame:
-    """(page_id, next_url): a[rel=next], else link[rel=next], else the first link
-    that says next, on the same host and not the page itself."""
-    rel = F.array_contains(F.split(F.coalesce("rel", F.lit("")), r"\s+"), "next")
+    """(page_id, next_url): the first a[rel=next], else the first link[rel=next],
+    if it stays on the host; else the first link that says next, if it does and is
+    not the page itself."""
     says = (F.col("tag") == "a") & (F.trim("label").rlike(C.NEXT_TEXT) | F.trim("aria").rlike(C.NEXT_TEXT))
-    rank = F.when(rel & (F.col("tag") == "a"), 0).when(rel, 1).when(says & (F.col("target") != F.col("page_url")), 2)
-    rows = links.where(U.same_host(F.col("target"), F.col("page_url"))).withColumn("rank", rank).where("rank is not null")
-    return rows.groupBy("page_id").agg(F.min_by("target", F.struct("rank", "pre")).alias("next_url"))
+    rel = F.col("rel") == "next"
+    ours = U.same_host(F.col("target"), F.col("page_url"))
+    url = F.struct("target", ours.alias("ours"), "page_url")
+    first = links.where(rel | says).groupBy("page_id").agg(F.min_by(url, F.when(rel, F.struct((F.col("tag") != "a").alias("late"), "pre"))).alias("r"), F.min_by(url, F.when(says, F.col("pre"))).alias("s"))
+    said = F.when(F.col("s.ours") & (F.lower("s.target") != F.lower("s.page_url")), F.col("s.target"))
+    return first.select("page_id", F.coalesce(F.when(F.col("r.ours"), F.col("r.target")), said).alias("next_url")).where("next_url is not null")
 
 
 def walk(start: DataFrame, hops: DataFrame, max_pages: int = C.MAX_PAGES) -> DataFrame:
     """(root, page_number, url): pages reached from (root, url) by following hops
-    (url, next_url), each once, at most ``max_pages`` a root.  A recursive query
-    over the page table; a page seen again ends its walk."""
-    spark = start.sparkSession
-    start.createOrReplaceTempView("gleaner_walk_start")
-    hops.dropDuplicates(["url"]).createOrReplaceTempView("gleaner_walk_hops")
-    return spark.sql(f"""
-        WITH RECURSIVE w(root, page_number, url, seen) MAX RECURSION LEVEL {max_pages + 1} AS (
-            SELECT root, 1, url, array(url) FROM gleaner_walk_start
-            UNION ALL
-            SELECT w.root, w.page_number + 1, h.next_url, array_append(w.seen, h.next_url)
-            FROM w JOIN gleaner_walk_hops h ON h.url = w.url
-            WHERE w.page_number < {max_pages} AND NOT array_contains(w.seen, h.next_url))
-        SELECT root, page_number, url FROM w""")
+    (url, next_url), each once, case ignored, at most ``max_pages`` a root.  A join a
+    page: walks of all roots go on together until none moves.  Of several hops
+    from one url the smallest counts; a page seen again ends its walk."""
+    hops = staged(hops.where("next_url is not null").groupBy(F.lower("url").alias("_u")).agg(F.min("next_url").alias("next_url")))
+    seen = now = staged(start.select("root", F.lit(1).alias("page_number"), "url").distinct())
+    for n in range(2, min(max(max_pages, 1), C.MAX_PAGES) + 1):
+        reached = now.select("root", F.lower("url").alias("_u")).join(hops, "_u").select("root", F.lit(n).alias("page_number"), F.col("next_url").alias("url"))
+        fresh = reached.withColumn("_u", F.lower("url")).join(seen.select("root", F.lower("url").alias("_u")), ["root", "_u"], "left_anti")
+        now = staged(fresh.select("root", "page_number", "url"))
+        if now.isEmpty():
+            break
+        seen = staged(seen.union(now))
+    return seen
+
+
+def redirected(requests: DataFrame, hops: DataFrame, max_hops: int = C.MAX_REDIRECTS) -> DataFrame:
+    """(url, final_url, hops, reason): where a request ends by logged answers
+    (url, status, location): a 301, 302, 303, 307 or 308 with a location leads on,
+    relative ones resolved, every address checked.  ``reason``: "too many
+    redirects" after ``max_hops``, or why an address is not allowed."""
+    moved = hops.where(F.col("status").isin(301, 302, 303, 307, 308) & F.col("location").isNotNull()).groupBy(F.col("url").alias("now")).agg(F.min("location").alias("location"))
+    rows = requests.select("url").distinct().withColumn("now", F.col("url")).withColumn("hops", F.lit(0)).withColumn("reason", U.rejection(F.col("url"))).withColumn("over", F.lit(False))
+    for _ in range(max_hops + 1):
+        rows = rows.join(moved, "now", "left")
+        goes = F.col("location").isNotNull() & F.col("reason").isNull() & (F.col("hops") <= max_hops)
+        to = F.when(goes, U.resolve(F.col("now"), F.col("location"))).otherwise(F.col("now"))
+        rows = rows.select("url", to.alias("now"), (F.col("hops") + goes.cast("int")).alias("hops"), F.when(goes, U.rejection(to)).otherwise(F.col("reason")).alias("reason"))
+    over = F.when(F.col("hops") > max_hops, F.lit("too many redirects"))
+    return rows.select("url", F.col("now").alias("final_url"), "hops", F.coalesce(over, "reason").alias("reason"))
 
 
 def frontier(rows: DataFrame) -> DataFrame:
@@ -72,10 +92,11 @@ def majority_type(rows: DataFrame) -> DataFrame:
     """Drops records of another entity type than a page's majority: with two or
     more records matched and one type over half of them, that type and unmatched
     records stay.  ``rows``: page_id, rec_idx, type (null if unmatched)."""
-    per = rows.where("type is not null").groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("_t", F.lower("type"))
+    per = rows.where("_t <> ''").groupBy("page_id", F.col("_t").alias("type")).agg(F.count(F.lit(1)).alias("n"))
     total = per.groupBy("page_id").agg(F.sum("n").alias("matched"), F.max_by("type", "n").alias("top"), F.max("n").alias("top_n"))
     firm = total.where("matched >= 2 and top_n * 2 > matched").select("page_id", "top")
-    return rows.join(firm, "page_id", "left").where("top is null or type is null or type = top").drop("top")
+    return rows.join(firm, "page_id", "left").where("top is null or _t is null or _t = top").drop("top", "_t")
 
 
 def entity_by_url(rows: DataFrame, entities: DataFrame) -> DataFrame:

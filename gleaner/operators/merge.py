@@ -51,10 +51,16 @@ def merge_into(saved: DataFrame | None, batch: DataFrame, key: str = "key", orde
 
 def skip_log(events: DataFrame) -> DataFrame:
     """Current skips from ordered events (seq, kind, page, url, reason; reason null
-    marks a success): the latest per (kind, page, url), unless a later success of
-    the page or profile cleared it."""
+    marks a success): the latest per (kind, page, url), unless a later success
+    cleared it.  A page's success clears all skips of that page, a profile's all
+    profile skips of its url on any page."""
     latest = F.row_number().over(Window.partitionBy("kind", "page", "url").orderBy(F.desc("seq")))
-    return events.withColumn("_r", latest).where("_r = 1 and reason is not null").drop("_r")
+    skips = events.where("reason is not null").withColumn("_r", latest).where("_r = 1").drop("_r")
+    won = events.where("reason is null")
+    pages = won.where("kind = 'Page'").groupBy("page").agg(F.max("seq").alias("_p"))
+    profiles = won.where("kind = 'Profile'").groupBy("url").agg(F.max("seq").alias("_u")).withColumn("kind", F.lit("Profile"))
+    rows = skips.join(pages, "page", "left").join(profiles, ["url", "kind"], "left")
+    return rows.where("seq > coalesce(_p, seq - 1) and seq > coalesce(_u, seq - 1)").select(*events.columns)
 
 
 def expand_locations(rows: DataFrame, column: str) -> DataFrame:

@@ -10,12 +10,12 @@ from ..functions import kinds as K
 from ..functions import text as T
 
 
-def resolve(asked: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+def resolve(asked: DataFrame, candidates: DataFrame, keys: list[str], strategies: list[str] | None = None) -> DataFrame:
     """One row per asked (keys, kind): the first plausible candidate in strategy
     order; else, but for contact kinds, the most confident implausible one at half
     its confidence, at least 1; else missing.  ``candidates``: keys, strategy,
-    value, confidence."""
-    order = F.array_position(F.array(*map(F.lit, C.STRATEGIES)), F.col("strategy"))
+    value, confidence; ``strategies`` is their order."""
+    order = F.array_position(F.array(*map(F.lit, strategies or C.STRATEGIES)), F.col("strategy"))
     rows = candidates.join(asked.select(*keys, "kind"), keys).withColumn("value", K.normal(F.col("kind"), F.col("value"))).where(F.col("value").isNotNull())
     rows = rows.withColumn("ok", K.plausible(F.col("kind"), F.col("value"))).where(F.col("ok") | ~F.col("kind").isin(C.CONTACT_KINDS)).withColumn("turn", order)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ok"), F.when(F.col("ok"), F.lit(0)).otherwise(-F.col("confidence")), "turn"))

@@ -34,6 +34,7 @@ class Scene:
     entities: DataFrame
     kinds: frozenset = frozenset()
     names: frozenset = frozenset()
+    pages: DataFrame | None = None
 
     def asked(self, *kinds: str, but: bool = False) -> DataFrame:
         """Records times fields of the given kinds (or all others)."""
@@ -61,9 +62,10 @@ def by_selector(scene: Scene, fields: list) -> DataFrame | None:
     for f in fields:
         if not f.selector:
             continue
-        hits = dom.select(scene.elems, f.selector, f.selector_type, scene.records.where("not is_document")).union(dom.select(scene.elems, f.selector, f.selector_type, scene.records.where("is_document")))
-        first = hits.groupBy("page_id", F.col("scope").alias("pre")).agg(F.min(F.col("pre")).alias("hit"))
-        value = dom.extracted(scene.elems, scene.texts, f.extraction_type, f.attribute).select("page_id", F.col("pre").alias("hit"), "value")
+        hits = dom.select(scene.elems, f.selector, f.selector_type, scene.records, scene.texts)
+        first = staged(hits.groupBy("page_id", F.col("scope").alias("pre")).agg(F.min(F.col("pre")).alias("hit")))
+        at = scene.elems.join(first.select("page_id", F.col("hit").alias("pre")).distinct(), ["page_id", "pre"], "left_semi")
+        value = dom.extracted(at, scene.texts, f.extraction_type, f.attribute, scene.nodes, scene.pages).select("page_id", F.col("pre").alias("hit"), "value")
         rows = scene.asked().where(F.col("ord") == f.ord).join(first, ["page_id", "pre"]).join(value, ["page_id", "hit"])
         one = _candidates(rows, "Selector", 0, F.col("value"), 99)
         out = one if out is None else out.union(one)
@@ -321,6 +323,11 @@ def by_hook(scene: Scene, provider) -> DataFrame:
     return _candidates(rows, "Ai", 0, F.col("value"), 60)
 
 
+def by_extra(name: str, rows: DataFrame) -> DataFrame:
+    """A registered strategy's rows (page_id, rec_idx, ord, value, confidence)."""
+    return _candidates(rows, name, 0, F.col("value"), F.col("confidence"))
+
+
 def first_way(candidates: DataFrame) -> DataFrame:
     """One candidate per record, field and strategy: its first way."""
     return candidates.withColumn("_r", F.row_number().over(Window.partitionBy(*KEY, "strategy").orderBy("sub"))).where("_r = 1").drop("_r")

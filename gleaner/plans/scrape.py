@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions import kinds as K
+from ..functions import urls as U
 from ..operators import detect, dom, links, merge, resolve, strategies
 from ..sources import shred
 from ..sources.stage import staged
@@ -32,19 +33,28 @@ class Field:
 @dataclass
 class Result:
     """``results``: long form, one row per page, record and field; the page tables
-    that led there come along."""
+    that led there come along.  ``found``: (page_id, found) records before the cap."""
 
     results: DataFrame
     records: DataFrame
     scene: strategies.Scene
     names: list[str] = field(default_factory=list)
+    found: DataFrame | None = None
+    notes: DataFrame | None = None
 
     def wide(self) -> DataFrame:
         return resolve.wide(self.results, self.names)
 
     def warnings(self) -> DataFrame:
+        """(page_id, name): required fields that some record lacks."""
         return resolve.required_warnings(self.results)
 
+    def notices(self) -> DataFrame:
+        """(page_id, warning): selectors without a match, records left out, required
+        fields missing."""
+        lacking = self.warnings().select("page_id", F.format_string("Required field '%s' could not be extracted for one or more records.", "name").alias("warning"))
+        return lacking.union(self.notes)
+
 
 def validated(fields: list[Field]) -> list[Field]:
     """Fields in order, or ValueError."""
@@ -61,6 +71,17 @@ def validated(fields: list[Field]) -> list[Field]:
     return [Field(**{**f.__dict__, "ord": i}) for i, f in enumerate(fields)]
 
 
+def validated_request(url: str, fields: list[Field], max_records: int = 200, max_pages: int = 1, max_profiles: int = 50, timeout_s: int = 20) -> list[Field]:
+    """The fields of a scrape request in order, or ValueError: URL length and the
+    ranges of its numbers."""
+    if not url.strip() or len(url) > C.MAX_URL:
+        raise ValueError(f"a URL of at most {C.MAX_URL} characters")
+    for name, value, least, most in (("max_records", max_records, 1, C.MAX_RECORDS), ("max_pages", max_pages, 1, C.MAX_PAGES), ("max_profiles", max_profiles, 1, C.MAX_PROFILES), ("timeout_s", timeout_s, 1, 30)):
+        if not least <= value <= most:
+            raise ValueError(f"{name}: {least} to {most}")
+    return validated(fields)
+
+
 def fields_table(spark: SparkSession, fields: list[Field]) -> DataFrame:
     """Fields as rows, kinds inferred, with their label tokens."""
     named = spark.createDataFrame([(f.ord, f.name, f.kind, f.required) for f in fields], "ord int, name string, kind string, required boolean")
@@ -68,42 +89,78 @@ def fields_table(spark: SparkSession, fields: list[Field]) -> DataFrame:
     return spark.createDataFrame([(f.ord, f.name, kinds[f.ord], f.required, K.tokens_of(f.name, kinds[f.ord])) for f in fields], "ord int, name string, kind string, required boolean, tokens array<string>")
 
 
-def scrape(pages: DataFrame, fields: list[Field], record_selector: str | None = None, max_records: int = 200, whole_page: bool = False, provider=None, collapse: bool = True) -> Result:
+def scrape(
+    pages: DataFrame, fields: list[Field], record_selector: str | None = None, max_records: int | None = 200, whole_page: bool = False, provider=None, collapse: bool = True,
+    selector_type: str = "Css", majority: bool = True, extra: dict | None = None,
+) -> Result:
     """Shred, find records, run every strategy and choose values.
 
-    ``pages``: page_id, url, html.  Records come from ``record_selector``, else
-    detection, else the whole page; ``whole_page`` forces the last (profiles)."""
+    ``pages``: page_id, url, html.  Records come from ``record_selector`` (a page
+    without a match has none, and a notice), else detection, else the whole page;
+    ``whole_page`` forces the last (profiles).  ``max_records`` a page, None for all.
+    ``majority`` drops records of another entity type than most.  ``extra``: name ->
+    strategy (a function of the scene that returns candidate rows), tried after the
+    others in this order."""
     spark = pages.sparkSession
     fields = validated(fields)
     table = fields_table(spark, fields)
     nodes = staged(shred.shred(pages))
     elems = staged(dom.elements(nodes))
     texts = staged(dom.visible_text(nodes))
+    entities = staged(shred.entities(nodes))
     if whole_page:
         found = elems.select("page_id", F.lit(0).alias("rec_idx"), "pre").where("false")
     elif record_selector:
-        hits = dom.select(elems, record_selector)
+        hits = dom.select(elems, record_selector, selector_type, texts=texts)
         found = hits.groupBy("page_id").agg(F.array_sort(F.collect_list("pre")).alias("m")).select("page_id", F.posexplode("m").alias("rec_idx", "pre"))
     else:
         found = detect.detect(elems, texts, table)
-    records = staged(detect.with_whole_pages(found.where(F.col("rec_idx") < min(max_records, C.MAX_RECORDS)), pages))
-    scene = strategies.Scene(records, table, nodes, elems, texts, staged(shred.entities(nodes)), frozenset(r.kind for r in table.collect()), frozenset(f.name.strip().lower() for f in fields))
-    results = staged(_extract(scene, fields, provider))
+    found = staged(found)
+    counts = found.groupBy("page_id").agg(F.count(F.lit(1)).alias("found"))
+    most = C.MAX_RECORDS if max_records is None else min(max_records, C.MAX_RECORDS)
+    kept = found if max_records is None else found.where(F.col("rec_idx") < most)
+    if majority and not whole_page:
+        kept = _of_majority(kept, elems, texts, entities, pages)
+    records = staged(detect.with_whole_pages(kept, pages) if not record_selector or whole_page else detect.numbered(kept))
+    scene = strategies.Scene(records, table, nodes, elems, texts, entities, frozenset(r.kind for r in table.collect()), frozenset(f.name.strip().lower() for f in fields), pages)
+    results = staged(_extract(scene, fields, provider, extra or {}))
     if collapse and not whole_page and not record_selector:
         flat = staged(merge.degenerate_pages(results))
         again = pages.join(flat, pages["page_id"].cast("long") == flat["page_id"], "left_semi")
         if not flat.isEmpty():
-            redone = scrape(again, fields, whole_page=True, provider=provider)
+            redone = scrape(again, fields, whole_page=True, provider=provider, extra=extra)
             results = results.join(flat, "page_id", "left_anti").unionByName(redone.results)
             records = records.join(flat, "page_id", "left_anti").unionByName(redone.records)
-    return Result(results, records, scene, [f.name for f in fields])
+            counts = counts.join(flat, "page_id", "left_anti")
+    over = F.format_string(f"Only the first {most} records were processed out of %d found.", "found")
+    notes = counts.where(F.col("found") > most).select("page_id", over.alias("warning")) if max_records is not None else counts.select("page_id", F.lit("").alias("warning")).where("false")
+    if record_selector and not whole_page:
+        missed = pages.select(F.col("page_id").cast("long")).join(counts, "page_id", "left_anti")
+        notes = notes.union(missed.select("page_id", F.lit("The record selector did not match any elements.").alias("warning")))
+    return Result(results, records, scene, [f.name for f in fields], counts, notes)
+
 
+def _of_majority(found: DataFrame, elems: DataFrame, texts: DataFrame, entities: DataFrame, pages: DataFrame) -> DataFrame:
+    """Records without those whose profile's entity has another type than most, in
+    order and numbered anew; pages whose entities have no url stay as they are."""
+    url = F.coalesce(F.col("leaves")["url"], F.col("leaves")["@id"])
+    told = staged(entities.where(url.isNotNull()))
+    with_urls = told.select("page_id").distinct()
+    asked = found.join(with_urls, "page_id", "left_semi")
+    near = elems.join(with_urls, "page_id", "left_semi")
+    profiles = links.profile_links(asked, near, links.anchors(near, texts, pages))
+    typed = links.entity_by_url(asked.join(profiles, ["page_id", "rec_idx"], "left"), told)
+    kept = links.majority_type(typed).select("page_id", "rec_idx", "pre")
+    turn = (F.row_number().over(Window.partitionBy("page_id").orderBy("rec_idx")) - 1).alias("rec_idx")
+    return found.join(with_urls, "page_id", "left_anti").select("page_id", "rec_idx", "pre").union(kept.select("page_id", turn, "pre"))
 
-def _extract(scene: strategies.Scene, fields: list[Field], provider) -> DataFrame:
+
+def _extract(scene: strategies.Scene, fields: list[Field], provider, extra: dict) -> DataFrame:
     state = strategies.by_state(scene, shred_state(scene.nodes)) if scene.kinds & {"Email", "Phone"} else None
     parts = [strategies.by_selector(scene, fields), strategies.by_structured_data(scene), state, strategies.by_semantics(scene), strategies.by_patterns(scene)]
     if provider is not None:
         parts.append(strategies.by_hook(scene, provider))
+    parts += [strategies.by_extra(name, make(scene)) for name, make in extra.items()]
     parts = [staged(p) for p in parts if p is not None]
     candidates = parts[0]
     for p in parts[1:]:
@@ -113,7 +170,7 @@ def _extract(scene: strategies.Scene, fields: list[Field], provider) -> DataFram
     barred = scene.records.where("is_document").join(scene.texts, ["page_id", "pre"]).where(F.lower("vtext").contains(C.CONTACT_UNAVAILABLE)).select("page_id", "rec_idx").withColumn("unavailable", F.lit(True))
     asked = asked.join(barred, ["page_id", "rec_idx"], "left").withColumn("unavailable", F.coalesce("unavailable", F.lit(False)))
     candidates = strategies.first_way(candidates).join(asked.where("unavailable").where(F.col("kind").isin(C.CONTACT_KINDS)).select(*strategies.KEY), strategies.KEY, "left_anti")
-    return resolve.resolve(asked, candidates, strategies.KEY)
+    return resolve.resolve(asked, candidates, strategies.KEY, [*C.STRATEGIES, *extra])
 
 
 def shred_state(nodes: DataFrame) -> DataFrame:
@@ -134,17 +191,72 @@ def shred_state(nodes: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "page_id long, told array<struct<key:string,value:string>>")
 
 
+def next_hops(pages: DataFrame) -> DataFrame:
+    """(url, next_url): where each page's next link leads, if that may be fetched."""
+    nodes = staged(shred.shred(pages))
+    elems = dom.elements(nodes).where("tag in ('a', 'link')")
+    found = links.next_links(links.anchors(elems, dom.visible_text(nodes, elems), pages))
+    urls = pages.select(F.col("page_id").cast("long"), "url")
+    return found.join(urls, "page_id").where(U.rejection(F.col("next_url")).isNull()).select("url", "next_url")
+
+
+def crawl(pages: DataFrame, starts: DataFrame, fields: list[Field], max_pages: int = 1, max_records: int = 200, **options) -> DataFrame:
+    """Listings followed over their next links within ``pages``: (root, page_number)
+    with the columns of ``scrape``'s results.  ``starts``: root, url.  A root keeps
+    its first ``max_records`` records over all its pages; a later page without
+    detected records has none."""
+    reached = staged(links.walk(starts, next_hops(pages), max_pages))
+    at = pages.select("page_id", F.lower("url").alias("_u")).groupBy("_u").agg(F.min("page_id").cast("long").alias("page_id"))
+    placed = staged(reached.join(at.withColumnRenamed("_u", "_v"), F.lower("url") == F.col("_v")).select("root", "page_number", "page_id"))
+    out = None
+    for first in (True, False):
+        turn = placed.where("page_number = 1" if first else "page_number > 1")
+        if first or not turn.isEmpty():
+            some = pages.join(turn.select(F.col("page_id").alias("_p")).distinct(), pages["page_id"].cast("long") == F.col("_p"), "left_semi")
+            got = scrape(some, fields, max_records=None, collapse=first, **options)
+            records = got.records if first else got.records.where("not is_document")
+            rows = got.results.join(records.select("page_id", "rec_idx"), ["page_id", "rec_idx"], "left_semi").join(turn, "page_id")
+            out = rows if out is None else out.unionByName(rows)
+    out = staged(out)
+    each = out.select("root", "page_number", "rec_idx").distinct()
+    kept = each.withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy("page_number", "rec_idx"))).where(F.col("_r") <= min(max_records, C.MAX_RECORDS)).drop("_r")
+    return out.join(kept, ["root", "page_number", "rec_idx"], "left_semi")
+
+
+def profile_plan(listing: Result, pages: DataFrame, max_profiles: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(urls, visits, skips) of a listing's profiles.  urls: (page_id, rec_idx,
+    profile_url) of all records.  visits: of every page, its own scrape, the first
+    record to name each URL that ``pages`` holds, ``max_profiles`` at most.  skips:
+    the others with a reason; their records keep the listing's data."""
+    s = listing.scene
+    urls = staged(links.profile_links(listing.records.where("not is_document"), s.elems, links.anchors(s.elems, s.texts, pages)))
+    first = F.row_number().over(Window.partitionBy("page_id", F.lower("profile_url")).orderBy("rec_idx"))
+    own = urls.withColumn("_r", first).where("_r = 1").drop("_r")
+    held = own.join(pages.select(F.lower("url").alias("_u")).distinct(), F.lower("profile_url") == F.col("_u"), "left").withColumn("here", F.col("_u").isNotNull()).drop("_u")
+    most = min(max_profiles, C.MAX_PROFILES)
+    turn = F.row_number().over(Window.partitionBy("page_id", "here").orderBy("rec_idx"))
+    placed = staged(held.withColumn("_r", turn))
+    reason = F.when(~F.col("here"), "Profile page not loaded").otherwise(f"Profile limit reached ({most})")
+    skips = placed.where(~F.col("here") | (F.col("_r") > most)).select("page_id", "rec_idx", F.lit("Profile").alias("kind"), F.col("profile_url").alias("url"), reason.alias("reason"))
+    return urls, placed.where(F.col("here") & (F.col("_r") <= most)).select("page_id", "rec_idx", "profile_url"), skips
+
+
 def deep(listing: Result, pages: DataFrame, fields: list[Field], max_profiles: int = 50, provider=None) -> DataFrame:
     """Listing results merged with their profile pages, found in ``pages`` by URL:
-    adds profile_url and visited.  Each profile counts once, the first
-    ``max_profiles``."""
-    s = listing.scene
-    anchors = links.anchors(s.elems, s.texts, pages)
-    urls = links.profile_links(listing.records.where("not is_document"), s.elems, anchors)
-    first = links.frontier(urls).orderBy("page_id", "rec_idx").limit(min(max_profiles, C.MAX_PROFILES))
-    wanted = pages.join(first.select(F.lower("profile_url").alias("_u")), F.lower(pages["url"]) == F.col("_u"), "left_semi")
+    adds profile_url and visited.  ``profile_plan`` says which are visited, and
+    lists the others as skips."""
+    urls, visits, _ = profile_plan(listing, pages, max_profiles)
+    wanted = pages.join(visits.select(F.lower("profile_url").alias("_u")).distinct(), F.lower(pages["url"]) == F.col("_u"), "left_semi")
     found = scrape(wanted, fields, whole_page=True, provider=provider)
-    by_url = found.results.join(pages.select(F.col("page_id").cast("long"), F.lower("url").alias("_u")), "page_id").drop("page_id", "rec_idx")
-    profile = first.select("page_id", "rec_idx", F.lower("profile_url").alias("_u")).join(by_url, "_u")
+    one = pages.groupBy(F.lower("url").alias("_u")).agg(F.min("page_id").cast("long").alias("page_id"))
+    by_url = found.results.join(one, "page_id").drop("page_id", "rec_idx")
+    profile = visits.select("page_id", "rec_idx", F.lower("profile_url").alias("_u")).join(by_url, "_u")
     merged = merge.merge_profiles(listing.results.drop("unavailable"), profile, ["page_id", "rec_idx"])
     return merged.join(urls, ["page_id", "rec_idx"], "left")
+
+
+def with_profile_url(wide: DataFrame, urls: DataFrame) -> DataFrame:
+    """Wide results with the column "Profile URL", where any record has one."""
+    if urls.where("profile_url is not null").isEmpty():
+        return wide
+    return wide.join(urls.select("page_id", "rec_idx", F.col("profile_url").alias("Profile URL")), ["page_id", "rec_idx"], "left")

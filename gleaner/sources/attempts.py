@@ -18,15 +18,38 @@ def outcome(status: Column, html: Column) -> Column:
     )
 
 
-def retry_wait_ms(attempt: Column, retry_after_s: Column) -> Column:
-    """Wait after a 429 in a single fetch: what the server asks, else doubling
-    from a second; at most 8 seconds."""
-    return F.least(F.coalesce(retry_after_s * 1000, F.pow(F.lit(2.0), attempt) * 1000), F.lit(8000.0)).cast("long")
+def retry_wait_ms(attempt: Column, retry_after_s: Column, retry_at: Column | None = None, now: Column | None = None) -> Column:
+    """Wait after a 429 in a single fetch: the seconds the server asks for, else
+    until the date it names (``retry_at``, if after ``now``), else doubling from a
+    second; at most 8 seconds."""
+    until = F.lit(None).cast("double")
+    if retry_at is not None:
+        gap = (F.unix_millis(retry_at) - F.unix_millis(F.current_timestamp() if now is None else now)).cast("double")
+        until = F.when(gap > 0, gap)
+    return F.least(F.coalesce(retry_after_s * 1000, until, F.pow(F.lit(2.0), attempt) * 1000), F.lit(8000.0)).cast("long")
 
 
-def backoff_s(attempt: Column, base: float = 30.0, most: float = 120.0) -> Column:
-    """Wait before a job's next attempt, without its random part."""
-    return F.least(F.pow(F.lit(2.0), attempt - 1) * base, F.lit(most))
+def retry_date(value: Column) -> Column:
+    """A Retry-After header's date; null for seconds or anything else."""
+    return F.try_to_timestamp(F.regexp_extract(value, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+
+
+def backoff_s(attempt: Column, base: float = 30.0, most: float = 120.0, jitter: Column | None = None) -> Column:
+    """Wait before a job's next attempt.  ``jitter``: a column from 0 to 1 (say
+    ``rand()``) that adds up to a fifth."""
+    base, most = max(base, 0.0), max(base, most, 0.0)
+    wait = F.least(F.pow(F.lit(2.0), attempt - 1) * base, F.lit(most))
+    return wait if jitter is None else wait * (1 + 0.2 * jitter)
+
+
+def page_delay_s(page: Column, draw: Column, least: float = 5.0, most: float = 15.0, every: int = 10, pause: float = 45.0) -> Column:
+    """Pause before a job's page: none before the first, else between ``least`` and
+    ``most`` (300 at most) by ``draw`` from 0 to 1, and ``pause`` more at every
+    ``every``-th."""
+    least = max(least, 0.0)
+    wait = least + draw * (max(least, min(most, C.MAX_DELAY_S)) - least)
+    longer = F.when(page % every == 0, max(pause, 0.0)).otherwise(0.0) if every > 0 else F.lit(0.0)
+    return F.when(page <= 1, 0.0).otherwise(wait + longer)
 
 
 def settled(attempts: DataFrame, retries: int = 3) -> DataFrame:

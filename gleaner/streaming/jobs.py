@@ -13,38 +13,93 @@ from ..operators.merge import merge_into
 
 
 def job_state(pages: DataFrame, stop_on_failure: bool = False) -> DataFrame:
-    """(job_id, status, last_completed_page, failed_pages, records_saved) from settled
-    pages (job_id, page, total_pages, outcome, records).  Pages run in order; a
+    """(job_id, status, total_pages, last_completed_page, failed_pages,
+    records_saved, last_error, skips) from settled pages (job_id, page,
+    total_pages, outcome, records; optionally detail).  Pages run in order; a
     Forbidden page, or any failed one with ``stop_on_failure``, blocks the job
-    there; other failures are noted and passed."""
+    there; other failures are noted and passed.  ``skips``: an item (page, kind,
+    reason) a failed page."""
+    detail = F.col("detail") if "detail" in pages.columns else F.lit("")
     w = Window.partitionBy("job_id").orderBy("page")
     failed = F.col("outcome") != "Success"
     stops = failed & ((F.col("outcome") == "Forbidden") | F.lit(stop_on_failure))
+    reason = F.concat_ws(" \u2014 ", "outcome", F.when(detail != "", detail))
     # A job has at most MAX_JOB_PAGES pages.
-    rows = pages.where(F.col("page") <= F.least("total_pages", F.lit(C.MAX_JOB_PAGES))).withColumn("failed", failed).withColumn("stops", stops)
+    rows = pages.withColumn("total_pages", F.least("total_pages", F.lit(C.MAX_JOB_PAGES))).where(F.col("page") <= F.col("total_pages")).withColumn("failed", failed).withColumn("stops", stops).withColumn("reason", reason)
     rows = rows.withColumn("before", F.coalesce(F.max(F.col("stops").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("before = 0")
     out = rows.groupBy("job_id").agg(
         F.max("stops").alias("blocked"), F.coalesce(F.max(F.when(~F.col("stops"), F.col("page"))), F.lit(0)).alias("last_completed_page"), F.array_sort(F.collect_set(F.when(F.col("failed"), F.col("page")))).alias("failed_pages"),
-        F.sum(F.when(F.col("failed"), 0).otherwise(F.col("records"))).cast("long").alias("records_saved"), F.max(F.least("total_pages", F.lit(C.MAX_JOB_PAGES))).alias("total"),
+        F.sum(F.when(F.col("failed"), 0).otherwise(F.col("records"))).cast("long").alias("records_saved"), F.max("total_pages").alias("total_pages"),
+        F.max_by(F.when(F.col("failed"), F.concat(F.lit("Page "), "page", F.lit(": "), "reason")), F.when(F.col("failed"), F.col("page"))).alias("last_error"),
+        F.array_sort(F.collect_list(F.when(F.col("failed"), F.struct("page", F.lit("Page").alias("kind"), "reason")))).alias("skips"),
     )
-    status = F.when(F.col("blocked"), "Blocked").when(F.col("last_completed_page") >= F.col("total"), "Completed").otherwise("Paused")
-    return out.select("job_id", status.alias("status"), "last_completed_page", "failed_pages", "records_saved")
+    status = F.when(F.col("blocked"), "Blocked").when(F.col("last_completed_page") >= F.col("total_pages"), "Completed").otherwise("Paused")
+    return out.select("job_id", status.alias("status"), "total_pages", "last_completed_page", "failed_pages", "records_saved", "last_error", "skips")
 
 
-def resume_from(state: DataFrame, from_page: int) -> DataFrame:
-    """State rewound so that ``from_page`` runs next."""
-    page = max(from_page, 1)
-    return state.withColumn("last_completed_page", F.least("last_completed_page", F.lit(page - 1))).withColumn("failed_pages", F.filter("failed_pages", lambda p: p < page)).withColumn("status", F.lit("Running"))
+def resume_from(state: DataFrame, from_page: int, saved: DataFrame | None = None) -> DataFrame:
+    """State rewound so that ``from_page`` (within 1 and the job's pages) runs next,
+    Paused until it does: failures and skips from there on go, and with ``saved``
+    records (job_id, page, visited) the visited profiles are counted anew."""
+    last = F.greatest(F.least(F.lit(from_page), F.greatest("total_pages", F.lit(1))), F.lit(1)) - 1
+    rows = state.withColumn("last_completed_page", last.cast(state.schema["last_completed_page"].dataType)).withColumn("status", F.lit("Paused"))
+    rows = rows.withColumn("failed_pages", F.filter("failed_pages", lambda p: p <= F.col("last_completed_page")))
+    if "skips" in state.columns:
+        rows = rows.withColumn("skips", F.filter("skips", lambda s: s["page"] <= F.col("last_completed_page")))
+    if saved is None:
+        return rows
+    kept = saved.where("visited").join(rows.select("job_id", "last_completed_page"), "job_id").where("page <= last_completed_page").groupBy("job_id").agg(F.count(F.lit(1)).alias("profiles_visited"))
+    return rows.drop("profiles_visited").join(kept, "job_id", "left").withColumn("profiles_visited", F.coalesce("profiles_visited", F.lit(0)))
 
 
 def retried(state: DataFrame, retry: DataFrame) -> DataFrame:
-    """State after a retry of failed pages: (job_id, page, outcome) rows that came
-    to Success leave the list; a job with none left and all pages done is
-    Completed, others Paused."""
-    fixed = retry.where("outcome = 'Success'").groupBy("job_id").agg(F.collect_set("page").alias("fixed"))
-    rows = state.join(fixed, "job_id", "left").withColumn("failed_pages", F.array_except("failed_pages", F.coalesce("fixed", F.array().cast("array<int>")))).drop("fixed")
-    done = (F.size("failed_pages") == 0) & (F.col("last_completed_page") >= F.col("total_pages"))
-    return rows.withColumn("status", F.when(done, "Completed").otherwise("Paused"))
+    """State after a retry of failed pages (job_id, page, outcome, records): pages
+    that came to Success leave the list and the skips, and their records count; a
+    job with none left and all pages done is Completed, others Paused.  A job
+    without failed pages stays as it is."""
+    asked = retry.join(state.select("job_id", F.explode("failed_pages").alias("page")), ["job_id", "page"])
+    records = F.col("records") if "records" in retry.columns else F.lit(0)
+    fixed = asked.where("outcome = 'Success'").groupBy("job_id").agg(F.collect_set("page").alias("fixed"), F.sum(records).alias("more"))
+    none = F.array().cast(state.schema["failed_pages"].dataType)
+    rows = state.join(fixed, "job_id", "left").withColumn("fixed", F.coalesce(F.col("fixed").cast(state.schema["failed_pages"].dataType), none))
+    touched = F.size("failed_pages") > 0
+    left = F.array_except("failed_pages", "fixed")
+    done = (F.size(left) == 0) & (F.col("last_completed_page") >= F.col("total_pages"))
+    values = {"status": F.when(~touched, F.col("status")).when(done, "Completed").otherwise("Paused"), "failed_pages": left, "records_saved": F.col("records_saved") + F.coalesce("more", F.lit(0))}
+    if "skips" in state.columns:
+        values["skips"] = F.filter("skips", lambda s: ~F.array_contains("fixed", s["page"]))
+    if "last_error" in state.columns:
+        values["last_error"] = F.when(touched & (F.size(left) == 0), F.lit(None)).otherwise(F.col("last_error"))
+    return rows.select(*(values[c].alias(c) if c in values else F.col(c) for c in state.columns))
+
+
+def capped_profiles(rows: DataFrame, max_profiles: int, job: str = "job_id") -> tuple[DataFrame, DataFrame]:
+    """Profiles (job, page, rec_idx, profile_url) a job visits, the first
+    ``max_profiles`` in order, and the others as skip items (page, kind, url,
+    reason): their records keep the listing's data."""
+    turn = F.row_number().over(Window.partitionBy(job).orderBy("page", "rec_idx"))
+    placed = rows.where("profile_url is not null").withColumn("_r", turn)
+    over = placed.where(F.col("_r") > max_profiles)
+    reason = F.lit(f"Profile limit reached ({max_profiles}) \u2014 only the listing data was saved")
+    return placed.where(F.col("_r") <= max_profiles).drop("_r"), over.select(job, "page", F.lit("Profile").alias("kind"), F.col("profile_url").alias("url"), reason.alias("reason"))
+
+
+def save_state(state: DataFrame, path: str, stamp=None) -> None:
+    """Job states as JSON lines, stamped; a reader sees the old or the new table,
+    as the write is committed as a whole into a folder of its own."""
+    state.withColumn("updated_at", F.current_timestamp() if stamp is None else stamp).write.mode("overwrite").json(path)
+
+
+def load_state(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:
+    """Saved job states; of one job none or one row."""
+    schema = "job_id string, status string, total_pages int, last_completed_page long, failed_pages array<long>, records_saved long, last_error string, skips array<struct<page:long,kind:string,reason:string>>, updated_at timestamp"
+    out = spark.read.schema(schema).json(path)
+    return out if job_id is None else out.where(F.col("job_id") == job_id)
+
+
+def load_records(spark: SparkSession, path: str, schema: str = "key string, page long, fields map<string,string>, profile_url string") -> DataFrame:
+    """Saved records from JSON lines; blank lines are left."""
+    return spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 class VersionedTable:
