@@ -94,6 +94,18 @@ def slices(batch, column: int, limit: int = 4 << 20):
         yield batch.slice(begin)
 
 
+def join_by_key(rows: DataFrame, sizes: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` (``total`` of them) with the columns of ``sizes``, which has one row a
+    key and counts the key's rows as ``n``.  Keys with over ``1 / HUB_SHARE`` of all
+    rows, so at most ``HUB_SHARE`` of them, are broadcast; others meet by a shuffle."""
+    held = F.struct(*(c for c in sizes.columns if c != key))
+    kept = sizes.select(key, held.alias("_held"))
+    hot = F.broadcast(kept.where(F.col("_held.n") > max(64, total // HUB_SHARE)).withColumnRenamed("_held", "_hot"))
+    told = rows.join(hot, key, "left")
+    cold = told.where("_hot is null").drop("_hot").join(kept, key)
+    return cold.unionByName(told.where("_hot is not null").withColumnRenamed("_hot", "_held")).select(*rows.columns, "_held.*")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) links -> (id, component): the smallest id reachable by links, for
     every id in a link.

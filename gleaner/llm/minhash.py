@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release, slices, small_batches, spanning_labels
+from .common import connected_components, join_by_key, materialize, release, slices, small_batches, spanning_labels
 
 WORDS = 5
 HALVES = 17
@@ -202,25 +202,30 @@ def _common_counts(left: list, right: list) -> np.ndarray:
 
 
 def _groups(clusters: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, doc) of what is to be compared with each other: a small cluster (id,
-    component) as a whole, of a large one the documents of each first half."""
-    rows = clusters.select(F.col("id").alias("doc"), F.col("component").alias("cluster")).join(classes.select("doc", "n_shingles", "first"), "doc")
-    sizes = rows.groupBy("cluster").agg(((F.sum("n_shingles") * 8 > BLOCK_BYTES) | (F.count(F.lit(1)) > BLOCK_ROWS)).alias("large"))
-    rows = materialize(rows.join(sizes, "cluster"), "near-clusters")
-    halves = rows.where("large").select("doc", F.posexplode("first").alias("turn", "half")).select(F.xxhash64("turn", "half").alias("key"), "doc").distinct()
-    seen = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("y")).where("n > 1")
-    once = seen.groupBy("n", "x", "y").agg(F.min("key").alias("key"))  # halves of the same members
-    return rows.where("not large").select(F.xxhash64("cluster").alias("key"), "doc").distinct().union(halves.join(once, "key", "left_semi"))
+    """(key, doc, blocks) of what is to be compared with each other, in how many
+    blocks: a small cluster (id, component) as a whole, of a large one the
+    documents of each first half."""
+    rows = clusters.select(F.col("id").alias("doc"), F.col("component").alias("cluster")).join(classes.select("doc", F.col("n_shingles").alias("size"), "first"), "doc")
+    rows = materialize(rows, "near-clusters")
+    blocks = F.ceil(F.greatest(F.sum("size") * 8 / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks")
+    n = F.count(F.lit(1)).alias("n")
+    placed = materialize(join_by_key(rows, rows.groupBy("cluster").agg(n, blocks), "cluster", rows.count()).drop("n"), "near-placed")
+    halves = placed.where("blocks > 1").select("doc", "size", F.posexplode("first").alias("turn", "half")).select(F.xxhash64("turn", "half").alias("key"), "doc", "size").distinct()
+    halves = materialize(halves, "near-halves")
+    seen = halves.groupBy("key").agg(n, blocks, F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("y")).where("n > 1")
+    once = seen.groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "blocks"), "key").alias("k")).select("k.*", "n")  # halves of the same members
+    large = join_by_key(halves.select("key", "doc"), once, "key", halves.count()).drop("n")
+    return placed.where("blocks = 1").select(F.xxhash64("cluster").alias("key"), "doc", "blocks").distinct().unionByName(large)
 
 
 def compare_groups(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) links between the components of each group's documents, spanning
-    those that its links join; ``members``: key, doc, held, c (component)."""
-    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.sum(F.octet_length("held")) / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"))
-    rows = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    those that its links join; ``members``: key, doc, blocks, held, c (component)."""
+    rows = members.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # A document meets its own block and every other: one task a pair of blocks.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "held", "c")
+    rows = rows.withColumn("unit", F.concat_ws(":", "key", "i", "j"))
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -239,7 +244,7 @@ def compare_groups(members: DataFrame, percent: int) -> DataFrame:
         tied = np.flatnonzero(root != np.arange(len(root)))
         return pa.table([owner[tied], owner[root[tied]]], schema=arrow)
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("unit").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -47,10 +47,9 @@ def test_rows_of_one_doc_id_are_one_document(spark):
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted([(3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (5, 3, False), (4, 3, False), (6, 6, True), (7, 7, True), (7, 7, True)])
 
 
-def test_blocks_find_what_pairs_find(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", 3)
+def test_blocks_find_what_pairs_find(spark):
     sets = {i: minhash.shingles(" ".join(str(k) for k in range(i, i + 40))) for i in range(10)}
-    rows = spark.createDataFrame([(1, i, bytearray(s.tobytes()), i) for i, s in sets.items()], "key long, doc long, held binary, c long")
+    rows = spark.createDataFrame([(1, i, bytearray(s.tobytes()), i, 4) for i, s in sets.items()], "key long, doc long, held binary, c long, blocks int")
     found = {(r.a, r.b) for r in minhash.compare_groups(rows, 75).collect()}
     label = list(range(10))
     for _ in range(10):
@@ -79,3 +78,13 @@ def test_hubs_and_long_texts(spark, monkeypatch):
     assert {got[100 + i] for i in range(0, 300, 4)} == {100} and {got[1000 + i] for i in range(300)} == {1000}
     edges = spark.createDataFrame([(i, 0) for i in range(1, 200)] + [(i, 1000) for i in range(900, 1000)] + [(199, 900)], "a long, b long")
     assert {r.component for r in common.connected_components(edges).collect()} == {0}
+
+
+def test_join_by_key_keeps_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.llm import common
+
+    rows = spark.range(9000).select(F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 97).alias("k"), "id")
+    out = common.join_by_key(rows, rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k", 9000)
+    assert out.columns == ["k", "id", "n"] and out.count() == 9000 and out.where("k = 0").select("n").distinct().count() == 1
