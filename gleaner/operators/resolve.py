@@ -19,7 +19,7 @@ def resolve(asked: DataFrame, candidates: DataFrame, keys: list[str], strategies
     rows = candidates.join(asked.select(*keys, "kind"), keys).withColumn("value", K.normal(F.col("kind"), F.col("value"))).where(F.col("value").isNotNull())
     rows = rows.withColumn("ok", K.plausible(F.col("kind"), F.col("value"))).where(F.col("ok") | ~F.col("kind").isin(C.CONTACT_KINDS)).withColumn("turn", order)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ok"), F.when(F.col("ok"), F.lit(0)).otherwise(-F.col("confidence")), "turn"))
-    best = rows.withColumn("_r", rank).where("_r = 1").select(*keys, "value", F.col("strategy").alias("source"), F.when(F.col("ok"), F.col("confidence")).otherwise(F.greatest(F.lit(1), F.floor(F.col("confidence") / 2).cast("int"))).alias("confidence"))
+    best = rows.withColumn("_r", rank).where("_r = 1").select(*keys, "value", F.when(F.col("strategy") == "NextData", "StructuredData").otherwise(F.col("strategy")).alias("source"), F.when(F.col("ok"), F.col("confidence")).otherwise(F.greatest(F.lit(1), F.floor(F.col("confidence") / 2).cast("int"))).alias("confidence"))
     out = asked.join(best, keys, "left").withColumn("is_missing", F.col("value").isNull())
     out = out.withColumn("source", F.coalesce("source", F.lit("None"))).withColumn("confidence", F.coalesce("confidence", F.lit(0)))
     return out.withColumn("level", T.confidence_level(F.col("confidence")))

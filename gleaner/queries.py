@@ -66,7 +66,8 @@ WHERE href LIKE '/%'""")
 def page_links(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages").withColumn("url", F.lower("url"))
     nodes = shred.shred(pages)
-    found = links.anchors(dom.elements(nodes), dom.visible_text(nodes), pages)
+    e = dom.elements(nodes)
+    found = links.anchors(e, dom.visible_text(nodes, e.where("tag in ('a', 'link')")), pages)
     return found.where(F.col("href").startswith("/")).select("page_id", "href", "target")
 
 
@@ -83,7 +84,8 @@ SELECT page_id, trim(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1))
 def selector_xpath(spark, sf_dir):
     nodes = shred.shred(_t(spark, sf_dir, "pages"))
     e = dom.elements(nodes)
-    return dom.select(e, "//body/div[@class='ad']", "XPath").join(dom.extracted(e, dom.visible_text(nodes), "Text"), ["page_id", "pre"]).select("page_id", F.col("value").alias("ad"))
+    hits = dom.select(e, "//body/div[@class='ad']", "XPath")
+    return hits.join(dom.extracted(e, dom.visible_text(nodes, hits), "Text"), ["page_id", "pre"]).select("page_id", F.col("value").alias("ad"))
 
 
 @query("""
@@ -165,12 +167,14 @@ _SYN = ", ".join(f"('{k}', '{t.replace(chr(39), chr(39) * 2)}', {i})" for i, (k,
 
 
 @query(f"""
-WITH f(name) AS (VALUES {", ".join(f"('{n}')" for n in _NAMES)}), s(kind, token, ord) AS (VALUES {_SYN}),
+WITH f(name) AS (VALUES {", ".join(f"('{n}')" for n in _NAMES)} UNION SELECT p_name || ' ' || lower(p_type) FROM part UNION SELECT n_name FROM nation), s(kind, token, ord) AS (VALUES {_SYN}),
 m AS (SELECT f.name, s.kind, row_number() OVER (PARTITION BY f.name ORDER BY (lower(trim(f.name)) = s.token) DESC, CASE WHEN lower(trim(f.name)) = s.token THEN 0 ELSE -length(s.token) END, s.ord) AS r
   FROM f JOIN s ON trim(f.name) <> '' AND (contains(lower(trim(f.name)), s.token) OR contains(s.token, lower(trim(f.name)))))
 SELECT f.name, coalesce(m.kind, 'Text') AS kind FROM f LEFT JOIN m ON m.name = f.name AND m.r = 1""")
 def kind_inference(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").withColumn("kind", K.infer_kind(F.col("name")))
+    given = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    held = _t(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), F.lower("p_type"))).union(_t(spark, sf_dir, "nation").select("n_name"))
+    return given.union(held).distinct().withColumn("kind", K.infer_kind(F.col("name")))
 
 
 @query("""
@@ -238,8 +242,11 @@ def _money(c):
 
 
 def _cards(spark, sf_dir, wrap: int = 0, ld: bool = False, constant: bool = False):
-    """One listing page per nation, a card per supplier: heading, fee, link."""
+    """Listing pages of a nation's suppliers, up to 100 a page, a card each:
+    heading, fee, link."""
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.concat(F.lit("Dr Ann "), F.regexp_replace("s_name", "[^A-Za-z]", ""), F.lit(" "), F.translate(F.col("s_suppkey").cast("string"), "0123456789", "ABCDEFGHIJ")).alias("name"), _money(F.col("s_acctbal")).alias("fee"))
+    turn = F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
+    s = s.withColumn("s_nationkey", F.col("s_nationkey").cast("long") * 100000 + F.floor(turn / 100))
     if constant:
         s = s.withColumn("name", F.lit("Dr Ann Same")).withColumn("fee", F.lit("£7"))
     card = F.concat(F.lit('<div class="card"><h2><a href="/p/'), F.col("s_suppkey"), F.lit('">'), F.col("name"), F.lit('</a></h2><p class="intro">Practice of long standing in town</p><span class="fee">'), F.col("fee"), F.lit("</span></div>"))
@@ -257,8 +264,9 @@ def _cards(spark, sf_dir, wrap: int = 0, ld: bool = False, constant: bool = Fals
     html = F.concat(F.lit("<html><body><nav><ul><li>Home</li><li>All</li><li>More</li></ul></nav><main><section>"), F.col("cards"), F.lit("</section></main>"), script, F.lit("<footer>Fee £1</footer></body></html>"))
     return p.select(F.col("s_nationkey").cast("long").alias("page_id"), F.concat(F.lit("https://list.example.com/n/"), F.col("s_nationkey")).alias("url"), html.alias("html"))
 
-_SUPP = """(SELECT s_suppkey, CAST(s_nationkey AS BIGINT) AS page_id, 'Dr Ann ' || regexp_replace(s_name, '[^A-Za-z]', '', 'g') || ' ' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS name,
-  '£' || CAST(CAST(round(abs(s_acctbal), 0) AS BIGINT) AS VARCHAR) AS fee, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS rec_idx, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier)"""
+_PAGE = "s_nationkey::BIGINT * 100000 + (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1) // 100"
+_SUPP = f"""(SELECT s_suppkey, page_id, 'Dr Ann ' || regexp_replace(s_name, '[^A-Za-z]', '', 'g') || ' ' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ') AS name,
+  '£' || CAST(CAST(round(abs(s_acctbal), 0) AS BIGINT) AS VARCHAR) AS fee, CAST(row_number() OVER (PARTITION BY page_id ORDER BY s_suppkey) - 1 AS INTEGER) AS rec_idx, count(*) OVER (PARTITION BY page_id) AS n FROM (SELECT *, {_PAGE} AS page_id FROM supplier) p)"""
 _FIELDS = [plan.Field("Name"), plan.Field("Fee")]
 
 
@@ -291,7 +299,7 @@ def jsonld_flatten(spark, sf_dir):
     return e.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("leaves")["name"]).alias("first_name"))
 
 
-@query("""SELECT CAST(s_nationkey AS BIGINT) AS page_id, CAST(1 AS BIGINT) AS n_records FROM supplier GROUP BY s_nationkey""")
+@query(f"""SELECT page_id, CAST(1 AS BIGINT) AS n_records FROM {_SUPP} s GROUP BY page_id""")
 def degenerate_collapse(spark, sf_dir):
     """Cards that all say the same are one whole-page record."""
     out = plan.scrape(_cards(spark, sf_dir, constant=True), _FIELDS)
@@ -430,12 +438,18 @@ def retry_waits(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", wait.alias("wait_ms"), attempts.backoff_s(e % 5 + 1).alias("backoff_s"), T.progress(e % 7, e % 10).alias("progress"))
 
 
-@query("""
-SELECT kind, page, url, reason, seq FROM (SELECT *, row_number() OVER (PARTITION BY kind, page, url ORDER BY seq DESC) AS r FROM (
-  SELECT event_type AS kind, user_id AS page, 'u' || CAST(user_id % 3 AS VARCHAR) AS url, CASE WHEN event_id % 4 > 0 THEN 'r' || CAST(event_id % 4 AS VARCHAR) END AS reason, event_id AS seq FROM events) t) u WHERE r = 1 AND reason IS NOT NULL""")
+_LOG = """(SELECT CASE WHEN event_id % 3 = 0 THEN 'Page' ELSE 'Profile' END AS kind, user_id % 40 AS page, 'u' || CAST(user_id % 7 AS VARCHAR) AS url, CASE WHEN event_id % 25 > 0 AND event_id % 26 > 0 THEN 'r' || CAST(event_id % 4 AS VARCHAR) END AS reason, event_id AS seq FROM events)"""
+
+
+@query(f"""
+WITH e AS {_LOG}, s AS (SELECT *, row_number() OVER (PARTITION BY kind, page, url ORDER BY seq DESC) AS r FROM e WHERE reason IS NOT NULL)
+SELECT kind, page, url, reason, seq FROM s WHERE r = 1
+  AND NOT EXISTS (SELECT 1 FROM e WHERE e.reason IS NULL AND e.kind = 'Page' AND e.page = s.page AND e.seq > s.seq)
+  AND NOT EXISTS (SELECT 1 FROM e WHERE e.reason IS NULL AND e.kind = 'Profile' AND s.kind = 'Profile' AND e.url = s.url AND e.seq > s.seq)""")
 def skip_log(spark, sf_dir):
     e = F.col("event_id")
-    rows = _t(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("page"), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("url"), F.when(e % 4 > 0, F.concat(F.lit("r"), (e % 4).cast("string"))).alias("reason"), e.alias("seq"))
+    reason = F.when((e % 25 > 0) & (e % 26 > 0), F.concat(F.lit("r"), (e % 4).cast("string")))
+    rows = _t(spark, sf_dir, "events").select(F.when(e % 3 == 0, "Page").otherwise("Profile").alias("kind"), (F.col("user_id") % 40).alias("page"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("url"), reason.alias("reason"), e.alias("seq"))
     return merge.skip_log(rows)
 
 
@@ -460,3 +474,6 @@ def csv_rows(spark, sf_dir):
 def required_warnings(spark, sf_dir):
     out = plan.scrape(_cards(spark, sf_dir), [*_FIELDS, plan.Field("Rating", required=True)])
     return out.warnings()
+
+
+from . import value_queries  # noqa: E402, F401  registers its queries here
