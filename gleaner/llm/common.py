@@ -146,8 +146,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e, old = materialize(star(star(e, True, before[0]), False, before[0]), "edges"), e
-        release(old)
+        half = materialize(star(e, True, before[0]), "edges")
+        release(e)
+        e = materialize(star(half, False, before[0]), "edges")
+        release(half)
         now = mark(e)
         if now == before:
             break

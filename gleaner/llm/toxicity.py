@@ -134,7 +134,7 @@ def _regress(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) ->
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_features: int = 4096, min_z: float = 2.0, penalty: float = 1e-4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_features: int = 2048, min_z: float = 2.0, penalty: float = 1e-4) -> ToxicityModel:
     """Learn from at most ``max_per_class`` labelled rows of either class, those
     with the smallest hash of doc_id; ``docs`` may be filtered beforehand."""
     spark = docs.sparkSession
@@ -165,13 +165,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_featu
         for batch in batches:
             for part in slices(batch, 0):
                 row, bucket = _hits(part.column("text").to_pylist(), shared.value)
+                at = np.searchsorted(buckets, bucket).astype("<u2")
                 cuts = np.searchsorted(row, np.arange(len(part) + 1))
-                yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic"), "found": pa.array([bucket[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic"), "found": pa.array([at[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
-    rows = sample.mapInArrow(present, "toxic int, found array<long>").collect()
+    # At most 2 * max_per_class rows of at most max_features numbers of two bytes.
+    rows = sample.mapInArrow(present, "toxic int, found binary").collect()
     x = np.zeros((len(rows), len(buckets)), np.float32)
     for i, r in enumerate(rows):
-        x[i, np.searchsorted(buckets, np.asarray(r.found, np.int64))] = 1
+        x[i, np.frombuffer(r.found, "<u2")] = 1
     x *= ratio.astype(np.float32)
     w, b = _regress(x, np.array([r.toxic for r in rows], float), penalty)
     return ToxicityModel(buckets, w * ratio, b)
