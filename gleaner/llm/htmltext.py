@@ -3,7 +3,7 @@
 Every page is cut into blocks under the elements that hold them.  An element's
 score is the unlinked text of its own blocks plus half of that one container
 below; the best container's generalised path (tags and class names without
-digits, from the root) gets the page's vote, weighted by its share of the page.
+digits, from the root, kept as a 64-bit digest) gets the page's vote, weighted by its share of the page.
 Spark sums the votes per host, and every page is read again under the host's
 ``PATHS`` highest paths: the first that the page has and that holds text is taken,
 else the page's own best container.
@@ -28,11 +28,14 @@ import html as _html
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, small_batches
 
+#: Paths of a host that are tried; ones beyond won fewer votes, and the page's own
+#: best container stands behind them, so no page is left empty by this.
 PATHS = 5
 _TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*)"
@@ -88,7 +91,8 @@ class Page:
     text in them: (element, text, characters in links)."""
 
     def __init__(self, source: str):
-        self.tag, self.path, self.parent, self.noise, self.named = ["#"], [""], [-1], [False], [0]
+        self.tag, self.path, self.parent, self.noise, self.named = ["#"], [0], [-1], [False], [0]
+        self.count: dict[str, int] = {}
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
         if any(self.named):
@@ -115,12 +119,15 @@ class Page:
                     links[0] += len(text)
 
         def close(tag: str) -> None:
+            if not self.count.get(tag):
+                return
             for i in range(len(stack) - 1, 0, -1):
                 if self.tag[stack[i]] == tag:
                     if tag not in _INLINE:
                         flush()
                     for x in stack[i:]:
                         inside[0] -= self.tag[x] == "a"
+                        self.count[self.tag[x]] -= 1
                     del stack[i:]
                     return
                 if tag in _INLINE and self.tag[stack[i]] not in _INLINE:
@@ -146,7 +153,7 @@ class Page:
                 if tag not in _INLINE:
                     flush()
                     ends = _CLOSES.get(tag)
-                    while ends and (hit := next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] in ends or self.tag[stack[i]] in _SCOPE), 0)) and self.tag[stack[hit]] in ends:
+                    while ends and any(self.count.get(t) for t in ends) and (hit := next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] in ends or self.tag[stack[i]] in _SCOPE), 0)) and self.tag[stack[hit]] in ends:
                         close(self.tag[stack[hit]])
                 elif tag == "br":
                     take(" ")
@@ -175,11 +182,12 @@ class Page:
                 elif key in ("class", "id", "aria-label") and tag not in ("html", "body", "article", "main") and tag not in _INLINE:
                     named = max(named, *(_named(x) for x in ([value] if key == "aria-label" else value.split())), 0)
         self.tag.append(tag)
-        self.path.append(self.path[up] if tag in _INLINE else f"{self.path[up]}/{name}")
+        self.path.append(self.path[up] if tag in _INLINE else xxhash.xxh3_64_intdigest(name.encode("utf-8", "replace"), seed=self.path[up]))
         self.parent.append(up)
         self.noise.append(noise)
         self.named.append(named)
         stack.append(len(self.tag) - 1)
+        self.count[tag] = self.count.get(tag, 0) + 1
 
     def _drop_named(self) -> None:
         """Blocks in elements that are noise by name go, unless the article would."""
@@ -247,12 +255,12 @@ def votes(pages: DataFrame) -> DataFrame:
                     page = Page(source or "")
                     node, share = page.best()
                     if node:
-                        key = host, page.path[node]
+                        key = host, page.path[node] - (1 << 63)
                         held[key] = held.get(key, 0.0) + share
                 if held:
                     yield pa.RecordBatch.from_pydict({"host": [h for h, _ in held], "path": [p for _, p in held], "vote": list(held.values())})
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, vote double").groupBy("host", "path").agg(F.sum("vote").alias("vote"))
+    return pages.select("host", "html").mapInArrow(run, "host string, path long, vote double").groupBy("host", "path").agg(F.sum("vote").alias("vote"))
 
 
 def extract(pages: DataFrame, max_broadcast_hosts: int = 20_000) -> DataFrame:
@@ -274,7 +282,7 @@ def extract(pages: DataFrame, max_broadcast_hosts: int = 20_000) -> DataFrame:
                     page = Page(source or "")
                     text = ""
                     for path in paths or []:
-                        if text := page.text({i for i, p in enumerate(page.path) if p == path}):
+                        if text := page.text({i for i, p in enumerate(page.path) if p == path + (1 << 63)}):
                             break
                     texts.append(text or page.text({page.best()[0]}))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

@@ -47,6 +47,23 @@ def test_html_keeps_the_article(source, want, unwanted):
     assert all(w in text for w in want) and not any(w in text for w in unwanted), text
 
 
+@pytest.mark.parametrize("wrapper", ["layout has-sidebar", "content no-comments", "page promo-off", "side-by-side", "theme-menu-open", "with-banner", "is-search-hidden"])
+def test_html_wrappers_keep_the_article(wrapper):
+    page = htmltext.Page(f'<div class="{wrapper}"><article><p>ONE {LONG}</p></article></div>')
+    assert page.text({page.best()[0]}).startswith("ONE")
+
+
+def test_html_deep_hot_and_odd_pages(spark):
+    deep = "<div>" * 20_000 + "deep text here" + "</p>" * 20_000 + "</div>" * 20_000
+    rows = [(i, "http://hot.org/p", f"<div class='x'><p>Text {i} {LONG}</p></div>") for i in range(40)] + [(100, "http://hot.org/d", deep), (1, "http://hot.org/p", f"<div class='x'><p>Text 1 {LONG}</p></div>"), (None, None, "<p>a</p>"), (101, "http://o.org", "x" * 400_000)]
+    pages = spark.createDataFrame([(*r, "t", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    near, far = ({(r.page_id, r.text, r.n_chars) for r in htmltext.extract(pages, max_broadcast_hosts=k).collect()} for k in (20_000, 0))
+    assert near == far and len(near) == 43
+    texts = {p: t for p, t, _ in near}
+    assert texts[100] == "deep text here" and texts[7].startswith("Text 7") and texts[None] == "a" and len(texts[101]) == 400_000
+    assert htmltext.extract(pages.where(F.lit(False))).count() == 0
+
+
 @pytest.mark.parametrize(("left", "right"), [("ID:", ""), ("(", ")"), ("#", ""), ('"id":"', '"'), ("no. ", ", ok")])
 def test_pii_discovers_glued_identifiers(spark, left, right):
     rows = [(i, f"w{'abcdef'[i]} {left}u{'abcdef'[i]}@x.org{right} v{'abcdef'[i]}") for i in range(6)]
@@ -54,3 +71,57 @@ def test_pii_discovers_glued_identifiers(spark, left, right):
     got = {x.doc_id: x.spans for x in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     at = 5 + len(left)
     assert got[9] == f"context:{at}:{at + 7}" and got[10] == "" and got[11] == ""
+
+
+def test_pii_scores_by_brute_force(spark):
+    """Pattern scores recomputed from the scanned hits by plain loops."""
+    import random
+    import re
+
+    r = random.Random(5)
+    forms = ["id: {}", "ref={};", "({})", "account {} now", "see {}"]
+    rows = []
+    for i in range(120):
+        hit = r.choice([f"u{i % 40}@x.org", f"QX{i % 25}9812", f"A{i % 7}-1234"])
+        rows.append((i, f"{r.choice(['the', 'a', 'id', 'ref'])} {r.choice(forms).format(hit)} {r.choice(['and', 'or', 'id:', 'account'])}"))
+    docs = spark.createDataFrame([*rows, (None, None), (3, rows[3][1])], "doc_id long, text string")
+    met = pii.scan(docs).select(F.explode("met").alias("m")).select("m.*")
+    got = {x.pattern: x.score for x in pii.learn(met, docs).collect()}
+    edges, seeds = {}, set()
+    for m in met.collect():
+        for p in m.patterns:
+            if len(p) > 2:
+                edges.setdefault(p, {}).setdefault(m.value, 0)
+                edges[p][m.value] += 1
+        if m.seed:
+            seeds.add(m.value)
+    mark = r"[^\sA-Za-z0-9]"
+    words = {}
+    for x in docs.collect():
+        low = (x.text or "").lower()
+        for pattern in [rf"[a-z]+|[0-9]+|{mark}", *(rf"[a-z]+{mark}{{{k}}}" for k in (1, 2, 3))]:
+            for w in re.findall(pattern, low):
+                words[w] = words.get(w, 0) + 1
+    edges = {p: e for p, e in edges.items() if len(e) >= 3 and p[2:] in words}
+    trust = {v: float(v in seeds) for e in edges.values() for v in e}
+    for _ in range(3):
+        scores = {p: min(sum(trust[v] * n for v, n in e.items()) / words[p[2:]], 0.99) for p, e in edges.items() if sum(trust[v] >= 0.5 for v in e) >= 3}
+        miss = dict.fromkeys(trust, 1.0)
+        for p, e in edges.items():
+            for v in e:
+                miss[v] *= 1 - scores.get(p, 0.0)
+        trust = {v: 1.0 if v in seeds else 1 - m for v, m in miss.items()}
+    want = {p: s for p, s in scores.items() if s >= 0.5}
+    assert want and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+
+
+def test_many_hits_in_one_text(spark):
+    """Over several chunks of matches: offsets, overlaps and redaction stay right."""
+    text = " ".join(f"log {i * 7919 % 99991}ab u{i}@x.org" for i in range(1500))
+    docs = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    row = pii.scan(docs).first()
+    assert len(row.email) == 1500 and all(text[s.start : s.end].endswith("@x.org") for s in row.email)
+    loose = [m for m in row.met if not m.seed]
+    assert all(text[m.start : m.end].lower() == m.value for m in loose) and len(loose) == sum(len(w) >= 4 and w.endswith("ab") for w in text.split())
+    told = [r.text for r in pii.redact(docs, floor=2.0).collect()]
+    assert told == [" ".join("<EMAIL>" if w.endswith("@x.org") else w for w in text.split(" "))] * 2
