@@ -32,6 +32,7 @@ from .common import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
 _NULL = "\u0000null"
+_MADE = ("mix_source", "mix_lang", "mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_kept")
 
 
 def token_count(text: Column) -> Column:
@@ -139,7 +140,9 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
     """``docs`` with mix_topic, mix_tokens, mix_weight, mix_probability and
     mix_kept.  ``targets``: per dimension a table (value, share); by default the
     present shares raised to ``power``.  ``budget``: expected tokens to keep, by
-    default ``share`` of all."""
+    default ``share`` of all.  Columns of ``docs`` that have such a name already get
+    "_before" behind it."""
+    docs = docs.withColumnsRenamed({c: f"{c}_before" for c in _MADE if c in docs.columns})
     topic = form_topic(F.col("text")) if topic is None else topic
     key = {"source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "topic": topic}
     keyed = docs.select(*docs.columns, *(F.coalesce(c, F.lit(_NULL)).alias(f"mix_{d}") for d, c in key.items()), token_count(F.col("text")).alias("mix_tokens"))
@@ -158,4 +161,4 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: flo
 
 def drawn(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows, with the columns of ``docs``."""
-    return mix(docs, **options).where("mix_kept").select(*docs.columns)
+    return mix(docs, **options).where("mix_kept").select(*(F.col(f"{c}_before").alias(c) if c in _MADE else c for c in docs.columns))

@@ -60,5 +60,33 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_mixing, op2_vptree, op3_html, op4_pii, op5_pigeonhole, op6_toxicity, op7_minhash, op8_secrets, op9_packing, op10_langid)}
 
 
+_LINKED = """
+r(id, c) AS (SELECT id, id FROM n UNION SELECT r.id, CASE WHEN l.a = r.c THEN l.b ELSE l.a END FROM r JOIN l ON l.a = r.c OR l.b = r.c),
+m AS (SELECT id, min(c) AS component FROM r GROUP BY id)"""
+
+#: All pairs of vectors, and what links reach.
+_PIGEONHOLE_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
+u AS (SELECT vec_id, e FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+n AS (SELECT a AS id FROM l UNION SELECT b FROM l), {_LINKED}
+SELECT e.vec_id, CAST((SELECT count(*) FROM l WHERE l.a = e.vec_id OR l.b = e.vec_id) AS BIGINT) AS n_links, coalesce(m.component, e.vec_id) AS component_id, e.vec_id = coalesce(m.component, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN m ON m.id = e.vec_id"""
+
+#: Shingle sets, classes of equal sets, links by shared shingles, and what they reach.
+_MINHASH_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 5 THEN [array_to_string(t, ' ')] ELSE list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' '))) END AS h FROM w),
+k AS (SELECT doc_id, len(h) AS n, md5(array_to_string(list_sort(h), chr(10))) AS d, h FROM s),
+c AS (SELECT d, min(doc_id) AS id, arg_min(h, doc_id) AS h, any_value(n) AS n FROM k WHERE n > 0 GROUP BY d),
+x AS (SELECT id, n, unnest(h) AS g FROM c),
+l AS (SELECT p.id AS a, q.id AS b FROM x p JOIN x q ON p.g = q.g AND p.id < q.id GROUP BY p.id, q.id, p.n, q.n HAVING 100 * count(*) >= 75 * (p.n + q.n - count(*))),
+n AS (SELECT a AS id FROM l UNION SELECT b FROM l), {_LINKED}
+SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, coalesce(m.component, c.id, k.doc_id) AS component_id, k.doc_id = coalesce(m.component, c.id, k.doc_id) AS kept
+FROM k LEFT JOIN c ON c.d = k.d AND k.n > 0 LEFT JOIN m ON m.id = c.id"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """SQL for the pair operators, on tables small enough for all pairs; the others
+    are learned, tokenized or ranked by a float and are tested by brute force."""
+    return {"op5_pigeonhole": _PIGEONHOLE_SQL, "op7_minhash": _MINHASH_SQL}

@@ -179,6 +179,154 @@ def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
 
 
+@pytest.mark.parametrize("name", ["op5_pigeonhole", "op7_minhash"])
+def test_sql_oracles(spark, sf, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = queries.queries()[name](spark, sf)
+    want = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_toxicity_scores_alone_as_together(spark):
+    """A text's score is the sum over its own n-grams, whatever stands beside it."""
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcde éß漢字\U0001f600 ") for _ in range(r.randint(0, 60))) for _ in range(150)] + [None, "", "a", "word " * 20_000]
+    known = np.zeros(1 << toxicity.BITS, bool)
+    for t in texts[:40]:
+        for g in toxicity._grams(toxicity._joined([t])[0]):
+            known[g] = True
+    row, bucket = toxicity._hits(texts, known)
+    for i, t in enumerate(texts):
+        own, alone = set(bucket[row == i].tolist()), set(toxicity._hits([t], known)[1].tolist())
+        assert own == alone
+    buckets = np.flatnonzero(known)
+    model = toxicity.ToxicityModel(buckets, np.random.default_rng(1).standard_normal(len(buckets)) * 0.1, -0.5)
+    weights = dict(zip(buckets.tolist(), model.weights.astype(np.float32).tolist(), strict=True))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "y")], "doc_id long, text string, source string")
+    for x in toxicity.score(docs, model).collect():
+        found = set()
+        chars = np.array([ord(c) for c in " " + (texts[x.doc_id] or "").lower()] + [0] * 6, np.uint32)
+        for p in range(len(chars) - 6):
+            h = 0
+            for n in range(1, 7):
+                h = (h * 0x01000193 + int(chars[p + n - 1]) + 1) % 2**32
+                if n >= 3:
+                    g = ((h ^ h >> 15) * 0x9E3779B1) % 2**32
+                    found.add(((g + n) * 0x9E3779B1) % 2**32 >> (32 - toxicity.BITS))
+        total = sum(weights.get(g, 0.0) for g in found) - 0.5
+        assert abs(x.toxicity - 1 / (1 + np.exp(-total))) < 1e-4
+    assert toxicity.score(docs.where(F.lit(False)), model).count() == 0
+
+
+def test_language_scores_by_plain_loops(spark):
+    m = langid.new_model(["a", "b", "c"])
+    texts = ["short one", "x" * 150, "été漢字 and more " * 30, "Z"]
+
+    def sweep(side, data):
+        h, state, out = langid.HIDDEN, np.zeros(langid.HIDDEN), {}
+        for t in range(len(data)) if side == 0 else range(len(data) - 1, -1, -1):
+            x, u = m.x[side][:, data[t]], m.u[side] @ state
+            z, r = (np.clip(0.25 * (x[k * h : k * h + h] + u[k * h : k * h + h]) + 0.5, 0, 1) for k in (0, 1))
+            cand = np.clip(x[2 * h :] + r * u[2 * h :], -1, 1)
+            state = cand + z * (state - cand)
+            out[t] = state
+        return out
+
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1, texts[1]), (9, None)]
+    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        if x.doc_id == 9:
+            assert (x.lang_pred, x.score) == ("und", 0.0)
+            continue
+        total = np.zeros(3)
+        data = list(texts[x.doc_id].encode())
+        for s in range(0, len(data), langid.WINDOW):
+            padded = data[s : s + langid.WINDOW] + [langid.PAD] * (langid.WINDOW - len(data[s : s + langid.WINDOW]))
+            left, right = sweep(0, padded), sweep(1, padded)
+            for t in range(langid.WINDOW):
+                if padded[t] != langid.PAD:
+                    e = np.exp(m.out @ np.concatenate([left[t], right[t]]) + m.bias[:, 0])
+                    total += e / e.sum()
+        k = int(np.argmax(total))
+        assert x.lang_pred == m.langs[k] and abs(x.score - total[k] / len(data)) < 1e-4
+    assert langid.predict(spark.createDataFrame([], "doc_id long, text string"), m).count() == 0
+
+
+def test_secrets_on_held_out_findings(spark):
+    """Half of the made findings teach, the other half is scored."""
+    rows = secrets.made_findings(spark).withColumn("half", F.pmod(F.xxhash64("value", "before"), F.lit(2))).cache()
+    words = secrets.dictionary(spark.createDataFrame([("the house and the garden " * 9,)], "text string"))
+    model = secrets.fit(rows.where("half = 0"), words)
+    out = secrets.score(rows.where("half = 1"), words, model).select("label", (F.col("chance") >= 0.5).cast("int").alias("said")).toPandas()
+    caught, false = out[out.label == 1].said.mean(), out[out.label == 0].said.mean()
+    assert caught > 0.97 and false < 0.03
+    odd = spark.createDataFrame([(1, 'k = "' + "a1" * 5000 + '"'), (1, 'k = "' + "a1" * 5000 + '"'), (2, "password: hunter2! and PASSWORD=ab"), (3, "-----BEGIN RSA PRIVATE KEY-----\nMIIabc123"), (4, "tokenA: Zq9")], "doc_id long, text string")
+    got = [(r.doc_id, [f.value for f in r.found]) for r in secrets.candidates(odd).orderBy("doc_id").collect()]
+    assert got[0] == got[1] == (1, ["a1" * 5000]) and got[2] == (2, ["hunter2!"]) and got[3] == (3, ["-----BEGIN RSA PRIVATE KEY-----", "MIIabc123"]) and got[4] == (4, [])
+    assert secrets.scan(odd.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stage_on_odd_rows(spark, sf, stage):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = [(None, None, None, None, None), (1, None, "en", "web", 0), (1, "", None, None, 0), (2, "a b c d e f a@x.org", "en", None, 18), (2, "a b c d e f a@x.org", "en", None, 18), (3, "long " * 30_000, None, "web", 150_000)]
+    rows = docs.limit(40).union(spark.createDataFrame(odd, docs.schema))
+    extra = ("toxicity", "kept", "mark", "mix_topic", "mix_kept", "component_id", "spans", "n")
+    for c in extra:
+        rows = rows.withColumn(c, F.lit("x"))
+    run = corpus_pipeline.STAGES[stage][1]
+    out = run(spark, rows, sf)
+    assert out.count() > 0
+    if stage < 4:
+        assert out.columns == rows.columns and [tuple(r) for r in out.select(*extra).distinct().collect()] == [("x",) * len(extra)]
+    if stage == 0:  # rows without words are no reason to go
+        assert out.where("doc_id = 1").count() >= 2
+    assert run(spark, docs.where(F.lit(False)), sf).count() == 0
+
+
+def test_pipeline_by_brute_force(spark, sf):
+    """The whole pipeline against its stages done one document at a time."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    import public_tokenizers as public
+    from gleaner.llm import minhash
+
+    got = corpus_pipeline.run(spark, sf).toPandas()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scored = toxicity.classify(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    clean = docs.join(scored.where("predicted = 0").select("doc_id"), "doc_id", "left_semi").orderBy("doc_id").collect()
+    sets = [set(minhash.shingles(d.text).tolist()) for d in clean]
+    label = list(range(len(clean)))
+    for _ in range(len(clean)):
+        new = list(label)
+        for i in range(len(clean)):
+            for j in range(i):
+                if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    new[i] = new[j] = min(new[i], new[j])
+        if new == label:
+            break
+        label = new
+    left = spark.createDataFrame([clean[i] for i in range(len(clean)) if label[i] == i], docs.schema)
+    redacted = pii.redact(left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = {r.doc_id: r.text for r in mixing.mix(redacted).where("mix_kept").collect()}
+    tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    sizes = {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in kept.items()}
+    assert dict(zip(got.doc_id, got.doc_tokens, strict=True)) == sizes
+    assert got.groupby("doc_id")["length"].sum().to_dict() == sizes
+    place = got.sequence_id * packing.WINDOW + got.offset
+    order = np.argsort(place.to_numpy())
+    assert (np.cumsum(got["length"].to_numpy()[order]) - got["length"].to_numpy()[order] == place.to_numpy()[order]).all()
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_pipeline_stage(spark, sf, stage):
     import corpus_pipeline
