@@ -19,7 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = toxicity.fit(docs.where(F.coalesce(~held, F.lit(False))), labels)
-    return toxicity.score(docs, model).where("toxicity < 0.3").select(*docs.columns)
+    kept = toxicity.score(docs, model).where("toxicity < 0.3")
+    return kept.select(*(F.col("toxicity_before").alias(c) if c == "toxicity" else c for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
