@@ -104,7 +104,8 @@ def load_records(spark: SparkSession, path: str, schema: str = "key string, page
 
 class VersionedTable:
     """A Parquet table rewritten as a whole; the newest complete version counts, so
-    a batch that is replayed after a failure changes nothing."""
+    a batch that is replayed after a failure changes nothing.  The version before
+    stays for a replay, older ones are deleted."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -124,6 +125,10 @@ class VersionedTable:
 
     def write(self, version: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for old in self._versions()[:-2]:
+            path = hadoop.Path(f"{self.path}/v{old}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def upsert_stream(source: DataFrame, table: VersionedTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df):

@@ -22,7 +22,8 @@ from .sources import attempts, shred
 from .sources.stage import checkpoint_dir
 from .streaming import jobs
 
-_K = F.col("s_suppkey")
+def _k():
+    return F.col("s_suppkey")
 
 
 def _say(*parts):
@@ -32,7 +33,7 @@ def _say(*parts):
 def _profiles(spark, sf_dir, *body):
     """A page per supplier, its key as page_id."""
     html = _say("<html><body><h1>Dr Ann</h1>", *body, "</body></html>")
-    return _t(spark, sf_dir, "supplier").select(_K.cast("long").alias("page_id"), _say("https://x.org/p/", _K).alias("url"), html.alias("html"))
+    return _t(spark, sf_dir, "supplier").select(_k().cast("long").alias("page_id"), _say("https://x.org/p/", _k()).alias("url"), html.alias("html"))
 
 
 def _values(spark, sf_dir, fields, *body, **options):
@@ -59,11 +60,11 @@ def semantic_values(spark, sf_dir):
     """A fee as labelled elements, definition list, heading label, label line, or
     in the text; a link by its label; a role by its place."""
     forms = [
-        _say('<div class="box"><div class="fee">£', _K, '</div><div class="the-price">£', _K + 1, '</div><div class="fee">£', _K, "</div></div>"), _say("<dl><dt>Hours</dt><dd>9</dd><dt>Fees</dt><!-- x --> <dd>£", _K, "</dd></dl>"),
-        _say("<h3>Consultation fee</h3><div><p>£", _K, "</p></div>"), _say("<p>\nFee: £", _K, "\n</p>"), _say("<p>it is £", _K, " here</p>"), F.lit("<p>ask us</p>"),
+        _say('<div class="box"><div class="fee">£', _k(), '</div><div class="the-price">£', _k() + 1, '</div><div class="fee">£', _k(), "</div></div>"), _say("<dl><dt>Hours</dt><dd>9</dd><dt>Fees</dt><!-- x --> <dd>£", _k(), "</dd></dl>"),
+        _say("<h3>Consultation fee</h3><div><p>£", _k(), "</p></div>"), _say("<p>\nFee: £", _k(), "\n</p>"), _say("<p>it is £", _k(), " here</p>"), F.lit("<p>ask us</p>"),
     ]
-    body = F.element_at(F.array(*forms), (_K % 6 + 1).cast("int"))
-    return _values(spark, sf_dir, [plan.Field("Fee"), plan.Field("Website"), plan.Field("Role")], "<p>Surgeon ", _K, "</p>", body, '<a class="website" href="/w/', _K, '">Site</a>')
+    body = F.element_at(F.array(*forms), (_k() % 6 + 1).cast("int"))
+    return _values(spark, sf_dir, [plan.Field("Fee"), plan.Field("Website"), plan.Field("Role")], "<p>Surgeon ", _k(), "</p>", body, '<a class="website" href="/w/', _k(), '">Site</a>')
 
 
 _PERSON = [
@@ -77,8 +78,8 @@ def structured_values(spark, sf_dir):
     """Every kind's path in a page's one content entity, a role's path, and a
     property named like the field."""
     data = (
-        '{"@context":"https://schema.org","@graph":[{"@type":"WebSite","name":"Site","a":1,"b":2,"c":3,"d":4,"e":5,"f":6,"g":7,"h":8,"i":9,"j":10,"k":11},{"@type":"Physician","name":"Dr K ', _K, '","description":"Has worked here for many years, ', _K, '","email":"s', _K, '@example.com","telephone":"+44 20 7946 ', 1000 + _K % 9000,
-        '","address":[{"streetAddress":"1 High St","addressLocality":"Leeds ', _K, '"}],"aggregateRating":{"ratingValue":"4.', _K % 10, '/5"},"url":"https://x.org/', _K, '","priceRange":"£', _K, '","jobTitle":"Surgeon ', _K, '","languages":["English ', _K, '","French"]}]}',
+        '{"@context":"https://schema.org","@graph":[{"@type":"WebSite","name":"Site","a":1,"b":2,"c":3,"d":4,"e":5,"f":6,"g":7,"h":8,"i":9,"j":10,"k":11},{"@type":"Physician","name":"Dr K ', _k(), '","description":"Has worked here for many years, ', _k(), '","email":"s', _k(), '@example.com","telephone":"+44 20 7946 ', 1000 + _k() % 9000,
+        '","address":[{"streetAddress":"1 High St","addressLocality":"Leeds ', _k(), '"}],"aggregateRating":{"ratingValue":"4.', _k() % 10, '/5"},"url":"https://x.org/', _k(), '","priceRange":"£', _k(), '","jobTitle":"Surgeon ', _k(), '","languages":["English ', _k(), '","French"]}]}',
     )
     body = [x.replace('[{"streetAddress"', '{"streetAddress"').replace('"}],"agg', '"},"agg') if isinstance(x, str) else x for x in data]
     return _values(spark, sf_dir, [plan.Field(n) for n, _, _ in _PERSON], '<script type="application/ld+json">', *body, "</script>")
@@ -87,8 +88,8 @@ def structured_values(spark, sf_dir):
 @query(_long(("Email", "'s' || s_suppkey || '@example.com'", "'StructuredData'", "85"), ("Phone", "CASE WHEN s_suppkey % 2 = 0 THEN '020 7946 ' || (1000 + s_suppkey % 9000) END", "'StructuredData'", "85")))
 def state_values(spark, sf_dir):
     """Contacts found in the application state, in its own order."""
-    phone = F.when(_K % 2 == 0, _say('"020 7946 ', 1000 + _K % 9000, '"')).otherwise("1207946")
-    return _values(spark, sf_dir, [plan.Field("Email"), plan.Field("Phone")], '<script id="__NEXT_DATA__" type="application/json">{"props":[1,{"zz":{"email":5,"emails":[" ","s', _K, '@example.com"]},"aa":{"email":"late@example.com","PHONE":', phone, "}}]}</script>")
+    phone = F.when(_k() % 2 == 0, _say('"020 7946 ', 1000 + _k() % 9000, '"')).otherwise("1207946")
+    return _values(spark, sf_dir, [plan.Field("Email"), plan.Field("Phone")], '<script id="__NEXT_DATA__" type="application/json">{"props":[1,{"zz":{"email":5,"emails":[" ","s', _k(), '@example.com"]},"aa":{"email":"late@example.com","PHONE":', phone, "}}]}</script>")
 
 
 @query(_long(
@@ -98,10 +99,10 @@ def state_values(spark, sf_dir):
 def contact_patterns(spark, sf_dir):
     """mailto and tel links, shapes in the text, quoted numbers in scripts: the one
     nearest to the postcode."""
-    mail = F.when(_K % 2 == 0, _say('<a href="mailto:s', _K, '%40example.com?subject=x">Mail</a>')).otherwise(_say("<p>write to s", _K, "@example.com, or https://x.org/020-7946-0000</p>"))
+    mail = F.when(_k() % 2 == 0, _say('<a href="mailto:s', _k(), '%40example.com?subject=x">Mail</a>')).otherwise(_say("<p>write to s", _k(), "@example.com, or https://x.org/020-7946-0000</p>"))
     far = '"(+44)2079469999","x","y","some long stretch of other text in between","'
-    script = _say("<script>var p=[", far, 'LS1 4AB","(+44)2079460', 100 + _K % 900, '"]</script><script type="application/ld+json">{"@type":"Place","address":{"postalCode":"LS1 4AB"}}</script>')
-    phone = F.when(_K % 3 == 0, _say('<a href="tel:+44%2020%207946%20', 1000 + _K % 9000, '">Call</a>')).when(_K % 3 == 1, _say("<p>call 020 7946 ", 1000 + _K % 9000, ".</p>")).otherwise(script)
+    script = _say("<script>var p=[", far, 'LS1 4AB","(+44)2079460', 100 + _k() % 900, '"]</script><script type="application/ld+json">{"@type":"Place","address":{"postalCode":"LS1 4AB"}}</script>')
+    phone = F.when(_k() % 3 == 0, _say('<a href="tel:+44%2020%207946%20', 1000 + _k() % 9000, '">Call</a>')).when(_k() % 3 == 1, _say("<p>call 020 7946 ", 1000 + _k() % 9000, ".</p>")).otherwise(script)
     return _values(spark, sf_dir, [plan.Field("Email"), plan.Field("Phone")], mail, phone)
 
 
@@ -113,8 +114,8 @@ def contact_patterns(spark, sf_dir):
 def text_patterns(spark, sf_dir):
     """Rating, years and postcode shapes in the text without footers; web addresses
     are taken out before the scan, so none is found."""
-    rating = F.when(_K % 2 == 0, _say("4.", _K % 10, " / 5")).otherwise("3 stars")
-    body = ("<p>has ", rating, " and ", 1 + _K % 50, "+ years there</p>\n<p>\nsee https://x.org/", _K, " now</p>\n<p>\n12.3 miles | ", 1 + _K % 90, " High Street, Leeds LS1 4AB</p>\n<p>\n3 miles | Mill Lane, York YO1 7HH, </p><footer>5 stars, 99 years, Old Road, Bath BA1 1AA</footer>")
+    rating = F.when(_k() % 2 == 0, _say("4.", _k() % 10, " / 5")).otherwise("3 stars")
+    body = ("<p>has ", rating, " and ", 1 + _k() % 50, "+ years there</p>\n<p>\nsee https://x.org/", _k(), " now</p>\n<p>\n12.3 miles | ", 1 + _k() % 90, " High Street, Leeds LS1 4AB</p>\n<p>\n3 miles | Mill Lane, York YO1 7HH, </p><footer>5 stars, 99 years, Old Road, Bath BA1 1AA</footer>")
     return _values(spark, sf_dir, [plan.Field("Rating"), plan.Field("Experience"), plan.Field("Website"), plan.Field("Location")], *body)
 
 
@@ -122,10 +123,10 @@ def text_patterns(spark, sf_dir):
 def clinic_values(spark, sf_dir):
     """Facilities of a page together; a clinic's name before its address, by its
     heading or by a marked element."""
-    sites = _say('<script type="application/ld+json">[{"@type":"Clinic","name":"North ', _K, '","address":"1 A St"},{"@type":"BreadcrumbList"},{"@type":"Hospital","name":"South","address":{"streetAddress":"2 B St","addressLocality":"Leeds"}},{"@type":"Clinic","name":"North ', _K, '","address":"1 A St"}]</script>')
-    headed = _say('<script type="application/ld+json">{"@type":"Physician","address":"Leeds LS1 4AB"}</script><h2>Clinic ', _K, "</h2><p>5 Road, LS1 4AB</p>")
-    marked = _say('<span class="clinic-name">Spa ', _K, "</span>\n<p>\n7 High Road, Leeds LS1 4AB</p>")
-    return _values(spark, sf_dir, [plan.Field("Location")], F.when(_K % 3 == 0, sites).when(_K % 3 == 1, headed).otherwise(marked))
+    sites = _say('<script type="application/ld+json">[{"@type":"Clinic","name":"North ', _k(), '","address":"1 A St"},{"@type":"BreadcrumbList"},{"@type":"Hospital","name":"South","address":{"streetAddress":"2 B St","addressLocality":"Leeds"}},{"@type":"Clinic","name":"North ', _k(), '","address":"1 A St"}]</script>')
+    headed = _say('<script type="application/ld+json">{"@type":"Physician","address":"Leeds LS1 4AB"}</script><h2>Clinic ', _k(), "</h2><p>5 Road, LS1 4AB</p>")
+    marked = _say('<span class="clinic-name">Spa ', _k(), "</span>\n<p>\n7 High Road, Leeds LS1 4AB</p>")
+    return _values(spark, sf_dir, [plan.Field("Location")], F.when(_k() % 3 == 0, sites).when(_k() % 3 == 1, headed).otherwise(marked))
 
 
 @query(_long(
@@ -140,14 +141,14 @@ def selector_values(spark, sf_dir):
         f("Data", kind="Auto", selector="div[data-v]", extraction_type="Attribute", attribute="data-v"), f("Last", kind="Auto", selector="//ul/li[last()]", selector_type="XPath"),
     ]
     fields = [f(**{**x.__dict__, "kind": "Auto"}) for x in fields]
-    body = ('<div class="m"> <b>x</b> ', _K, '<br> </div><div class="n">a<i>b</i>', _K, '</div><a id="z" rel="q" href="/no">n</a><a rel="q" href="/t/', _K, '">t</a><div', F.when(_K % 2 == 0, _say(' data-v="v', _K, '"')).otherwise(""), '>d</div><img src="/i/', _K, '"><ul><li>a<li>b<li>c', _K, "</ul>")
+    body = ('<div class="m"> <b>x</b> ', _k(), '<br> </div><div class="n">a<i>b</i>', _k(), '</div><a id="z" rel="q" href="/no">n</a><a rel="q" href="/t/', _k(), '">t</a><div', F.when(_k() % 2 == 0, _say(' data-v="v', _k(), '"')).otherwise(""), '>d</div><img src="/i/', _k(), '"><ul><li>a<li>b<li>c', _k(), "</ul>")
     return _values(spark, sf_dir, fields, *body)
 
 
 @query(_long(("Phone", "CASE WHEN s_suppkey % 2 = 1 THEN '020 7946 1000' END", "'Pattern'", "88"), ("Fee", "'£5'", "'Pattern'", "65")))
 def contact_barred(spark, sf_dir):
     """A profile that rules out contact has no contact values, but others."""
-    barred = F.when(_K % 2 == 0, "<p>It is Not possible to contact or book an appointment.</p>").otherwise("<p>Hello.</p>")
+    barred = F.when(_k() % 2 == 0, "<p>It is Not possible to contact or book an appointment.</p>").otherwise("<p>Hello.</p>")
     return _values(spark, sf_dir, [plan.Field("Phone"), plan.Field("Fee")], barred, '<a href="tel:020%207946%201000">c</a><p>at £5 each</p>')
 
 
@@ -163,7 +164,7 @@ def strategy_hooks(spark, sf_dir):
         at = scene.elems.where("tag = 'mark'").join(scene.texts, ["page_id", "pre"]).select("page_id", "vtext")
         return scene.asked().join(at, "page_id").select("page_id", "rec_idx", "ord", F.col("vtext").alias("value"), F.lit(70).alias("confidence"))
 
-    body = F.when(_K % 3 == 0, _say("<mark>B", _K, "</mark>")).when(_K % 3 == 1, _say("<p>told ", _K, "</p>")).otherwise("<p>none</p>")
+    body = F.when(_k() % 3 == 0, _say("<mark>B", _k(), "</mark>")).when(_k() % 3 == 1, _say("<p>told ", _k(), "</p>")).otherwise("<p>none</p>")
     return _values(spark, sf_dir, [plan.Field("Badge", kind="Auto")], body, provider=provider, extra={"Mark": mark})
 
 
@@ -173,8 +174,8 @@ def _listing(spark, sf_dir, group, size: int, ld: bool = False, tail=None, more=
     """Cards of suppliers in groups, ``size`` a page."""
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", group.cast("long").alias("g"))
     s = s.withColumn("at", (F.row_number().over(W.partitionBy("g").orderBy("s_suppkey")) - 1).cast("long")).withColumn("page", F.floor(F.col("at") / size) + 1)
-    card = _say('<div class="card"><h2><a href="/p/', _K, '">Dr Ann ', F.translate(_K.cast("string"), "0123456789", "ABCDEFGHIJ"), '</a></h2><p class="intro">Practice of long standing</p><span class="fee">£', _K, "</span></div>")
-    item = _say('{"@type":"', F.when(_K % 5 == 4, "Hospital").otherwise("Physician"), '","url":"https://l.example.com/P/', _K, '/"}')
+    card = _say('<div class="card"><h2><a href="/p/', _k(), '">Dr Ann ', F.translate(_k().cast("string"), "0123456789", "ABCDEFGHIJ"), '</a></h2><p class="intro">Practice of long standing</p><span class="fee">£', _k(), "</span></div>")
+    item = _say('{"@type":"', F.when(_k() % 5 == 4, "Hospital").otherwise("Physician"), '","url":"https://l.example.com/P/', _k(), '/"}')
     rows = s.groupBy("g", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", card.alias("c"))))["c"], "").alias("cards"), F.array_join(F.array_sort(F.collect_list(F.struct("at", item.alias("i"))))["i"], ",").alias("items"))
     script = _say('<script type="application/ld+json">[', F.col("items"), "]</script>") if ld else F.lit("")
     html = _say("<html><body><section>", F.col("cards"), "</section>", script, F.lit("") if tail is None else tail, "</body></html>")
@@ -193,7 +194,7 @@ def scrape_paged(spark, sf_dir):
     """Two listings followed over their next links, to the 4th page and the 35th
     record."""
     tail = _say('<nav><a href="?page=', F.col("page") + 1, '">Next</a></nav><a rel="next" href="https://other.example.com/g">x</a>')
-    pages = _listing(spark, sf_dir, _K % 2, 10, tail=tail)
+    pages = _listing(spark, sf_dir, _k() % 2, 10, tail=tail)
     starts = pages.where("page_id % 1000 = 1").select(F.floor(F.col("page_id") / 1000).alias("root"), "url")
     out = plan.crawl(pages, starts, [plan.Field("Name")], max_pages=4, max_records=35)
     return out.select("root", "page_number", "rec_idx", F.col("value").alias("name"))
@@ -203,7 +204,7 @@ def scrape_paged(spark, sf_dir):
 SELECT s_suppkey // 10 * 1000 + 1 AS page_id, CAST(row_number() OVER (PARTITION BY s_suppkey // 10 ORDER BY s_suppkey) - 1 AS INTEGER) AS rec_idx, {_NAME} AS name FROM supplier WHERE s_suppkey % 5 <> 4""")
 def scrape_majority(spark, sf_dir):
     """Cards whose entity (by its url) has another type than most are left out."""
-    out = plan.scrape(_listing(spark, sf_dir, F.floor(_K / 10), 10, ld=True), [plan.Field("Name")])
+    out = plan.scrape(_listing(spark, sf_dir, F.floor(_k() / 10), 10, ld=True), [plan.Field("Name")])
     return out.results.select("page_id", "rec_idx", F.col("value").alias("name"))
 
 
@@ -212,7 +213,7 @@ SELECT s_suppkey AS page_id, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 0 END
   CASE WHEN s_suppkey % 2 = 0 THEN 'Only the first 2 records were processed out of 3 found.' ELSE 'The record selector did not match any elements.' END AS warning FROM supplier""")
 def selector_no_match(spark, sf_dir):
     """A record selector: no records where it does not match, and what is cut off."""
-    row = F.when(_K % 2 == 0, "<tr class='r'><td>a</td></tr>").otherwise("<tr class='s'><td>a</td></tr>")
+    row = F.when(_k() % 2 == 0, "<tr class='r'><td>a</td></tr>").otherwise("<tr class='s'><td>a</td></tr>")
     pages = _profiles(spark, sf_dir, "<table>", row, row, row, "</table>")
     out = plan.scrape(pages, [plan.Field("Text", selector="td")], record_selector="//tr[@class='r']", selector_type="XPath", max_records=2)
     n = out.records.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_records"))
@@ -226,8 +227,8 @@ SELECT page_id, rec_idx, CASE WHEN turn <= 4 AND here THEN '£' || (s_suppkey +
     row_number() OVER (PARTITION BY s_suppkey // 10, s_suppkey % 3 <> 0 ORDER BY s_suppkey) AS turn FROM supplier) t""")
 def profile_deep(spark, sf_dir):
     """Records merged with their profile pages, four a listing; the others as skips."""
-    listings = _listing(spark, sf_dir, F.floor(_K / 10), 10)
-    profiles = _t(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select((1000000 + _K).cast("long").alias("page_id"), _say("https://l.example.com/p/", _K).alias("url"), _say("<h1>Dr</h1><dl><dt>Fee</dt><dd>£", _K + 1000, "</dd></dl>").alias("html"))
+    listings = _listing(spark, sf_dir, F.floor(_k() / 10), 10)
+    profiles = _t(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select((1000000 + _k()).cast("long").alias("page_id"), _say("https://l.example.com/p/", _k()).alias("url"), _say("<h1>Dr</h1><dl><dt>Fee</dt><dd>£", _k() + 1000, "</dd></dl>").alias("html"))
     fields = [plan.Field("Name"), plan.Field("Fee")]
     listed = plan.scrape(listings, fields)
     pages = listings.union(profiles)
@@ -243,7 +244,7 @@ SELECT s_suppkey AS page_id, 'Longer text ' || s_suppkey || chr(10) || chr(10) |
   'box area k' || s_suppkey || ' t id the label' AS words FROM supplier""")
 def page_texts(spark, sf_dir):
     """Paragraph text, the next element sibling, and attribute words."""
-    pages = _profiles(spark, sf_dir, '<section class="box-area" id="k', _K, '" data-testid="t_id" aria-label="The Label"><p>Longer text ', _K, "</p><p>Other ", _K, "</p><p>text ", _K, "</p></section><dl><dt>T</dt> words <!-- c --><dd>v", _K, "</dd></dl>")
+    pages = _profiles(spark, sf_dir, '<section class="box-area" id="k', _k(), '" data-testid="t_id" aria-label="The Label"><p>Longer text ', _k(), "</p><p>Other ", _k(), "</p><p>text ", _k(), "</p></section><dl><dt>T</dt> words <!-- c --><dd>v", _k(), "</dd></dl>")
     nodes = shred.shred(pages)
     e, t = dom.elements(nodes), dom.visible_text(nodes)
     box = e.where("tag = 'section'").select("page_id", "pre", "words")
@@ -289,7 +290,7 @@ def entity_leaves(spark, sf_dir):
     """Values of an entity as text: objects by name or parts, lists by their first
     or all items, numbers as written."""
     address = '{"streetAddress":"1 High St","addressLocality":"Leeds","addressRegion":"leeds","postalCode":"LS1 4AB"}'
-    pages = _profiles(spark, sf_dir, '<script type="application/LD+json">{"@type":"Person","address":' + address + ',"places":["A ', _K, '",' + address + ',"A ', _K, '"," "],"ok":true,"price":4.90,"Works":{"name":" ","text":"Org ', _K, '"}}</script><script type="application/ld+json">{broken</script>')
+    pages = _profiles(spark, sf_dir, '<script type="application/LD+json">{"@type":"Person","address":' + address + ',"places":["A ', _k(), '",' + address + ',"A ', _k(), '"," "],"ok":true,"price":4.90,"Works":{"name":" ","text":"Org ', _k(), '"}}</script><script type="application/ld+json">{broken</script>')
     leaves = F.col("leaves")
     return shred.entities(shred.shred(pages)).select("page_id", L.text_of(leaves, "address").alias("address"), L.list_text(leaves, "places").alias("several"), L.text_of(leaves, "ok").alias("flag"), L.text_of(leaves, "price").alias("price"), L.text_of(leaves, "works").alias("org"))
 
@@ -311,10 +312,10 @@ UNION ALL SELECT 'https://x.org/a' || s_suppkey || '/0', 'http://127.0.0.1/', 1,
 def redirect_walk(spark, sf_dir):
     """Logged redirects followed to their end, five at most, each address checked."""
     s = _t(spark, sf_dir, "supplier").select("s_suppkey")
-    base = _say("https://x.org/a", _K, "/")
+    base = _say("https://x.org/a", _k(), "/")
     i = F.col("i")
-    to = F.when(_K % 10 == 0, "http://127.0.0.1/").when(i % 3 == 0, _say(i + 1)).when(i % 3 == 1, _say("../a", _K, "/", i + 1)).otherwise(_say(base, i + 1))
-    length = F.when(_K % 10 == 0, 1).otherwise(_K % 9)
+    to = F.when(_k() % 10 == 0, "http://127.0.0.1/").when(i % 3 == 0, _say(i + 1)).when(i % 3 == 1, _say("../a", _k(), "/", i + 1)).otherwise(_say(base, i + 1))
+    length = F.when(_k() % 10 == 0, 1).otherwise(_k() % 9)
     hops = s.withColumn("n", length).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).select(_say(base, i).alias("url"), F.lit(302).alias("status"), to.alias("location"))
     return links.redirected(s.select(_say(base, "0").alias("url")), hops)
 
@@ -337,7 +338,7 @@ def pacing(spark, sf_dir):
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 2 THEN s_name ELSE 'é ' || s_name END AS html FROM supplier WHERE s_suppkey % 10 <> 9")
 def readable_body(spark, sf_dir):
     """Bodies within the size limit, by their charset, else as UTF-8."""
-    k, text = _K, F.concat(F.lit("é "), F.col("s_name"))
+    k, text = _k(), F.concat(F.lit("é "), F.col("s_name"))
     body = F.when(k % 10 == 9, F.encode(F.repeat(F.lit("x"), 10 * 1024 * 1024 + 1), "UTF-8")).when(k % 4 == 0, F.encode(text, "UTF-8")).when(k % 4 == 1, F.encode(text, "ISO-8859-1")).when(k % 4 == 2, F.encode("s_name", "US-ASCII")).otherwise(F.encode(text, "UTF-16BE"))
     charset = F.element_at(F.array(F.lit("x-unknown"), F.lit("iso-8859-1"), F.lit("us-ascii"), F.lit("utf-16be")), (k % 4 + 1).cast("int"))
     return attempts.readable(_t(spark, sf_dir, "supplier").select("s_suppkey", body.alias("body"), charset.alias("charset"))).select("s_suppkey", "html")
