@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
@@ -84,8 +84,8 @@ def redirected(requests: DataFrame, hops: DataFrame, max_hops: int = C.MAX_REDIR
 def frontier(rows: DataFrame) -> DataFrame:
     """The first record (by page and place) to name each profile URL, case
     ignored."""
-    turn = F.row_number().over(Window.partitionBy(F.lower("profile_url")).orderBy("page_id", "rec_idx"))
-    return rows.where("profile_url is not null").withColumn("_r", turn).where("_r = 1").drop("_r")
+    first = F.min_by(F.struct(*rows.columns), F.struct("page_id", "rec_idx"))
+    return rows.where("profile_url is not null").groupBy(F.lower("profile_url")).agg(first.alias("_r")).select("_r.*")
 
 
 def majority_type(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
@@ -33,9 +33,8 @@ def dedupe_key(profile_url: Column, fields: Column) -> Column:
 
 def upsert(rows: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
     """The last row of each key, at the place of its first (``first_seq``)."""
-    w = Window.partitionBy(key)
-    last = F.row_number().over(w.orderBy(F.desc(order)))
-    return rows.withColumn("_r", last).withColumn("first_seq", F.min(order).over(w)).where("_r = 1").drop("_r")
+    last = F.max_by(F.struct(*rows.columns), order)
+    return rows.groupBy(F.col(key).alias("_k")).agg(last.alias("_r"), F.min(order).alias("first_seq")).select("_r.*", "first_seq")
 
 
 def merge_into(saved: DataFrame | None, batch: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
@@ -54,8 +53,8 @@ def skip_log(events: DataFrame) -> DataFrame:
     marks a success): the latest per (kind, page, url), unless a later success
     cleared it.  A page's success clears all skips of that page, a profile's all
     profile skips of its url on any page."""
-    latest = F.row_number().over(Window.partitionBy("kind", "page", "url").orderBy(F.desc("seq")))
-    skips = events.where("reason is not null").withColumn("_r", latest).where("_r = 1").drop("_r")
+    latest = F.max_by(F.struct(*events.columns), "seq")
+    skips = events.where("reason is not null").groupBy(*(F.col(c).alias(f"_{c}") for c in ("kind", "page", "url"))).agg(latest.alias("_r")).select("_r.*")
     won = events.where("reason is null")
     pages = won.where("kind = 'Page'").groupBy("page").agg(F.max("seq").alias("_p"))
     profiles = won.where("kind = 'Profile'").groupBy("url").agg(F.max("seq").alias("_u")).withColumn("kind", F.lit("Profile"))

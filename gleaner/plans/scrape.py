@@ -145,6 +145,8 @@ def _of_majority(found: DataFrame, elems: DataFrame, texts: DataFrame, entities:
     order and numbered anew; pages whose entities have no url stay as they are."""
     url = F.coalesce(F.col("leaves")["url"], F.col("leaves")["@id"])
     told = staged(entities.where(url.isNotNull()))
+    if told.isEmpty():
+        return found.select("page_id", "rec_idx", "pre")
     with_urls = told.select("page_id").distinct()
     asked = found.join(with_urls, "page_id", "left_semi")
     near = elems.join(with_urls, "page_id", "left_semi")

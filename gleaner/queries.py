@@ -60,15 +60,14 @@ def page_name(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, href, regexp_extract(lower(url), '^[a-z]+://[^/?#]*', 0) || href AS target FROM (
-  SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) t
-WHERE href LIKE '/%'""")
+SELECT page_id, href, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || href ELSE href END AS target FROM (
+  SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) t""")
 def page_links(spark, sf_dir):
-    pages = _t(spark, sf_dir, "pages").withColumn("url", F.lower("url"))
+    pages = _t(spark, sf_dir, "pages")
     nodes = shred.shred(pages)
     e = dom.elements(nodes)
     found = links.anchors(e, dom.visible_text(nodes, e.where("tag in ('a', 'link')")), pages)
-    return found.where(F.col("href").startswith("/")).select("page_id", "href", "target")
+    return found.where("tag = 'a'").select("page_id", "href", "target")
 
 
 @query("""
@@ -422,11 +421,12 @@ def fetch_retry(spark, sf_dir):
 @query(f"""
 SELECT job_id, CASE WHEN max(CASE WHEN outcome = 'Forbidden' THEN 1 ELSE 0 END) = 1 THEN 'Blocked' WHEN max(page) >= 4 THEN 'Completed' ELSE 'Paused' END AS status,
   CAST(coalesce(max(CASE WHEN outcome <> 'Forbidden' THEN page END), 0) AS BIGINT) AS last_completed_page, coalesce(string_agg(CASE WHEN outcome <> 'Success' THEN CAST(page AS VARCHAR) END, ',' ORDER BY page), '') AS failed_pages,
-  CAST(sum(CASE WHEN outcome = 'Success' THEN 2 ELSE 0 END) AS BIGINT) AS records_saved
+  CAST(sum(CASE WHEN outcome = 'Success' THEN 2 ELSE 0 END) AS BIGINT) AS records_saved, arg_max('Page ' || page || ': ' || outcome, page) FILTER (outcome <> 'Success') AS last_error,
+  CAST(count(*) FILTER (outcome <> 'Success') AS INTEGER) AS n_skips
 FROM (SELECT *, coalesce(max(CASE WHEN outcome = 'Forbidden' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM {_SETTLED} s WHERE page <= 4) t WHERE stopped = 0 GROUP BY job_id""")
 def job_state(spark, sf_dir):
     rows = attempts.settled(_attempts(spark, sf_dir)).withColumn("total_pages", F.lit(4)).withColumn("records", F.lit(2))
-    return jobs.job_state(rows).withColumn("failed_pages", F.array_join("failed_pages", ","))
+    return jobs.job_state(rows).select("job_id", "status", "last_completed_page", F.array_join("failed_pages", ",").alias("failed_pages"), "records_saved", "last_error", F.size("skips").alias("n_skips"))
 
 
 @query("""
