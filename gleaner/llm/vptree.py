@@ -217,9 +217,9 @@ def _searched(asked: DataFrame, shards: DataFrame, k: int, factor: float, query_
         return pa.table([table.column("dim")[:1], table.column("region")[:1], pa.array([pickle.dumps(rows)], pa.binary())], schema=packed)
 
     # At most max_regions rows a vector length.
-    parts = F.broadcast(shards.groupBy("dim", "region").agg(F.sort_array(F.collect_list("shard")).alias("shards")))
+    parts = F.broadcast(shards.groupBy("dim", "region").agg(F.max("shard").alias("last")))
     blocks = dealt.groupBy("dim", "region", "block").applyInArrow(pack, "dim int, region int, asked binary")
-    blocks = materialize(blocks.join(parts, ["dim", "region"]).withColumn("shard", F.explode("shards")).drop("shards"), "vp-blocks")
+    blocks = materialize(blocks.join(parts, ["dim", "region"]).withColumn("shard", F.explode(F.sequence(F.lit(0), "last"))).drop("last"), "vp-blocks")
 
     def run(batches):
         for batch in batches:
