@@ -82,3 +82,49 @@ def test_locations_and_degenerate(spark):
     assert sorted((r.id, r.loc) for r in merge.expand_locations(df, "loc").where("loc is not null").collect()) == [(1, "A"), (1, "B"), (2, "C")]
     r = spark.createDataFrame([(1, 0, "n", "x"), (1, 1, "n", "x"), (2, 0, "n", "x"), (2, 1, "n", "y")], "page_id int, rec_idx int, name string, value string")
     assert [x.page_id for x in merge.degenerate_pages(r).select(F.col("page_id")).collect()] == [1]
+
+
+def test_walks_and_redirects(spark):
+    from gleaner.operators import links
+
+    hops = spark.createDataFrame([("https://x.org/A", "https://x.org/b"), ("https://x.org/B", "https://x.org/a"), ("https://x.org/c", None)], "url string, next_url string")
+    start = spark.createDataFrame([(1, "https://x.org/a"), (2, "https://x.org/c"), (3, "https://x.org/b")], "root int, url string")
+    assert sorted(tuple(r) for r in links.walk(start, hops).collect()) == [(1, 1, "https://x.org/a"), (1, 2, "https://x.org/b"), (2, 1, "https://x.org/c"), (3, 1, "https://x.org/b"), (3, 2, "https://x.org/a")]
+    assert links.walk(start.where("false"), hops).count() == 0 and links.walk(start, hops, 1).count() == 3
+    moved = spark.createDataFrame([("https://x.org/a", 301, "/a"), ("https://x.org/b", 200, "/c"), ("https://x.org/d", 308, "ftp://x.org/")], "url string, status int, location string")
+    asked = spark.createDataFrame([(f"https://x.org/{c}",) for c in "abd"] + [("http://localhost/",)], "url string")
+    got = {r.url[-2:]: (r.hops, r.reason) for r in links.redirected(asked, moved).collect()}
+    assert got == {"/a": (6, "too many redirects"), "/b": (0, None), "/d": (1, "scheme"), "t/": (0, "blocked host")}
+
+
+def test_resume_is_clamped(spark):
+    rows = spark.createDataFrame([("j", p, 3, "Success" if p != 2 else "ServerError", 1) for p in (1, 2, 3)], "job_id string, page int, total_pages int, outcome string, records int")
+    state = jobs.job_state(rows)
+    assert state.first().last_error == "Page 2: ServerError"
+    for page, last, failed in ((99, 2, [2]), (-4, 0, []), (3, 2, [2]), (2, 1, [])):
+        r = jobs.resume_from(state, page).first()
+        assert (r.last_completed_page, r.failed_pages, r.status, len(r.skips)) == (last, failed, "Paused", len(failed))
+    fixed = jobs.retried(state, spark.createDataFrame([("j", 2, "Success", 4), ("j", 3, "Success", 9)], "job_id string, page int, outcome string, records int")).first()
+    assert (fixed.status, fixed.failed_pages, fixed.records_saved, fixed.skips, fixed.last_error) == ("Completed", [], 6, [], None)
+
+
+def test_requests_are_checked():
+    import pytest
+
+    from gleaner.plans.scrape import validated_request
+
+    assert [f.ord for f in validated_request("https://x.org", [Field("A"), Field("B")])] == [0, 1]
+    for bad in ({"url": "x" * 2049}, {"url": " "}, {"max_records": 1001}, {"max_pages": 0}, {"max_profiles": 1001}, {"timeout_s": 31}, {"fields": []}, {"fields": [Field("A"), Field(" a")]}, {"fields": [Field("A", selector="b", extraction_type="Attribute")]}):
+        with pytest.raises(ValueError):
+            validated_request(**{"url": "https://x.org", "fields": [Field("A")], **bad})
+
+
+def test_files_and_empty_pages(spark, tmp_path):
+    df = spark.createDataFrame([(1, " a ", 'q"'), (1, "b", None), (2, "é", "x\ny")], "page int, x string, y string")
+    export.write_csv(df, ["x", "y"], str(tmp_path / "csv"), by_page="page", order=["x"])
+    read = {p.parent.name: p.read_bytes().decode("utf-8-sig") for p in (tmp_path / "csv").glob("*/part-*")}
+    assert read == {"page=1": 'x,y\r\n a ,"q"""\r\nb,\r\n', "page=2": 'x,y\r\né,"x\ny"\r\n'}
+    pages = spark.createDataFrame([(1, None, None), (2, "u", "<![ x"), (3, "u", "&#&amp;")], "page_id long, url string, html string")
+    assert scrape(pages, [Field("Name"), Field("Email")]).results.count() == 6
+    none = scrape(pages.where("false"), [Field("Name")])
+    assert none.results.count() == 0 and none.notices().count() == 0
