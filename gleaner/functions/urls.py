@@ -47,6 +47,19 @@ def rejection(url: Column) -> Column:
     )
 
 
+def normalized(url: Column) -> Column:
+    """The form in which an allowed URL is fetched: trimmed, scheme and host in
+    lower case, without the scheme's own port, with a path; null if not allowed."""
+    u = F.trim(url)
+    scheme, authority = F.lower(F.regexp_extract(u, _ABSOLUTE, 1)), F.regexp_extract(u, _ABSOLUTE, 2)
+    own = F.when(scheme == "https", ":443").otherwise(":80")
+    host = F.concat(F.regexp_extract(authority, "^(.*@)?", 0), F.lower(F.regexp_replace(authority, "^.*@", "")))
+    host = F.when(host.endswith(own), F.left(host, F.length(host) - F.length(own))).otherwise(host)
+    path = F.regexp_extract(u, _ABSOLUTE, 3)
+    rest = F.concat(F.regexp_extract(u, _ABSOLUTE, 4), F.regexp_extract(u, _ABSOLUTE, 5))
+    return F.when(rejection(u).isNull(), F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), rest))
+
+
 def compare_key(url: Column) -> Column:
     """The path alone if absolute, without end slashes, lower-case."""
     return F.lower(F.regexp_replace(F.coalesce(part(url, "path"), url), "/+$", ""))

@@ -15,7 +15,7 @@ from .functions import leaves as L
 from .functions import text as T
 from .functions import urls as U
 from .functions import kinds as K
-from .operators import dom, export, links, resolve
+from .operators import dom, export, links, merge
 from .plans import scrape as plan
 from .queries import _t, query
 from .sources import attempts, shred
@@ -168,6 +168,15 @@ def strategy_hooks(spark, sf_dir):
     return _values(spark, sf_dir, [plan.Field("Badge", kind="Auto")], body, provider=provider, extra={"Mark": mark})
 
 
+@query(_long(("Name", "CASE s_suppkey % 3 WHEN 0 THEN 'Dr Ann ' || s_suppkey WHEN 1 THEN 'Ann Smith' ELSE 'read about ' || s_suppkey || ' now' END", "'SemanticHtml'", "CASE s_suppkey % 3 WHEN 0 THEN 85 WHEN 1 THEN 75 ELSE 55 END")))
+def name_values(spark, sf_dir):
+    """A name as the first heading that is no cookie banner, as name-like text where
+    the heading is initials, as a link where it is a question."""
+    html = F.when(_k() % 3 == 0, _say("<h1>We use cookies</h1><h2>Necessary cookies</h2><h3>Dr Ann ", _k(), "</h3>")).when(_k() % 3 == 1, _say("<h1>NHS</h1><p>Ann Smith \u2014 surgeon ", _k(), "</p>")).otherwise(_say('<h2>Who are we?</h2><a href="/x">read about ', _k(), " now</a>"))
+    pages = _t(spark, sf_dir, "supplier").select(_k().cast("long").alias("page_id"), F.lit("https://x.org/").alias("url"), html.alias("html"))
+    return plan.scrape(pages, [plan.Field("Name")], whole_page=True).results.select("page_id", "name", "value", "source", "confidence")
+
+
 # --- whole listings ----------------------------------------------------------------
 
 def _listing(spark, sf_dir, group, size: int, ld: bool = False, tail=None, more=()):
@@ -237,6 +246,15 @@ def profile_deep(spark, sf_dir):
     return out.join(skips, ["page_id", "rec_idx"], "left").select("page_id", "rec_idx", F.col("value").alias("fee"), "visited", "reason")
 
 
+@query(f"""
+SELECT s_suppkey // 10 * 1000 + 1 AS page_id, CAST(s_suppkey % 10 AS INTEGER) AS rec_idx, {_NAME} AS "Name", 'https://l.example.com/p/' || s_suppkey AS "Profile URL" FROM supplier""")
+def profile_column(spark, sf_dir):
+    """The profile link of a record as a column of its own."""
+    listings = _listing(spark, sf_dir, F.floor(_k() / 10), 10)
+    listed = plan.scrape(listings, [plan.Field("Name")])
+    return plan.with_profile_url(listed.wide(), plan.profile_plan(listed, listings)[0])
+
+
 # --- page and text rules -----------------------------------------------------------
 
 @query("""
@@ -296,11 +314,15 @@ def entity_leaves(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, trim(url) LIKE 'http%' AS valid, CASE WHEN page_id % 3 = 0 THEN 'a' || page_id || '@x.org' END AS mail FROM pages""")
+SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN url END AS normal, CASE WHEN page_id % 3 = 0 THEN 'a' || page_id || '@x.org' END AS mail FROM pages""")
 def url_forms(spark, sf_dir):
-    """Whether a URL may be fetched, and a scheme link's value."""
-    href = F.when(F.col("page_id") % 3 == 0, _say("mailto:a", F.col("page_id"), "%40x.org?subject=q")).otherwise("tel:1")
-    return _t(spark, sf_dir, "pages").select("page_id", U.rejection(_say(" ", F.col("url"), " ")).isNull().alias("valid"), U.scheme_value(href, "mailto:").alias("mail"))
+    """The form in which an allowed URL is fetched, and a scheme link's value."""
+    k, u = F.col("page_id"), F.col("url")
+    host = F.upper(U.part(u, "host"))
+    rest = F.regexp_extract(u, "^[a-z]+://[^/?#]*(.*)$", 1)
+    given = F.when(k % 5 == 0, _say("ftp://", host, rest)).when(U.part(u, "scheme") == "https", _say(" HTTPS://", host, ":443", rest)).otherwise(_say("Http://", host, ":80", rest, " "))
+    href = F.when(k % 3 == 0, _say("mailto:a", k, "%40x.org?subject=q")).otherwise("tel:1")
+    return _t(spark, sf_dir, "pages").select("page_id", U.normalized(given).alias("normal"), U.scheme_value(href, "mailto:").alias("mail"))
 
 
 # --- fetching and jobs ---------------------------------------------------------------
@@ -436,3 +458,20 @@ def stream_upsert(spark, sf_dir):
         part.write.mode("append").parquet(source)
         jobs.upsert_stream(spark.readStream.schema(o.schema).parquet(source), table, path + "-log").awaitTermination()
     return table.read().select("key", "price", "first_seq")
+
+
+@query("SELECT 'url:https://x.org/p/' || s_suppkey AS key, '\u00a3' || s_suppkey AS fee, s_suppkey AS first_seq FROM supplier")
+def stream_scrape(spark, sf_dir):
+    """Pages as a stream of two batches: each extracted, then upserted by its URL."""
+    pages = _profiles(spark, sf_dir, "<dl><dt>Fee</dt><dd>\u00a3", _k(), "</dd></dl>")
+    source, path = _place(spark, "pages"), _place(spark, "scraped")
+    table = jobs.VersionedTable(spark, path)
+
+    def prepare(batch):
+        out = plan.scrape(batch, [plan.Field("Fee")], whole_page=True).wide().join(batch.select("page_id", "url"), "page_id")
+        return out.select(merge.dedupe_key(F.col("url"), F.create_map(F.lit("Fee"), F.col("Fee"))).alias("key"), F.col("Fee").alias("fee"), F.col("page_id").alias("seq"))
+
+    for part in (pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1")):
+        part.write.mode("append").parquet(source)
+        jobs.upsert_stream(spark.readStream.schema(pages.schema).parquet(source), table, path + "-log", prepare).awaitTermination()
+    return table.read().select("key", "fee", "first_seq")
