@@ -183,6 +183,11 @@ def usable(vector) -> "F.Column":
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def finite(vector) -> "F.Column":
+    """True for vectors without null or non-finite components; false for null."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def matrix(column) -> "np.ndarray":
     """An Arrow list column of equally long vectors as a float64 matrix."""
     import numpy as np
