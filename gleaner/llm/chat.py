@@ -185,8 +185,9 @@ def digest(formatted: DataFrame) -> DataFrame:
 
 def chains(conversations: DataFrame) -> DataFrame:
     """Conversations as trees without branches: each row, in order of turn (ties: role,
-    text), answers the row before it.  Rows that repeat are turns of their own."""
-    order = Window.partitionBy("tree").orderBy("turn", "role", F.xxhash64("text"), "text")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("tree"), "turn", "role", "text")
+    then a 128-bit digest of the text, so that joins of links need not carry texts),
+    answers the row before it.  Rows that repeat are turns of their own."""
+    order = Window.partitionBy("tree").orderBy("turn", "role", "_h", "_g")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("tree"), "turn", "role", "text", F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_g"))
     placed = rows.withColumn("message", F.row_number().over(order).cast("long"))
     return placed.select("tree", "message", F.when(F.col("message") > 1, F.col("message") - 1).alias("parent"), "role", "text")
