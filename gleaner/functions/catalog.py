@@ -94,4 +94,8 @@ MAX_BODY = 10 * 1024 * 1024
 MAX_RECORDS, MAX_FIELDS, MAX_PAGES, MAX_PROFILES, MAX_JOB_PAGES = 1000, 50, 100, 1000, 500
 MAX_PREVIEWS, MAX_MATCHES = 5, 500
 MIN_SIBLINGS, MAX_GROUP, SAMPLE, MAX_PARENTS = 3, 300, 5, 20_000
+#: Address blocks that must not be fetched from (this network, private, loopback, link-local, site-local, unique local).
+RESERVED_BLOCKS = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "::/128", "::1/128", "fe80::/10", "fec0::/10", "fc00::/7"]
+COOLDOWN_S, MAX_COOLDOWNS, POLITE_MS = 8, 3, 200
+NO_MATCH, NO_RECORDS = "The record selector did not match any elements.", "No records were found."
 MAX_REDIRECTS, MAX_URL, MAX_DELAY_S = 5, 2048, 300

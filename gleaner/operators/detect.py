@@ -23,14 +23,17 @@ def signature(elems: DataFrame) -> DataFrame:
     return out.withColumn("sig", F.concat_ws("|", "tag", classes, testid)).withColumn("bare", bare)
 
 
-def groups(elems: DataFrame, texts: DataFrame) -> DataFrame:
-    """(page_id, parent, sig, bare, n, score, members): sibling groups of 3 to 300
-    with enough text and structure; members are in page order."""
+def groups(elems: DataFrame, texts: DataFrame, max_group: int | None = C.MAX_GROUP) -> DataFrame:
+    """(page_id, parent, sig, bare, n, score, members): sibling groups of 3 to
+    ``max_group`` (None: any) with enough text and structure; members are in page
+    order."""
     early = elems.select("page_id", F.col("pre").alias("parent"), F.row_number().over(Window.partitionBy("page_id").orderBy("pre")).alias("turn")).where(F.col("turn") <= C.MAX_PARENTS)
     rows = signature(elems).join(early.select("page_id", "parent"), ["page_id", "parent"], "left_semi").join(texts, ["page_id", "pre"], "left")
     n, text, below = F.count(F.lit(1)), F.avg(F.length(F.coalesce("vtext", F.lit("")))), F.avg("size")
     made = rows.groupBy("page_id", "parent", "sig", "bare").agg(n.alias("n"), text.alias("avg_text"), below.alias("avg_below"), F.array_sort(F.collect_list("pre")).alias("members"))
-    made = made.where(F.col("n").between(C.MIN_SIBLINGS, C.MAX_GROUP) & (F.col("avg_text") >= 15) & (F.col("avg_below") >= 2))
+    made = made.where((F.col("n") >= C.MIN_SIBLINGS) & (F.col("avg_text") >= 15) & (F.col("avg_below") >= 2))
+    if max_group is not None:
+        made = made.where(F.col("n") <= max_group)
     return made.select("page_id", "parent", "sig", "bare", "n", (F.col("n") * F.log(F.col("avg_text") + 1) * F.log(F.col("avg_below") + 1)).alias("score"), "members")
 
 
@@ -75,10 +78,10 @@ def wrappers(found: DataFrame, elems: DataFrame) -> DataFrame:
     return held.where("k = inn").select("page_id", "parent", "sig").distinct()
 
 
-def detect(elems: DataFrame, texts: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+def detect(elems: DataFrame, texts: DataFrame, fields: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """(page_id, rec_idx, pre): the record nodes of every page on which a group is
-    accepted."""
-    found = staged(groups(elems, texts))
+    accepted.  ``found``: staged ``groups``, if they are at hand."""
+    found = staged(groups(elems, texts)) if found is None else found
     first = F.element_at("members", 1)
     if fields is None:
         best = found.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), first))).where("rank = 1")

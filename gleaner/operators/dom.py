@@ -325,10 +325,24 @@ def extracted(elems: DataFrame, texts: DataFrame, how: str, attribute: str | Non
     return e.select("page_id", "pre", value.alias("value"))
 
 
-def selector_test(elems: DataFrame, texts: DataFrame, selector: str, kind: str = "Css", how: str = "Text", attribute: str | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """Per page: the number of matches (to ``MAX_MATCHES``) and the first previews."""
-    hits = select(elems, selector, kind, texts=texts)
-    found = elems.join(hits.select("page_id", "pre"), ["page_id", "pre"], "left_semi")
-    hits = hits.join(extracted(found, texts, how, attribute, pages=pages), ["page_id", "pre"])
-    first = F.slice(F.array_sort(F.collect_list(F.struct("pre", "value")))["value"], 1, C.MAX_PREVIEWS)
-    return hits.groupBy("page_id").agg(F.least(F.count(F.lit(1)), F.lit(C.MAX_MATCHES)).alias("matches"), first.alias("previews"))
+def selector_test(
+    elems: DataFrame, texts: DataFrame, selector: str, kind: str = "Css", how: str = "Text", attribute: str | None = None, pages: DataFrame | None = None,
+    record_selector: str | None = None, record_kind: str = "Css",
+) -> DataFrame:
+    """(page_id, matches, previews) of every page with elements: how often a selector
+    matches and the first values.  The scopes of ``record_selector``, else the document,
+    are taken in order, whole, up to the one with which the matches pass
+    ``MAX_MATCHES``.  Without a scope there is no match."""
+    scopes = select(elems, record_selector, record_kind, texts=texts) if record_selector and record_selector.strip() else None
+    hits = select(elems, selector, kind, scopes, texts)
+    per = hits.groupBy("page_id", "scope").agg(F.count(F.lit(1)).alias("n"))
+    so_far = Window.partitionBy("page_id").orderBy("scope").rowsBetween(Window.unboundedPreceding, -1)
+    asked = per.withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0))).where(F.col("before") <= C.MAX_MATCHES)
+    turn = F.row_number().over(Window.partitionBy("page_id").orderBy("scope", "pre"))
+    shown = hits.withColumn("turn", turn).where(F.col("turn") <= C.MAX_PREVIEWS)
+    found = elems.join(shown.select("page_id", "pre").distinct(), ["page_id", "pre"], "left_semi")
+    shown = shown.join(extracted(found, texts, how, attribute, pages=pages), ["page_id", "pre"])
+    previews = shown.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("value", F.lit("")).alias("value"))))["value"].alias("previews"))
+    totals = asked.groupBy("page_id").agg(F.sum("n").alias("matches"))
+    out = elems.select("page_id").distinct().join(totals, "page_id", "left").join(previews, "page_id", "left")
+    return out.select("page_id", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("previews", F.array().cast("array<string>")).alias("previews"))

@@ -17,7 +17,10 @@ MAX_ROWS = 200_000
 
 
 def csv_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with ``csv``: the row as a CSV line in the order asked for."""
+    """``df`` with ``csv``: the row as a CSV line in the order asked for; ValueError
+    without columns."""
+    if not columns:
+        raise ValueError("an export needs field names")
     return df.withColumn("csv", T.csv_line(*(F.col(c).cast("string") for c in columns)))
 
 

@@ -4,6 +4,7 @@ within a strategy, of which the first that gives a value counts."""
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -323,6 +324,48 @@ def by_hook(scene: Scene, provider) -> DataFrame:
     return _candidates(rows, "Ai", 0, F.col("value"), 60)
 
 
+def batched(make, batch_rows: int = 64):
+    """A provider for ``by_hook`` from a model that works on batches.
+
+    ``make()`` is called once a partition, where the model runs, and returns a function
+    (texts, names) -> a dict or None a text, of the same length.  A batch that fails is
+    tried again text by text, so that only the texts that fail stay without a value; names
+    that were not asked for, and values that are not text, are left."""
+
+    def provider(asked: DataFrame) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
+
+            ask = None
+            for batch in batches:
+                for i in range(0, batch.num_rows, batch_rows):
+                    part = batch.slice(i, batch_rows)
+                    ask = ask or make()
+                    texts, names = part.column(2).to_pylist(), part.column(3)[0].as_py()
+                    out = []
+                    for keys, told in zip(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True), _told(ask, texts, names), strict=True):
+                        out += [(*keys, n, told[n]) for n in names if isinstance(told.get(n), str)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["page_id", "rec_idx", "name", "value"])
+
+        rows = asked.select(F.col("page_id").cast("long"), F.col("rec_idx").cast("int"), "text", "names")
+        return rows.mapInArrow(run, "page_id long, rec_idx int, name string, value string")
+
+    return provider
+
+
+def _told(ask, texts: list[str], names: list[str]) -> list[dict]:
+    try:
+        told = list(ask(texts, names))
+        if len(told) != len(texts):
+            raise ValueError("a provider answers once a text")
+        return [t or {} for t in told]
+    except Exception as e:
+        if len(texts) == 1:
+            warnings.warn(f"a provider failed: {e}", stacklevel=2)
+            return [{}]
+        return [t for text in texts for t in _told(ask, [text], names)]
+
+
 def by_extra(name: str, rows: DataFrame) -> DataFrame:
     """A registered strategy's rows (page_id, rec_idx, ord, value, confidence)."""
     return _candidates(rows, name, 0, F.col("value"), F.col("confidence"))

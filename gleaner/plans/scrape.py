@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
@@ -52,7 +52,7 @@ class Result:
     def notices(self) -> DataFrame:
         """(page_id, warning): selectors without a match, records left out, required
         fields missing."""
-        lacking = self.warnings().select("page_id", F.format_string("Required field '%s' could not be extracted for one or more records.", "name").alias("warning"))
+        lacking = self.warnings().select("page_id", _lacks("name").alias("warning"))
         return lacking.union(self.notes)
 
 
@@ -76,12 +76,28 @@ def validated_request(url: str, fields: list[Field], max_records: int = 200, max
     ranges of its numbers."""
     if not url.strip() or len(url) > C.MAX_URL:
         raise ValueError(f"a URL of at most {C.MAX_URL} characters")
-    for name, value, least, most in (("max_records", max_records, 1, C.MAX_RECORDS), ("max_pages", max_pages, 1, C.MAX_PAGES), ("max_profiles", max_profiles, 1, C.MAX_PROFILES), ("timeout_s", timeout_s, 1, 30)):
-        if not least <= value <= most:
-            raise ValueError(f"{name}: {least} to {most}")
+    in_range(max_records=max_records, max_pages=max_pages, max_profiles=max_profiles, timeout_s=timeout_s)
     return validated(fields)
 
 
+def in_range(**numbers: int | None) -> None:
+    """ValueError for a number of a request that is out of its range; None is left."""
+    most = {"max_records": C.MAX_RECORDS, "max_pages": C.MAX_PAGES, "max_profiles": C.MAX_PROFILES, "timeout_s": 30}
+    for name, value in numbers.items():
+        if value is not None and not 1 <= value <= most[name]:
+            raise ValueError(f"{name}: 1 to {most[name]}")
+
+
+def validated_export(field_names: list[str], df: DataFrame | None = None) -> list[str]:
+    """The field names of an export in order, or ValueError: there is one at least,
+    and with ``df`` it has a column for each."""
+    if not field_names:
+        raise ValueError("an export needs field names")
+    if df is not None and (lacking := [n for n in field_names if n not in df.columns]):
+        raise ValueError(f"no such field: {lacking[0]}")
+    return list(field_names)
+
+
 def fields_table(spark: SparkSession, fields: list[Field]) -> DataFrame:
     """Fields as rows, kinds inferred, with their label tokens."""
     named = spark.createDataFrame([(f.ord, f.name, f.kind, f.required) for f in fields], "ord int, name string, kind string, required boolean")
@@ -91,7 +107,7 @@ def fields_table(spark: SparkSession, fields: list[Field]) -> DataFrame:
 
 def scrape(
     pages: DataFrame, fields: list[Field], record_selector: str | None = None, max_records: int | None = 200, whole_page: bool = False, provider=None, collapse: bool = True,
-    selector_type: str = "Css", majority: bool = True, extra: dict | None = None,
+    selector_type: str = "Css", majority: bool = True, extra: dict | None = None, max_group: int | None = C.MAX_GROUP,
 ) -> Result:
     """Shred, find records, run every strategy and choose values.
 
@@ -100,9 +116,12 @@ def scrape(
     ``whole_page`` forces the last (profiles).  ``max_records`` a page, None for all.
     ``majority`` drops records of another entity type than most.  ``extra``: name ->
     strategy (a function of the scene that returns candidate rows), tried after the
-    others in this order."""
+    others in this order.  ``max_group``: siblings beyond which a group is not taken for
+    records (None: any number); a notice names pages that have such a group."""
     spark = pages.sparkSession
     fields = validated(fields)
+    in_range(max_records=max_records)
+    large = None
     table = fields_table(spark, fields)
     nodes = staged(shred.shred(pages))
     elems = staged(dom.elements(nodes))
@@ -114,7 +133,10 @@ def scrape(
         hits = dom.select(elems, record_selector, selector_type, texts=texts)
         found = hits.groupBy("page_id").agg(F.array_sort(F.collect_list("pre")).alias("m")).select("page_id", F.posexplode("m").alias("rec_idx", "pre"))
     else:
-        found = detect.detect(elems, texts, table)
+        made = staged(detect.groups(elems, texts, None))
+        small = made if max_group is None else made.where(F.col("n") <= max_group)
+        large = None if max_group is None else made.where(F.col("n") > max_group).groupBy("page_id").agg(F.max("n").alias("n"))
+        found = detect.detect(elems, texts, table, small)
     found = staged(found)
     counts = found.groupBy("page_id").agg(F.count(F.lit(1)).alias("found"))
     most = C.MAX_RECORDS if max_records is None else min(max_records, C.MAX_RECORDS)
@@ -132,11 +154,15 @@ def scrape(
             results = results.join(flat, "page_id", "left_anti").unionByName(redone.results)
             records = records.join(flat, "page_id", "left_anti").unionByName(redone.records)
             counts = counts.join(flat, "page_id", "left_anti")
-    over = F.format_string(f"Only the first {most} records were processed out of %d found.", "found")
-    notes = counts.where(F.col("found") > most).select("page_id", over.alias("warning")) if max_records is not None else counts.select("page_id", F.lit("").alias("warning")).where("false")
+    notes = counts.where(F.col("found") > most).select("page_id", _over(most).alias("warning")) if max_records is not None else counts.select("page_id", F.lit("").alias("warning")).where("false")
     if record_selector and not whole_page:
         missed = pages.select(F.col("page_id").cast("long")).join(counts, "page_id", "left_anti")
-        notes = notes.union(missed.select("page_id", F.lit("The record selector did not match any elements.").alias("warning")))
+        notes = notes.union(missed.select("page_id", F.lit(C.NO_MATCH).alias("warning")))
+        none = counts.join(records.select("page_id").distinct(), "page_id", "left_anti")
+        notes = notes.union(none.select("page_id", F.lit(C.NO_RECORDS).alias("warning")))
+    if large is not None:
+        told = F.format_string(f"%d repeated elements are more than the {max_group} that may be records.", F.col("n"))
+        notes = notes.union(large.select("page_id", told.alias("warning")))
     return Result(results, records, scene, [f.name for f in fields], counts, notes)
 
 
@@ -202,27 +228,71 @@ def next_hops(pages: DataFrame) -> DataFrame:
     return found.join(urls, "page_id").where(U.rejection(F.col("next_url")).isNull()).select("url", "next_url")
 
 
-def crawl(pages: DataFrame, starts: DataFrame, fields: list[Field], max_pages: int = 1, max_records: int = 200, **options) -> DataFrame:
-    """Listings followed over their next links within ``pages``: (root, page_number)
-    with the columns of ``scrape``'s results.  ``starts``: root, url.  A root keeps
-    its first ``max_records`` records over all its pages; a later page without
-    detected records has none."""
+@dataclass
+class Followed:
+    """``results``: (root, page_number) with the columns of ``scrape``'s results.
+    ``roots``: (root, pages_processed, n_records).  ``notices``: (root, warning)."""
+
+    results: DataFrame
+    roots: DataFrame
+    notices: DataFrame
+
+
+def follow(pages: DataFrame, starts: DataFrame, fields: list[Field], max_pages: int = 1, max_records: int = 200, **options) -> Followed:
+    """Listings followed over their next links within ``pages``.  ``starts``: root, url.
+    A root keeps its first ``max_records`` records over all its pages and ends with the
+    page that reaches them.  A first page without a match of ``record_selector`` ends
+    its root, with that notice alone; a later page without records has none."""
+    in_range(max_pages=max_pages, max_records=max_records)
     reached = staged(links.walk(starts, next_hops(pages), max_pages))
     at = pages.select("page_id", F.lower("url").alias("_u")).groupBy("_u").agg(F.min("page_id").cast("long").alias("page_id"))
     placed = staged(reached.join(at.withColumnRenamed("_u", "_v"), F.lower("url") == F.col("_v")).select("root", "page_number", "page_id"))
-    out = None
+    out, first_found, ended = None, None, None
     for first in (True, False):
         turn = placed.where("page_number = 1" if first else "page_number > 1")
+        if ended is not None:
+            turn = turn.join(ended, "root", "left_anti")
         if first or not turn.isEmpty():
             some = pages.join(turn.select(F.col("page_id").alias("_p")).distinct(), pages["page_id"].cast("long") == F.col("_p"), "left_semi")
             got = scrape(some, fields, max_records=None, collapse=first, **options)
             records = got.records if first else got.records.where("not is_document")
             rows = got.results.join(records.select("page_id", "rec_idx"), ["page_id", "rec_idx"], "left_semi").join(turn, "page_id")
             out = rows if out is None else out.unionByName(rows)
+            if first:
+                first_found = staged(turn.join(got.found, "page_id", "left").select("root", F.coalesce("found", F.lit(0)).alias("found")))
+                if options.get("record_selector"):
+                    ended = first_found.where("found = 0").select("root")
     out = staged(out)
     each = out.select("root", "page_number", "rec_idx").distinct()
-    kept = each.withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy("page_number", "rec_idx"))).where(F.col("_r") <= min(max_records, C.MAX_RECORDS)).drop("_r")
-    return out.join(kept, ["root", "page_number", "rec_idx"], "left_semi")
+    kept = staged(each.withColumn("_r", F.row_number().over(Window.partitionBy("root").orderBy("page_number", "rec_idx"))).where(F.col("_r") <= max_records))
+    results = out.join(kept.drop("_r"), ["root", "page_number", "rec_idx"], "left_semi")
+    # The page that reached max_records is the last; without one it is the last of the walk.
+    full = kept.where(F.col("_r") == max_records).select("root", F.col("page_number").alias("_last"))
+    walked = placed if ended is None else placed.join(ended, "root", "left_anti").union(placed.where("page_number = 1").join(ended, "root", "left_semi"))
+    counts = kept.groupBy("root").agg(F.count(F.lit(1)).alias("n_records"))
+    roots = walked.groupBy("root").agg(F.max("page_number").alias("_n")).join(full, "root", "left").join(counts, "root", "left")
+    roots = staged(roots.select("root", F.coalesce("_last", "_n").cast("int").alias("pages_processed"), F.coalesce("n_records", F.lit(0)).alias("n_records")))
+    lacking = results.where("required").groupBy("root", "name").agg(F.max("is_missing").alias("lacking")).where("lacking")
+    notices = lacking.select("root", _lacks("name").alias("warning"))
+    told = roots.join(first_found, "root")
+    missed = told.where("found = 0") if ended is not None else told.where("false")
+    notices = notices.union(missed.select("root", F.lit(C.NO_MATCH)))
+    notices = notices.union(told.join(missed.select("root"), "root", "left_anti").where("n_records = 0").select("root", F.lit(C.NO_RECORDS)))
+    over = told.where((F.col("pages_processed") == 1) & (F.col("n_records") > 0) & (F.col("found") > max_records))
+    return Followed(results, roots, notices.union(over.select("root", _over(max_records))))
+
+
+def crawl(pages: DataFrame, starts: DataFrame, fields: list[Field], max_pages: int = 1, max_records: int = 200, **options) -> DataFrame:
+    """The results of ``follow``."""
+    return follow(pages, starts, fields, max_pages, max_records, **options).results
+
+
+def _lacks(name: str) -> Column:
+    return F.format_string("Required field '%s' could not be extracted for one or more records.", name)
+
+
+def _over(most: int) -> Column:
+    return F.format_string(f"Only the first {most} records were processed out of %d found.", F.col("found"))
 
 
 def profile_plan(listing: Result, pages: DataFrame, max_profiles: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -230,6 +300,7 @@ def profile_plan(listing: Result, pages: DataFrame, max_profiles: int = 50) -> t
     profile_url) of all records.  visits: of every page, its own scrape, the first
     record to name each URL that ``pages`` holds, ``max_profiles`` at most.  skips:
     the others with a reason; their records keep the listing's data."""
+    in_range(max_profiles=max_profiles)
     s = listing.scene
     urls = staged(links.profile_links(listing.records.where("not is_document"), s.elems, links.anchors(s.elems, s.texts, pages)))
     first = F.row_number().over(Window.partitionBy("page_id", F.lower("profile_url")).orderBy("rec_idx"))

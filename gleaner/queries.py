@@ -6,6 +6,8 @@ table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from .functions import urls as U
 from .operators import detect, dom, export, links, merge, resolve
 from .plans import scrape as plan
 from .sources import attempts, shred
+from .sources.stage import checkpoint_dir, staged
 from .streaming import jobs
 
 _QUERIES: dict = {}
@@ -88,14 +91,37 @@ def selector_xpath(spark, sf_dir):
 
 
 @query("""
-SELECT page_id, CAST(least(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)), 500) AS INTEGER) AS matches,
-       array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1)[1:5], ' ') AS previews FROM pages WHERE html LIKE '%<a href=%'""")
+SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS INTEGER) AS matches,
+       array_to_string(regexp_extract_all(html, '<a href="([^"]*)"', 1)[1:5], ' ') AS previews FROM pages""")
 def selector_test(spark, sf_dir):
     nodes = shred.shred(_t(spark, sf_dir, "pages"))
     out = dom.selector_test(dom.elements(nodes), dom.visible_text(nodes), "a", how="Link")
     return out.select("page_id", F.col("matches").cast("int"), F.array_join("previews", " ").alias("previews"))
 
 
+@query("""
+WITH o AS (SELECT o_custkey % 3 AS page_id, o_custkey, o_orderkey FROM orders),
+  s AS (SELECT page_id, o_custkey, count(*) AS n FROM o GROUP BY ALL),
+  r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY page_id ORDER BY o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s),
+  p AS (SELECT page_id, o_orderkey, o_custkey, row_number() OVER (PARTITION BY page_id ORDER BY o_custkey, o_orderkey) AS t FROM o)
+SELECT r.page_id, CAST(sum(n) FILTER (before <= 500) AS BIGINT) AS matches, any_value(v) AS previews
+FROM r JOIN (SELECT page_id, string_agg(CAST(o_orderkey AS VARCHAR), ' ' ORDER BY t) AS v FROM p WHERE t <= 5 GROUP BY page_id) USING (page_id) GROUP BY r.page_id
+UNION ALL SELECT 9, 0, ''""")
+def selector_scopes(spark, sf_dir):
+    """A selector tested inside record scopes: whole scopes in order, up to the one that
+    passes 500 matches.  Three pages with a list a customer and an item an order, one
+    page without a scope."""
+    o = _t(spark, sf_dir, "orders")
+    item = F.concat(F.lit("<li>"), F.col("o_orderkey").cast("string"), F.lit("</li>"))
+    lists = o.groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_orderkey", item.alias("i"))))["i"], "").alias("items"))
+    scope = F.concat(F.lit("<ul class='c'>"), "items", F.lit("</ul>"))
+    pages = lists.groupBy((F.col("o_custkey") % 3).alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("o_custkey", scope.alias("s"))))["s"], "<p>x</p>").alias("html"))
+    pages = pages.select("page_id", F.concat(F.lit("https://x.org/"), F.col("page_id").cast("string")).alias("url"), "html").unionByName(o.limit(1).select(F.lit(9).cast("long").alias("page_id"), F.lit("https://x.org/9").alias("url"), F.lit("<ul><li>1</li></ul>").alias("html")))
+    nodes = staged(shred.shred(pages))
+    out = dom.selector_test(staged(dom.elements(nodes)), staged(dom.visible_text(nodes)), "li", record_selector="ul.c")
+    return out.select("page_id", "matches", F.array_join("previews", " ").alias("previews"))
+
+
 @query("""
 SELECT page_id, CAST(length(html) - length(replace(html, '<p>', '..')) AS BIGINT) AS n_p,
        CAST(length(html) - length(replace(html, '<li>', '...')) AS BIGINT) AS n_li FROM pages""")
@@ -429,6 +455,33 @@ def job_state(spark, sf_dir):
     return jobs.job_state(rows).select("job_id", "status", "last_completed_page", F.array_join("failed_pages", ",").alias("failed_pages"), "records_saved", "last_error", F.size("skips").alias("n_skips"))
 
 
+_IN_TURN = f"""(SELECT *, max(page) FILTER (settled = 0) OVER (PARTITION BY job_id) AS open FROM (
+  SELECT *, CASE WHEN outcome IN ('Success', 'Forbidden') OR attempt = 3 THEN 1 ELSE 0 END AS settled FROM {_SETTLED} s) t)"""
+
+
+@query(f"""
+SELECT job_id, CASE WHEN max(CASE WHEN outcome = 'Forbidden' THEN 1 ELSE 0 END) = 1 THEN 'Blocked' WHEN max(page) >= 4 THEN 'Completed' ELSE 'Paused' END AS status,
+  CAST(coalesce(max(CASE WHEN outcome <> 'Forbidden' THEN page END), 0) AS BIGINT) AS last_completed_page, coalesce(string_agg(CASE WHEN outcome <> 'Success' THEN CAST(page AS VARCHAR) END, ',' ORDER BY page), '') AS failed_pages,
+  CAST(sum(CASE WHEN outcome = 'Success' THEN 2 ELSE 0 END) AS BIGINT) AS records_saved, arg_max('Page ' || page || ': ' || outcome, page) FILTER (outcome <> 'Success') AS last_error,
+  coalesce(string_agg(CASE WHEN outcome <> 'Success' THEN page || ' ' || outcome END, ';' ORDER BY page), '') AS skips, count(*) AS version
+FROM (SELECT *, coalesce(max(CASE WHEN outcome = 'Forbidden' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped
+  FROM {_IN_TURN} s WHERE page <= 4 AND page < coalesce(open, 5)) t WHERE stopped = 0 GROUP BY job_id""")
+def job_stream(spark, sf_dir):
+    """The fold of job_state as a stateful stream of single attempts, in two runs with a
+    restart between them: two thirds of the attempts come first, so that pages come
+    before their turn and wait.  What settled is upserted by job; a page whose attempts
+    are not all logged holds its job up."""
+    rows = _attempts(spark, sf_dir).select("job_id", "page", "attempt", F.lit(4).alias("total_pages"), "outcome", F.lit(2).alias("records"), F.lit("").alias("detail"), "event_id")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/gleaner-stage-{spark.sparkContext.applicationId}/job-stream-{uuid.uuid4().hex}"
+    table = jobs.UpsertTable(spark, folder + "/states", key="job_id", order="version")
+    for part in (rows.where("event_id % 3 <> 1"), rows.where("event_id % 3 = 1")):
+        part.write.mode("append").parquet(folder + "/attempts")
+        stream = jobs.job_stream(spark.readStream.schema(rows.schema).parquet(folder + "/attempts"))
+        jobs.upsert_stream(stream, table, folder + "/log", mode="update").awaitTermination()
+    skips = F.array_join(F.transform("skips", lambda s: F.concat_ws(" ", s["page"].cast("string"), s["reason"])), ";")
+    return table.read().select("job_id", "status", "last_completed_page", F.array_join("failed_pages", ",").alias("failed_pages"), "records_saved", "last_error", skips.alias("skips"), "version")
+
+
 @query("""
 SELECT event_id, CAST(least(coalesce(CASE WHEN event_id % 3 = 0 THEN (event_id % 20) * 1000.0 END, power(2.0, event_id % 5) * 1000.0), 8000.0) AS BIGINT) AS wait_ms,
        least(power(2.0, event_id % 5) * 30.0, 120.0) AS backoff_s, CAST(CASE WHEN event_id % 10 = 0 THEN 0 ELSE round((event_id % 7) / (event_id % 10)::DOUBLE * 100) END AS INTEGER) AS progress FROM events""")

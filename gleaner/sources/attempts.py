@@ -65,6 +65,31 @@ def settled(attempts: DataFrame, retries: int = 3) -> DataFrame:
     return rows.withColumn("_r", last).where("_r = 1").withColumn("tries", F.col("_n")).drop("_r", "_n", "_done")
 
 
+def cooled(attempts: DataFrame, key: str = "walk") -> DataFrame:
+    """(key, pages, wait_ms, cooldowns, ended_by) of walks over listing pages, from
+    logged attempts (key, page from 1, attempt from 1, outcome).
+
+    Each attempt at a next page waits ``POLITE_MS``; one that is rate-limited is
+    followed by a cooldown and another, ``MAX_COOLDOWNS`` at most; any other failure, and a
+    page without attempts, ends the walk.  ``pages``: how many pages came; ``ended_by``: the
+    outcome that ended it, null if the log did.  The first page has one attempt and no
+    wait.  A walk has at most ``MAX_PAGES`` pages; attempts beyond its end count not."""
+    attempt = Window.partitionBy(key, "page").orderBy("attempt")
+    limited = (F.col("outcome") == "RateLimited") & (F.col("page") > 1)
+    turn = F.row_number().over(attempt)
+    rows = attempts.where(F.col("page") <= C.MAX_PAGES).withColumn("_n", turn).withColumn("_over", F.coalesce(F.max((~limited).cast("int")).over(attempt.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    made = rows.where((F.col("_over") == 0) & (F.col("_n") <= C.MAX_COOLDOWNS + 1) & ((F.col("page") > 1) | (F.col("_n") == 1)))
+    each = made.groupBy(key, "page").agg(F.max_by("outcome", "_n").alias("outcome"), F.count(F.lit(1)).alias("tries"))
+    walk = Window.partitionBy(key).orderBy("page")
+    broken = (F.row_number().over(walk) != F.col("page")) | (F.coalesce(F.lag("outcome").over(walk), F.lit("Success")) != "Success")
+    each = each.withColumn("_broken", broken).withColumn("_out", F.max(F.col("_broken").cast("int")).over(walk)).where("_out = 0")
+    won, tries = F.col("outcome") == "Success", F.col("tries")
+    wait = F.when(F.col("page") > 1, tries * C.POLITE_MS + (tries - 1) * C.COOLDOWN_S * 1000).otherwise(0)
+    return each.groupBy(key).agg(
+        F.sum(won.cast("long")).alias("pages"), F.sum(wait).cast("long").alias("wait_ms"), F.sum(F.when(F.col("page") > 1, tries - 1).otherwise(0)).alias("cooldowns"), F.max(F.when(~won, F.col("outcome"))).alias("ended_by")
+    )
+
+
 def readable(fetched: DataFrame, body: str = "body", charset: str = "charset") -> DataFrame:
     """Rows whose body is within the size limit, with ``html`` decoded; an unknown
     charset reads as UTF-8."""

@@ -11,14 +11,15 @@ import zipfile
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions import catalog as C
 from .functions import leaves as L
 from .functions import text as T
 from .functions import urls as U
 from .functions import kinds as K
-from .operators import dom, export, links, merge
+from .operators import addresses, dom, export, links, merge, strategies
 from .plans import scrape as plan
 from .queries import _t, query
-from .sources import attempts, shred
+from .sources import attempts, recorded, shred
 from .sources.stage import checkpoint_dir
 from .streaming import jobs
 
@@ -209,6 +210,25 @@ def scrape_paged(spark, sf_dir):
     return out.select("root", "page_number", "rec_idx", F.col("value").alias("name"))
 
 
+_LISTED = """(SELECT g AS root, CAST(count(*) AS INTEGER) AS n, CAST(least(ceil(count(*) / 4.0), 3) AS INTEGER) AS walked FROM (SELECT s_suppkey % 7 AS g FROM supplier) t GROUP BY g)"""
+
+
+@query(f"""
+SELECT root, 'No match' AS warning, 1 AS pages_processed, CAST(0 AS BIGINT) AS n_records FROM {_LISTED} t WHERE root = 3
+UNION ALL SELECT root, 'Email', CAST(least(walked, ceil(6 / 4.0)) AS INTEGER), CAST(least(n, 6) AS BIGINT) FROM {_LISTED} t WHERE root <> 3""")
+def follow_notices(spark, sf_dir):
+    """Followed listings of up to 3 pages of 4 cards and 6 records, with what they are
+    told: a field that no card has, or a first page without a match, which ends the walk
+    although later pages match."""
+    tail = _say('<nav><a href="?page=', F.col("page") + 1, '">Next</a></nav>')
+    pages = _listing(spark, sf_dir, _k() % 7, 4, tail=tail)
+    pages = pages.withColumn("html", F.when(F.col("page_id") == 3001, F.replace("html", F.lit('class="card"'), F.lit('class="other"'))).otherwise(F.col("html")))
+    starts = pages.where("page_id % 1000 = 1").select(F.floor(F.col("page_id") / 1000).alias("root"), "url")
+    out = plan.follow(pages, starts, [plan.Field("Name"), plan.Field("Email", required=True)], max_pages=3, max_records=6, record_selector=".card")
+    said = F.when(F.col("warning") == C.NO_MATCH, "No match").when(F.col("warning").contains("'Email'"), "Email").otherwise(F.col("warning"))
+    return out.roots.join(out.notices, "root", "left").select("root", said.alias("warning"), "pages_processed", "n_records")
+
+
 @query(f"""
 SELECT s_suppkey // 10 * 1000 + 1 AS page_id, CAST(row_number() OVER (PARTITION BY s_suppkey // 10 ORDER BY s_suppkey) - 1 AS INTEGER) AS rec_idx, {_NAME} AS name FROM supplier WHERE s_suppkey % 5 <> 4""")
 def scrape_majority(spark, sf_dir):
@@ -388,15 +408,39 @@ def resume_jobs(spark, sf_dir):
     return out.select("job_id", F.col("total_pages").cast("int"), "status", F.col("last_completed_page").cast("long"), F.array_join("failed_pages", ",").alias("failed_pages"), F.size("skips").alias("n_skips"), F.col("profiles_visited").cast("long"))
 
 
+_AGAIN = f"""(SELECT k, page, CASE WHEN (k + page) % 4 = 0 AND k % 2 = 1 AND page > 5 THEN 1 ELSE 0 END AS lost, CASE WHEN (k + page) % 4 = 0 AND k % 2 = 1 AND page > 5 AND page < 9 THEN 'RateLimited — HTTP 429'
+  WHEN (k + page) % 4 = 0 THEN 'NetworkError' END AS reason FROM ({_PAGES}) t)"""
+
+
 @query(f"""
-SELECT {_STATE}, CASE WHEN k % 2 = 0 THEN 'Completed' ELSE 'Paused' END AS status, coalesce(string_agg(CASE WHEN k % 2 = 1 AND (k + page) % 4 = 0 AND page > 5 THEN CAST(page AS VARCHAR) END, ',' ORDER BY page), '') AS failed_pages,
-  CAST(sum(CASE WHEN (k + page) % 4 <> 0 OR k % 2 = 0 OR page <= 5 THEN 3 ELSE 0 END) AS BIGINT) AS records_saved, CAST(count(CASE WHEN k % 2 = 1 AND (k + page) % 4 = 0 AND page > 5 THEN 1 END) AS INTEGER) AS n_skips FROM ({_PAGES}) t GROUP BY k""")
+SELECT {_STATE}, CASE WHEN k % 2 = 0 THEN 'Completed' ELSE 'Paused' END AS status, coalesce(string_agg(CASE WHEN lost = 1 THEN CAST(page AS VARCHAR) END, ',' ORDER BY page), '') AS failed_pages,
+  CAST(sum(CASE WHEN lost = 0 THEN 3 ELSE 0 END) AS BIGINT) AS records_saved, coalesce(string_agg(CASE WHEN lost = 1 THEN page || '/' || reason END, ';' ORDER BY page), '') AS skips,
+  arg_max('Page ' || page || ': ' || reason, page) FILTER (lost = 1) AS last_error FROM {_AGAIN} t GROUP BY k""")
 def retry_failed(spark, sf_dir):
-    """Failed pages tried again: in every other job only those up to page 5 load."""
+    """Failed pages tried again: in every other job only those up to page 5 load; the
+    others fail for another reason, which their skips and the last error then tell."""
     rows, state = _states(spark, sf_dir)
-    again = rows.where("outcome <> 'Success'").withColumn("outcome", F.when((F.col("k") % 2 == 0) | (F.col("page") <= 5), "Success").otherwise("ServerError"))
+    lost = (F.col("k") % 2 == 1) & (F.col("page") > 5)
+    outcome = F.when(~lost, "Success").when(F.col("page") < 9, "RateLimited").otherwise("NetworkError")
+    again = rows.where("outcome <> 'Success'").withColumn("outcome", outcome).withColumn("detail", F.when(F.col("page") < 9, "HTTP 429").otherwise(""))
     out = jobs.retried(state, again)
-    return out.select("job_id", F.col("total_pages").cast("int"), "status", F.array_join("failed_pages", ",").alias("failed_pages"), "records_saved", F.size("skips").alias("n_skips"))
+    skips = F.array_join(F.transform("skips", lambda s: F.concat_ws("/", s["page"].cast("string"), s["reason"])), ";")
+    return out.select("job_id", F.col("total_pages").cast("int"), "status", F.array_join("failed_pages", ",").alias("failed_pages"), "records_saved", skips.alias("skips"), "last_error")
+
+
+@query(f"""
+SELECT CAST(k AS VARCHAR) AS job_id, page, CASE WHEN n > 4 - had THEN 'Profile limit reached (4) — only the listing data was saved' END AS reason FROM (
+  SELECT k, page, row_number() OVER (PARTITION BY k ORDER BY page) AS n, k % 3 AS had FROM ({_PAGES}) t WHERE page > 2 * (k % 3) AND page % 2 = 0) t""")
+def resume_more_profiles(spark, sf_dir):
+    """Jobs resumed with a new limit of profiles: every second page names one, and those
+    visited before the page to start from count."""
+    rows, state = _states(spark, sf_dir)
+    told = rows.select("job_id", "page", "k", (F.col("page") % 2 == 0).alias("visited"))
+    start = [jobs.resume_from(state.where(F.col("job_id").cast("long") % 3 == i), 2 * i + 1, told, max_profiles=4) for i in range(3)]
+    resumed = start[0].unionByName(start[1]).unionByName(start[2])
+    again = told.where(F.col("page") > 2 * (F.col("k") % 3)).select("job_id", "page", F.lit(0).alias("rec_idx"), F.when(F.col("visited"), "/p").alias("profile_url"))
+    visits, skips = jobs.capped_profiles(again, 2, state=resumed)
+    return visits.select("job_id", "page", F.lit(None).cast("string").alias("reason")).union(skips.select("job_id", "page", "reason"))
 
 
 @query("""
@@ -453,7 +497,7 @@ def stream_upsert(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select(_say("url:", F.col("o_custkey")).alias("key"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("seq"))
     half = o.agg(F.floor((F.min("seq") + F.max("seq")) / 2).alias("h")).first().h
     source, path = _place(spark, "orders"), _place(spark, "upserted")
-    table = jobs.VersionedTable(spark, path)
+    table = jobs.UpsertTable(spark, path)
     for part in (o.where(F.col("seq") <= half), o.where(F.col("seq") > half)):
         part.write.mode("append").parquet(source)
         jobs.upsert_stream(spark.readStream.schema(o.schema).parquet(source), table, path + "-log").awaitTermination()
@@ -465,7 +509,7 @@ def stream_scrape(spark, sf_dir):
     """Pages as a stream of two batches: each extracted, then upserted by its URL."""
     pages = _profiles(spark, sf_dir, "<dl><dt>Fee</dt><dd>\u00a3", _k(), "</dd></dl>")
     source, path = _place(spark, "pages"), _place(spark, "scraped")
-    table = jobs.VersionedTable(spark, path)
+    table = jobs.UpsertTable(spark, path)
 
     def prepare(batch):
         out = plan.scrape(batch, [plan.Field("Fee")], whole_page=True).wide().join(batch.select("page_id", "url"), "page_id")
@@ -475,3 +519,91 @@ def stream_scrape(spark, sf_dir):
         part.write.mode("append").parquet(source)
         jobs.upsert_stream(spark.readStream.schema(pages.schema).parquet(source), table, path + "-log", prepare).awaitTermination()
     return table.read().select("key", "fee", "first_seq")
+
+
+# --- recorded fetches, addresses, walks -----------------------------------------------
+
+
+@query("""
+SELECT url, CAST([200, 404, 503][CAST(page_id % 3 AS INTEGER) + 1] AS INTEGER) AS status, CAST(strlen(html) AS BIGINT) AS n_bytes, md5(html) AS digest,
+  TIMESTAMP '2026-01-02 03:04:05' + to_seconds(page_id) AS fetched_at FROM pages WHERE page_id % 3 < 2 AND page_id >= 20""")
+def recorded_fetches(spark, sf_dir):
+    """Pages recorded as web archives and read from them; what is asked for is tested in
+    the archive reader."""
+    recorded.register(spark)
+    p, path = _t(spark, sf_dir, "pages"), _place(spark, "archive")
+    at = F.timestamp_add("SECOND", F.col("page_id").cast("int"), F.lit("2026-01-02 03:04:05").cast("timestamp"))
+    status = F.element_at(F.array(F.lit(200), F.lit(404), F.lit(503)), (F.col("page_id") % 3 + 1).cast("int"))
+    p.repartition(4, "page_id").select("url", at.alias("fetched_at"), status.alias("status"), F.lit("utf-8").alias("charset"), F.encode("html", "UTF-8").alias("body")).write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc").option("splitBytes", 1 << 20).load(path).where(F.col("status").isin(200, 404) & (F.col("fetched_at") >= F.lit("2026-01-02 03:04:25").cast("timestamp")))
+    return read.select("url", "status", F.octet_length("body").cast("long").alias("n_bytes"), F.md5("body").alias("digest"), F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))
+
+
+_ADDRESS = "[CAST(user_id * 7 % 224 AS BIGINT), CAST(event_id * 13 % 256 AS BIGINT), CAST(event_id // 256 % 256 AS BIGINT), CAST(event_id % 256 AS BIGINT)]"
+_NET = "s_suppkey * 5 % 224 * 16777216 + s_suppkey * 13 % 256 * 65536 + s_suppkey * 31 % 256 * 256"
+
+
+@query(f"""
+WITH i AS (SELECT DISTINCT array_to_string(a, '.') AS ip, a[1] * 16777216 + a[2] * 65536 + a[3] * 256 + a[4] AS n FROM (SELECT {_ADDRESS} AS a FROM events) t),
+b AS (SELECT {_NET} AS n, s_suppkey % 21 + 4 AS len, (s_suppkey * 5 % 224) || '.' || (s_suppkey * 13 % 256) || '.' || (s_suppkey * 31 % 256) || '.0/' || (s_suppkey % 21 + 4) AS block FROM supplier),
+j AS (SELECT ip, block, len, (b.n >> (32 - len)) << (32 - len) AS lo, i.n AS n FROM i JOIN b ON i.n BETWEEN (b.n >> (32 - len)) << (32 - len) AND ((b.n >> (32 - len)) << (32 - len)) + (1 << (32 - len)) - 1)
+SELECT ip, min(block) FILTER (len = m) AS block, count(DISTINCT (len, lo)) AS blocks FROM (SELECT *, max(len) OVER (PARTITION BY ip) AS m FROM j) t GROUP BY ip""")
+def address_blocks(spark, sf_dir):
+    """The narrowest block that holds each address, of blocks that nest and overlap."""
+    e, k = F.col("event_id"), F.col("s_suppkey")
+    ips = _t(spark, sf_dir, "events").select(F.concat_ws(".", *((x).cast("string") for x in (F.col("user_id") * 7 % 224, e * 13 % 256, F.floor(e / 256) % 256, e % 256))).alias("ip"))
+    cidrs = _t(spark, sf_dir, "supplier").select(_say(k * 5 % 224, ".", k * 13 % 256, ".", k * 31 % 256, ".0/", k % 21 + 4).alias("block"))
+    return addresses.covering(ips, cidrs)
+
+
+@query("""
+SELECT 'h' || c_custkey || '.example.com' AS host, c_custkey % 9 < 5 OR c_custkey % 9 = 8 AS blocked,
+  CASE c_custkey % 9 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'in 10.0.0.0/8' WHEN 2 THEN 'in 172.16.0.0/12' WHEN 3 THEN 'in fc00::/7' WHEN 4 THEN 'in 192.168.0.0/16' WHEN 8 THEN 'in fe80::/10' END AS reason FROM customer""")
+def resolved_hosts(spark, sf_dir):
+    """Hosts against the addresses they resolve to: one reserved address among several,
+    also of version 6 or mapped, bars a host; so does none."""
+    k = F.col("c_custkey")
+    host = _say("h", k, ".example.com")
+    low = F.lower(F.lpad(F.hex(k % 65536), 4, "0"))
+    c = _t(spark, sf_dir, "customer")
+    ips = F.when(k % 9 == 1, F.array(F.lit("93.184.216.34"), _say("10.", k % 256, ".0.1"))).when(k % 9 == 2, F.array(_say("172.", 16 + k % 16, ".9.9"))).when(k % 9 == 3, F.array(_say("fd00::", low), F.lit("2001:db8::1")))
+    ips = ips.when(k % 9 == 4, F.array(_say("::FFFF:192.168.0.", k % 256))).when(k % 9 == 5, F.array(_say("172.32.0.", k % 256), F.lit("::ffff:8.8.8.8"))).when(k % 9 == 6, F.array(_say("2a00:1450:", low, "::200e"), F.lit("no address"))).when(k % 9 == 7, F.array(_say("169.253.0.", k % 256)))
+    ips = ips.when(k % 9 == 8, F.array(_say("febf::", low, "%eth0"))).otherwise(F.array(F.lit("bad"), F.lit("1.2.3.999"), F.lit("1::2::3"), F.lit("")))
+    return addresses.resolved(c.select(host.alias("host")), c.select(F.upper(host).alias("host"), F.explode(ips).alias("ip")))
+
+
+_WALKED = """(SELECT user_id AS walk, i // 4 + 1 AS page, i % 4 + 1 AS attempt, event_id, CASE WHEN event_id % 5 < 2 THEN 'RateLimited' WHEN event_id % 41 = 0 THEN 'ServerError' ELSE 'Success' END AS outcome
+  FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events) t)"""
+
+
+@query(f"""
+WITH a AS (SELECT *, coalesce(bool_or(outcome <> 'RateLimited' OR page = 1) OVER (PARTITION BY walk, page ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM {_WALKED} t),
+p AS (SELECT walk, page, arg_max(outcome, attempt) AS outcome, count(*) AS tries FROM a WHERE NOT done GROUP BY ALL),
+w AS (SELECT *, coalesce(bool_or(outcome <> 'Success') OVER (PARTITION BY walk ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS gone FROM p)
+SELECT walk, count(*) FILTER (outcome = 'Success') AS pages, CAST(coalesce(sum(tries * 200 + (tries - 1) * 8000) FILTER (page > 1), 0) AS BIGINT) AS wait_ms,
+  CAST(coalesce(sum(tries - 1) FILTER (page > 1), 0) AS BIGINT) AS cooldowns, max(outcome) FILTER (outcome <> 'Success') AS ended_by FROM w WHERE NOT gone AND page <= 100 GROUP BY walk""")
+def page_cooldowns(spark, sf_dir):
+    """Walks over next pages from logged attempts, four a page: rate limits are waited
+    out, other failures end a walk."""
+    e = _t(spark, sf_dir, "events")
+    i = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
+    outcome = F.when(F.col("event_id") % 5 < 2, "RateLimited").when(F.col("event_id") % 41 == 0, "ServerError").otherwise("Success")
+    rows = e.select(F.col("user_id").alias("walk"), (F.floor(i / 4) + 1).alias("page"), (i % 4 + 1).alias("attempt"), outcome.alias("outcome"))
+    return attempts.cooled(rows)
+
+
+@query(_long(("Badge", "CASE WHEN s_suppkey % 4 < 2 AND s_suppkey % 10 <> 7 THEN 'badge ' || s_suppkey END", "'Ai'", "60")))
+def provider_batches(spark, sf_dir):
+    """A model that reads batches of texts, set up once a partition; it fails on any batch
+    that holds a certain text, and answers some texts with nothing."""
+
+    def make():
+        def ask(texts, names):
+            if any("poison" in t for t in texts):
+                raise RuntimeError("no")
+            return [{names[0]: t.split("says ")[1], "Other": "x"} if "says" in t else None for t in texts]
+
+        return ask
+
+    body = F.when(_k() % 10 == 7, _say("<p>poison says ", _k(), "</p>")).when(_k() % 4 < 2, _say("<p>it says badge ", _k(), "</p>")).otherwise("<p>silent</p>")
+    return _values(spark, sf_dir, [plan.Field("Badge", kind="Auto")], body, provider=strategies.batched(make, 16))

@@ -48,7 +48,7 @@ def test_upsert_in_place(spark):
 def test_stream_upsert_is_replayable(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "key string, seq int, v string").coalesce(1).write.json(src)
-    table = jobs.VersionedTable(spark, str(tmp_path / "t"))
+    table = jobs.UpsertTable(spark, str(tmp_path / "t"))
 
     def run():
         jobs.upsert_stream(spark.readStream.schema("key string, seq int, v string").json(src), table, str(tmp_path / "c")).awaitTermination()
