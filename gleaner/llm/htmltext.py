@@ -2,18 +2,24 @@
 
 Every page is cut into blocks under the elements that hold them.  An element's
 score is the unlinked text of its own blocks plus half of that one container
-below; the best container's generalised path (tags and class names without
+below.  From the best one the page's container is the ``article`` or else the ``main``
+around it, else the lowest ancestor that holds ``NEARLY`` all of the page's unlinked
+text, and then the one above if that adds a heading and little else.  Its
+generalised path (tags and class names without
 digits, from the root, kept as a 64-bit digest) gets the page's vote, weighted by its share of the page.
 Spark sums the votes per host, and every page is read again under the host's
-``PATHS`` highest paths: the first that the page has and that holds text is taken,
-else the page's own best container.
+``PATHS`` highest paths: the first that the page has, and that holds at least ``SHARE``
+of the unlinked text in the page's own container, is taken, else that container; so a
+page whose article lies elsewhere than its host's keeps it.
 
 Menus, page headers and footers, sidebars, notices, adverts, forms, comments and
 code are known by tag, role or class words and left out of both passes.  A class
 word counts as a whole class name, as its last part, or beside parts that only
 say place or shape.  It is not trusted where it would take the article: elements
 of one path that hold over half of the page's unlinked text are kept (but for
-adverts, consent and comments), and if nothing is left, class words are left aside for that page.
+comments, and for adverts and consent whose names say nothing else); if without adverts and
+consent less than a tenth is left they are kept, and if nothing is left, class words are left
+aside for that page.
 
 Edge cases: null or empty pages give an empty text; a null or odd url counts as
 one host of its own; broken markup never fails (an unclosed tag ends with its
@@ -37,6 +43,12 @@ from .common import materialize, slices, small_batches
 #: Paths of a host that are tried; ones beyond won fewer votes, and the page's own
 #: best container stands behind them, so no page is left empty by this.
 PATHS = 5
+#: Share of the page's own container that a host path must hold to be taken.
+SHARE = 0.5
+#: Share of a page's unlinked text at which a container holds the article.
+NEARLY = 0.9
+#: What an ancestor with a heading may add, of the container's text.
+ADDED = 0.15
 _TOKEN = re.compile(
     r"<!--(?:.*?--!?>|.*)"
     r"|<(script|style|textarea|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>(?:.*?</\1\s*+>|.*)"
@@ -60,8 +72,9 @@ _NOISE_WORDS = frozenset(
 )
 #: Noise words that are no noise at the end of a longer name.
 _WEAK = frozenset("widget widgets".split())
-#: Words of adverts, consent and readers' own text: never the article, though often longer.
-_SURE = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments respond disqus replies".split())
+#: Words of adverts and consent, and of readers' own text: not the article, though often longer.
+_PAID = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr".split())
+_READERS = frozenset("comment comments respond disqus replies".split())
 _NOT = frozenset("no not has have with without hide hides".split())
 _NEUTRAL = frozenset("area bar block bottom box btn button buttons container content form group holder icon icons inner item items left line links list message outer panel post posts right row section text title top us wrap wrapper".split())
 _CLOSES = {  # an opening tag ends these open ones
@@ -75,15 +88,17 @@ _DIGITS = re.compile(r"[0-9]+")
 
 
 def _named(name: str) -> int:
-    """1 if a class name, id or label tells noise, 2 if one of ``_SURE``, else 0."""
+    """1 if a class name, id or label tells noise, 2 if it tells adverts or consent and
+    nothing else, 3 if readers' comments, else 0."""
     parts = [w.lower() for w in _SPLIT.split(name) if w]
     noisy = [w for w in parts if w in _NOISE_WORDS]
     if not noisy or not _NOT.isdisjoint(parts[:-1]):
         return 0
     last = parts[-1] in _NOISE_WORDS and parts[-1] not in _WEAK
-    if not last and not all(w in _NOISE_WORDS or w in _NEUTRAL for w in parts):
+    alone = all(w in _NOISE_WORDS or w in _NEUTRAL for w in parts)
+    if not last and not alone:
         return 0
-    return 2 if not _SURE.isdisjoint(noisy) else 1
+    return 3 if not _READERS.isdisjoint(noisy) else 2 if alone and not _PAID.isdisjoint(noisy) else 1
 
 
 class Page:
@@ -91,7 +106,7 @@ class Page:
     text in them: (element, text, characters in links)."""
 
     def __init__(self, source: str):
-        self.tag, self.path, self.parent, self.noise, self.named = ["#"], [0], [-1], [False], [0]
+        self.tag, self.path, self.parent, self.noise, self.named, self.main = ["#"], [0], [-1], [False], [0], [False]
         self.count: dict[str, int] = {}
         self.blocks: list[tuple[int, str, int]] = []
         self._parse(source)
@@ -167,7 +182,7 @@ class Page:
 
     def _open(self, tag: str, attrs: str, stack: list[int]) -> None:
         up = stack[-1]
-        name, noise, named = tag, self.noise[up], 0
+        name, noise, named, main = tag, self.noise[up], 0, tag == "main"
         if tag in _NOISE_TAGS or (tag == "header" and not any(self.tag[x] in ("article", "main") for x in stack)):
             noise = True
         if attrs.strip():
@@ -177,6 +192,7 @@ class Page:
                     name = ".".join([tag, *sorted({_DIGITS.sub("", c) for c in value.lower().split()})])
                 if key == "role":
                     noise |= value.lower() in _NOISE_ROLES
+                    main |= value.lower() == "main"
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                     noise = True
                 elif key in ("class", "id", "aria-label") and tag not in ("html", "body", "article", "main") and tag not in _INLINE:
@@ -186,6 +202,7 @@ class Page:
         self.parent.append(up)
         self.noise.append(noise)
         self.named.append(named)
+        self.main.append(main)
         stack.append(len(self.tag) - 1)
         self.count[tag] = self.count.get(tag, 0) + 1
 
@@ -194,7 +211,7 @@ class Page:
         n = len(self.tag)
         sure, text, held = [False] * n, [0] * n, {}
         for i in range(n):
-            sure[i] = self.named[i] == 2 or (i > 0 and sure[self.parent[i]])
+            sure[i] = self.named[i] >= 2 or (i > 0 and sure[self.parent[i]])
         for node, t, linked in self.blocks:
             if not sure[node]:
                 text[node] += max(len(t) - linked, 0)
@@ -202,10 +219,15 @@ class Page:
             text[self.parent[i]] += text[i]
             if self.named[i] == 1:
                 held[self.path[i]] = held.get(self.path[i], 0) + text[i]
-        gone = [False] * n
-        for i in range(1, n):
-            gone[i] = gone[self.parent[i]] or self.named[i] == 2 or (self.named[i] == 1 and 2 * held[self.path[i]] <= text[0])
-        self.blocks = [b for b in self.blocks if not gone[b[0]]] or self.blocks
+        total = sum(max(len(t) - linked, 0) for _, t, linked in self.blocks)
+        for least in (2, 3):  # adverts and consent go too, or comments alone
+            gone = [False] * n
+            for i in range(1, n):
+                gone[i] = gone[self.parent[i]] or self.named[i] >= least or (self.named[i] == 1 and 2 * held[self.path[i]] <= text[0])
+            left = [b for b in self.blocks if not gone[b[0]]]
+            if 10 * sum(max(len(t) - linked, 0) for _, t, linked in left) >= total:
+                break
+        self.blocks = left or self.blocks
 
     def container(self, node: int) -> int:
         while self.tag[node] in _TEXT or self.tag[node] in _INLINE:
@@ -213,31 +235,58 @@ class Page:
         return node
 
     def best(self) -> tuple[int, float]:
-        """The container of highest score, or the article around it, and its
-        share of the page's text."""
+        """The page's container (0: the document) and its share of the page's text."""
+        n = len(self.tag)
         own: dict[int, float] = {}
-        for node, text, linked in self.blocks:
-            c = self.container(node)
-            own[c] = own.get(c, 0) + max(len(text) - linked, 0)
+        text, heads = [0] * n, [0] * n
+        for node, t, linked in self.blocks:
+            c, free = self.container(node), max(len(t) - linked, 0)
+            own[c] = own.get(c, 0) + free
+            text[node] += free
+            heads[node] += free * (self.tag[node] in ("h1", "h2"))
         if not own:
             return 0, 0.0
+        for i in range(n - 1, 0, -1):
+            text[self.parent[i]] += text[i]
+            heads[self.parent[i]] += heads[i]
         score = dict(own)
-        for c, n in own.items():
+        for c, free in own.items():
             if c:
                 up = self.container(self.parent[c])
-                score[up] = score.get(up, 0) + n / 2
+                score[up] = score.get(up, 0) + free / 2
         top = max(score, key=lambda c: (score[c], -c))
+        return (node := self._around(top, text, heads)), text[node] / max(text[0], 1)
+
+    def _around(self, top: int, text: list[int], heads: list[int]) -> int:
+        for wanted in (lambda i: self.tag[i] == "article", lambda i: self.main[i]):
+            node = top
+            while node > 0 and not wanted(node):
+                node = self.parent[node]
+            if node > 0:
+                return node
         node = top
-        while node > 0 and self.tag[node] != "article":
+        while node > 0 and text[node] < NEARLY * text[0]:
             node = self.parent[node]
-        return (node if node > 0 else top), score[top] / max(sum(own.values()), 1)
+        up = self.parent[node]
+        while up > 0 and text[up] == text[node]:
+            up = self.parent[up]
+        if up >= 0 and heads[up] > heads[node] and text[up] - text[node] <= ADDED * text[node]:
+            return up
+        return node
 
-    def text(self, roots: set[int]) -> str:
-        """The blocks at or below ``roots``, in page order."""
+    def weight(self, roots: set[int]) -> int:
+        """Unlinked characters at or below ``roots``."""
+        return sum(max(len(t) - linked, 0) for _, t, linked in self._below(roots))
+
+    def _below(self, roots: set[int]) -> list[tuple[int, str, int]]:
         inside = [False] * len(self.tag)
         for i in range(len(inside)):
             inside[i] = i in roots or (i > 0 and inside[self.parent[i]])
-        return "\n\n".join(t for n, t, _ in self.blocks if inside[n])
+        return [b for b in self.blocks if inside[b[0]]]
+
+    def text(self, roots: set[int]) -> str:
+        """The blocks at or below ``roots``, in page order."""
+        return "\n\n".join(t for _, t, _ in self._below(roots))
 
 
 def host_of(url) -> "F.Column":
@@ -280,11 +329,13 @@ def extract(pages: DataFrame, max_broadcast_hosts: int = 20_000) -> DataFrame:
                 texts = []
                 for source, paths in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     page = Page(source or "")
-                    text = ""
+                    own = {page.best()[0]}
+                    least, text = SHARE * page.weight(own), ""
                     for path in paths or []:
-                        if text := page.text({i for i, p in enumerate(page.path) if p == path + (1 << 63)}):
+                        roots = {i for i, p in enumerate(page.path) if p == path + (1 << 63)}
+                        if roots and page.weight(roots) >= least and (text := page.text(roots)):
                             break
-                    texts.append(text or page.text({page.best()[0]}))
+                    texts.append(text or page.text(own))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -7,7 +7,8 @@ both states, and a document's are the mean over all its positions.  Gates are
 piecewise linear (clipped), so a position costs few operations.
 
 The network is fitted on a bounded sample: about ``per_lang`` documents of each
-language (chosen by a hash), ``windows`` windows from anywhere in each.
+language (chosen by a hash), ``windows`` windows from anywhere in each, and at most
+``max_langs`` languages.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is
 every text if nothing can be learned; null languages and null texts are not
@@ -18,7 +19,6 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +31,6 @@ from .common import slices, small_batches
 WINDOW = 64
 HIDDEN = 8
 PAD = 256
-_LETTER = re.compile(r"[^\W\d_]")
 _BATCH = 2048
 
 
@@ -58,6 +57,12 @@ def new_model(langs: list[str], seed: int = 5) -> GruModel:
     return GruModel(langs, x, u, (r.standard_normal((n, 2 * h)) * 0.3).astype(np.float32), np.zeros((n, 1), np.float32))
 
 
+def lettered(text: str) -> bool:
+    """Whether a text has a letter (category L; fractions, circled numbers and number
+    letters are none)."""
+    return any(map(str.isalpha, text))
+
+
 def windows_of(data: np.ndarray) -> np.ndarray:
     """(windows, WINDOW) of a text's bytes, padded."""
     n = max(1, -(-len(data) // WINDOW))
@@ -160,23 +165,24 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], rounds: int
     return model
 
 
-def fit(docs: DataFrame, per_lang: int = 400, windows: int = 8, rounds: int = 400) -> GruModel | None:
-    """Learn from about ``per_lang`` documents of each language in ``docs``."""
+def fit(docs: DataFrame, per_lang: int = 400, windows: int = 8, rounds: int = 400, max_langs: int = 500) -> GruModel | None:
+    """Learn from about ``per_lang`` documents of each language in ``docs``, of the
+    ``max_langs`` that have most documents (ties: by name)."""
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "text", F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(1 << 30)).alias("draw"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(1.0, per_lang / sizes[k]) * (1 << 30)))])
-    picked = known.where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "text", "draw")
+    picked = known.where(F.col("lang").isin(langs)).where(F.col("draw") < F.element_at(share, F.col("lang"))).select("lang", "text", "draw")
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 found = []
                 for text, draw in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    w = windows_of(np.frombuffer(text.encode("utf-8", "replace"), np.uint8)) if _LETTER.search(text) else np.zeros((0, WINDOW), np.int16)
+                    w = windows_of(np.frombuffer(text.encode("utf-8", "replace"), np.uint8)) if lettered(text) else np.zeros((0, WINDOW), np.int16)
                     found.append(w[np.random.default_rng(draw).permutation(len(w))[:windows]].tobytes())
                 yield pa.RecordBatch.from_pydict({"lang": part.column(0), "found": pa.array(found, pa.binary())})
 
@@ -201,7 +207,7 @@ def predict(docs: DataFrame, model: GruModel | None) -> DataFrame:
             for part in slices(batch, 1, 1 << 20):
                 texts = part.column(1).to_pylist()
                 named, score = ["und"] * len(texts), np.zeros(len(texts))
-                read = [i for i, t in enumerate(texts) if model is not None and t and _LETTER.search(t)]
+                read = [i for i, t in enumerate(texts) if model is not None and t and lettered(t)]
                 if read:
                     data = [np.frombuffer(texts[i].encode("utf-8", "replace"), np.uint8) for i in read]
                     cuts = [windows_of(d) for d in data]

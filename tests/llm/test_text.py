@@ -176,7 +176,7 @@ def test_html_matches_the_article(spark, sf):
 
 def test_queries_are_registered():
     names = list(queries.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op5_pigeonhole", "op7_minhash"])

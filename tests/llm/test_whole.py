@@ -125,3 +125,51 @@ def test_many_hits_in_one_text(spark):
     assert all(text[m.start : m.end].lower() == m.value for m in loose) and len(loose) == sum(len(w) >= 4 and w.endswith("ab") for w in text.split())
     told = [r.text for r in pii.redact(docs, floor=2.0).collect()]
     assert told == [" ".join("<EMAIL>" if w.endswith("@x.org") else w for w in text.split(" "))] * 2
+
+
+def extracted(spark, sources):
+    rows = [(i, f"https://h.org/{i}", s) for i, s in enumerate(sources)]
+    return [r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def body(*parts):
+    return "<html><body><nav><a href='/'>Home</a></nav>" + "".join(parts) + "<footer>Foot</footer></body></html>"
+
+
+def test_html_host_vote_does_not_override_a_page(spark):
+    pages = [body(f'<div class="main"><p>Page {i}. {LONG * 6}</p></div>') for i in range(20)]
+    pages.append(body('<div class="main">Teaser only.</div>', f'<div class="story"><p>STORY {LONG * 8}</p></div>'))
+    got = extracted(spark, pages)
+    assert got[20].split("\n\n")[-1].startswith("STORY") and got[20].endswith((LONG * 8).strip())
+    assert all(t == f"Page {i}. {LONG * 6}".strip() for i, t in enumerate(got[:20]))
+
+
+@pytest.mark.parametrize("outer", [("<main>", "</main>"), ("<div role='main'>", "</div>"), ("<div class='page'>", "</div>"), ("", "")])
+def test_html_keeps_titles_and_uneven_parts(spark, outer):
+    titled = body(outer[0], "<h1>Title</h1>", f'<div class="body"><p>ONE {LONG * 9}</p></div>', outer[1])
+    parts = body(outer[0], f'<div class="intro"><p>ONE {LONG * 2}</p></div><div class="story"><p>TWO {LONG * 9}</p></div><div class="end"><p>THREE {LONG}</p></div>', outer[1])
+    for many in (1, 6):  # alone and with the host's votes
+        got = extracted(spark, [titled] * many)
+        assert set(got) == {f"Title\n\nONE {LONG * 9}".strip()}
+        (text,) = set(extracted(spark, [parts] * many))
+        assert [t.split()[0] for t in text.split("\n\n")] == ["ONE", "TWO", "THREE"]
+
+
+@pytest.mark.parametrize("name", ['class="post about-cookies"', 'id="single-sponsored"', 'class="gdpr-explained"', 'class="entry sponsored-by"'])
+def test_html_does_not_trust_words_that_would_take_the_article(spark, name):
+    page = body(f"<div {name}><h1>Title</h1><p>ONE {LONG * 9}</p></div>", "<p>Printed here.</p>")
+    for many in (1, 6):
+        (text,) = set(extracted(spark, [page] * many))
+        assert "Title" in text and "ONE" in text
+
+
+def test_html_tied_votes_and_unlinked_nothing(spark):
+    a, b = body(f'<div class="a"><p>{LONG * 3}</p></div>'), body(f'<div class="b"><p>{LONG * 3}</p></div>')
+    assert extracted(spark, [a, b, a, b]) == [(LONG * 3).strip()] * 4
+    assert extracted(spark, ["<p><a href='/'>only a link</a></p>", "<h1>only a title</h1>"]) == ["only a link", "only a title"]
+
+
+def test_html_drops_what_is_no_article(spark):
+    page = body('<div class="cookie-banner"><p>We use cookies. ' + LONG * 2 + "</p></div>", f'<div class="post"><h1>Title</h1><p>ONE {LONG * 4}</p></div>', f'<div class="ad-box">Buy. {LONG}</div>', f'<div id="comments"><p>REPLY {LONG * 30}</p></div>')
+    (text,) = extracted(spark, [page])
+    assert text == f"Title\n\nONE {LONG * 4}".strip()
