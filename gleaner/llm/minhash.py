@@ -12,10 +12,11 @@ document has can meet nobody, so its row of tables is never written.
 Documents with equal sets are first merged, so copies cost one row each.
 Candidates are confirmed on full shingle sets in two steps, without listing the
 pairs of a bucket: first each document against the smallest document it met.
-Buckets that then still hold several components are joined to clusters.  A
-cluster that fits into one block (``BLOCK_BYTES`` of sets, ``BLOCK_ROWS`` documents)
-is compared exactly in one task; in a larger one only documents that share a
-first half are, in such blocks, a task per pair of blocks of one half.  A task
+Buckets that then still hold several components are joined to clusters.  In a
+cluster the documents that share a first half are compared exactly, whatever its size.
+One that fits into one block (``BLOCK_BYTES`` of sets, ``BLOCK_ROWS`` documents)
+goes to one task as a whole, which looks at the pairs that share a half; a larger one
+goes by halves, in such blocks, a task per pair of blocks of one half.  A task
 returns links between components that it joins, not the pairs, and a block whose
 documents are in one component already is left.  No bucket or partner is capped.
 
@@ -202,9 +203,9 @@ def _common_counts(left: list, right: list) -> np.ndarray:
 
 
 def _groups(clusters: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, doc, blocks) of what is to be compared with each other, in how many
-    blocks: a small cluster (id, component) as a whole, of a large one the
-    documents of each first half."""
+    """(key, doc, blocks, first) of what is to be compared with each other, in how many
+    blocks: of a large cluster (id, component) the documents of each first half, a small
+    one as a whole, with the halves of which its pairs must share one."""
     rows = clusters.select(F.col("id").alias("doc"), F.col("component").alias("cluster")).join(classes.select("doc", F.col("n_shingles").alias("size"), "first"), "doc")
     rows = materialize(rows, "near-clusters")
     blocks = F.ceil(F.greatest(F.sum("size") * 8 / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks")
@@ -215,16 +216,18 @@ def _groups(clusters: DataFrame, classes: DataFrame) -> DataFrame:
     seen = halves.groupBy("key").agg(n, blocks, F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(7))).alias("y")).where("n > 1")
     once = seen.groupBy("n", "x", "y").agg(F.min_by(F.struct("key", "blocks"), "key").alias("k")).select("k.*", "n")  # halves of the same members
     large = join_by_key(halves.select("key", "doc"), once, "key", halves.count()).drop("n")
-    return placed.where("blocks = 1").select(F.xxhash64("cluster").alias("key"), "doc", "blocks").distinct().unionByName(large)
+    small = placed.where("blocks = 1").select(F.xxhash64("cluster").alias("key"), "doc", "blocks", "first").distinct()
+    return small.unionByName(large.withColumn("first", F.lit(None).cast("array<long>")))
 
 
 def compare_groups(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) links between the components of each group's documents, spanning
-    those that its links join; ``members``: key, doc, blocks, held, c (component)."""
+    those that its links join; ``members``: key, doc, blocks, held, c (component), first
+    (null: all pairs, else those with a half in common)."""
     rows = members.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # A document meets its own block and every other: one task a pair of blocks.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "held", "c")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "held", "c", "first")
     rows = rows.withColumn("unit", F.concat_ws(":", "key", "i", "j"))
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -239,6 +242,10 @@ def compare_groups(members: DataFrame, percent: int) -> DataFrame:
         sizes = np.array([len(x) for x in sets], np.int64)
         common = _common_counts([sets[k] for k in left], [sets[k] for k in right]).astype(np.int64)
         linked = 100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+        halves = table.column("first").to_pylist()
+        if halves[0] is not None:
+            halves = [np.unique(np.array(x, np.int64)) for x in halves]
+            linked &= _common_counts([halves[k] for k in left], [halves[k] for k in right]) > 0
         a, b = np.nonzero(linked & (at[left][:, None] != at[right][None, :]))
         root = spanning_labels(len(owner), at[left[a]], at[right[b]])
         tied = np.flatnonzero(root != np.arange(len(root)))

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from gleaner.llm import minhash
 
 
@@ -49,7 +51,7 @@ def test_rows_of_one_doc_id_are_one_document(spark):
 
 def test_blocks_find_what_pairs_find(spark):
     sets = {i: minhash.shingles(" ".join(str(k) for k in range(i, i + 40))) for i in range(10)}
-    rows = spark.createDataFrame([(1, i, bytearray(s.tobytes()), i, 4) for i, s in sets.items()], "key long, doc long, held binary, c long, blocks int")
+    rows = spark.createDataFrame([(1, i, bytearray(s.tobytes()), i, 4, None) for i, s in sets.items()], "key long, doc long, held binary, c long, blocks int, first array<long>")
     found = {(r.a, r.b) for r in minhash.compare_groups(rows, 75).collect()}
     label = list(range(10))
     for _ in range(10):
@@ -58,6 +60,32 @@ def test_blocks_find_what_pairs_find(spark):
     assert label == [0] * 10
 
 
+def test_one_rule_for_clusters_of_any_size(spark):
+    """What is compared as a whole links the pairs that share a half, as halves do."""
+    r = random.Random(9)
+    sets = [minhash.shingles(" ".join(str(r.choice([k, k, k, k, k, -k])) for k in range(60))) for _ in range(60)]
+    sets = [s for s in sets if len(s)] + [np.unique(np.concatenate([sets[0][:30], sets[1][:9]])), sets[0][:45]]
+    firsts = [minhash._signed(minhash.half_keys(s)[0]).tolist() for s in sets]
+    sets += [sets[0]]  # the same set, but no half in common
+    firsts += [[-1 - k for k in range(minhash.HALVES)]]
+    rows = [(1, i, bytearray(s.tobytes()), i, 1, f) for i, (s, f) in enumerate(zip(sets, firsts, strict=True))]
+    halves = [(h + 7, i, bytearray(s.tobytes()), i, 1, None) for i, (s, f) in enumerate(zip(sets, firsts, strict=True)) for h in f]
+    schema = "key long, doc long, held binary, c long, blocks int, first array<long>"
+
+    def reached(rows):
+        label = list(range(len(sets)))
+        for _ in range(len(sets)):
+            for x in found:
+                label[x.a] = label[x.b] = min(label[x.a], label[x.b])
+        return label
+
+    out = []
+    for some in (rows, halves):
+        found = minhash.compare_groups(spark.createDataFrame(some, schema), 75).collect()
+        out.append(reached(found))
+    assert out[0] == out[1] and out[0][-1] == len(sets) - 1 and len(set(out[0])) < len(sets)
+
+
 def test_large_clusters_by_halves(spark, monkeypatch):
     """Every cluster counts as large: only documents of one half are compared."""
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 2)

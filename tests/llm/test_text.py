@@ -89,6 +89,20 @@ def test_language_held_out(spark, sf):
     assert langid.identify(empty).first().lang_pred == "und"
 
 
+@pytest.mark.parametrize(("text", "letters"), [("\u00bd \u00b2", False), ("\u2460", False), ("\u2167", False), ("_ 9", False), ("\u4e2d", True), ("9\u00aa", True), ("\u02b0", True)])
+def test_letters_are_of_category_l(text, letters):
+    import unicodedata
+
+    assert langid.lettered(text) == letters == any(unicodedata.category(c)[0] == "L" for c in text)
+
+
+def test_language_of_texts_without_letters(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", F.lit("x").alias("score"), F.lit("y").alias("lang_pred"))
+    odd = spark.createDataFrame([(-i, t, "en", "x", "y") for i, t in enumerate(["\u00bd \u00b2", "\u2460", "\u2167 \u2167", "\u00e9"], 1)], "doc_id long, text string, lang string, score string, lang_pred string")
+    got = {x.doc_id: x.lang_pred for x in langid.identify(docs.union(odd)).where("doc_id < 0").collect()}
+    assert [got[-i] for i in (1, 2, 3)] == ["und"] * 3 and got[-4] != "und"
+
+
 def test_gru_gradients():
     r = np.random.default_rng(0)
     m = langid.new_model(["a", "b", "c"])
