@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import catalog as C
 from ..functions.text import clean_text, signature_words, trim
+from . import axes
 
 
 def elements(nodes: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def paragraph_text(elems: DataFrame, texts: DataFrame, scopes: DataFrame) -> Dat
 @dataclass
 class Step:
     """One compound selector, and how it hangs on the one before: "" below it, ">"
-    its child, "+" next to it, "~" after it."""
+    its child, "+" next to it, "~" after it, or the name of an axis."""
 
     tests: list = field(default_factory=list)
     link: str = ""
@@ -96,9 +97,11 @@ _CSS = re.compile(
     r"\s*(?:(?P<link>[>+~])|(?P<tag>\*|[A-Za-z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?:\"(?P<q>[^\"]*)\"|'(?P<a>[^']*)'|(?P<v>[^\]\s]+)))?\s*\]"
     r"|:(?P<end>first|last|only)-(?P<what>child|of-type)|:nth-(?P<last>last-)?(?P<kind>child|of-type)\(\s*(?P<nth>[^)]*?)\s*\)|:(?P<empty>empty)|:not\(\s*(?P<no>[^()]+(?:\([^()]*\))?[^()]*)\))"
 )
-_XSTEP = re.compile(r"(?P<axis>//?)(?:(?P<side>following-sibling)::)?(?P<tag>\*|[A-Za-z][\w-]*)(?P<preds>(?:\[(?:[^\[\]\"']|\"[^\"]*\"|'[^']*')*\])*)")
+_XSTEP = re.compile(
+    r"(?P<axis>//?)(?:(?P<up>\.\.)|@(?P<at>\*|[A-Za-z][\w-]*)|(?:(?P<side>[a-z]+(?:-[a-z]+)*)::)?(?P<tag>\*|[A-Za-z][\w-]*))(?P<preds>(?:\[(?:[^\[\]\"']|\"[^\"]*\"|'[^']*')*\])*)"
+)
 _XATOM = re.compile(
-    r"\s*(?:@(?P<attr>[\w-]+)(?:\s*=\s*(?P<eq>\"[^\"]*\"|'[^']*'))?|(?P<fn>contains|starts-with)\(\s*(?:@(?P<fattr>[\w-]+)|text\(\)|\.|normalize-space\([.]?\))\s*,\s*(?P<fv>\"[^\"]*\"|'[^']*')\s*\)"
+    r"\s*(?:count\(\s*(?P<caxis>\.//|descendant::|child::|@)?(?P<ctag>\*|[A-Za-z][\w-]*)\s*\)\s*(?P<cop>!=|<=|>=|=|<|>)\s*(?P<cn>\d+)|@(?P<attr>[\w-]+)(?:\s*=\s*(?P<eq>\"[^\"]*\"|'[^']*'))?|(?P<fn>contains|starts-with)\(\s*(?:@(?P<fattr>[\w-]+)|text\(\)|\.|normalize-space\([.]?\))\s*,\s*(?P<fv>\"[^\"]*\"|'[^']*')\s*\)"
     r"|(?:text\(\)|\.|normalize-space\((?:text\(\)|\.)?\))\s*=\s*(?P<text>\"[^\"]*\"|'[^']*')|(?:position\(\)\s*=\s*)?(?P<n>\d+)|(?P<end>last\(\)))"
 )
 
@@ -195,6 +198,9 @@ def _predicate(text: str) -> tuple:
         if not m:
             raise SelectorError(text)
         at = m.end()
+        if m["cn"]:
+            axis = {"@": "attribute", ".//": "descendant", "descendant::": "descendant"}.get(m["caxis"], "child")
+            return ("count", axis, m["ctag"].lower(), m["cop"], int(m["cn"]))
         if m["attr"]:
             return ("=", m["attr"].lower(), m["eq"][1:-1]) if m["eq"] else ("has", m["attr"].lower(), "")
         if m["fn"]:
@@ -210,20 +216,35 @@ def _predicate(text: str) -> tuple:
 
 
 def parse_xpath(text: str) -> list[list[Step]]:
-    """Paths of named child, descendant and following-sibling steps with
-    predicates; unions with ``|``."""
+    """Paths of named steps with predicates, on any axis of ``axes.AXES``, ``..``, and
+    attribute steps, which give the elements that have the attribute; unions with
+    ``|``."""
     out = []
     for one in re.split(r"\|(?![^\[]*\])", text):
         one = one.strip().removeprefix(".")
         steps, at = [], 0
         while at < len(one):
             m = _XSTEP.match(one, at)
-            if not m:
+            if not m or (m["side"] and m["side"] not in axes.AXES):
                 raise SelectorError(text)
             at = m.end()
-            s = Step([("tag", m["tag"].lower())] if m["tag"] != "*" else [], "~" if m["side"] else ">" if m["axis"] == "/" else "")
+            below = m["axis"] == "//"
+            if m["at"]:
+                has = ("attrs",) if m["at"] == "*" else ("has", m["at"].lower(), "")
+                s = Step([has], "descendant-or-self" if below else "self")
+            elif m["up"] or m["side"]:
+                if below:  # from any node below
+                    steps.append(Step([], "descendant-or-self"))
+                side = "parent" if m["up"] else m["side"]
+                s = Step([("tag", m["tag"].lower())] if m["tag"] and m["tag"] != "*" else [], ">" if side == "child" else side)
+            else:
+                s = Step([("tag", m["tag"].lower())] if m["tag"] != "*" else [], "" if below else ">")
             for p in re.findall(r"\[((?:[^\[\]\"']|\"[^\"]*\"|'[^']*')*)\]", m["preds"]):
                 s.tests.append(_predicate(p))
+            if s.link in ("following", "preceding") and any(t[0] == "nth" for t in _flat(s.tests)):
+                raise SelectorError(f"{text}: a place on the axis {s.link}")
+            if s.link in axes.AXES and any(t[0] == "nth" for u in s.tests if u[0] in ("not", "and", "or") for t in _flat([u])):
+                raise SelectorError(f"{text}: a place inside a condition")
             steps.append(s)
         if not steps:
             raise SelectorError(text)
@@ -236,6 +257,11 @@ def _test(t: tuple) -> Column:
         return F.col("tag") == t[1]
     if t[0] == "empty":
         return F.col("size") == 0
+    if t[0] == "attrs":
+        return F.coalesce(F.size("attrs") > 0, F.lit(False))
+    if t[0] == "count":
+        n = _count(t)
+        return {"=": n == t[4], "!=": n != t[4], "<": n < t[4], "<=": n <= t[4], ">": n > t[4], ">=": n >= t[4]}[t[3]]
     if t[0] == "not":
         return ~_test(t[1])
     if t[0] in ("and", "or"):
@@ -256,6 +282,13 @@ def _test(t: tuple) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+def _count(t: tuple) -> Column:
+    _, axis, tag = t[:3]
+    if axis != "attribute":
+        return F.coalesce(F.col(f"count_{axis}_{tag}"), F.lit(0))
+    return F.greatest(F.size("attrs"), F.lit(0)) if tag == "*" else F.col("attrs")[tag].isNotNull().cast("int")
+
+
 def _place(last: bool, of_type: bool) -> str:
     return f"place_{'last' if last else 'first'}_{'type' if of_type else 'child'}"
 
@@ -265,6 +298,23 @@ def _flat(tests: list) -> list[tuple]:
     return [x for t in tests for x in ([t, *_flat(list(t[1:]))] if t[0] in ("not", "and", "or") else [t])]
 
 
+def _along(found: DataFrame, pool: DataFrame, s: Step) -> DataFrame:
+    """A step on a named axis: its places count along the axis, from each node."""
+    k = next((k for k, t in enumerate(s.tests) if t[0] == "nth"), len(s.tests))
+    rows = pool
+    for t in s.tests[:k]:
+        rows = rows.where(_test(t))
+    met = axes.step(found, rows, s.link, pool)
+    for t in s.tests[k:]:
+        if t[0] == "nth":
+            back = (s.link in axes.REVERSE) != t[3]
+            turn = F.row_number().over(Window.partitionBy("page_id", "scope", "origin").orderBy(F.desc("pre") if back else "pre"))
+            met = met.withColumn("_n", turn).where(F.col("_n") == t[2]).drop("_n")
+        else:
+            met = met.join(pool.where(_test(t)).select("page_id", "pre"), ["page_id", "pre"], "left_semi")
+    return met.select("page_id", "scope", "pre").distinct()
+
+
 def select(elems: DataFrame, selector: str, kind: str = "Css", scopes: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
     """(page_id, scope, pre) of the elements a selector finds inside each scope;
     without scopes the document (0) is the scope, and an XPath always begins at it
@@ -280,7 +330,9 @@ def select(elems: DataFrame, selector: str, kind: str = "Css", scopes: DataFrame
     except SelectorError as e:
         warnings.warn(f"selector finds nothing: {e}", stacklevel=2)
         return everything.join(elems.select("page_id", "pre").where("false"), "page_id")
-    pool = elems.select("page_id", "pre", "size", "parent", "tag", "attrs", "ancestors")
+    pool = elems.select("page_id", "pre", "size", "parent", "tag", "attrs")
+    for axis, tag in {t[1:3] for t in tests if t[0] == "count" and t[1] != "attribute"}:
+        pool = pool.join(axes.counts(elems.select("page_id", "pre", "size", "parent", "tag"), axis, tag).withColumnRenamed("n", f"count_{axis}_{tag}"), ["page_id", "pre"], "left")
     for last, of_type in {t[3:] for t in tests if t[0] == "nth"}:
         beside = Window.partitionBy("page_id", "parent", *(["tag"] if of_type else [])).orderBy(F.desc("pre") if last else "pre")
         pool = pool.withColumn(_place(last, of_type), F.row_number().over(beside))
@@ -292,6 +344,9 @@ def select(elems: DataFrame, selector: str, kind: str = "Css", scopes: DataFrame
         if kind == "XPath" and not selector.strip().startswith("."):
             found = found.withColumn("pre", F.lit(0))
         for i, s in enumerate(path):
+            if s.link in axes.AXES:
+                found = _along(found, pool, s)
+                continue
             rows = pool
             for t in s.tests:
                 rows = rows.where(_test(t))
@@ -305,8 +360,10 @@ def select(elems: DataFrame, selector: str, kind: str = "Css", scopes: DataFrame
                 found = met.select("page_id", "scope", "pre").distinct()
                 continue
             child = s.link == ">" and (i > 0 or kind == "XPath")
-            rows = rows.select("page_id", F.col("parent").alias("above"), F.col("pre").alias("next")) if child else rows.select("page_id", F.explode("ancestors").alias("above"), F.col("pre").alias("next"))
-            found = found.join(rows.withColumnRenamed("above", "pre"), ["page_id", "pre"]).select("page_id", "scope", F.col("next").alias("pre")).distinct()
+            if not child and i == 0 and scopes is None:
+                found = rows.select("page_id", F.lit(0).alias("scope"), "pre")  # all lies in the document
+                continue
+            found = axes.step(found, rows, "child" if child else "descendant", pool).select("page_id", "scope", "pre").distinct()
         out = found if out is None else out.union(found)
     return out.distinct()
 

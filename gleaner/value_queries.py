@@ -20,7 +20,7 @@ from .operators import addresses, dom, export, links, merge, strategies
 from .plans import scrape as plan
 from .queries import _t, query
 from .sources import attempts, recorded, shred
-from .sources.stage import checkpoint_dir
+from .sources.stage import checkpoint_dir, staged
 from .streaming import jobs
 
 def _k():
@@ -607,3 +607,49 @@ def provider_batches(spark, sf_dir):
 
     body = F.when(_k() % 10 == 7, _say("<p>poison says ", _k(), "</p>")).when(_k() % 4 < 2, _say("<p>it says badge ", _k(), "</p>")).otherwise("<p>silent</p>")
     return _values(spark, sf_dir, [plan.Field("Badge", kind="Auto")], body, provider=strategies.batched(make, 16))
+
+
+# --- axes ----------------------------------------------------------------------------
+
+_PATHS = {
+    "ancestor": "//li[@data-k='1']/ancestor::section", "parent": "//li[@data-k='1']/parent::ul", "up": "//b[@data-k='2']/../..", "descendant": "//section[@data-r='1']/descendant::b", "following": "//li[@data-k='1']/following::h2",
+    "preceding": "//li[@data-k='1']/preceding::b", "next": "//li[@data-k='1']/following-sibling::li[1]", "before": "//li[@data-k='1']/preceding-sibling::li[2]", "attribute": "//ul/li/@data-k", "count": "//section[count(.//li) > 9 and count(*) = 2]/h2",
+}
+
+
+@query("""
+WITH o AS (SELECT o_custkey % 20 AS page, o_custkey AS c, o_orderkey AS o, o_orderkey % 5 AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS t, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_custkey, o_orderkey) AS r FROM orders),
+s AS (SELECT page, c, count(*) AS n, min(r) - 1 AS r, row_number() OVER (PARTITION BY page ORDER BY c) - 1 AS t FROM o GROUP BY page, c),
+e AS (SELECT page, 'section' AS tag, c AS i, c % 3 AS k, 3 * t + 2 * r AS pre, 2 + 2 * n AS size, -1 AS parent, n AS items FROM s
+  UNION ALL SELECT page, 'h2', c, 9, 3 * t + 2 * r + 1, 0, 3 * t + 2 * r, 0 FROM s UNION ALL SELECT page, 'ul', c, 9, 3 * t + 2 * r + 2, 2 * n, 3 * t + 2 * r, n FROM s
+  UNION ALL SELECT o.page, 'li', o, k, 3 * s.t + 2 * s.r + 1 + 2 * o.t, 1, 3 * s.t + 2 * s.r + 2, 0 FROM o JOIN s USING (c) UNION ALL SELECT o.page, 'b', o, k, 3 * s.t + 2 * s.r + 2 + 2 * o.t, 0, 3 * s.t + 2 * s.r + 1 + 2 * o.t, 0 FROM o JOIN s USING (c)),
+x AS (SELECT * FROM e WHERE tag = 'li' AND k = 1),
+b AS (SELECT page, min(pre + size) AS first, max(pre) AS last FROM x GROUP BY page),
+w AS (SELECT *, lag(k) OVER w AS k1, lead(k, 2) OVER w AS k2 FROM e WHERE tag = 'li' WINDOW w AS (PARTITION BY page, parent ORDER BY pre)),
+hits AS (
+  SELECT DISTINCT 'ancestor' AS axis, e.* FROM e JOIN x ON e.page = x.page AND e.tag = 'section' AND e.pre < x.pre AND x.pre <= e.pre + e.size
+  UNION ALL SELECT DISTINCT 'parent', e.* FROM e JOIN x ON e.page = x.page AND e.pre = x.parent
+  UNION ALL SELECT DISTINCT 'up', u.* FROM e JOIN e l ON e.page = l.page AND l.pre = e.parent JOIN e u ON u.page = l.page AND u.pre = l.parent WHERE e.tag = 'b' AND e.k = 2
+  UNION ALL SELECT DISTINCT 'descendant', e.* FROM e JOIN e s ON s.tag = 'section' AND s.k = 1 AND e.page = s.page AND e.tag = 'b' AND e.pre > s.pre AND e.pre <= s.pre + s.size
+  UNION ALL SELECT 'following', e.* FROM e JOIN b USING (page) WHERE e.tag = 'h2' AND e.pre > first
+  UNION ALL SELECT 'preceding', e.* FROM e JOIN b USING (page) WHERE e.tag = 'b' AND e.pre + e.size < last
+  UNION ALL SELECT 'next', * EXCLUDE (k1, k2) FROM w WHERE k1 = 1 UNION ALL SELECT 'before', * EXCLUDE (k1, k2) FROM w WHERE k2 = 1
+  UNION ALL SELECT 'attribute', * FROM e WHERE tag = 'li' UNION ALL SELECT 'count', h.* FROM e h JOIN e s ON h.page = s.page AND h.parent = s.pre WHERE h.tag = 'h2' AND s.tag = 'section' AND s.items > 9)
+SELECT axis, page AS page_id, count(*) AS hits, CAST(sum(i) AS BIGINT) AS ids FROM hits GROUP BY ALL""")
+def xpath_axes(spark, sf_dir):
+    """Every axis over pages that list customers' orders, against intervals of pre-order
+    numbers that the oracle makes of the tables."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"))
+    k = (F.col("o") % 5).cast("string")
+    item = _say("<li data-i='", F.col("o"), "' data-k='", k, "'><b data-i='", F.col("o"), "' data-k='", k, "'>x</b></li>")
+    lists = o.groupBy("c").agg(F.array_join(F.array_sort(F.collect_list(F.struct("o", item.alias("h"))))["h"], "").alias("items"))
+    part = _say("<section data-i='", F.col("c"), "' data-r='", F.col("c") % 3, "'><h2 data-i='", F.col("c"), "'>h</h2><ul data-i='", F.col("c"), "'>", F.col("items"), "</ul></section>")
+    pages = lists.groupBy((F.col("c") % 20).alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("c", part.alias("h"))))["h"], "").alias("html"))
+    nodes = staged(shred.shred(pages.select("page_id", F.lit("https://x.org/").alias("url"), "html")))
+    elems = staged(dom.elements(nodes))
+    out = None
+    for name, path in _PATHS.items():
+        hits = dom.select(elems, path, "XPath").join(elems.select("page_id", "pre", F.col("attrs")["data-i"].cast("long").alias("i")), ["page_id", "pre"])
+        one = hits.groupBy("page_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("i").alias("ids")).select(F.lit(name).alias("axis"), "page_id", "hits", "ids")
+        out = one if out is None else out.union(one)
+    return out
