@@ -28,13 +28,13 @@ def _texts(nodes: DataFrame) -> DataFrame:
 
 def visible_text(nodes: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
     """(page_id, pre, vtext) of every scope (default: all) that holds text: its text nodes in
-    page order, joined by a space and cleaned."""
-    inside = _texts(nodes).select("page_id", F.col("pre").alias("at"), "text", F.explode("ancestors").alias("pre"))
+    page order, joined by a space and cleaned: a slice of the page's list of texts."""
+    held = _texts(nodes).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pre", "text")))["text"].alias("held"))
+    spans = nodes.where("kind <> 'text' and text_to > text_from").select("page_id", "pre", "text_from", "text_to")
     if scopes is not None:
-        inside = inside.join(scopes.select("page_id", "pre").distinct(), ["page_id", "pre"], "left_semi")
-    # A group is one element's text, bounded by the page.
-    joined = F.array_join(F.array_sort(F.collect_list(F.struct("at", "text")))["text"], " ")
-    return inside.groupBy("page_id", "pre").agg(clean_text(joined).alias("vtext"))
+        spans = spans.join(scopes.select("page_id", "pre").distinct(), ["page_id", "pre"], "left_semi")
+    joined = F.array_join(F.slice("held", F.col("text_from") + 1, F.col("text_to") - F.col("text_from")), " ")
+    return spans.join(held, "page_id").select("page_id", "pre", clean_text(joined).alias("vtext"))
 
 
 def inner_text(nodes: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -105,13 +105,24 @@ def fields_table(spark: SparkSession, fields: list[Field]) -> DataFrame:
     return spark.createDataFrame([(f.ord, f.name, kinds[f.ord], f.required, K.tokens_of(f.name, kinds[f.ord])) for f in fields], "ord int, name string, kind string, required boolean, tokens array<string>")
 
 
+def one_row_a_page(pages: DataFrame) -> DataFrame:
+    """``pages`` with one row a page_id.  Only ids are looked at, and only pages that
+    repeat are moved."""
+    again = staged(pages.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("page_id"))
+    if again.isEmpty():
+        return pages
+    one = pages.join(again, "page_id", "left_semi").groupBy("page_id").agg(F.min(F.struct("url", "html")).alias("p")).select("page_id", "p.url", "p.html")
+    return pages.join(again, "page_id", "left_anti").select("page_id", "url", "html").unionByName(one)
+
+
 def scrape(
     pages: DataFrame, fields: list[Field], record_selector: str | None = None, max_records: int | None = 200, whole_page: bool = False, provider=None, collapse: bool = True,
     selector_type: str = "Css", majority: bool = True, extra: dict | None = None, max_group: int | None = C.MAX_GROUP,
 ) -> Result:
     """Shred, find records, run every strategy and choose values.
 
-    ``pages``: page_id, url, html.  Records come from ``record_selector`` (a page
+    ``pages``: page_id, url, html; of rows that repeat a page_id the one of smallest url
+    (then html) counts.  Records come from ``record_selector`` (a page
     without a match has none, and a notice), else detection, else the whole page;
     ``whole_page`` forces the last (profiles).  ``max_records`` a page, None for all.
     ``majority`` drops records of another entity type than most.  ``extra``: name ->
@@ -122,6 +133,7 @@ def scrape(
     fields = validated(fields)
     in_range(max_records=max_records)
     large = None
+    pages = one_row_a_page(pages)
     table = fields_table(spark, fields)
     nodes = staged(shred.shred(pages))
     elems = staged(dom.elements(nodes))

@@ -2,7 +2,8 @@
 
 The tokenizer is the only Python here; all that follows works on rows.  A node
 has its pre-order number, the size of its subtree, its parent and the list of its
-ancestors, so "inside" is an equi-join on (page_id, ancestor).
+ancestors, so "inside" is an equi-join on (page_id, ancestor), and the places of its
+visible texts among those of the page, so its text is a slice of one list a page.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.catalog import ADDRESS_PARTS
+from ..functions.catalog import ADDRESS_PARTS, HIDDEN_PARENTS
 
-NODES = "page_id long, pre int, size int, parent int, depth int, kind string, tag string, parent_tag string, attrs map<string,string>, text string, ancestors array<int>, inner_from int, inner_to int"
+NODES = "page_id long, pre int, size int, parent int, depth int, kind string, tag string, parent_tag string, attrs map<string,string>, text string, ancestors array<int>, inner_from int, inner_to int, text_from int, text_to int"
 ENTITIES = "page_id long, ent int, type string, n_keys int, leaves map<string,string>"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
@@ -171,15 +172,16 @@ def page_nodes(html: str | None) -> list[list]:
     return _Builder().parse(html or "")
 
 
-def _node_batch(page_id, nodes: list, size: list, begin: int, above: list) -> pa.RecordBatch:
+def _node_batch(page_id, nodes: list, size: list, told: list, begin: int, above: list) -> pa.RecordBatch:
     rows = range(begin, begin + len(above))
     kind, tag, attrs, text, parent, depth, first, last = zip(*(nodes[i] for i in rows), strict=True)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([page_id] * len(above), pa.int64()), pa.array(rows, pa.int32()), pa.array([size[i] for i in rows], pa.int32()), pa.array(parent, pa.int32()), pa.array(depth, pa.int32()), pa.array(kind), pa.array(tag),
             pa.array([nodes[p][1] if p >= 0 else "" for p in parent]), pa.array([list(a.items()) for a in attrs], pa.map_(pa.string(), pa.string())), pa.array(text, pa.string()), pa.array(above, pa.list_(pa.int32())), pa.array(first, pa.int32()), pa.array(last, pa.int32()),
+            pa.array([told[i] for i in rows], pa.int32()), pa.array([told[i + size[i] + 1] for i in rows], pa.int32()),
         ],
-        names=["page_id", "pre", "size", "parent", "depth", "kind", "tag", "parent_tag", "attrs", "text", "ancestors", "inner_from", "inner_to"],
+        names=["page_id", "pre", "size", "parent", "depth", "kind", "tag", "parent_tag", "attrs", "text", "ancestors", "inner_from", "inner_to", "text_from", "text_to"],
     )
 
 
@@ -190,6 +192,9 @@ def page_batches(page_id, html: str | None):
     size = [0] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
         size[nodes[i][4]] += size[i] + 1
+    told = [0]  # visible texts before each node
+    for node in nodes:
+        told.append(told[-1] + (node[0] == "text" and nodes[node[4]][1] not in HIDDEN_PARENTS))
     path: list[int] = []  # the ancestors of the node at hand
     begin, items, above = 0, 0, []
     for i, node in enumerate(nodes):
@@ -199,10 +204,10 @@ def page_batches(page_id, html: str | None):
         items += len(path)
         path.append(i)
         if len(above) >= _ROWS or items >= _ITEMS:
-            yield _node_batch(page_id, nodes, size, begin, above)
+            yield _node_batch(page_id, nodes, size, told, begin, above)
             begin, items, above = i + 1, 0, []
     if above:
-        yield _node_batch(page_id, nodes, size, begin, above)
+        yield _node_batch(page_id, nodes, size, told, begin, above)
 
 
 def shred(pages: DataFrame) -> DataFrame:

@@ -194,6 +194,12 @@ def test_large_groups_are_named(spark):
     assert every.records.where("page_id = 1").count() == 301 and every.notices().count() == 0
 
 
+def test_repeated_pages_are_one(spark):
+    rows = [(1, "https://x.org/b", f"<section>{cards(6)}</section>"), (1, "https://x.org/a", f"<section>{cards(4)}</section>"), (1, "https://x.org/a", f"<section>{cards(4)}</section>"), (2, "https://x.org/c", f"<section>{cards(3)}</section>")]
+    out = plan.scrape(spark.createDataFrame(rows, "page_id long, url string, html string"), [plan.Field("Name")])
+    assert {r.page_id: r.n for r in out.records.groupBy("page_id").agg(F.count("*").alias("n")).collect()} == {1: 4, 2: 3}
+
+
 def test_followed_listings_tell(spark):
     page = "<section>{}</section><nav><a href='?page={}'>Next</a></nav>"
     rows = [(1, "https://x.org/a", page.format(cards(9), 2)), (2, "https://x.org/b", page.format(cards(4), 2)), (3, "https://x.org/b?page=2", page.format(cards(4), 3)), (4, "https://x.org/c", "<p>none</p>")]
