@@ -44,6 +44,15 @@ def _any_shape(kind: Column, text: Column) -> Column:
     return out
 
 
+def heading_names(heading: Column, text: Column) -> Column:
+    """Whether a node's heading seems to be a name: name-like, or too short to tell while
+    the node's text begins with a run of capitalised words; no question and no heading
+    that any page has."""
+    h = trim(heading)
+    short = (F.length(h) <= 4) & F.substring(text, 1, 200).rlike(C.TITLE_RUN)
+    return (h != "") & ~h.endswith("?") & ~F.lower(h).isin(C.GENERIC_HEADINGS) & (looks_like_name(h) | short)
+
+
 def hit_rates(found: DataFrame, elems: DataFrame, texts: DataFrame, fields: DataFrame) -> DataFrame:
     """(page_id, parent, sig, hit, name_hit): over each group's first nodes the
     share that seems to hold a field, averaged over the best two fields, and the
@@ -60,9 +69,7 @@ def hit_rates(found: DataFrame, elems: DataFrame, texts: DataFrame, fields: Data
     headed = F.min_by(F.struct("vtext"), F.when(F.col("tag").isin(C.HEADINGS), F.col("pre")))["vtext"]
     titled = F.min_by(F.struct("vtext"), F.when(F.array_contains(F.split("words", " +"), "title"), F.col("pre")))["vtext"]
     named = own.join(inner.groupBy("page_id", "scope").agg(headed.alias("headed"), titled.alias("titled")), ["page_id", "scope"], "left")
-    h = trim(F.coalesce("headed", "titled", F.lit("")))
-    fits = (h != "") & ~h.endswith("?") & ~F.lower(h).isin(C.GENERIC_HEADINGS) & (looks_like_name(h) | ((F.length(h) <= 4) & F.substring("all", 1, 200).rlike(C.TITLE_RUN)))
-    names = named.withColumn("hit", fits).join(fields.where("kind = 'Name'")).select("page_id", "scope", "name", "kind", "hit")
+    names = named.withColumn("hit", heading_names(F.coalesce("headed", "titled", F.lit("")), F.col("all"))).join(fields.where("kind = 'Name'")).select("page_id", "scope", "name", "kind", "hit")
     rates = sample.join(plain.union(names), ["page_id", "scope"]).groupBy("page_id", "parent", "sig", "name", "kind").agg(F.avg(F.col("hit").cast("double")).alias("rate"))
     best = F.slice(F.sort_array(F.collect_list("rate"), asc=False), 1, 2)
     mean = F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)

@@ -178,6 +178,40 @@ def scrape(
     return Result(results, records, scene, [f.name for f in fields], counts, notes)
 
 
+def by_selectors(pages: DataFrame, fields: list[Field], record_selector: str | None = None, max_records: int = 200, selector_type: str = "Css") -> tuple[DataFrame, DataFrame]:
+    """(values, warnings) by the fields' own selectors alone.  values: (page_id, rec_idx,
+    ord, name, value, is_missing), the first match of each field in each record (the
+    document without ``record_selector``).  warnings: (page_id, rec_idx, warning), one for
+    every record that lacks a required field, and one for a page, with a null record,
+    whose selector finds no record or more than ``max_records``."""
+    fields = validated(fields)
+    in_range(max_records=max_records)
+    spark = pages.sparkSession
+    pages = one_row_a_page(pages)
+    nodes = staged(shred.shred(pages))
+    elems = staged(dom.elements(nodes))
+    texts = staged(dom.visible_text(nodes))
+    if record_selector and record_selector.strip():
+        hits = dom.select(elems, record_selector, selector_type, texts=texts)
+        found = hits.groupBy("page_id").agg(F.array_sort(F.collect_list("pre")).alias("m")).select("page_id", F.posexplode("m").alias("rec_idx", "pre"))
+        found = staged(found)
+    else:
+        found = pages.select(F.col("page_id").cast("long"), F.lit(0).alias("rec_idx"), F.lit(0).alias("pre"))
+    records = staged(detect.numbered(found.where(F.col("rec_idx") < max_records)))
+    scene = strategies.Scene(records, fields_table(spark, fields), nodes, elems, texts, None, pages=pages)
+    told = strategies.by_selector(scene, fields)
+    required = F.broadcast(spark.createDataFrame([(f.ord, f.name, f.required) for f in fields], "ord int, name string, required boolean"))
+    asked = records.select("page_id", "rec_idx").join(required)
+    values = asked.withColumn("value", F.lit(None).cast("string")) if told is None else asked.join(told.select(*strategies.KEY, "value"), strategies.KEY, "left")
+    values = staged(values.withColumn("is_missing", F.col("value").isNull()))
+    notes = values.where("required and is_missing").select("page_id", "rec_idx", _lacks("name").alias("warning"))
+    counts = found.groupBy("page_id").agg(F.count(F.lit(1)).alias("found"))
+    none = F.lit(None).cast("int").alias("rec_idx")
+    notes = notes.union(counts.where(F.col("found") > max_records).select("page_id", none, _over(max_records)))
+    missed = pages.select(F.col("page_id").cast("long")).join(counts, "page_id", "left_anti")
+    return values.drop("required"), notes.union(missed.select("page_id", none, F.lit(C.NO_MATCH)))
+
+
 def _of_majority(found: DataFrame, elems: DataFrame, texts: DataFrame, entities: DataFrame, pages: DataFrame) -> DataFrame:
     """Records without those whose profile's entity has another type than most, in
     order and numbered anew; pages whose entities have no url stay as they are."""

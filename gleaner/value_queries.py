@@ -16,7 +16,7 @@ from .functions import leaves as L
 from .functions import text as T
 from .functions import urls as U
 from .functions import kinds as K
-from .operators import addresses, dom, export, links, merge, strategies
+from .operators import addresses, detect, dom, export, links, merge, strategies
 from .plans import scrape as plan
 from .queries import _t, query
 from .sources import attempts, recorded, shred
@@ -653,3 +653,57 @@ def xpath_axes(spark, sf_dir):
         one = hits.groupBy("page_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("i").alias("ids")).select(F.lit(name).alias("axis"), "page_id", "hits", "ids")
         out = one if out is None else out.union(one)
     return out
+
+
+# --- rules on texts ------------------------------------------------------------------
+
+
+@query("""
+WITH o AS (SELECT o_custkey % 30 AS page, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey % 30 ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT page AS page_id, CAST(i AS INTEGER) AS rec_idx, CASE WHEN k % 3 > 0 THEN 'c' || k END AS code, CASE WHEN k % 4 > 0 THEN '/t/' || k END AS link,
+  CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS warnings FROM o WHERE i < 9
+UNION ALL SELECT page, NULL, NULL, NULL, 1 FROM o GROUP BY page HAVING count(*) > 9""")
+def selector_records(spark, sf_dir):
+    """Records and fields by selectors alone: every record that lacks a required field has
+    a warning of its own, and pages with more records than asked for have one."""
+    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 30).alias("page_id"), F.col("o_orderkey").alias("k"))
+    row = _say("<tr><td>", F.when(F.col("k") % 3 > 0, _say("<b>c", F.col("k"), "</b>")).otherwise("<b> </b>"), "</td><td>", F.when(F.col("k") % 4 > 0, _say("<a href='/t/", F.col("k"), "'>t</a>")).otherwise("none"), "</td></tr>")
+    pages = o.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", row.alias("r"))))["r"], "").alias("rows"))
+    pages = pages.select("page_id", F.lit("https://x.org/").alias("url"), _say("<table>", F.col("rows"), "</table>").alias("html"))
+    fields = [plan.Field("Code", selector="b", required=True), plan.Field("Link", selector=".//a[@href]", selector_type="XPath", extraction_type="Link", required=True)]
+    values, notes = plan.by_selectors(pages, fields, "tr", max_records=9)
+    wide = values.groupBy("page_id", "rec_idx").pivot("name", ["Code", "Link"]).agg(F.first("value"))
+    said = notes.groupBy("page_id", "rec_idx").agg(F.count(F.lit(1)).alias("n"))
+    both = wide.join(said.where("rec_idx is not null"), ["page_id", "rec_idx"], "left").select("page_id", "rec_idx", F.col("Code").alias("code"), F.col("Link").alias("link"), F.coalesce("n", F.lit(0)).cast("int").alias("warnings"))
+    return both.union(said.where("rec_idx is null").select("page_id", "rec_idx", F.lit(None), F.lit(None), F.col("n").cast("int")))
+
+
+_RUN = "'([A-Z][a-zA-Z''-]*[ \\t\\n\\r\\f\\v]+){1,4}[A-Z][a-zA-Z''-]*'"
+
+
+@query(f"""
+SELECT doc_id, w AS heading, length(w) > 0 AND NOT ends_with(w, '?') AND lower(w) NOT IN ({", ".join(f"'{h}'" for h in C.GENERIC_HEADINGS)})
+  AND (named OR (length(w) <= 4 AND regexp_matches(substr(text, 1, 200), {_RUN}))) AS hit
+FROM (SELECT doc_id, text, w, len(list_filter(string_split_regex(w, '\\s+'), lambda x: regexp_matches(x, '^\\p{{Lu}}'))) >= 2
+  OR (len(list_filter(string_split_regex(w, '\\s+'), lambda x: x <> '')) BETWEEN 2 AND 5 AND regexp_replace(lower(string_split_regex(w, '\\s+')[1]), '[.]+$', '') IN ({", ".join(f"'{h}'" for h in C.HONORIFICS)})) AS named
+  FROM (SELECT doc_id, coalesce(text, '') AS text, trim(CASE doc_id % 7 WHEN 0 THEN 'Fees' WHEN 1 THEN ' Frequently Asked Questions ' WHEN 2 THEN 'Who Is It?' WHEN 3 THEN 'NHS' WHEN 4 THEN 'dr. ann of leeds' WHEN 5 THEN substr(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'), 1, 18) ELSE '' END) AS w FROM documents) t) u""")
+def heading_rule(spark, sf_dir):
+    """Which headings seem to be names, before the texts of documents: generic ones,
+    questions, honorifics, and short ones before a run of capitalised words."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 18)
+    heads = F.array(F.lit("Fees"), F.lit(" Frequently Asked Questions "), F.lit("Who Is It?"), F.lit("NHS"), F.lit("dr. ann of leeds"), own, F.lit(""))
+    h = F.trim(F.element_at(heads, (F.col("doc_id") % 7 + 1).cast("int")))
+    return d.select("doc_id", h.alias("heading"), detect.heading_names(h, F.col("text")).alias("hit"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 8 = 7 THEN NULL WHEN c_custkey % 8 < 6 THEN '12 Mill Lane, Leeds LS1 ' || (c_custkey % 9) || 'AB; 4 Park Row, York YO1 ' || (c_custkey % 7) || 'XY' ELSE '12 Mill Lane, Leeds LS1 ' || (c_custkey % 9) || 'AB' END AS places FROM customer""")
+def location_noise(spark, sf_dir):
+    """Locations in a text without the noisy ones, which tell of reviews and bookings."""
+    k = F.col("c_custkey")
+    noise = F.element_at(F.array(*map(F.lit, C.LOCATION_NOISE)), (k % len(C.LOCATION_NOISE) + 1).cast("int"))
+    good = _say("12 Mill Lane, Leeds LS1 ", k % 9, "AB\n4 Park Row, York YO1 ", k % 7, "XY")
+    one = _say("12 Mill Lane, Leeds LS1 ", k % 9, "AB\nThe ", noise, " of Park Row, York YO1 ", k % 7, "XY")
+    text = F.when(k % 8 == 7, _say("Our ", noise, " by Mill Lane LS1 ", k % 9, "AB")).when(k % 8 == 6, one).otherwise(good)
+    return _t(spark, sf_dir, "customer").select("c_custkey", K.every_match("Location", text).alias("places"))
