@@ -220,15 +220,20 @@ def _groups(clusters: DataFrame, classes: DataFrame) -> DataFrame:
     return small.unionByName(large.withColumn("first", F.lit(None).cast("array<long>")))
 
 
-def compare_groups(members: DataFrame, percent: int) -> DataFrame:
+def compare_groups(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """(a, b) links between the components of each group's documents, spanning
-    those that its links join; ``members``: key, doc, blocks, held, c (component), first
-    (null: all pairs, else those with a half in common)."""
+    those that its links join; ``members``: key, doc, blocks, c (component), first
+    (null: all pairs, else those with a half in common); ``held``: (doc, held) sets.
+
+    Ids are dealt first, and sets go only to pairs of blocks that hold several
+    components."""
     rows = members.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     # A document meets its own block and every other: one task a pair of blocks.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "held", "c", "first")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "c", "first")
     rows = rows.withColumn("unit", F.concat_ws(":", "key", "i", "j"))
+    several = rows.groupBy("unit").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("unit")
+    rows = rows.join(several, "unit", "left_semi").join(held, "doc")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
@@ -293,7 +298,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     release(met, tried)
     if not chains.isEmpty():
         groups = materialize(_groups(connected_components(chains), classes), "near-groups")
-        more = materialize(compare_groups(of(groups, "doc", "c").join(held, "doc"), percent), "near-links")
+        more = materialize(compare_groups(of(groups, "doc", "c"), held, percent), "near-links")
         joined(more)
         release(groups, more)
     placed = of(classes.select("digest", "doc"), "doc", "placed").select("digest", "placed")
