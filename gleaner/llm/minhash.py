@@ -42,6 +42,7 @@ HALVES = 17
 WIDTH = 3
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 512
 _N = 2 * HALVES * WIDTH
+_PARTS = 16
 _SEEDS = np.random.default_rng(20240607)
 _XOR = _SEEDS.integers(0, 2**63, _N, dtype=np.uint64)
 _MUL = _SEEDS.integers(0, 2**63, _N, dtype=np.uint64) | np.uint64(1)
@@ -233,7 +234,9 @@ def compare_groups(members: DataFrame, held: DataFrame, percent: int) -> DataFra
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "c", "first")
     rows = rows.withColumn("unit", F.concat_ws(":", "key", "i", "j"))
     several = rows.groupBy("unit").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("unit")
-    rows = rows.join(several, "unit", "left_semi").join(held, "doc")
+    # A unit's ids meet it in parts, so a task's load does not hang on a few units.
+    several = several.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1)))).hint("shuffle_hash")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(_PARTS)).cast("int")).join(several, ["unit", "part"], "left_semi").drop("part").join(held, "doc")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
