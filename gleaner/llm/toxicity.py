@@ -4,10 +4,11 @@ by naive Bayes log-count ratios.
 Whole texts are lower-cased, put behind a space and cut into n-grams of
 ``NGRAMS`` characters (code points), hashed to ``2**BITS`` buckets.  A feature is the presence
 of a bucket in a document times its log-count ratio; a logistic regression with
-an L2 penalty weighs these.  The ratio, the choice of features and the weights
-come from a bounded sample of labelled rows (``max_per_class`` of either
-class, distinct texts); scoring covers every row.  The model holds the
-``max_features`` buckets of firmest ratio among those in 3 or more documents.
+an L2 penalty, Spark ML's on sparse vectors, weighs these.  The ratios and the
+weights come from a bounded sample of labelled rows (``max_per_class`` of either
+class, distinct texts); scoring covers every row.  Every bucket seen in
+``min_docs`` documents of the sample whose ratio is ``min_z`` times its standard
+error from zero is a feature: there is no limit on their number but ``2**BITS``.
 
 Edge cases: a null or empty text has no feature and scores the intercept;
 labels that are null or not 0/1, or whose document is missing, are ignored; a
@@ -22,11 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches
+from .common import materialize, slices, small_batches
 
 NGRAMS = (3, 4, 5, 6)
 BITS = 20
@@ -100,7 +103,9 @@ def _document_counts(batches):
     yield pa.RecordBatch.from_pydict({"slice": pa.array([i // SLICE for i in k], pa.int32()), "counts": pa.array([counts[:, i : i + SLICE].tobytes() for i in k], pa.binary())})
 
 
-def _significant(n_neg: int, n_pos: int, min_z: float):
+def _ratios(n_neg: int, n_pos: int, min_z: float, min_docs: int):
+    """Log-count ratios of a slice of buckets; 0 for those that are no feature."""
+
     def select(key, pdf):
         import pandas as pd
 
@@ -109,32 +114,13 @@ def _significant(n_neg: int, n_pos: int, min_z: float):
         p, n = pos + n_pos / (n_pos + n_neg), neg + n_neg / (n_pos + n_neg)
         ratio = np.log(p / (n_pos + 1)) - np.log(n / (n_neg + 1))
         z = np.abs(ratio) / np.sqrt(1 / p + 1 / n)
-        k = np.flatnonzero((z >= min_z) & (pos + neg >= 3))
-        return pd.DataFrame({"bucket": key[0] * SLICE + k, "ratio": ratio[k], "z": z[k]})
+        ratio[(z < min_z) | (pos + neg < min_docs)] = 0
+        return pd.DataFrame({"slice": [key[0]], "ratios": [ratio.astype(np.float32).tobytes()]})
 
     return select
 
 
-def _regress(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent."""
-    n, m = x.shape
-    y = y.astype(np.float32)
-    w, b = np.zeros(m, np.float32), 0.0
-    vw, vb = w.copy(), b
-    top = np.ones(m, np.float32)
-    for _ in range(15):  # the largest curvature, by power iteration
-        top = x.T @ (x @ top)
-        top /= max(np.linalg.norm(top), 1e-12)
-    step = float(1.0 / (0.25 * (np.linalg.norm(x @ top) ** 2 / n + 1.0) + penalty))
-    for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30)))
-        w2, b2 = vw - step * (x.T @ (p - y) / n + penalty * vw), vb - step * float(np.mean(p - y))
-        vw, vb = w2 + k / (k + 3) * (w2 - w), b2 + k / (k + 3) * (b2 - b)
-        w, b = w2, b2
-    return w, b
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_features: int = 2048, min_z: float = 2.0, penalty: float = 1e-4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, min_docs: int = 3, min_z: float = 2.0, penalty: float = 1e-4) -> ToxicityModel:
     """Learn from at most ``max_per_class`` labelled rows of either class, those
     with the smallest hash of doc_id; ``docs`` may be filtered beforehand."""
     spark = docs.sparkSession
@@ -149,34 +135,34 @@ def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, max_featu
     chosen = spark.createDataFrame(picked, "doc_id long, toxic int")
     # At most 2 * max_per_class ids, so this broadcast has a fixed bound.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "toxic").agg(F.first("text").alias("text"))
-    from .common import materialize
-
     sample = materialize(sample.select("text", "toxic").repartition(12), "toxic-sample")
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     counted = sample.mapInArrow(_document_counts, "slice int, counts binary")
-    found = counted.groupBy("slice").applyInPandas(_significant(sizes.get(0, 0), sizes.get(1, 0), min_z), "bucket long, ratio double, z double")
-    top = found.orderBy(F.desc("z"), "bucket").limit(max_features).toPandas().sort_values("bucket")
-    buckets, ratio = top["bucket"].to_numpy(np.int64), top["ratio"].to_numpy()
-    flags = np.zeros(1 << BITS, bool)
-    flags[buckets] = True
-    shared = spark.sparkContext.broadcast(flags)
-
-    def present(batches):
+    found = counted.groupBy("slice").applyInPandas(_ratios(sizes.get(0, 0), sizes.get(1, 0), min_z, min_docs), "slice int, ratios binary")
+    # 2**BITS numbers of four bytes, whatever the input.
+    ratio = np.frombuffer(b"".join(r.ratios for r in sorted(found.collect(), key=lambda r: r.slice)), np.float32)
+    buckets = np.flatnonzero(ratio)
+    if not len(buckets):
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), 0.0, sizes.get(1, 0) / sum(sizes.values()))
+    shared = spark.sparkContext.broadcast(ratio)
+    schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
+    kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+
+    def vectors(batches):
+        ratio = shared.value
+        known = ratio != 0
+        place, n = np.cumsum(known) - 1, int(known.sum())
         for batch in batches:
             for part in slices(batch, 0):
-                row, bucket = _hits(part.column("text").to_pylist(), shared.value)
-                at = np.searchsorted(buckets, bucket).astype("<u2")
-                cuts = np.searchsorted(row, np.arange(len(part) + 1))
-                yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic"), "found": pa.array([at[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
-
-    # At most 2 * max_per_class rows of at most max_features numbers of two bytes.
-    rows = sample.mapInArrow(present, "toxic int, found binary").collect()
-    x = np.zeros((len(rows), len(buckets)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r.found, "<u2")] = 1
-    x *= ratio.astype(np.float32)
-    w, b = _regress(x, np.array([r.toxic for r in rows], float), penalty)
-    return ToxicityModel(buckets, w * ratio, b)
+                row, bucket = _hits(part.column("text").to_pylist(), known)
+                cuts = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
+                sparse = [pa.array(np.zeros(len(part)), pa.int8()), pa.array(np.full(len(part), n), pa.int32())]
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (place[bucket].astype(np.int32), ratio[bucket].astype(np.float64))]
+                yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.float64()), pa.StructArray.from_arrays([*sparse, *lists], fields=list(kind))], names=["label", "features"])
+
+    rows = materialize(sample.select("text", "toxic").mapInArrow(vectors, schema), "toxic-vectors")
+    learned = LogisticRegression(maxIter=100, regParam=penalty, standardization=False).fit(rows)
+    return ToxicityModel(buckets, learned.coefficients.toArray() * ratio[buckets], float(learned.intercept))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
