@@ -120,7 +120,7 @@ def _ratios(n_neg: int, n_pos: int, min_z: float, min_docs: int):
     return select
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, min_docs: int = 3, min_z: float = 2.0, penalty: float = 1e-4) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_per_class: int = 3000, min_docs: int = 3, min_z: float = 3.0, penalty: float = 1e-3) -> ToxicityModel:
     """Learn from at most ``max_per_class`` labelled rows of either class, those
     with the smallest hash of doc_id; ``docs`` may be filtered beforehand."""
     spark = docs.sparkSession
