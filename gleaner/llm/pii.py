@@ -5,12 +5,15 @@ what they find.  Built from DataFrame functions alone.
     by shape, leftmost and non-overlapping per kind, with code point offsets.
 2.  These hits are the seeds.  Digit-bearing tokens of identifier shape that no
     base span touches are candidates.  The word before and the word after a
-    seed or candidate are its lexical patterns.  Words are runs of letters, runs
+    seed or candidate, and the ``PHRASES`` (two and three) words there as phrases,
+    are its lexical patterns: where each word is common by itself, the phrase may
+    not be.  Words are runs of letters, runs
     of digits and single marks, in patterns and totals alike; the word before
-    takes up to ``GLUE`` marks that follow its letters ("id:", 'id":"').
+    takes up to ``GLUE`` marks that follow its letters ("id:", 'id":"').  A phrase
+    is of words without such marks, whatever white space lies between them.
 3.  Over the graph of patterns and instances, scores pass to and fro: a pattern
     scores the confidence of the instances it meets, over all the times its
-    word occurs in the whole corpus, seeds count as 1; an instance is confident
+    word or phrase occurs in the whole corpus, seeds count as 1; an instance is confident
     as its patterns are (noisy or).  Patterns met by too few different confident
     instances are left out, so a frequent word never becomes one.
 4.  A candidate next to a pattern of high score is a discovered identifier, kind
@@ -48,6 +51,10 @@ _BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 _CANDIDATE = r"(?<![0-9A-Za-z_.+@/=-])[A-Za-z]{0,4}[0-9][0-9A-Za-z/.-]{3,38}(?<=[0-9A-Za-z])(?![0-9A-Za-z_@/=-])"
 #: Marks that a word before a span may bring along.
 GLUE = 3
+#: Numbers of words in phrases.
+PHRASES = (2, 3)
+#: Words and phrases whose totals are asked for that are sent to every executor; more are joined after counting all.
+BROADCAST_WORDS = 100_000
 _MARK = r"[^\s\p{L}\p{N}]"
 _WORD = rf"\p{{L}}+|\p{{N}}+|{_MARK}"
 _SPANS = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
@@ -179,11 +186,56 @@ def _word(text: Column, value: Column, before: bool) -> Column:
     return F.when(cut.rlike(r"^(?:\p{L}\p{L}|\p{N}\p{N})$"), "").otherwise(near)
 
 
-def _words(text: Column) -> Column:
-    """Every word of a text that ``_word`` can give, as often as it occurs."""
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+
+
+def _phrases(text: Column, value: Column, before: bool) -> Column:
+    """The phrases that end (or begin) a short stretch of text, "" for none.  The
+    farthest word counts only where the stretch does not cut it."""
+    near = F.substring(text, -1, 1) if before else F.substring(text, 1, 1)
+    edge = F.concat(near, F.substring(value, 1, 1)) if before else F.concat(F.substring(value, -1, 1), near)
+    inside = edge.rlike(r"^(?:\p{L}\p{L}|\p{N}\p{N})$")
+    short = F.length(text) < CONTEXT
+
+    def told(t: Column) -> Column:
+        def phrase(n: int) -> Column:
+            part = F.slice(t, -n, n) if before else F.slice(t, 1, n)
+            return F.when(~inside & ((F.size(t) > n) | (short & (F.size(t) == n))), F.array_join(part, " ")).otherwise("")
+
+        return F.array(*(phrase(n) for n in PHRASES))
+
+    return let(_tokens(F.translate(text, _SEP, " ")), told)
+
+
+def _words(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Every word (if 1 is of ``sizes``) and phrase of a text that can be a
+    pattern's, as often as it occurs."""
     low = F.lower(text)
     glued = (rf"\p{{L}}+{_MARK}{{{k}}}" for k in range(1, GLUE + 1))
-    return F.concat(*(F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in (_WORD, *glued)))
+    words = [F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in (_WORD, *glued)] if 1 in sizes else []
+
+    def phrases(t: Column, n: int) -> Column:
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(t, i + k) for k in range(n))))
+
+    longer = [n for n in sizes if n > 1]
+    if longer:
+        words.append(let(_tokens(text), lambda t: F.concat(*(phrases(t, n) for n in longer))))
+    return F.concat(*words)
+
+
+def _totals(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(word, total) over all texts of the words and phrases in ``asked`` (word)."""
+    asked = materialize(asked.distinct(), "pii-asked")
+    size = F.size(F.split("word", " "))
+    sizes = {r.n: r.m for r in asked.groupBy(size.alias("n")).agg(F.count(F.lit(1)).alias("m")).collect()}
+    if not sizes:
+        return asked.select("word", F.lit(0).cast("long").alias("total"))
+    every = docs.select(F.explode(_words(F.col("text"), tuple(sorted(sizes)))).alias("word"))
+    if sum(sizes.values()) <= BROADCAST_WORDS:  # their length is bounded as contexts are
+        return every.join(F.broadcast(asked), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
+    return every.groupBy("word").agg(F.count(F.lit(1)).alias("total")).join(asked, "word", "left_semi")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -197,7 +249,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def around(s: Column, seed: bool) -> Column:
         left, right = F.translate(s["left"], _DOT, "."), F.translate(s["right"], _DOT, ".")
-        words = F.array(F.concat(F.lit("L "), _word(left, s["value"], True)), F.concat(F.lit("R "), _word(right, s["value"], False)))
+        lefts = F.concat(F.array(_word(left, s["value"], True)), _phrases(left, s["value"], True))
+        rights = F.concat(F.array(_word(right, s["value"], False)), _phrases(right, s["value"], False))
+        words = F.concat(F.transform(lefts, lambda w: F.concat(F.lit("L "), w)), F.transform(rights, lambda w: F.concat(F.lit("R "), w)))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("value"), F.lit(seed).alias("seed"), words.alias("patterns"))
 
     every = F.concat(*(F.col(k) for k in KINDS))
@@ -212,11 +266,11 @@ def learn(met: DataFrame, docs: DataFrame, rounds: int = 3, support: int = 3, fl
     ``floor`` or more."""
     edges = met.select("value", "seed", F.explode("patterns").alias("pattern")).where(F.length("pattern") > 2)
     edges = materialize(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")), "pii-edges")
-    # How often each pattern's word occurs in all texts; only patterns with
-    # enough different instances can ever be accepted.
-    words = docs.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    asked = edges.groupBy("pattern").agg(F.countDistinct("value").alias("values")).where(F.col("values") >= support).withColumn("word", F.substring("pattern", 3, 1 << 30))
-    totals = materialize(asked.join(words, "word").select("pattern", "total"), "pii-totals")
+    # How often each pattern's word or phrase occurs in all texts; only patterns
+    # with enough different instances can ever be accepted.  An edge is one value.
+    asked = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= support).withColumn("word", F.substring("pattern", 3, 1 << 30))
+    asked = materialize(asked, "pii-patterns")
+    totals = materialize(asked.join(_totals(docs, asked.select("word")), "word").select("pattern", "total"), "pii-totals")
     edges = materialize(edges.join(totals, "pattern"), "pii-graph")
     trust = edges.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust"))
     scores = None
