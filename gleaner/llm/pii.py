@@ -208,21 +208,14 @@ def _phrases(text: Column, value: Column, before: bool) -> Column:
     return let(_tokens(F.translate(text, _SEP, " ")), told)
 
 
-def _words(text: Column, sizes: tuple[int, ...]) -> Column:
+def _words(low: Column, run: Column, sizes: list[int]) -> Column:
     """Every word (if 1 is of ``sizes``) and phrase of a text that can be a
-    pattern's, as often as it occurs."""
-    low = F.lower(text)
+    pattern's, as often as it occurs.  ``run``: the words with one space between
+    them, so a phrase is a match that looks ahead over the next words."""
     glued = (rf"\p{{L}}+{_MARK}{{{k}}}" for k in range(1, GLUE + 1))
     words = [F.regexp_extract_all(low, F.lit(p), F.lit(0)) for p in (_WORD, *glued)] if 1 in sizes else []
-
-    def phrases(t: Column, n: int) -> Column:
-        starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(t, i + k) for k in range(n))))
-
-    longer = [n for n in sizes if n > 1]
-    if longer:
-        words.append(let(_tokens(text), lambda t: F.concat(*(phrases(t, n) for n in longer))))
-    return F.concat(*words)
+    longer = ("(?=(" + " ".join([r"\S++"] * n) + r"))\S++" for n in sizes if n > 1)
+    return F.concat(*words, *(F.regexp_extract_all(run, F.lit(p), F.lit(1)) for p in longer))
 
 
 def _totals(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -232,7 +225,8 @@ def _totals(docs: DataFrame, asked: DataFrame) -> DataFrame:
     sizes = {r.n: r.m for r in asked.groupBy(size.alias("n")).agg(F.count(F.lit(1)).alias("m")).collect()}
     if not sizes:
         return asked.select("word", F.lit(0).cast("long").alias("total"))
-    every = docs.select(F.explode(_words(F.col("text"), tuple(sorted(sizes)))).alias("word"))
+    texts = docs.select(F.lower("text").alias("low"), F.array_join(_tokens(F.col("text")), " ").alias("run"))
+    every = texts.select(F.explode(_words(F.col("low"), F.col("run"), sorted(sizes))).alias("word"))
     if sum(sizes.values()) <= BROADCAST_WORDS:  # their length is bounded as contexts are
         return every.join(F.broadcast(asked), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("total"))
     return every.groupBy("word").agg(F.count(F.lit(1)).alias("total")).join(asked, "word", "left_semi")
