@@ -102,11 +102,6 @@ def test_pii_scores_by_brute_force(spark):
         for pattern in [rf"[a-z]+|[0-9]+|{mark}", *(rf"[a-z]+{mark}{{{k}}}" for k in (1, 2, 3))]:
             for w in re.findall(pattern, low):
                 words[w] = words.get(w, 0) + 1
-        run = re.findall(rf"[a-z]+|[0-9]+|{mark}", low)
-        for n in pii.PHRASES:
-            for i in range(len(run) - n + 1):
-                w = " ".join(run[i : i + n])
-                words[w] = words.get(w, 0) + 1
     edges = {p: e for p, e in edges.items() if len(e) >= 3 and p[2:] in words}
     trust = {v: float(v in seeds) for e in edges.values() for v in e}
     for _ in range(3):
@@ -120,25 +115,6 @@ def test_pii_scores_by_brute_force(spark):
     assert want and got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
-def test_pii_phrases_discover_in_a_corpus(spark, sf, monkeypatch):
-    """Numbers planted in whole documents behind a phrase of common words are found
-    once addresses stand there too, and nothing else is."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null")
-    ids = [r.doc_id for r in docs.select("doc_id").distinct().orderBy("doc_id").collect()]
-    seeds, planted = ids[:24], ids[24:36]
-    n = F.col("doc_id")
-    tail = F.when(n.isin(seeds), F.concat(F.lit("\nto of the un"), n, F.lit("@mail.example.org in and to"))).when(n.isin(planted), F.concat(F.lit("\nto of the QX8"), F.lpad(n.cast("string"), 6, "0"), F.lit(" in and to"))).otherwise(F.lit("\nof the inn to of an in the and to"))
-    rows = docs.withColumn("text", F.concat("text", tail))
-    got = {r.doc_id: (r.n_context, r.spans) for r in pii.digest(pii.find(rows)).collect()}
-    assert {i for i, (k, _) in got.items() if k} == set(planted) and all(got[i][0] == 1 for i in planted)
-    texts = {r.doc_id: r.text for r in rows.collect()}
-    for i in planted:
-        a, b = (int(x) for x in next(s for s in got[i][1].split(",") if s.startswith("context")).split(":")[1:])
-        assert texts[i][a:b] == f"QX8{i:06d}"
-    monkeypatch.setattr(pii, "BROADCAST_WORDS", 0)
-    assert {r.doc_id: (r.n_context, r.spans) for r in pii.digest(pii.find(rows)).collect()} == got
-
-
 def test_many_hits_in_one_text(spark):
     """Over several chunks of matches: offsets, overlaps and redaction stay right."""
     text = " ".join(f"log {i * 7919 % 99991}ab u{i}@x.org" for i in range(1500))
