@@ -43,9 +43,10 @@ def merge_into(saved: DataFrame | None, batch: DataFrame, key: str = "key", orde
     new = upsert(batch, key, order)
     if saved is None:
         return new
-    old = saved.select(F.col(key), F.col("first_seq").alias("_first"))
-    fresh = new.join(old, key, "left").withColumn("first_seq", F.coalesce("_first", "first_seq")).drop("_first")
-    return saved.join(new.select(key), key, "left_anti").unionByName(fresh)
+    # One outer join and no union: a union of joined parts cannot be joined again where its parts were split unevenly.
+    both = saved.select(key, F.struct(*new.columns).alias("_old")).join(new.select(key, F.struct(*new.columns).alias("_new")), key, "full")
+    row = F.coalesce("_new", "_old")
+    return both.select(*(row[c].alias(c) for c in new.columns if c != "first_seq"), F.coalesce("_old.first_seq", "_new.first_seq").alias("first_seq"))
 
 
 def skip_log(events: DataFrame) -> DataFrame:
