@@ -180,8 +180,13 @@ def name_values(spark, sf_dir):
 
 # --- whole listings ----------------------------------------------------------------
 
-def _listing(spark, sf_dir, group, size: int, ld: bool = False, tail=None, more=()):
-    """Cards of suppliers in groups, ``size`` a page."""
+#: Page ids from one long group to the next: more than a group has pages.
+_SPAN = 1 << 32
+
+
+def _listing(spark, sf_dir, group, size: int, ld: bool = False, tail=None, span: int = 1000):
+    """Cards of suppliers in groups, ``size`` a page; groups of ``span`` pages or more
+    would share page ids."""
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", group.cast("long").alias("g"))
     s = s.withColumn("at", (F.row_number().over(W.partitionBy("g").orderBy("s_suppkey")) - 1).cast("long")).withColumn("page", F.floor(F.col("at") / size) + 1)
     card = _say('<div class="card"><h2><a href="/p/', _k(), '">Dr Ann ', F.translate(_k().cast("string"), "0123456789", "ABCDEFGHIJ"), '</a></h2><p class="intro">Practice of long standing</p><span class="fee">£', _k(), "</span></div>")
@@ -189,7 +194,12 @@ def _listing(spark, sf_dir, group, size: int, ld: bool = False, tail=None, more=
     rows = s.groupBy("g", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", card.alias("c"))))["c"], "").alias("cards"), F.array_join(F.array_sort(F.collect_list(F.struct("at", item.alias("i"))))["i"], ",").alias("items"))
     script = _say('<script type="application/ld+json">[', F.col("items"), "]</script>") if ld else F.lit("")
     html = _say("<html><body><section>", F.col("cards"), "</section>", script, F.lit("") if tail is None else tail, "</body></html>")
-    return rows.select((F.col("g") * 1000 + F.col("page")).alias("page_id"), _say("https://l.example.com/g/", F.col("g"), "?page=", F.col("page")).alias("url"), html.alias("html"))
+    return rows.select((F.col("g") * span + F.col("page")).alias("page_id"), _say("https://l.example.com/g/", F.col("g"), "?page=", F.col("page")).alias("url"), html.alias("html"))
+
+
+def _starts(pages):
+    """The first page of every long group."""
+    return pages.where(F.col("page_id") % _SPAN == 1).select(F.expr(f"page_id div {_SPAN}").alias("root"), "url")
 
 
 _NAME = "'Dr Ann ' || translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'ABCDEFGHIJ')"
@@ -204,8 +214,8 @@ def scrape_paged(spark, sf_dir):
     """Two listings followed over their next links, to the 4th page and the 35th
     record."""
     tail = _say('<nav><a href="?page=', F.col("page") + 1, '">Next</a></nav><a rel="next" href="https://other.example.com/g">x</a>')
-    pages = _listing(spark, sf_dir, _k() % 2, 10, tail=tail)
-    starts = pages.where("page_id % 1000 = 1").select(F.floor(F.col("page_id") / 1000).alias("root"), "url")
+    pages = _listing(spark, sf_dir, _k() % 2, 10, tail=tail, span=_SPAN)
+    starts = _starts(pages)
     out = plan.crawl(pages, starts, [plan.Field("Name")], max_pages=4, max_records=35)
     return out.select("root", "page_number", "rec_idx", F.col("value").alias("name"))
 
@@ -221,9 +231,9 @@ def follow_notices(spark, sf_dir):
     told: a field that no card has, or a first page without a match, which ends the walk
     although later pages match."""
     tail = _say('<nav><a href="?page=', F.col("page") + 1, '">Next</a></nav>')
-    pages = _listing(spark, sf_dir, _k() % 7, 4, tail=tail)
-    pages = pages.withColumn("html", F.when(F.col("page_id") == 3001, F.replace("html", F.lit('class="card"'), F.lit('class="other"'))).otherwise(F.col("html")))
-    starts = pages.where("page_id % 1000 = 1").select(F.floor(F.col("page_id") / 1000).alias("root"), "url")
+    pages = _listing(spark, sf_dir, _k() % 7, 4, tail=tail, span=_SPAN)
+    pages = pages.withColumn("html", F.when(F.col("page_id") == 3 * _SPAN + 1, F.replace("html", F.lit('class="card"'), F.lit('class="other"'))).otherwise(F.col("html")))
+    starts = _starts(pages)
     out = plan.follow(pages, starts, [plan.Field("Name"), plan.Field("Email", required=True)], max_pages=3, max_records=6, record_selector=".card")
     said = F.when(F.col("warning") == C.NO_MATCH, "No match").when(F.col("warning").contains("'Email'"), "Email").otherwise(F.col("warning"))
     return out.roots.join(out.notices, "root", "left").select("root", said.alias("warning"), "pages_processed", "n_records")
