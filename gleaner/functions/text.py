@@ -79,3 +79,8 @@ def csv_cell(c: Column) -> Column:
 
 def csv_line(*values: Column) -> Column:
     return F.concat_ws(",", *map(csv_cell, values))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
+from ..functions.text import once
 
 _HEX = "0123456789abcdef"
 _V4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
@@ -20,17 +21,12 @@ _V4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 def _quad(ip: Column) -> Column:
     """Eight digits of a dotted address; null if a part is above 255."""
     parts = F.transform(F.split(ip, r"\."), lambda x: x.try_cast("int"))
-    told = F.array_join(F.transform(parts, lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "")
-    return F.when(ip.rlike(_V4) & F.forall(parts, lambda x: x.between(0, 255)), told)
+    return F.when(ip.rlike(_V4), once(parts, lambda p: F.when(F.forall(p, lambda x: x.between(0, 255)), F.array_join(F.transform(p, lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), ""))))
 
 
 def ip_bits(ip: Column) -> Column:
     """32 hexadecimal digits of an address of either version, with or without ``::``,
     brackets, a zone or a dotted tail; null for anything else."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(F.trim(ip)), r"^\[(.*)\]$", "$1"), "%.*$", "")
-    tail = _quad(F.regexp_extract(t, r":([0-9.]+)$", 1))
-    t6 = F.when(~t.contains("."), t).when(tail.isNotNull(), F.concat(F.regexp_replace(t, r"[0-9.]+$", ""), F.left(tail, F.lit(4)), F.lit(":"), F.right(tail, F.lit(4))))
-    sides = F.split(t6, "::")
 
     def groups(side: Column) -> Column:
         return F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
@@ -38,11 +34,21 @@ def ip_bits(ip: Column) -> Column:
     def digits(found: Column) -> Column:
         return F.array_join(F.transform(found, lambda g: F.lpad(g, 4, "0")), "")
 
-    left, right = groups(F.get(sides, 0)), groups(F.get(sides, 1))
-    n, gap = F.size(left) + F.size(right), F.size(sides) == 2
-    sound = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$")) & ~t6.rlike(":::|^:[^:]|[^:]:$") & (F.size(sides) <= 2) & F.when(gap, n < 8).otherwise(n == 8)
-    v6 = F.when(sound, F.concat(digits(left), F.repeat(F.lit("0000"), 8 - n), digits(right)))
-    return F.coalesce(F.concat(F.lit("0" * 20 + "ffff"), _quad(t)), v6)
+    def v6(t6: Column) -> Column:
+        def told(x: Column) -> Column:
+            left, right, sides = x["left"], x["right"], x["sides"]
+            n, gap = F.size(left) + F.size(right), sides == 2
+            sound = F.forall(F.concat(left, right), lambda g: g.rlike("^[0-9a-f]{1,4}$")) & ~t6.rlike(":::|^:[^:]|[^:]:$") & (sides <= 2) & F.when(gap, n < 8).otherwise(n == 8)
+            return F.when(sound, F.concat(digits(left), F.repeat(F.lit("0000"), 8 - n), digits(right)))
+
+        return once(F.split(t6, "::"), lambda s: once(F.struct(groups(F.get(s, 0)).alias("left"), groups(F.get(s, 1)).alias("right"), F.size(s).alias("sides")), told))
+
+    def told(t: Column) -> Column:
+        dotted = once(_quad(F.regexp_extract(t, r":([0-9.]+)$", 1)), lambda q: F.when(q.isNotNull(), F.concat(F.regexp_replace(t, r"[0-9.]+$", ""), F.left(q, F.lit(4)), F.lit(":"), F.right(q, F.lit(4)))))
+        six = once(F.when(~t.contains("."), t).otherwise(dotted), v6)
+        return F.when(t.rlike("^[0-9a-f:.]+$"), F.coalesce(F.concat(F.lit("0" * 20 + "ffff"), _quad(t)), six))
+
+    return once(F.regexp_replace(F.regexp_replace(F.lower(F.trim(ip)), r"^\[(.*)\]$", "$1"), "%.*$", ""), told)
 
 
 def prefix(bits: Column, n: Column) -> Column:

@@ -18,7 +18,7 @@ from .functions import urls as U
 from .functions import kinds as K
 from .operators import addresses, detect, dom, export, links, merge, strategies
 from .plans import scrape as plan
-from .queries import _t, query
+from .queries import _dealt, _t, query
 from .sources import attempts, recorded, shred
 from .sources.stage import checkpoint_dir, staged
 from .streaming import jobs
@@ -34,7 +34,7 @@ def _say(*parts):
 def _profiles(spark, sf_dir, *body):
     """A page per supplier, its key as page_id."""
     html = _say("<html><body><h1>Dr Ann</h1>", *body, "</body></html>")
-    return _t(spark, sf_dir, "supplier").select(_k().cast("long").alias("page_id"), _say("https://x.org/p/", _k()).alias("url"), html.alias("html"))
+    return _dealt(_t(spark, sf_dir, "supplier"), _k()).select(_k().cast("long").alias("page_id"), _say("https://x.org/p/", _k()).alias("url"), html.alias("html"))
 
 
 def _values(spark, sf_dir, fields, *body, **options):
@@ -267,7 +267,7 @@ SELECT page_id, rec_idx, CASE WHEN turn <= 4 AND here THEN '£' || (s_suppkey +
 def profile_deep(spark, sf_dir):
     """Records merged with their profile pages, four a listing; the others as skips."""
     listings = _listing(spark, sf_dir, F.floor(_k() / 10), 10)
-    profiles = _t(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select((1000000 + _k()).cast("long").alias("page_id"), _say("https://l.example.com/p/", _k()).alias("url"), _say("<h1>Dr</h1><dl><dt>Fee</dt><dd>£", _k() + 1000, "</dd></dl>").alias("html"))
+    profiles = _dealt(_t(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0"), _k()).select((-1 - _k()).cast("long").alias("page_id"), _say("https://l.example.com/p/", _k()).alias("url"), _say("<h1>Dr</h1><dl><dt>Fee</dt><dd>£", _k() + 1000, "</dd></dl>").alias("html"))
     fields = [plan.Field("Name"), plan.Field("Fee")]
     listed = plan.scrape(listings, fields)
     pages = listings.union(profiles)
@@ -363,7 +363,7 @@ SELECT 'https://x.org/a' || s_suppkey || '/0' AS url, 'https://x.org/a' || s_sup
 UNION ALL SELECT 'https://x.org/a' || s_suppkey || '/0', 'http://127.0.0.1/', 1, 'blocked host' FROM supplier WHERE s_suppkey % 10 = 0""")
 def redirect_walk(spark, sf_dir):
     """Logged redirects followed to their end, five at most, each address checked."""
-    s = _t(spark, sf_dir, "supplier").select("s_suppkey")
+    s = _dealt(_t(spark, sf_dir, "supplier").select("s_suppkey"), _k())
     base = _say("https://x.org/a", _k(), "/")
     i = F.col("i")
     to = F.when(_k() % 10 == 0, "http://127.0.0.1/").when(i % 3 == 0, _say(i + 1)).when(i % 3 == 1, _say("../a", _k(), "/", i + 1)).otherwise(_say(base, i + 1))
@@ -575,7 +575,7 @@ def resolved_hosts(spark, sf_dir):
     k = F.col("c_custkey")
     host = _say("h", k, ".example.com")
     low = F.lower(F.lpad(F.hex(k % 65536), 4, "0"))
-    c = _t(spark, sf_dir, "customer")
+    c = _dealt(_t(spark, sf_dir, "customer").select("c_custkey"), k)
     ips = F.when(k % 9 == 1, F.array(F.lit("93.184.216.34"), _say("10.", k % 256, ".0.1"))).when(k % 9 == 2, F.array(_say("172.", 16 + k % 16, ".9.9"))).when(k % 9 == 3, F.array(_say("fd00::", low), F.lit("2001:db8::1")))
     ips = ips.when(k % 9 == 4, F.array(_say("::FFFF:192.168.0.", k % 256))).when(k % 9 == 5, F.array(_say("172.32.0.", k % 256), F.lit("::ffff:8.8.8.8"))).when(k % 9 == 6, F.array(_say("2a00:1450:", low, "::200e"), F.lit("no address"))).when(k % 9 == 7, F.array(_say("169.253.0.", k % 256)))
     ips = ips.when(k % 9 == 8, F.array(_say("febf::", low, "%eth0"))).otherwise(F.array(F.lit("bad"), F.lit("1.2.3.999"), F.lit("1::2::3"), F.lit("")))
