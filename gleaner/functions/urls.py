@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 _ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
@@ -22,29 +24,35 @@ def part(url: Column, name: str) -> Column:
 
 def is_private_ip(host: Column) -> Column:
     """Loopback, private, link-local and this-network addresses."""
-    h = F.regexp_replace(host, "^(?i)::ffff:(?=[0-9]+\\.)", "")
-    octet = F.transform(F.split(h, r"\."), lambda x: x.try_cast("int"))
-    a, b = octet[0], F.try_element_at(octet, F.lit(2))
-    v4 = (a == 0) | (a == 10) | (a == 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
-    v6 = F.lower(h).rlike(r"^(::1?|fe[89ab][0-9a-f]:.*|fe[c-f][0-9a-f]:.*|f[cd][0-9a-f]{2}:.*)$")
-    return F.when(h.rlike(r"^[0-9]+(\.[0-9]+){3}$"), v4).otherwise(F.coalesce(v6, F.lit(False)))
+
+    def v4(octet: Column) -> Column:
+        a, b = octet[0], F.try_element_at(octet, F.lit(2))
+        return (a == 0) | (a == 10) | (a == 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
+
+    def told(h: Column) -> Column:
+        v6 = F.lower(h).rlike(r"^(::1?|fe[89ab][0-9a-f]:.*|fe[c-f][0-9a-f]:.*|f[cd][0-9a-f]{2}:.*)$")
+        octet = F.transform(F.split(h, r"\."), lambda x: x.try_cast("int"))
+        return F.when(h.rlike(r"^[0-9]+(\.[0-9]+){3}$"), once(octet, v4)).otherwise(F.coalesce(v6, F.lit(False)))
+
+    return once(F.regexp_replace(host, "^(?i)::ffff:(?=[0-9]+\\.)", ""), told)
 
 
 def is_blocked_host(host: Column) -> Column:
-    h = F.lower(host)
-    return h.isin("localhost", "0.0.0.0", "::1") | h.endswith(".local") | h.endswith(".internal") | is_private_ip(h)
+    return once(F.lower(host), lambda h: h.isin("localhost", "0.0.0.0", "::1") | h.endswith(".local") | h.endswith(".internal") | is_private_ip(h))
 
 
 def rejection(url: Column) -> Column:
     """Why a URL must not be fetched; null if it may."""
-    u = F.trim(url)
-    return (
-        F.when(F.coalesce(u, F.lit("")) == "", "empty")
-        .when(~u.rlike(_ABSOLUTE) & ~u.rlike(r"^(?i)(javascript|data|mailto|tel|file):"), "not absolute")
-        .when(~F.coalesce(part(u, "scheme"), F.lit("")).isin("http", "https"), "scheme")
-        .when(part(u, "host") == "", "not absolute")
-        .when(is_blocked_host(part(u, "host")), "blocked host")
-    )
+
+    def told(u: Column) -> Column:
+        return (
+            F.when(F.coalesce(u, F.lit("")) == "", "empty")
+            .when(~u.rlike(_ABSOLUTE) & ~u.rlike(r"^(?i)(javascript|data|mailto|tel|file):"), "not absolute")
+            .when(~F.coalesce(part(u, "scheme"), F.lit("")).isin("http", "https"), "scheme")
+            .otherwise(once(part(u, "host"), lambda h: F.when(h == "", "not absolute").when(is_blocked_host(h), "blocked host")))
+        )
+
+    return once(F.trim(url), told)
 
 
 def normalized(url: Column) -> Column:
@@ -75,22 +83,25 @@ def is_candidate(href: Column) -> Column:
 
 def _merged(base: Column, path: Column) -> Column:
     """A path without dot segments."""
-    parts = F.split(path, "/")
-
     def step(acc: Column, p: Column) -> Column:
         return F.when(p == ".", acc).when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(p)))
 
-    out = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step)
-    tail = F.when(path.rlike(r"/\.{1,2}$") & (F.element_at(out, -1) != ""), "/").otherwise("")
-    return F.concat(base, F.concat(F.array_join(out, "/"), tail))
+    def told(p: Column) -> Column:
+        kept = once(F.split(p, "/"), lambda parts: F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(F.lit("")), step))
+        return once(kept, lambda out: F.concat(F.array_join(out, "/"), F.when(p.rlike(r"/\.{1,2}$") & (F.element_at(out, -1) != ""), "/").otherwise("")))
+
+    return F.concat(base, once(path, told))
 
 
 def resolve(base: Column, href: Column) -> Column:
     """A reference against an absolute base; null where either is unusable."""
-    h = F.trim(href)
+    return once(F.trim(href), lambda h: _resolved(base, h))
+
+
+def _resolved(base: Column, h: Column) -> Column:
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     path, query = F.regexp_extract(h, "^([^?#]*)", 1), F.regexp_extract(h, "^[^?#]*(.*)$", 1)
-    folder = F.regexp_replace(F.when(part(base, "path") == "", "/").otherwise(part(base, "path")), "[^/]*$", "")
+    folder = F.regexp_replace(once(part(base, "path"), lambda p: F.when(p == "", "/").otherwise(p)), "[^/]*$", "")
     return F.when(
         base.rlike(_ABSOLUTE) & h.isNotNull(),
         F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)

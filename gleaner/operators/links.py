@@ -76,7 +76,9 @@ def redirected(requests: DataFrame, hops: DataFrame, max_hops: int = C.MAX_REDIR
         rows = rows.join(moved, "now", "left")
         goes = F.col("location").isNotNull() & F.col("reason").isNull() & (F.col("hops") <= max_hops)
         to = F.when(goes, U.resolve(F.col("now"), F.col("location"))).otherwise(F.col("now"))
-        rows = rows.select("url", to.alias("now"), (F.col("hops") + goes.cast("int")).alias("hops"), F.when(goes, U.rejection(to)).otherwise(F.col("reason")).alias("reason"))
+        # The new address is a column before its check uses it.
+        rows = rows.select("url", to.alias("now"), goes.alias("goes"), (F.col("hops") + goes.cast("int")).alias("hops"), "reason")
+        rows = rows.select("url", "now", "hops", F.when(F.col("goes"), U.rejection(F.col("now"))).otherwise(F.col("reason")).alias("reason"))
     over = F.when(F.col("hops") > max_hops, F.lit("too many redirects"))
     return rows.select("url", F.col("now").alias("final_url"), "hops", F.coalesce(over, "reason").alias("reason"))
 
