@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 from . import catalog as C
 
 
+#: White space of any script: what a regular expression's (?U)\s matches.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
-    """Without white space of any script at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any script at either end, which is all that is looked at."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:
     return c.isNull() | (trim(c) == "")
 
 
+def without_runs(c: Column) -> Column:
+    """No format characters, runs of spaces and tabs as one space."""
+    return F.regexp_replace(F.regexp_replace(c, r"\p{Cf}", ""), r"[ \t]{2,}|\t", " ")
+
+
 def clean_text(c: Column) -> Column:
     """No format characters, runs of spaces and tabs as one space, trimmed; line
     ends stay.  Character references were decoded when the page was shredded."""
-    return trim(F.regexp_replace(F.regexp_replace(c, r"\p{Cf}", ""), r"[ \t]+", " "))
+    return trim(without_runs(c))
 
 
 def signature_words(attrs: Column) -> Column:
@@ -32,10 +41,16 @@ def signature_words(attrs: Column) -> Column:
 def matches_token(text: Column, tokens: Column) -> Column:
     """Short tokens as whole words, longer ones anywhere; failing both, a word of
     four or more letters of any token as a whole word."""
-    words = F.split(text, " +")
-    direct = F.exists(tokens, lambda t: F.when(F.length(t) <= 5, F.array_contains(words, t)).otherwise(text.contains(t)))
-    part = F.exists(F.flatten(F.transform(tokens, lambda t: F.split(t, " "))), lambda w: (F.length(w) >= 4) & F.array_contains(words, w))
-    return F.coalesce(direct | part, F.lit(False))
+    parts = F.split(F.array_join(tokens, " "), " ")
+
+    def met(x: Column) -> Column:
+        text, words = x["text"], x["words"]
+        direct = F.exists(tokens, lambda t: F.when(F.length(t) <= 5, F.array_contains(words, t)).otherwise(text.contains(t)))
+        return direct | F.arrays_overlap(F.filter(words, lambda w: F.length(w) >= 4), parts)
+
+    # Text and words are worked out once, not once a token.
+    told = once(text, lambda x: F.struct(x.alias("text"), F.split(x, " +").alias("words")))
+    return F.coalesce(once(told, met), F.lit(False))
 
 
 def without_number_lines(c: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import catalog as C
-from ..functions.text import clean_text, signature_words, trim
+from ..functions.text import clean_text, signature_words, trim, without_runs
+from ..sources.stage import staged
 from . import axes
 
 
@@ -28,13 +29,15 @@ def _texts(nodes: DataFrame) -> DataFrame:
 
 def visible_text(nodes: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
     """(page_id, pre, vtext) of every scope (default: all) that holds text: its text nodes in
-    page order, joined by a space and cleaned: a slice of the page's list of texts."""
-    held = _texts(nodes).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pre", "text")))["text"].alias("held"))
+    page order, joined by a space and cleaned: a slice of the page's list of texts.  A text is
+    cleaned once, not once a scope; one of spaces alone is null, which a join leaves out."""
+    text = F.btrim(without_runs(F.col("text")), F.lit(" \t"))
+    held = _texts(nodes).select("page_id", "pre", F.nullif(text, F.lit("")).alias("text")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pre", "text")))["text"].alias("held"))
     spans = nodes.where("kind <> 'text' and text_to > text_from").select("page_id", "pre", "text_from", "text_to")
     if scopes is not None:
         spans = spans.join(scopes.select("page_id", "pre").distinct(), ["page_id", "pre"], "left_semi")
     joined = F.array_join(F.slice("held", F.col("text_from") + 1, F.col("text_to") - F.col("text_from")), " ")
-    return spans.join(held, "page_id").select("page_id", "pre", clean_text(joined).alias("vtext"))
+    return spans.join(held, "page_id").select("page_id", "pre", trim(joined).alias("vtext"))
 
 
 def inner_text(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -67,12 +70,14 @@ def main_text(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
 def paragraph_text(elems: DataFrame, texts: DataFrame, scopes: DataFrame) -> DataFrame:
     """(page_id, pre, ptext): the distinct texts of block elements in a scope that
     are not contained in a longer one, else the scope's visible text."""
-    blocks = elems.where(F.col("tag").isin(C.PARAGRAPH_TAGS)).select("page_id", F.col("pre").alias("at"), F.explode("ancestors").alias("pre")).join(scopes.select("page_id", "pre").distinct(), ["page_id", "pre"], "left_semi")
+    wanted = scopes.select("page_id", "pre").distinct()
+    # Staged, so that where blocks are few they are sent to the texts and those stay where they are.
+    blocks = staged(elems.where(F.col("tag").isin(C.PARAGRAPH_TAGS)).select("page_id", F.col("pre").alias("at"), F.explode("ancestors").alias("pre")).join(wanted, ["page_id", "pre"], "left_semi"))
     blocks = blocks.join(texts.select("page_id", F.col("pre").alias("at"), "vtext"), ["page_id", "at"]).where("vtext <> ''")
     held = F.array_distinct(F.array_sort(F.collect_list(F.struct("at", "vtext")))["vtext"])
     grouped = blocks.groupBy("page_id", "pre").agg(held.alias("held"))
     longest = F.filter("held", lambda p: ~F.exists("held", lambda o: (F.length(o) > F.length(p)) & o.contains(p)))
-    own = scopes.select("page_id", "pre").distinct().join(texts, ["page_id", "pre"], "left").join(grouped, ["page_id", "pre"], "left")
+    own = wanted.join(texts.join(wanted, ["page_id", "pre"], "left_semi"), ["page_id", "pre"], "left").join(grouped, ["page_id", "pre"], "left")
     return own.select("page_id", "pre", F.coalesce(F.array_join(longest, "\n\n"), "vtext", F.lit("")).alias("ptext"))
 
 

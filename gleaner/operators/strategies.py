@@ -36,6 +36,7 @@ class Scene:
     kinds: frozenset = frozenset()
     names: frozenset = frozenset()
     pages: DataFrame | None = None
+    whole: bool = False  # whether every page is one record, its document
 
     def asked(self, *kinds: str, but: bool = False) -> DataFrame:
         """Records times fields of the given kinds (or all others)."""
@@ -45,11 +46,18 @@ class Scene:
         return self.records.join(F.broadcast(f.select("ord", "name", "kind", "tokens")))
 
     def inner(self) -> DataFrame:
-        """Elements inside each record, with their text."""
-        e = self.elems.select("page_id", F.col("pre").alias("at"), "parent", "tag", "attrs", "words", "next_pre", F.explode("ancestors").alias("pre"))
-        e = e.join(self.records.select("page_id", "rec_idx", "pre"), ["page_id", "pre"]).drop("pre")
+        """Elements inside each record, with their text; where names alone are asked for,
+        without attributes."""
+        told = [] if self.kinds == {"Name"} else ["attrs", "words"]
+        e = self.elems.select("page_id", F.col("pre").alias("at"), "parent", "tag", *told, "next_pre", F.lit(0).alias("rec_idx") if self.whole else F.explode("ancestors").alias("pre"))
+        if not self.whole:
+            e = e.join(self.records.select("page_id", "rec_idx", "pre"), ["page_id", "pre"]).drop("pre")
         return e.join(self.texts.select("page_id", F.col("pre").alias("at"), "vtext"), ["page_id", "at"], "left").withColumn("vtext", F.coalesce("vtext", F.lit("")))
 
+    def own(self) -> DataFrame:
+        """(page_id, pre, vtext): texts among which are those of all records."""
+        return self.texts.where("pre = 0") if self.whole else self.texts
+
 
 def _candidates(rows: DataFrame, strategy: str, sub: int, value: Column, confidence: int | Column) -> DataFrame:
     confidence = F.lit(confidence) if isinstance(confidence, int) else confidence
@@ -237,21 +245,26 @@ def _beside(scene: Scene, inner: DataFrame, ask, fields: DataFrame, out: list) -
     text, tag = F.col("vtext"), F.col("tag")
     # Definition lists, then headings that are the label themselves.
     marks = ask(inner.where(tag.isin("dt", "strong", "b", *C.HEADINGS)))
-    marks = marks.where(T.matches_token(F.lower(T.trim(text)), F.col("tokens")))
+    marks = marks.where(T.matches_token(F.lower(T.trim(text)), F.col("tokens"))).select(*KEY, "at", "tag", "parent", "next_pre", "kind")
+    # Staged, so that where marks are few they are sent to the page tables and those stay where they are.
+    marks = staged(marks)
     nexts = scene.elems.select("page_id", F.col("pre").alias("to"), F.col("tag").alias("to_tag"))
-    terms = marks.where(tag == "dt").groupBy(*KEY).agg(F.min_by("next_pre", "at").alias("to")).join(nexts, ["page_id", "to"]).where("to_tag = 'dd'")
+    terms = marks.where(tag == "dt").groupBy(*KEY).agg(F.min_by("next_pre", "at").alias("to")).join(nexts, ["page_id", "to"]).where("to_tag = 'dd'").select(*KEY, "to")
+    terms = staged(terms)
     t = scene.texts.select("page_id", F.col("pre").alias("to"), F.col("vtext").alias("value"))
     out.append(_candidates(terms.join(t, ["page_id", "to"]), "SemanticHtml", 3, F.col("value"), 82))
     label = marks.groupBy(*KEY).agg(F.min_by(F.struct("next_pre", "parent", "kind"), "at").alias("m")).select(*KEY, "m.*")
-    over = scene.elems.select("page_id", F.col("pre").alias("parent"), F.col("next_pre").alias("over"))
+    above = scene.elems.select("page_id", F.col("pre").alias("parent"), F.col("next_pre").alias("over"))
+    over = above.join(marks.select("page_id", "parent"), ["page_id", "parent"], "left_semi")
     spots = label.join(over, ["page_id", "parent"], "left").select(*KEY, "kind", F.posexplode(F.array("next_pre", "over")).alias("turn", "to")).where("to is not null")
+    spots = staged(spots)
     told = dom.paragraph_text(scene.elems, scene.texts, spots.select("page_id", F.col("to").alias("pre"))).select("page_id", F.col("pre").alias("to"), "ptext")
     most = F.when(F.col("kind") == "Biography", 8000).when(F.col("kind") == "Text", 3000).otherwise(200)
     spots = spots.join(told, ["page_id", "to"]).where(F.length("ptext").between(1, most))
     out.append(_first(spots, F.col("ptext"), F.col("turn"), "SemanticHtml", 4, 78))
 
     # "Label: value" lines of the record's text.
-    lines = scene.asked().join(scene.texts, ["page_id", "pre"]).select(*KEY, "tokens", F.posexplode(F.split("vtext", "\n")).alias("turn", "line"))
+    lines = scene.asked().join(scene.own(), ["page_id", "pre"]).select(*KEY, "tokens", F.posexplode(F.split("vtext", "\n")).alias("turn", "line"))
     lines = lines.withColumn("line", T.trim(F.col("line"))).where(F.col("line").rlike(C.LABEL_LINE)).where(T.matches_token(F.lower(F.regexp_extract("line", C.LABEL_LINE, 1)), F.col("tokens")))
     out.append(_first(lines, T.trim(F.regexp_extract("line", C.LABEL_LINE, 2)), F.col("turn"), "SemanticHtml", 5, 65))
 
@@ -259,7 +272,7 @@ def _beside(scene: Scene, inner: DataFrame, ask, fields: DataFrame, out: list) -
     if scene.names & set(C.ROLE_PATHS):
         roles = fields.where(F.lower(F.trim("name")).isin(*C.ROLE_PATHS))
         under = inner.where(tag.isin(C.HEADINGS) & ~_cookie(T.trim(text))).groupBy("page_id", "rec_idx").agg(F.min_by(F.struct("next_pre", "parent"), "at").alias("m")).select("page_id", "rec_idx", "m.*")
-        under = under.join(over, ["page_id", "parent"], "left").select("page_id", "rec_idx", F.coalesce("next_pre", "over").alias("to")).join(t, ["page_id", "to"]).join(roles)
+        under = under.join(above, ["page_id", "parent"], "left").select("page_id", "rec_idx", F.coalesce("next_pre", "over").alias("to")).join(t, ["page_id", "to"]).join(roles)
         v = F.col("value")
         out.append(_candidates(under.where((F.length(v) <= 200) & ~K.has_shape("Location", v)), "SemanticHtml", 7, v, 55))
 
@@ -319,7 +332,7 @@ def by_hook(scene: Scene, provider) -> DataFrame:
     """A user's provider (60): ``provider(DataFrame of page_id, rec_idx, text, names)``
     -> DataFrame (page_id, rec_idx, name, value)."""
     names = [r.name for r in scene.fields.select("name").collect()]
-    asked = scene.records.join(scene.texts, ["page_id", "pre"], "left").select("page_id", "rec_idx", F.coalesce("vtext", F.lit("")).alias("text"), F.array(*map(F.lit, names)).alias("names"))
+    asked = scene.records.join(scene.own(), ["page_id", "pre"], "left").select("page_id", "rec_idx", F.coalesce("vtext", F.lit("")).alias("text"), F.array(*map(F.lit, names)).alias("names"))
     rows = provider(asked).join(F.broadcast(scene.fields.select("ord", "name")), "name")
     return _candidates(rows, "Ai", 0, F.col("value"), 60)
 

@@ -100,9 +100,15 @@ def validated_export(field_names: list[str], df: DataFrame | None = None) -> lis
 
 def fields_table(spark: SparkSession, fields: list[Field]) -> DataFrame:
     """Fields as rows, kinds inferred, with their label tokens."""
-    named = spark.createDataFrame([(f.ord, f.name, f.kind, f.required) for f in fields], "ord int, name string, kind string, required boolean")
+    import pyarrow as pa
+
+    # From Arrow, so that these few rows stand in the plan and no task reads them.
+    ords, names = pa.array([f.ord for f in fields], pa.int32()), pa.array([f.name for f in fields], pa.string())
+    named = spark.createDataFrame(pa.table({"ord": ords, "name": names, "kind": pa.array([f.kind for f in fields], pa.string())}))
     kinds = {r.ord: r.kind for r in named.select("ord", F.coalesce("kind", K.infer_kind(F.col("name"))).alias("kind")).collect()}
-    return spark.createDataFrame([(f.ord, f.name, kinds[f.ord], f.required, K.tokens_of(f.name, kinds[f.ord])) for f in fields], "ord int, name string, kind string, required boolean, tokens array<string>")
+    held = [kinds[f.ord] for f in fields]
+    tokens = [K.tokens_of(f.name, k) for f, k in zip(fields, held, strict=True)]
+    return spark.createDataFrame(pa.table({"ord": ords, "name": names, "kind": pa.array(held, pa.string()), "required": pa.array([f.required for f in fields], pa.bool_()), "tokens": pa.array(tokens, pa.list_(pa.string()))}))
 
 
 def one_row_a_page(pages: DataFrame) -> DataFrame:
@@ -156,7 +162,7 @@ def scrape(
     if majority and not whole_page:
         kept = _of_majority(kept, elems, texts, entities, pages)
     records = staged(detect.with_whole_pages(kept, pages) if not record_selector or whole_page else detect.numbered(kept))
-    scene = strategies.Scene(records, table, nodes, elems, texts, entities, frozenset(r.kind for r in table.collect()), frozenset(f.name.strip().lower() for f in fields), pages)
+    scene = strategies.Scene(records, table, nodes, elems, texts, entities, frozenset(r.kind for r in table.collect()), frozenset(f.name.strip().lower() for f in fields), pages, whole_page)
     results = staged(_extract(scene, fields, provider, extra or {}))
     if collapse and not whole_page and not record_selector:
         flat = staged(merge.degenerate_pages(results))
@@ -241,7 +247,7 @@ def _extract(scene: strategies.Scene, fields: list[Field], provider, extra: dict
         candidates = candidates.unionByName(p)
     asked = scene.records.join(F.broadcast(scene.fields.select("ord", "name", "kind", "required"))).select(*strategies.KEY, "name", "kind", "required", "is_document")
     # A profile page that rules out contact has no contact values at all.
-    barred = scene.records.where("is_document").join(scene.texts, ["page_id", "pre"]).where(F.lower("vtext").contains(C.CONTACT_UNAVAILABLE)).select("page_id", "rec_idx").withColumn("unavailable", F.lit(True))
+    barred = scene.records.where("is_document").join(scene.texts.where("pre = 0"), ["page_id", "pre"]).where(F.lower("vtext").contains(C.CONTACT_UNAVAILABLE)).select("page_id", "rec_idx").withColumn("unavailable", F.lit(True))
     asked = asked.join(barred, ["page_id", "rec_idx"], "left").withColumn("unavailable", F.coalesce("unavailable", F.lit(False)))
     candidates = strategies.first_way(candidates).join(asked.where("unavailable").where(F.col("kind").isin(C.CONTACT_KINDS)).select(*strategies.KEY), strategies.KEY, "left_anti")
     return resolve.resolve(asked, candidates, strategies.KEY, [*C.STRATEGIES, *extra])
