@@ -209,7 +209,7 @@ def upsert_stream(source: DataFrame, table: UpsertTable, checkpoint: str, prepar
 
 #: What a job's stream returns: job_state's columns, and a number that grows.
 JOB_ROW = "job_id string, status string, total_pages int, last_completed_page long, failed_pages array<long>, records_saved long, last_error string, skips array<struct<page:long,kind:string,reason:string>>, version long"
-_OPEN = "attempts array<struct<attempt:long,outcome:string,records:long,detail:string>>"
+_OPEN = "waiting array<struct<page:long,attempt:long,outcome:string,records:long,detail:string>>"
 _FINAL = ("Success", "Forbidden", "UrlNotAllowed")
 
 
@@ -217,22 +217,31 @@ class JobPages(StatefulProcessor):
     """One job: its state as in ``job_state``, and the attempts of pages whose turn has
     not come.  Pages settle in order: a page by its first final attempt, or when it has
     used up its ``retries``; attempts may come in any order.  With ``patience_ms`` a timer
-    settles a page that the job has waited for so long (by event time) as it stands."""
+    settles a page that the job has waited for so long (by event time) as it stands.
+    A job is one value, read and written once a batch, as every call goes over a socket."""
 
     def __init__(self, retries: int, stop_on_failure: bool, patience_ms: int | None):
         self.retries, self.stop_on_failure, self.patience_ms = retries, stop_on_failure, patience_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", JOB_ROW)
-        self.waiting = handle.getMapState("waiting", "page long", _OPEN)
-
-    def _load(self, key, total: int) -> dict:
-        if self.job.exists():
-            names = [c.split()[0] for c in JOB_ROW.replace("struct<page:long,kind:string,reason:string>", "x").split(", ")]
-            held = dict(zip(names, self.job.get(), strict=True))
-            return held | {"failed_pages": list(held["failed_pages"]), "skips": [tuple(s) for s in held["skips"]]}
-        return {"job_id": key[0], "status": "Paused", "total_pages": min(total, C.MAX_JOB_PAGES), "last_completed_page": 0, "failed_pages": [], "records_saved": 0, "last_error": None, "skips": [], "version": 0}
+        self.job = handle.getValueState("job", f"{JOB_ROW}, {_OPEN}")
+
+    def _load(self, key, total: int) -> tuple[dict, dict, bool]:
+        """The job, the attempts of its open pages, and whether it is known."""
+        told = self.job.get()
+        if told is None:
+            return {"job_id": key[0], "status": "Paused", "total_pages": min(total, C.MAX_JOB_PAGES), "last_completed_page": 0, "failed_pages": [], "records_saved": 0, "last_error": None, "skips": [], "version": 0}, {}, False
+        names = [c.split()[0] for c in JOB_ROW.replace("struct<page:long,kind:string,reason:string>", "x").split(", ")]
+        *values, waiting = told
+        held = dict(zip(names, values, strict=True))
+        pages: dict[int, list] = {}
+        for page, *attempt in waiting:
+            pages.setdefault(page, []).append(tuple(attempt))
+        return held | {"failed_pages": list(held["failed_pages"]), "skips": [tuple(s) for s in held["skips"]]}, pages, True
+
+    def _save(self, job: dict, waiting: dict) -> None:
+        self.job.update((*job.values(), [(page, *a) for page, held in waiting.items() for a in held]))
 
     def _settled(self, held: list) -> tuple | None:
         """The attempt that counts, once it is known: all before it have come."""
@@ -262,14 +271,11 @@ class JobPages(StatefulProcessor):
     def _next(self, job: dict) -> int | None:
         return None if job["status"] in ("Blocked", "Completed") else job["last_completed_page"] + 1
 
-    def _held(self, page: int) -> list:
-        return [tuple(a) for a in self.waiting.getValue((page,))[0]] if self.waiting.containsKey((page,)) else []
-
-    def _run(self, job: dict, late: bool = False):
+    def _run(self, job: dict, waiting: dict, late: bool = False) -> list[Row]:
         """Settle what can be; with ``late`` the page waited for first, as it stands."""
         before = job["version"]
         while page := self._next(job):
-            held = self._held(page)
+            held = waiting.get(page, [])
             attempt = self._settled(held)
             if attempt is None and late:
                 attempt = max(held, default=(0, "NetworkError", 0, "no attempt logged"))
@@ -277,43 +283,44 @@ class JobPages(StatefulProcessor):
             if attempt is None:
                 break
             self._settle(job, page, attempt)
-            if held:
-                self.waiting.removeKey((page,))
-        if not self._next(job) and self.waiting.exists():
-            self.waiting.clear()
-        if job["version"] > before:
-            self.job.update(tuple(job.values()))
-            yield Row(**job)
-
-    def _wait(self, now: int) -> None:
+            waiting.pop(page, None)
+        if not self._next(job):
+            waiting.clear()
+        return [Row(**job)] if job["version"] > before else []
+
+    def _wait(self, waiting: dict, now: int) -> None:
         if self.patience_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            if self.waiting.exists() and any(True for _ in self.waiting.keys()):
+            if waiting:
                 self.handle.registerTimer(now + self.patience_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        job, latest, came = None, 0, {}
+        job, waiting, known, latest, came = None, {}, False, 0, {}
         for r in rows:
-            job = job or self._load(key, r.total_pages)
+            if job is None:
+                job, waiting, known = self._load(key, r.total_pages)
             latest = max(latest, int(r.ts.timestamp() * 1000)) if self.patience_ms is not None else 0
             due = self._next(job)
             if due is not None and due <= r.page <= job["total_pages"] and 1 <= r.attempt <= self.retries:
                 came.setdefault(r.page, []).append((r.attempt, r.outcome, r.records, r.detail))
         for page, new in came.items():
-            held = {a[0]: a for a in new} | {a[0]: a for a in self._held(page)}
-            self.waiting.updateValue((page,), (list(held.values()),))
+            held = {a[0]: a for a in new} | {a[0]: a for a in waiting.get(page, [])}
+            waiting[page] = list(held.values())
         if job is not None:
-            if not self.job.exists():
-                self.job.update(tuple(job.values()))  # a timer may come before any page settles
-            yield from self._run(job)
-            self._wait(latest)
+            out = self._run(job, waiting)
+            if came or not known:  # a timer may come before any page settles
+                self._save(job, waiting)
+            self._wait(waiting, latest)
+            yield from out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        job = self._load(key, 0)
-        if self._next(job):
-            yield from self._run(job, late=True)
-        self._wait(timerValues.getCurrentWatermarkInMs())
+        job, waiting, _ = self._load(key, 0)
+        out = self._run(job, waiting, late=True) if self._next(job) else []
+        if out:
+            self._save(job, waiting)
+        self._wait(waiting, timerValues.getCurrentWatermarkInMs())
+        yield from out
 
     def close(self) -> None:
         pass
@@ -331,6 +338,10 @@ def job_stream(attempts: DataFrame, retries: int = 3, stop_on_failure: bool = Fa
     names = ["job_id", "page", "attempt", "total_pages", "outcome", "records", "detail"]
     kinds = {"page": "long", "attempt": "long", "total_pages": "int", "records": "long"}
     rows = attempts.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in names), *(["ts"] if patience_ms is not None else []))
+    retries = min(max(retries, 1), 10)
     if patience_ms is not None:
         rows = rows.withWatermark("ts", patience or "0 seconds")
-    return rows.groupBy("job_id").transformWithState(JobPages(min(max(retries, 1), 10), stop_on_failure, patience_ms), JOB_ROW, "Update", "None" if patience_ms is None else "EventTime")
+    else:
+        # Pages and attempts beyond the job's own never count, so they need not be sent to it; their times do.
+        rows = rows.where(F.col("page").between(1, F.least("total_pages", F.lit(C.MAX_JOB_PAGES))) & F.col("attempt").between(1, retries))
+    return rows.groupBy("job_id").transformWithState(JobPages(retries, stop_on_failure, patience_ms), JOB_ROW, "Update", "None" if patience_ms is None else "EventTime")
