@@ -189,6 +189,7 @@ def _listing(spark, sf_dir, group, size: int, ld: bool = False, tail=None, span:
     would share page ids."""
     s = _t(spark, sf_dir, "supplier").select("s_suppkey", group.cast("long").alias("g"))
     s = s.withColumn("at", (F.row_number().over(W.partitionBy("g").orderBy("s_suppkey")) - 1).cast("long")).withColumn("page", F.floor(F.col("at") / size) + 1)
+    s = _dealt(s, "g", "page")  # pages are much larger than the rows they are made of
     card = _say('<div class="card"><h2><a href="/p/', _k(), '">Dr Ann ', F.translate(_k().cast("string"), "0123456789", "ABCDEFGHIJ"), '</a></h2><p class="intro">Practice of long standing</p><span class="fee">£', _k(), "</span></div>")
     item = _say('{"@type":"', F.when(_k() % 5 == 4, "Hospital").otherwise("Physician"), '","url":"https://l.example.com/P/', _k(), '/"}')
     rows = s.groupBy("g", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", card.alias("c"))))["c"], "").alias("cards"), F.array_join(F.array_sort(F.collect_list(F.struct("at", item.alias("i"))))["i"], ",").alias("items"))
