@@ -309,15 +309,27 @@ def _along(found: DataFrame, pool: DataFrame, s: Step) -> DataFrame:
     rows = pool
     for t in s.tests[:k]:
         rows = rows.where(_test(t))
-    met = axes.step(found, rows, s.link, pool)
-    for t in s.tests[k:]:
+    placed = s.link.endswith("sibling") and k < len(s.tests)
+    met = axes.step(found, rows, s.link, pool, s.tests[k][2:4] if placed else None)
+    for t in s.tests[k + placed :]:
         if t[0] == "nth":
             back = (s.link in axes.REVERSE) != t[3]
             turn = F.row_number().over(Window.partitionBy("page_id", "scope", "origin").orderBy(F.desc("pre") if back else "pre"))
             met = met.withColumn("_n", turn).where(F.col("_n") == t[2]).drop("_n")
         else:
             met = met.join(pool.where(_test(t)).select("page_id", "pre"), ["page_id", "pre"], "left_semi")
-    return met.select("page_id", "scope", "pre").distinct()
+    return _once(met)
+
+
+def _once(met: DataFrame) -> DataFrame:
+    """Each (page_id, scope, pre) once, with its size and parent."""
+    return met.groupBy("page_id", "scope", "pre").agg(F.first("size").alias("size"), F.first("parent").alias("parent"))
+
+
+def _counting(paths: list[list[Step]], pool: DataFrame, axis: str, tag: str) -> DataFrame:
+    """The elements that steps with this count look at: those of their tags."""
+    tags = [next((t[1] for t in s.tests if t[0] == "tag"), None) for path in paths for s in path if any(t[:3] == ("count", axis, tag) for t in _flat(s.tests))]
+    return pool if None in tags else pool.where(F.col("tag").isin(tags))
 
 
 def select(elems: DataFrame, selector: str, kind: str = "Css", scopes: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
@@ -337,7 +349,8 @@ def select(elems: DataFrame, selector: str, kind: str = "Css", scopes: DataFrame
         return everything.join(elems.select("page_id", "pre").where("false"), "page_id")
     pool = elems.select("page_id", "pre", "size", "parent", "tag", "attrs")
     for axis, tag in {t[1:3] for t in tests if t[0] == "count" and t[1] != "attribute"}:
-        pool = pool.join(axes.counts(elems.select("page_id", "pre", "size", "parent", "tag"), axis, tag).withColumnRenamed("n", f"count_{axis}_{tag}"), ["page_id", "pre"], "left")
+        counted = elems.select("page_id", "pre", "size", "parent", "tag")
+        pool = pool.join(axes.counts(counted, axis, tag, _counting(paths, counted, axis, tag)).withColumnRenamed("n", f"count_{axis}_{tag}"), ["page_id", "pre"], "left")
     for last, of_type in {t[3:] for t in tests if t[0] == "nth"}:
         beside = Window.partitionBy("page_id", "parent", *(["tag"] if of_type else [])).orderBy(F.desc("pre") if last else "pre")
         pool = pool.withColumn(_place(last, of_type), F.row_number().over(beside))
@@ -357,7 +370,7 @@ def select(elems: DataFrame, selector: str, kind: str = "Css", scopes: DataFrame
                 rows = rows.where(_test(t))
             if s.link in ("+", "~"):
                 here = pool.select("page_id", "pre", "parent")
-                turn = found.join(here, ["page_id", "pre"]).withColumnRenamed("pre", "left")
+                turn = found.select("page_id", "scope", "pre").join(here, ["page_id", "pre"]).withColumnRenamed("pre", "left")
                 met = turn.join(rows.select("page_id", "parent", "pre"), ["page_id", "parent"]).where(F.col("pre") > F.col("left"))
                 if s.link == "+":
                     follow = pool.select("page_id", F.col("pre").alias("left"), F.lead("pre").over(Window.partitionBy("page_id", "parent").orderBy("pre")).alias("pre"))
@@ -366,9 +379,10 @@ def select(elems: DataFrame, selector: str, kind: str = "Css", scopes: DataFrame
                 continue
             child = s.link == ">" and (i > 0 or kind == "XPath")
             if not child and i == 0 and scopes is None:
-                found = rows.select("page_id", F.lit(0).alias("scope"), "pre")  # all lies in the document
+                found = rows.select("page_id", F.lit(0).alias("scope"), "pre", "size", "parent")  # all lies in the document
                 continue
-            found = axes.step(found, rows, "child" if child else "descendant", pool).select("page_id", "scope", "pre").distinct()
+            found = _once(axes.step(found, rows, "child" if child else "descendant", pool))
+        found = found.select("page_id", "scope", "pre")
         out = found if out is None else out.union(found)
     return out.distinct()
 

@@ -653,20 +653,21 @@ SELECT axis, page AS page_id, count(*) AS hits, CAST(sum(i) AS BIGINT) AS ids FR
 def xpath_axes(spark, sf_dir):
     """Every axis over pages that list customers' orders, against intervals of pre-order
     numbers that the oracle makes of the tables."""
-    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"))
+    o = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).alias("page_id"), F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("o"))
     k = (F.col("o") % 5).cast("string")
     item = _say("<li data-i='", F.col("o"), "' data-k='", k, "'><b data-i='", F.col("o"), "' data-k='", k, "'>x</b></li>")
-    lists = o.groupBy("c").agg(F.array_join(F.array_sort(F.collect_list(F.struct("o", item.alias("h"))))["h"], "").alias("items"))
-    part = _say("<section data-i='", F.col("c"), "' data-r='", F.col("c") % 3, "'><h2 data-i='", F.col("c"), "'>h</h2><ul data-i='", F.col("c"), "'>", F.col("items"), "</ul></section>")
-    pages = lists.groupBy((F.col("c") % 20).alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("c", part.alias("h"))))["h"], "").alias("html"))
-    nodes = staged(shred.shred(pages.select("page_id", F.lit("https://x.org/").alias("url"), "html")))
-    elems = staged(dom.elements(nodes))
-    out = None
+    begin = _say("<section data-i='", F.col("c"), "' data-r='", F.col("c") % 3, "'><h2 data-i='", F.col("c"), "'>h</h2><ul data-i='", F.col("c"), "'>")
+    ends = o.select("page_id", "c").distinct().select("page_id", "c", F.explode(F.array(F.lit(0), F.lit(2))).alias("turn"), F.lit(None).cast("long").alias("o"))
+    # A page is too long to be a value: its pieces are put in order as keys, and written on their way to the tokenizer.
+    pieces = _dealt(o.select("page_id", "c", F.lit(1).alias("turn"), "o").union(ends), "page_id").sortWithinPartitions("page_id", "c", "turn", "o")
+    html = F.when(F.col("turn") == 0, begin).when(F.col("turn") == 1, item).otherwise("</ul></section>")
+    elems = staged(dom.elements(shred.shred_pieces(pieces.select("page_id", html.alias("html")))).select("page_id", "pre", "size", "parent", "tag", "attrs"))
+    hits = None
     for name, path in _PATHS.items():
-        hits = dom.select(elems, path, "XPath").join(elems.select("page_id", "pre", F.col("attrs")["data-i"].cast("long").alias("i")), ["page_id", "pre"])
-        one = hits.groupBy("page_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("i").alias("ids")).select(F.lit(name).alias("axis"), "page_id", "hits", "ids")
-        out = one if out is None else out.union(one)
-    return out
+        one = dom.select(elems, path, "XPath").select(F.lit(name).alias("axis"), "page_id", "pre")
+        hits = one if hits is None else hits.union(one)
+    met = hits.join(elems.select("page_id", "pre", F.col("attrs")["data-i"].cast("long").alias("i")), ["page_id", "pre"])
+    return met.groupBy("axis", "page_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("i").alias("ids"))
 
 
 # --- rules on texts ------------------------------------------------------------------
